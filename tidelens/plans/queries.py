@@ -1,10 +1,6 @@
-"""The registered queries over the test tables, with SQL twins."""
+"""All registered queries."""
 
-from __future__ import annotations
+from . import relational
+from .registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "relational"]
