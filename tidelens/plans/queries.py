@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import relational
+from . import relational, statistics, texts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "relational"]
+__all__ = ["ORACLES", "QUERIES", "relational", "statistics", "texts"]
