@@ -60,12 +60,14 @@ class Automaton:
         self.made, self.left, self.right = ([0] * len(self.label) for _ in range(3))
         self.removed: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"], 1):
-            u, v = (spell(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
-            w = ids[u + v]
-            if (key := ids[u] << 32 | ids[v]) not in self.removed:
-                self.removed[key] = rank
-                if not self.made[w] and len(u + v) > 1:
-                    self.made[w], self.left[w], self.right[w] = rank, ids[u], ids[v]
+            u, v = (ids[spell(x)] for x in (pair.split(" ") if isinstance(pair, str) else pair))
+            if not self._arc(u, v):
+                continue  # no path holds the pair: the gadget changes nothing
+            w = ids[self.label[u] + self.label[v]]
+            if self.made[w] or len(self.label[w]) < 2:
+                raise ValueError(f"two merges make the token {self.label[w]!r}: its state would depend on which")
+            self.removed[u << 32 | v] = rank
+            self.made[w], self.left[w], self.right[w] = rank, u, v
         self.cells: dict[int, bool] = {}
         #: The trie of all labels, as one table (node, byte) -> node, and the token that ends at a node.
         self.step: dict[int, int] = {}
