@@ -44,7 +44,7 @@ class Grams:
         self.low = np.array([self._class(c) for c in range(0x3000)], np.int32)
         self.tables = [np.full(CLASSES**n, -1, np.int32) for n in (1, 2, 3)]
         self.size = 0
-        for grams, table in zip(self._grams("\0\0".join(segments).lower())[0], self.tables, strict=True):
+        for grams, table in zip(self._grams(("\0\0" + "\0\0".join(segments) + "\0\0").lower())[0], self.tables, strict=True):
             found = np.unique(grams)
             found = found[found > 0]
             table[found] = np.arange(self.size, self.size + len(found))
@@ -69,8 +69,11 @@ class Grams:
         flat, parts, rows, held = out.reshape(-1), [], [], 0
 
         def put() -> None:
-            joined = "\0" + "\0\0".join(parts) + "\0"
+            # Two separators between texts and at both ends: a gram never joins two texts, whatever their neighbours.
+            joined = "\0\0" + "\0\0".join(parts) + "\0\0"
             lengths = np.array([len(x) + 2 for x in parts])
+            lengths[0] += 1
+            lengths[-1] += 1
             row = np.repeat(np.array(rows, np.int64) * self.size, lengths)
             for n, (grams, table) in enumerate(zip(self._grams(joined)[0], self.tables, strict=True)):
                 ids = table[grams]
