@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..complexity import metrics
+from ..complexity.languages import LANGUAGES
 from ..functions import dates, text
 from ..operators import annotation, network
 from ..sources.adapters import posts, table, tags, votes
@@ -282,3 +284,65 @@ def answered(spark, d):
         return lambda batch: [f"<Difficulty Level> {sum(len(m['content']) for m in messages) % 3} </Difficulty Level>" for messages in batch]
 
     return annotation.answer(_prompts(spark, d), client).withColumn("level", text.level_of(F.col("result")))
+
+
+# ---- complexity
+
+
+def _snippets(spark, d):
+    """A snippet per page, in four shapes."""
+    k, n = F.col("page_id") % 4, F.col("page_id").cast("string")
+    java = F.concat(F.lit("class K { int f(int a, int b) { if (a > "), n, F.lit(" && b > 0) { for (int i = 0; i < a; i++) { while (b > 0) { b--; } } } else { a = 1; } return a; } }"))
+    python = F.concat(F.lit("def f(a, b):\n    if a and b or a:\n        return "), n, F.lit("\n    return 0\n\ndef g():\n    return 1\n"))
+    go = F.lit("package p\nfunc f(a int) int { switch a { case 1: return 2 }; return 3 }")
+    src = F.when(k == 0, java).when(k == 1, python).when(k == 2, go).otherwise(F.concat(F.lit("def f(: "), n))
+    language = F.when(k == 0, "java").when(k == 2, "go").otherwise("python")
+    return table(spark, d, "pages").select("page_id", language.alias("language"), src.alias("src"))
+
+
+@query("UDF1", "SELECT page_id, x.f AS function, x.c AS complexity, x.y AS cyclomatic FROM (SELECT page_id, unnest(CASE page_id % 4 WHEN 0 THEN [{'f': 'f', 'c': 8, 'y': 5}] WHEN 1 THEN [{'f': 'f', 'c': 3, 'y': 4}, {'f': 'g', 'c': 0, 'y': 1}] WHEN 2 THEN [{'f': 'f', 'c': 1, 'y': 2}] ELSE [] END) AS x FROM pages)")
+def snippet_functions(spark, d):
+    return metrics.function_metrics(_snippets(spark, d), ["page_id"]).select("page_id", "function", "complexity", "cyclomatic")
+
+
+@query("UDF2", "SELECT page_id, 1 AS n, 4 AS complexity FROM pages")
+def top_level(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.lit("c").alias("language"), F.lit("if (a && b) { while (c) { } }").alias("src"))
+    return metrics.function_metrics(rows, ["page_id"]).groupBy("page_id").agg(F.count("*").cast("int").alias("n"), F.sum("complexity").cast("int").alias("complexity"))
+
+
+@query("UDF3", "SELECT page_id, page_id % 4 <> 3 AS ok FROM pages")
+def syntax_gate(spark, d):
+    return metrics.syntax_ok(_snippets(spark, d), ["page_id"])
+
+
+@query("UDF4", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 5 ELSE 2 END AS cyclomatic, CASE page_id % 4 WHEN 0 THEN 2 ELSE 1 END AS parameter_count FROM pages WHERE page_id % 4 IN (0, 2)")
+def cyclomatic(spark, d):
+    return metrics.function_metrics(_snippets(spark, d).where("page_id % 2 = 0"), ["page_id"]).select("page_id", "cyclomatic", "parameter_count")
+
+
+@query("UDF6", "SELECT page_id FROM pages WHERE page_id % 4 = 3")
+def rejected(spark, d):
+    return metrics.not_measured(_snippets(spark, d), ["page_id"])
+
+
+_REPORT = """CASE WHEN page_id % 2 = 0 THEN '{"kind": "unit", "spaces": [{"kind": "function", "name": "f", "metrics": {"cognitive": {"sum": ' || page_id || '}}, "spaces": [{"kind": "function", "name": "in"}]}]}' ELSE 'broken' END"""
+
+
+@query("JSN2", "SELECT page_id, 'f' AS name, CAST(page_id AS DOUBLE) AS cognitive_sum FROM pages WHERE page_id % 2 = 0")
+def report_rows(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.expr(_REPORT).alias("report"))
+    return metrics.report_functions(rows, ["page_id"]).select("page_id", "name", "cognitive_sum")
+
+
+@query("MAP1", "SELECT page_id, page_id || '_' || page_id || CASE page_id % 4 WHEN 0 THEN '.java' WHEN 2 THEN '.go' ELSE '.py' END AS file FROM pages")
+def file_names(spark, d):
+    ext = F.create_map(*(F.lit(x) for n, g in LANGUAGES.items() for x in (n, g.ext)))
+    id_ = F.col("page_id").cast("string")
+    return _snippets(spark, d).select("page_id", F.concat(id_, F.lit("_"), id_, F.lit("."), F.element_at(ext, F.col("language"))).alias("file"))
+
+
+@query("UDF11", "SELECT id, CAST(min(draw) AS INTEGER) AS attempt FROM votes v WHERE label = gold GROUP BY id", "votes")
+def retried(spark, d):
+    """The first of a bounded number of attempts whose answer agrees with the label."""
+    return votes(spark, d).where("label = gold").groupBy("id").agg(F.min("draw").alias("attempt"))
