@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import relational, statistics, texts
+from . import files, relational, statistics, texts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "relational", "statistics", "texts"]
+__all__ = ["ORACLES", "QUERIES", "files", "relational", "statistics", "texts"]
