@@ -1,5 +1,6 @@
 import corpus_pipeline
-from tidelens.llm import language, quality_rules, secrets, simhash
+from tests.llm.test_search import by_sketches
+from tidelens.llm import language, quality_rules, secrets
 
 
 def test_stages(spark, sf, tmp_path):
@@ -22,15 +23,8 @@ def test_stages(spark, sf, tmp_path):
             assert kept[name] == {i for i, n, s in zip(rows, names, scores, strict=True) if n != "und" and s >= 0.2}
             assert len(kept[name]) >= 0.99 * len(rows)
         elif name == "simhash":
-            fp = {i: simhash.fingerprint(r.text) for i, r in rows.items()}
-            root = {i: i for i in rows}
-            near = {i: [j for j in rows if (fp[i] ^ fp[j]).bit_count() <= 3] for i in rows}
-            while True:
-                new = {i: min(root[j] for j in near[i]) for i in rows}
-                if new == root:
-                    break
-                root = new
-            assert kept[name] == set(root.values())
+            root = by_sketches({i: r.text for i, r in rows.items()})
+            assert kept[name] == {i for i, c in root.items() if i == c}
         elif name == "secrets":
             assert kept[name] == set(rows)
             assert secrets.scan(docs).where("n_assign + n_access + n_hex > 0").count() == 0

@@ -76,7 +76,67 @@ def test_near_duplicates_whole_table(spark, sf):
     want = {rows[i][0]: (f"{v:016x}", rows[r][0]) for i, (v, r) in enumerate(zip(values, brute(values), strict=True))}
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
     assert got == want
-    assert {r.doc_id for r in simhash.first_of_each(docs).collect()} == {k for k, (_, c) in want.items() if k == c}
+
+
+def jaccard(a, b, size=5):
+    def shingles(t):
+        w = simhash.words_of(t)
+        return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def by_sketches(texts, most=86):
+    """Groups by every pair of sketches: a dict from id to the smallest id reached."""
+    marks = {i: simhash.sketch(t) for i, t in texts.items()}
+    near = {i: np.array(m[0], np.int64).view(np.uint64) for i, m in marks.items()}
+    far = {i: np.frombuffer(m[1], np.uint64) for i, m in marks.items()}
+    ids = sorted(texts)
+    a, b = np.array([near[i] for i in ids]), np.array([far[i] for i in ids])
+    root = {i: i for i in ids}
+    linked = {i: [ids[j] for j in np.flatnonzero((np.bitwise_count(a ^ a[k]).min(1) <= 3) & (np.bitwise_count(b ^ b[k]).sum(1) <= most))] for k, i in enumerate(ids)}
+    while True:
+        new = {i: min(root[j] for j in linked[i]) for i in ids}
+        if new == root:
+            return root
+        root = new
+
+
+@pytest.mark.parametrize("cap", [8, 1024])
+def test_similar_documents(spark, sf, cap):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = by_sketches(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, cap=cap).collect()}
+    assert got == want
+    if cap > 8:
+        assert {r.doc_id for r in simhash.first_of_each(docs).collect()} == {i for i, c in want.items() if i == c}
+
+
+def test_similarity_limit(spark):
+    """Edited copies of random texts: nearly all above 0.85 are found, none below 0.5."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    base = {i: [rng.choice(words) for _ in range(300)] for i in range(60)}
+    texts, pairs = {i: " ".join(w) for i, w in base.items()}, []
+    for i, w in base.items():
+        copy = list(w)
+        for p in rng.sample(range(300), rng.choice([1, 2, 3, 4, 30])):
+            copy[p] = rng.choice(words)
+        texts[1000 + i] = " ".join(copy)
+        pairs.append((i, 1000 + i, jaccard(texts[i], texts[1000 + i])))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    high = [got[b] == a for a, b, j in pairs if j >= 0.85]
+    assert len(high) > 30 and sum(high) >= 0.95 * len(high)
+    assert all(got[b] == b for a, b, j in pairs if j < 0.5)
+    assert all(got[i] == i for i in base)
+
+
+def test_sketches_of_few_words(spark):
+    rows = [(1, None), (2, ""), (3, "one"), (4, "ONE"), (5, "one two"), (6, "one two three four"), (7, "one  two\nthree four"), (None, "one")]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 6}
 
 
 @pytest.mark.parametrize("seed", range(8))

@@ -11,6 +11,7 @@ the way down exceed the limit. Links are reduced to a forest inside the task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,34 @@ FAN = 16
 FRONTIER = 2_000_000
 
 
+def shingle_hashes(words: list[bytes], size: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every shingle of `size` words, or of all words together where there are fewer."""
+    n, h = len(words), xxhash.xxh64_intdigest
+    buf = b" ".join(words)
+    if n <= size:
+        return np.array([h(buf, seed)], "<u8")
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: n - size + 1].tolist()
+    return np.array([h(buf[a:b], seed) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)], "<u8")
+
+
+def majorities(hashes: np.ndarray) -> np.ndarray:
+    """For each row of hashes, the bits that over half of them set."""
+    rows, n = hashes.shape
+    counts = np.zeros((rows, 64), np.int64)
+    for i in range(0, n, 255):  # so many ones fit a byte
+        part = np.ascontiguousarray(hashes[:, i : i + 255])
+        bits = np.unpackbits(part.view(np.uint8).reshape(rows, -1, 8), axis=2, bitorder="little")
+        counts += bits.sum(1, dtype=np.uint8)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of other than ASCII white space, A-Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     """The 64-bit SimHash of a whole text, unsigned.
 
@@ -34,22 +63,39 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     No word (null, empty, blank): 0. A bit is set if over half of the shingles' XXH64
     values set it.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n, h = len(words), xxhash.xxh64_intdigest
-    if not n:
-        return 0
-    buf = b" ".join(words)
-    if n <= size:
-        return h(buf, seed)
-    lengths = np.fromiter(map(len, words), np.int64, n)
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: n - size + 1].tolist()
-    counts, total = np.zeros(64, np.int64), n - size + 1
-    ends = ends[size - 1 :].tolist()
-    for i in range(0, total, 65536):
-        v = np.array([h(buf[a:b], seed) for a, b in zip(starts[i : i + 65536], ends[i : i + 65536], strict=True)], "<u8")
-        counts += np.unpackbits(v.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
+    words = words_of(text)
+    return int(majorities(shingle_hashes(words, size, seed)[None])[0]) if words else 0
+
+
+def spread(hashes: np.ndarray, number: int) -> np.ndarray:
+    """(number, n): independent 64-bit hashes of each hash, by the finaliser of SplitMix64."""
+    with np.errstate(over="ignore"):
+        z = hashes[None, :] + np.uint64(0x9E3779B97F4A7C15) * np.arange(1, number + 1, dtype=np.uint64)[:, None]
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def sketch(text: str | None, size: int = 5, near: int = 2, number: int = 8) -> tuple[list[int], bytes]:
+    """(fingerprints, sketch): `number` fingerprints over shingles of `near` words, to find candidates,
+    and as many over shingles of `size` words, each shingle once, to estimate the similarity.
+
+    No word: all zero.
+    """
+    words = words_of(text)
+    if not words:
+        return [0] * number, bytes(8 * number)
+    out = []
+    for k in (near, size):
+        values = np.unique(shingle_hashes(words, k))
+        out.append(majorities(spread(values, number)))
+    return out[0].view("<i8").tolist(), out[1].tobytes()
+
+
+def bits_apart(similarity: float, bits: int) -> int:
+    """How many of so many sketch bits sets of this Jaccard similarity differ in, on average, plus one standard deviation."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + math.sqrt(bits * p * (1 - p)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
@@ -78,7 +124,7 @@ class GrayIndex:
 
     def __init__(self, bucket: np.ndarray, value: np.ndarray) -> None:
         order = np.lexsort((gray_rank(value), bucket))
-        self.value, self.bucket = value[order], bucket[order]
+        self.order, self.value, self.bucket = order, value[order], bucket[order]
         self.levels: list[tuple] = []  # (value, mask, first child, children), leaves first
         v, m, b = self.value, np.full(len(value), ~np.uint64(0)), self.bucket
         while True:
@@ -143,8 +189,8 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def _deal(rows: DataFrame, bits: int) -> DataFrame:
-    """Four rows (fp, rest, key) for each: the key grows by a band of rest, which loses it."""
+def _deal(rows: DataFrame, bits: int, carry: list[str]) -> DataFrame:
+    """Four rows (fp, carry, rest, key) for each: the key grows by a band of rest, which loses it."""
     width = -(-bits // 4)
     made = []
     for i in range(4):
@@ -154,42 +200,85 @@ def _deal(rows: DataFrame, bits: int) -> DataFrame:
         high = F.shiftleft(F.shiftrightunsigned("rest", start + w), start) if start + w < 64 else F.lit(0).cast("long")
         key = F.shiftleft(F.shiftleft(F.col("key"), 2).bitwiseOR(F.lit(i).cast("long")), width).bitwiseOR(band)
         made.append(F.struct(low.bitwiseOR(high).alias("rest"), key.alias("key")))
-    return rows.select("fp", F.explode(F.array(*made)).alias("x")).select("fp", "x.rest", "x.key")
+    return rows.select("fp", *carry, F.explode(F.array(*made)).alias("x")).select("fp", *carry, "x.rest", "x.key")
 
 
-def links(fps: DataFrame, limit: int = 3, cap: int = 1024) -> DataFrame:
-    """(a, b): a forest over the distinct values fp whose trees are joined by links of at most limit bits.
-
-    Links are found per bucket of a band value, so limit is at most 3.
-    """
-    if not 0 <= limit <= 3:
-        raise ValueError("limit must be 0 to 3: four bands prove no more")
-    rows, done, bits = fps.select("fp", F.col("fp").alias("rest"), F.lit(1).cast("long").alias("key")), None, 64
+def _buckets(rows: DataFrame, cap: int, carry: list[str]) -> DataFrame:
+    """(fp, key, carry): rows (fp, key, carry) dealt to band values; crowded ones are dealt again by their other bits."""
+    rows, done, bits = rows.withColumn("rest", F.col("fp")), None, 64
     for level in range(3):
-        rows = _deal(rows, bits)
+        rows = _deal(rows, bits, carry)
         bits -= -(-bits // 4)
         if level < 2:
             large = cut(rows.groupBy("key").count().where(F.col("count") > cap).select("key"))
             if large.isEmpty():
                 break
-            small = rows.join(large, "key", "left_anti").select("fp", "key")
+            small = rows.join(large, "key", "left_anti").select("fp", "key", *carry)
             done = small if done is None else done.union(small)
-            rows = cut(rows.join(large, "key", "left_semi").select("fp", "rest", "key"))
-    rows = rows.select("fp", "key")
-    rows = rows if done is None else done.union(rows)
+            rows = cut(rows.join(large, "key", "left_semi").select("fp", *carry, "rest", "key"))
+    rows = rows.select("fp", "key", *carry)
+    return (rows if done is None else done.union(rows)).repartition("key")
+
+
+def _columns(batches: Iterator[pa.RecordBatch], number: int) -> list[np.ndarray] | None:
+    got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+    return [np.concatenate([g[i] for g in got]) for i in range(number)] if got else None
+
+
+def _edges(names: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    own = np.flatnonzero(root != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[root[own]])], names=["a", "b"])
+
+
+def links(fps: DataFrame, limit: int = 3, cap: int = 1024) -> DataFrame:
+    """(a, b): a forest over the distinct values fp whose trees are joined by links of at most limit bits.
+
+    Links are found per bucket of a band value, so limit is at most 3.
+    """
+    if not 0 <= limit <= 3:
+        raise ValueError("limit must be 0 to 3: four bands prove no more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-        if not sum(len(x) for x, _ in got):
+        got = _columns(batches, 2)
+        if got is None:
             return
-        fp, key = (np.concatenate(x) for x in zip(*got, strict=True))
-        index = GrayIndex(key, fp.view(np.uint64))
+        index = GrayIndex(got[1], got[0].view(np.uint64))
         value, at = np.unique(index.value.view(np.int64), return_inverse=True)
-        root = forest(len(value), ((at[i], at[j]) for i, j in index.pairs(limit)))
-        own = np.flatnonzero(root != np.arange(len(value)))
-        yield pa.RecordBatch.from_arrays([pa.array(value[own]), pa.array(value[root[own]])], names=["a", "b"])
+        yield _edges(value, forest(len(value), ((at[i], at[j]) for i, j in index.pairs(limit))))
+
+    rows = fps.select("fp", F.lit(1).cast("long").alias("key"))
+    return _buckets(rows, cap, []).mapInArrow(run, "a long, b long")
+
+
+def similar_links(nodes: DataFrame, most: int, number: int, limit: int = 3, cap: int = 1024) -> DataFrame:
+    """(a, b): a forest over ids (id, fps, sketch) whose trees are joined by checked links.
+
+    A pair is a candidate if any of its fingerprints differ in at most `limit` bits, and a
+    link if its sketches differ in at most `most` bits. The fingerprints of each number have
+    buckets of their own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _columns(batches, 4)
+        if got is None:
+            return
+        fp, key, ids, marks = got
+        marks = np.frombuffer(b"".join(marks), "<u8").reshape(-1, number)
+        index = GrayIndex(key, fp.view(np.uint64))
+        names, at = np.unique(ids[index.order], return_inverse=True)
+        marks = marks[index.order]
 
-    return rows.repartition("key").mapInArrow(run, "a long, b long")
+        def checked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for i, j in index.pairs(limit):
+                for k in range(0, len(i), 100_000):
+                    a, b = i[k : k + 100_000], j[k : k + 100_000]
+                    good = np.bitwise_count(marks[a] ^ marks[b]).sum(1, dtype=np.int64) <= most
+                    yield at[a[good]], at[b[good]]
+
+        yield _edges(names, forest(len(names), checked()))
+
+    rows = nodes.select("id", "sketch", F.posexplode("fps").alias("k", "fp")).select("fp", (F.col("k") + number).cast("long").alias("key"), "id", "sketch")
+    return _buckets(rows, cap, ["id", "sketch"]).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, limit: int = 3, cap: int = 1024) -> DataFrame:
@@ -212,10 +301,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose component has a smaller id; all columns as they are.
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, near: int = 2, number: int = 8, cap: int = 1024) -> DataFrame:
+    """(doc_id, component_id), one row per row with an id: groups of texts whose shingles of
+    `size` words have about `similarity` or more in common (Jaccard).
+
+    The similarity is estimated from a sketch of 64 * number bits, so pairs near the limit
+    may fall on either side; a pair far below it is not linked. Equal texts always share
+    a group, as do texts without a word. component_id is the smallest id of the group.
+    Texts count whole; rows with a null id take no part; repeated rows give a row each; an
+    empty table gives an empty result; other columns of docs are not read.
+    """
+
+    def make():
+        def f(cols):
+            found = [sketch(t, size, near, number) for t in cols[1]]
+            return [cols[0], [b"".join(v.to_bytes(8, "little", signed=True) for v in a) for a, _ in found], [b for _, b in found]]
+
+        return f
+
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(id_col).isNotNull())
+    marks = map_rows(rows, "doc_id long, near binary, sketch binary", make)
+    # Little-endian words of the binary columns, read in the JVM.
+    word = lambda i: F.conv(F.hex(F.reverse(F.substring("near", 8 * i + 1, 8))), 16, -10).cast("long")
+    marks = cut(marks.withColumn("h", F.xxhash64("near", "sketch")).withColumn("g", F.xxhash64("sketch", "near", F.lit(1))))
+    nodes = cut(marks.groupBy("h", "g").agg(F.min("doc_id").alias("id"), F.min("near").alias("near"), F.min("sketch").alias("sketch")))
+    fps = nodes.select("id", "sketch", F.array(*(word(i) for i in range(number))).alias("fps"))
+    roots = connected_components(similar_links(fps, bits_apart(similarity, 64 * number), number, cap=cap))
+    member = cut(nodes.join(roots, nodes.id == roots.node, "left").select("h", "g", F.coalesce("root", "id").alias("component_id")))
+    return marks.join(member, ["h", "g"]).select("doc_id", "component_id")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without the rows whose group of similar_documents has a smaller id; all columns as they are.
 
-    Rows that repeat the kept id and text stay as they came; rows with a null id stay.
+    Rows that repeat the kept id stay as they came; rows with a null id stay.
     """
-    gone = near_duplicates(docs, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    gone = similar_documents(docs, id_col, text_col, size, similarity).where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(cut(gone), id_col, "left_anti").select(*docs.columns)
