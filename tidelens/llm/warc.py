@@ -38,6 +38,7 @@ class WarcParams:
     roll: int = 256 << 20  # bytes after which a task begins a new archive file
     block: int = 2000  # lines of an index block
     read: int = 4 << 20  # bytes that neighbouring records are read at once
+    task: int = 64 << 20  # bytes of archives that a reading task takes
     date: str = "1970-01-01T00:00:00Z"
 
 
@@ -270,7 +271,10 @@ def read_captures(keys: DataFrame, folder: str, params: WarcParams = WarcParams(
     keys = keys.select("key", F.coalesce("page_id", F.lit(NO_ID)).alias("page_id")).distinct()
     sorted_keys = keys.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
     places = sorted_keys.mapInArrow(search, "file string, offset long, length long")
-    places = places.repartition("file", F.floor(F.col("offset") / (4 * params.read))).sortWithinPartitions("file", "offset")
+    # A place is a few bytes but leads to a whole record: the tasks follow the archives' size, not that of the places.
+    size = places.sparkSession.read.parquet(f"{folder}/captures").agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // params.task))
+    places = places.repartition(tasks, "file", F.floor(F.col("offset") / (4 * params.read))).sortWithinPartitions("file", "offset")
     return places.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
