@@ -107,12 +107,45 @@ def json_out(spark, d):
     return spark.read.schema(readers.schemas.QUESTIONS).json(f)
 
 
+@query("SNK2", "SELECT id, label FROM votes WHERE draw = 3", "votes")
+def json_lines(spark, d):
+    f = _folder(spark)
+    writers.json_lines(votes(spark, d).where("draw = 3").select("id", "label"), f)
+    return spark.read.schema("id BIGINT, label INT").json(f)
+
+
+@query("SNK4", "SELECT 1 AS files, count(*) AS n FROM votes WHERE draw = 3", "votes")
+def joined_file(spark, d):
+    f = _folder(spark)
+    writers.one_file(votes(spark, d).where("draw = 3").select("id", "label"), f)
+    rows = spark.read.schema("id BIGINT, label INT").json(f).select(F.col("_metadata.file_path").alias("p"))
+    return rows.agg(F.count_distinct("p").cast("int").alias("files"), F.count("*").alias("n"))
+
+
+@query("SNK6", "SELECT id, price FROM posts WHERE id % 100 = 0", "posts")
+def created_view(spark, d):
+    name = f"v_{uuid.uuid4().hex}"
+    posts(spark, d).createOrReplaceTempView(f"{name}_p")
+    spark.sql(f"CREATE TEMPORARY VIEW {name} AS SELECT id, price FROM {name}_p WHERE id % 100 = 0")
+    return spark.table(name)
+
+
 @query("SNK3", "SELECT CAST(draw AS VARCHAR) || '_' || id || '.py' AS file, CAST(label AS VARCHAR) AS src FROM votes", "votes")
 def snippet_names(spark, d):
     rows = votes(spark, d).select(F.col("draw").alias("row"), "id", F.lit("python").alias("language"), F.col("label").cast("string").alias("src"))
     return writers.snippet_files(rows)
 
 
+@query("SNK11", "SELECT 'g' AS kind, count(DISTINCT p_brand) AS n FROM part")
+def graph_file(spark, d):
+    """The nodes of a graph file, read back as text."""
+    f = f"{_folder(spark)}.gexf"
+    nodes = table(spark, d, "part").select(F.col("p_brand").alias("node")).distinct()
+    edges = spark.createDataFrame([("Brand#1", "Brand#2", 3)], "a string, b string, weight int")
+    writers.gexf(edges, nodes, f)
+    return spark.read.text(f).where(F.col("value").startswith("<node ")).groupBy(F.lit("g").alias("kind")).agg(F.count("*").alias("n"))
+
+
 @query("SNK7", "SELECT DISTINCT 50000 AS ver, '1998-06-03' AS creationdate, CAST(id AS INTEGER) AS id FROM votes", "votes")
 def done(spark, d):
     return writers.done_rows(_results(spark, d))

@@ -802,3 +802,28 @@ def array_difference(spark, d):
 @query("SET7", "SELECT year FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders) INTERSECT SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) FROM lineitem")
 def common_years(spark, d):
     return table(spark, d, "orders").select(F.year("o_orderdate").alias("year")).intersect(table(spark, d, "lineitem").select(F.year("l_shipdate").alias("year")))
+
+
+@query("FLT21", "WITH c AS (SELECT c_nationkey AS nation, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3) SELECT nation, n FROM c WHERE year = 1998 AND quarter = 1")
+def snapshot(spark, d):
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    counts = rows.groupBy(F.col("c_nationkey").alias("nation"), F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter")).agg(F.count("*").alias("n"))
+    return counts.where("year = 1998 and quarter = 1").select("nation", "n").orderBy(F.desc("n"), "nation")
+
+
+@query("AGG18", "SELECT label AS topic, count(*) AS n FROM embeddings GROUP BY 1")
+def dispatched_topics(spark, d):
+    return distributions.topic_counts(table(spark, d, "embeddings").select(F.col("label").alias("topic")), [])
+
+
+@query("WIN10", "SELECT language, rel_week, CAST(coalesce(sum(n_func) OVER (PARTITION BY language ORDER BY rel_week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM panel", "panel")
+def running_total(spark, d):
+    w = Window.partitionBy("language").orderBy("rel_week").rowsBetween(Window.unboundedPreceding, -1)
+    return panel(spark, d).select("language", "rel_week", F.coalesce(F.sum("n_func").over(w), F.lit(0).cast("long")).alias("before"))
+
+
+@query("UDF13", "SELECT id, owner, sum(price) OVER (PARTITION BY owner ORDER BY creationdate, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reputation FROM posts", "posts", "reputation", 2)
+def reputation(spark, d):
+    """The sum of an owner's events up to each of them: an as-of value by one window."""
+    w = Window.partitionBy("owner").orderBy("creationdate", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return posts(spark, d).select("id", "owner", F.sum("price").over(w).alias("reputation"))

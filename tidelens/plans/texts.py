@@ -74,6 +74,11 @@ def sections(spark, d):
     return _sections(spark, d).select("page_id", F.size("s").cast("long").alias("n"), F.array_join("s.span_str", "|").alias("code"))
 
 
+@query("STR8", "SELECT page_id, page_id % 3 <> 2 AS has_code FROM pages")
+def has_code(spark, d):
+    return _sections(spark, d).select("page_id", (F.size("s") > 0).alias("has_code"))
+
+
 @query("STR9", f"WITH {_BODY}, u AS (SELECT page_id, replace(body, '&lt;', '<') AS body FROM b) SELECT page_id, regexp_replace(body, '(?s)(<pre(?: class=\"lang-py prettyprint-override\")?><code>)(.*?)(</code></pre>)', '\\1' || repeat(chr(10), 3) || '\\3', 'g') AS prose FROM u")
 def prose(spark, d):
     whole = _sections(spark, d).withColumn("u", text.unescape("body"))
@@ -335,6 +340,12 @@ def report_rows(spark, d):
     return metrics.report_functions(rows, ["page_id"]).select("page_id", "name", "cognitive_sum")
 
 
+@query("UDF5", "SELECT page_id, count(*) AS functions FROM pages WHERE page_id % 2 = 0 GROUP BY 1")
+def report_counts(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.expr(_REPORT).alias("report"))
+    return metrics.report_functions(rows, ["page_id"]).groupBy("page_id").agg(F.count("*").alias("functions"))
+
+
 @query("MAP1", "SELECT page_id, page_id || '_' || page_id || CASE page_id % 4 WHEN 0 THEN '.java' WHEN 2 THEN '.go' ELSE '.py' END AS file FROM pages")
 def file_names(spark, d):
     ext = F.create_map(*(F.lit(x) for n, g in LANGUAGES.items() for x in (n, g.ext)))

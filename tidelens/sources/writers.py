@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from xml.sax.saxutils import quoteattr
 
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,5 +67,7 @@ def gexf(edges: DataFrame, nodes: DataFrame, path: str) -> None:
     for i, r in enumerate(edges.select("a", "b", "weight").orderBy("a", "b").collect()):
         lines.append(f'<edge id="{i}" source="{at[r.a]}" target="{at[r.b]}" weight="{float(r.weight)}"/>')
     lines.append("</edges></graph></gexf>")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("\n".join(lines))
+    store, place = fs.FileSystem.from_uri(path)
+    store.create_dir(place.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(place, compression=None) as f:
+        f.write("\n".join(lines).encode())
