@@ -29,6 +29,8 @@ class LanguageParams:
     landmarks: int = 32
     #: Lengths, in characters, of the training segments, dealt in turn.
     segments: tuple[int, ...] = (32, 64, 128, 256, 1024)
+    #: Characters of the pieces that a text is scored in; their scores are averaged by length.
+    piece: int = 512
     ridge: float = 0.01
     seed: int = 7
 
@@ -97,7 +99,7 @@ class Grams:
 
 class LanguageModel:
     def __init__(self, segments: list[str], labels: list[str], params: LanguageParams = LanguageParams()) -> None:
-        self.languages = sorted(set(labels))
+        self.languages, self.piece = sorted(set(labels)), params.piece
         y = np.array([self.languages.index(x) for x in labels], int)
         self.grams = Grams(segments)
         x = self.grams.presence(segments)
@@ -120,14 +122,32 @@ class LanguageModel:
         return (x @ self.landmarks) / np.sqrt(np.maximum(x.sum(1), 1))[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Languages and scores. A text is scored piece by piece, so a passage in another language weighs as much as it is long."""
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        total = np.zeros((len(texts), len(self.languages)))
+        rows, parts = [], []
+
+        def add() -> None:
+            s = self._kernel(self.grams.presence(parts)) @ self.weights + self.bias
+            np.add.at(total, rows, s * np.array([len(x) for x in parts])[:, None])
+            rows.clear()
+            parts.clear()
+
         known = [i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)]
-        for i in range(0, len(known), 256):
-            at = known[i : i + 256]
-            s = self._kernel(self.grams.presence([texts[j] for j in at])) @ self.weights + self.bias
-            best = s.argmax(1)
-            for j, b, v in zip(at, best.tolist(), np.clip(s.max(1), 0, 1).tolist(), strict=True):
-                names[j], scores[j] = self.languages[b], v
+        for i in known:
+            n = max(1, round(len(texts[i]) / self.piece))
+            size = -(-len(texts[i]) // n)
+            for k in range(0, len(texts[i]), size):
+                rows.append(i)
+                parts.append(texts[i][k : k + size])
+                if len(parts) == 512:
+                    add()
+        if parts:
+            add()
+        for i in known:
+            mean = total[i] / len(texts[i])
+            b = int(mean.argmax())
+            names[i], scores[i] = self.languages[b], float(np.clip(mean[b], 0, 1))
         return names, scores
 
 
