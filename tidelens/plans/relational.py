@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, numbers
 from ..operators import annotation, distributions, rollups
 from ..sources import calendar
-from ..sources.adapters import EVENT, metrics, posts, table, tags, votes
+from ..sources.adapters import EVENT, metrics, posts, table, tag_sets, tags, votes
 from .registry import query
 
 
@@ -24,7 +24,7 @@ def pm(spark: SparkSession, d: str) -> DataFrame:
 
 def pt(spark: SparkSession, d: str) -> DataFrame:
     """Tags with their post's date; pct is the tag's fraction of the post."""
-    rows = tags(spark, d).withColumn("pct", 1 / F.count("*").over(Window.partitionBy("id")))
+    rows = tag_sets(spark, d).select("id", (1 / F.size("tags")).alias("pct"), F.explode("tags").alias("tag"))
     return rows.join(dated(spark, d).select("id", "creationdate", "language", "days", "w"), "id")
 
 

@@ -34,10 +34,15 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").cast("int").alias("cc"), F.col("l_linenumber").alias("nloc"))
 
 
+def tag_sets(spark: SparkSession, d: str) -> DataFrame:
+    """(id, tags): the distinct tags of each post, one shuffle by id that later steps can reuse."""
+    part = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("tag"))
+    return table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("tag").alias("tags"))
+
+
 def tags(spark: SparkSession, d: str) -> DataFrame:
     """(id, tag): distinct tags of posts."""
-    part = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("tag"))
-    return table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("id"), "tag").distinct()
+    return tag_sets(spark, d).select("id", F.explode("tags").alias("tag"))
 
 
 def votes(spark: SparkSession, d: str, draws: int = 5) -> DataFrame:
