@@ -32,7 +32,7 @@ class Language:
 
 _WORD_OPS = {"ands": ("&&", "and"), "ors": ("||", "or")}
 
-#: The supported languages by name.
+#: The supported languages by name, with their file extensions.
 LANGUAGES = {
     "python": Language("py", "python", HASH),
     "javascript": Language("js", "brace", functions=("function",), strings="\"'`"),
@@ -65,5 +65,5 @@ LANGUAGES = {
     "prolog": Language("pl", "clause", (("%",), (("/*", "*/"),))),
     "assembly": Language("asm", "jump", ((";", "#"), (("/*", "*/"),))),
 }
-#: Languages whose function metrics other than cognitive complexity are counted.
+#: Languages whose function metrics other than cognitive complexity are counted.
 CYCLOMATIC = tuple(n for n in LANGUAGES if n not in ("dart", "julia", "matlab", "groovy", "vb.net", "assembly", "haskell", "delphi", "prolog", "f#"))

@@ -30,8 +30,9 @@ def panel(df: DataFrame, bin_: Column, value: str = "cc", entity: str = "languag
     """(entity, rel_week, y, y_sd, raw_mean, raw_sd, n_func): entities and cells with enough functions only."""
     log = F.log1p(value)
     cells = df.groupBy(entity, bin_.alias("rel_week")).agg(F.avg(log).alias("y"), F.stddev_samp(log).alias("y_sd"), F.avg(value).alias("raw_mean"), F.stddev_samp(value).alias("raw_sd"), F.count("*").alias("n_func"))
-    cells = cells.withColumn("_all", F.sum("n_func").over(Window.partitionBy(entity)))
-    return cells.where((F.col("_all") >= min_entity) & (F.col("n_func") >= min_cell)).drop("_all")
+    if min_entity > 1:
+        cells = cells.withColumn("_all", F.sum("n_func").over(Window.partitionBy(entity))).where(F.col("_all") >= min_entity).drop("_all")
+    return cells.where(F.col("n_func") >= min_cell) if min_cell > 1 else cells
 
 
 def covered(cells: DataFrame, entity: str = "language", bin_: str = "rel_week", least: int = 50) -> DataFrame:
