@@ -10,6 +10,7 @@ import ast
 import json
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, S
 
 from .languages import CYCLOMATIC, LANGUAGES
 from .lexer import NEWLINE, balanced, tokens
-from .walkers import Function, cognitive
+from .walkers import cognitive
 
 #: Languages whose snippets skip the syntax gate.
 EXEMPT = ("f#", "vb.net", "groovy", "assembly")
@@ -54,14 +55,15 @@ def valid(source: str, language: str) -> bool:
     return balanced(tokens(source, language))
 
 
-def cyclomatic(source: str, language: str, f: Function) -> int:
-    """1 + decision tokens between the function's lines."""
-    return 1 + sum(t.text in DECISIONS for t in tokens(source, language) if f.start <= t.line <= f.end)
-
-
-def nloc(source: str, language: str, f: Function) -> int:
-    """Lines of the function that hold code."""
-    return len({t.line for t in tokens(source, language) if t.text != NEWLINE and f.start <= t.line <= f.end})
+def line_counts(source: str, language: str) -> tuple[list[int], list[int]]:
+    """Running totals over lines, from 0: decision tokens, and lines that hold code."""
+    last = source.count("\n") + 2
+    decisions, code = [0] * (last + 1), [0] * (last + 1)
+    for t in tokens(source, language):
+        if t.text != NEWLINE:
+            code[t.line] = 1
+            decisions[t.line] += t.text in DECISIONS
+    return list(accumulate(decisions)), list(accumulate(code))
 
 
 def measure(source: str | None, language: str | None) -> list[dict] | None:
@@ -72,12 +74,14 @@ def measure(source: str | None, language: str | None) -> list[dict] | None:
         found = cognitive(source, language)
     except RecursionError:
         return None
+    decisions, code = line_counts(source, language)
+    between = lambda total, f: total[f.end] - total[f.start - 1]
     return [
         {
             "function": f.name,
             "complexity": f.complexity,
-            "cyclomatic": cyclomatic(source, language, f) if language in CYCLOMATIC else None,
-            "nloc": nloc(source, language, f),
+            "cyclomatic": 1 + between(decisions, f) if language in CYCLOMATIC else None,
+            "nloc": between(code, f),
             "token_count": f.tokens,
             "parameter_count": f.parameters,
             "start_line": f.start,
