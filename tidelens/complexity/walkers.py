@@ -36,6 +36,7 @@ BREAKS = {";", ",", "=", "return", "?", ":", "=>", "->", "<-", ":=", "{", "}", N
 class Brace:
     def __init__(self, toks: list[Token], lang: Language) -> None:
         self.t, self.lang, self.close = toks, lang, partners(toks)
+        self.arms: set[int] = set()  # places of the arrows of switch arms, which are no lambdas
 
     def text(self, i: int) -> str:
         return self.t[i].text if 0 <= i < len(self.t) else ""
@@ -90,6 +91,11 @@ class Brace:
             return score + s, j
         if keyword and word in lang.switches and self.switch_at(i, end) is not None:
             j = self.switch_at(i, end)
+            k, last = j + 1, min(self.close[j], end)
+            while k < last:
+                if self.text(k) in ("=>", "->"):
+                    self.arms.add(k)
+                k = self.close[k] + 1 if self.text(k) in ("(", "[", "{") else k + 1
             return 1 + nest + self.block(j + 1, min(self.close[j], end), nest + 1), min(self.close[j], end) + 1
         if keyword and word in lang.catches:
             j = i + 1
@@ -100,6 +106,8 @@ class Brace:
                     j += 1
             s, j = self.body(j, end, nest + 1)
             return 1 + nest + s, j
+        if keyword and word == "else" and self.text(i + 1) in ("->", "=>"):  # the last arm of a switch
+            return self.simple(i + 2, end, nest) if self.text(i + 2) != "{" else self.body(i + 2, end, nest)
         if keyword and word == "else":
             s, j = self.body(i + 1, end, nest + 1)
             return 1 + s, j
@@ -202,7 +210,7 @@ class Brace:
                 flush()
                 j = min(self.close[i], end)
                 before = self.text(i - 1)
-                inner = nest + 1 if before in (")", "=>", "->", "(", ",", "=", "in") or before in lang.functions or re.fullmatch(r"\w+", before or "-") else nest
+                inner = nest if i - 1 in self.arms else nest + 1 if before in (")", "=>", "->", "(", ",", "=", "in") or before in lang.functions or re.fullmatch(r"\w+", before or "-") else nest
                 score += self.block(i + 1, j, inner)
                 i = j + 1
                 continue
@@ -275,6 +283,9 @@ class Brace:
             while j < n and self.text(j) not in ("{", ";"):
                 if self.text(j) == NEWLINE and self.text(self.skip(j, n)) != "{":
                     break
+                if self.text(j) == "=" and self.lang.ext in ("kt", "scala"):
+                    j = self.skip(j + 1, n)
+                    break
                 j = self.close[j] + 1 if self.text(j) in ("(", "[") else j + 1
             if self.text(j) == "{":
                 return name or "(anonymous)", params, j + 1, min(self.close[j], n)
