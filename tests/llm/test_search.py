@@ -103,7 +103,7 @@ def by_sketches(texts, most=86):
         root = new
 
 
-@pytest.mark.parametrize("cap", [8, 1024])
+@pytest.mark.parametrize("cap", [8, 2048])
 def test_similar_documents(spark, sf, cap):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}

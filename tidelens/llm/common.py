@@ -29,10 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
+    folder, context = shared_dir(df.sparkSession), df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked to be broadcast if it has at most so many rows. Only for a few numbers per row, already cut."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo folds; a null key is in fold 0."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds, F.lit(0))

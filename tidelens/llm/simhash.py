@@ -20,11 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows
+from .common import cut, map_rows, small
 from .components import connected_components
 
 FAN = 16
 FRONTIER = 2_000_000
+#: Up to so many crowded band values, or ids to drop, are broadcast; more of them are joined by a shuffle.
+KEYS_SENT, IDS_SENT = 50_000, 1_000_000
 
 
 def shingle_hashes(words: list[bytes], size: int, seed: int = 42) -> np.ndarray:
@@ -213,8 +215,9 @@ def _buckets(rows: DataFrame, cap: int, carry: list[str]) -> DataFrame:
             large = cut(rows.groupBy("key").count().where(F.col("count") > cap).select("key"))
             if large.isEmpty():
                 break
-            small = rows.join(large, "key", "left_anti").select("fp", "key", *carry)
-            done = small if done is None else done.union(small)
+            large = small(large, KEYS_SENT)
+            rest = rows.join(large, "key", "left_anti").select("fp", "key", *carry)
+            done = rest if done is None else done.union(rest)
             rows = cut(rows.join(large, "key", "left_semi").select("fp", *carry, "rest", "key"))
     rows = rows.select("fp", "key", *carry)
     return (rows if done is None else done.union(rows)).repartition("key")
@@ -250,7 +253,7 @@ def links(fps: DataFrame, limit: int = 3, cap: int = 1024) -> DataFrame:
     return _buckets(rows, cap, []).mapInArrow(run, "a long, b long")
 
 
-def similar_links(nodes: DataFrame, most: int, number: int, limit: int = 3, cap: int = 1024) -> DataFrame:
+def similar_links(nodes: DataFrame, most: int, number: int, limit: int = 3, cap: int = 2048) -> DataFrame:
     """(a, b): a forest over ids (id, fps, sketch) whose trees are joined by checked links.
 
     A pair is a candidate if any of its fingerprints differ in at most `limit` bits, and a
@@ -301,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, near: int = 2, number: int = 8, cap: int = 1024) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, near: int = 2, number: int = 8, cap: int = 2048) -> DataFrame:
     """(doc_id, component_id), one row per row with an id: groups of texts whose shingles of
     `size` words have about `similarity` or more in common (Jaccard).
 
@@ -337,4 +340,4 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows that repeat the kept id stay as they came; rows with a null id stay.
     """
     gone = similar_documents(docs, id_col, text_col, size, similarity).where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(cut(gone), id_col, "left_anti").select(*docs.columns)
+    return docs.join(small(cut(gone), IDS_SENT), id_col, "left_anti").select(*docs.columns)
