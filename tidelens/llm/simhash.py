@@ -27,6 +27,8 @@ FAN = 16
 FRONTIER = 2_000_000
 #: Up to so many crowded band values, or ids to drop, are broadcast; more of them are joined by a shuffle.
 KEYS_SENT, IDS_SENT = 50_000, 1_000_000
+#: Rows that a task of the search takes, and the number of tasks that this may lead to.
+TASK_ROWS, MOST_TASKS = 50_000, 200_000
 
 
 def shingle_hashes(words: list[bytes], size: int, seed: int = 42) -> np.ndarray:
@@ -205,8 +207,13 @@ def _deal(rows: DataFrame, bits: int, carry: list[str]) -> DataFrame:
     return rows.select("fp", *carry, F.explode(F.array(*made)).alias("x")).select("fp", *carry, "x.rest", "x.key")
 
 
-def _buckets(rows: DataFrame, cap: int, carry: list[str]) -> DataFrame:
-    """(fp, key, carry): rows (fp, key, carry) dealt to band values; crowded ones are dealt again by their other bits."""
+def _buckets(rows: DataFrame, number: int, cap: int, carry: list[str]) -> DataFrame:
+    """(fp, key, carry): rows (fp, key, carry) dealt to band values; crowded ones are dealt again by their other bits.
+
+    number: how many rows there are. The tasks follow it, for a task holds its rows in memory.
+    """
+    own = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(own, min(MOST_TASKS, 4 * number // TASK_ROWS))
     rows, done, bits = rows.withColumn("rest", F.col("fp")), None, 64
     for level in range(3):
         rows = _deal(rows, bits, carry)
@@ -220,7 +227,7 @@ def _buckets(rows: DataFrame, cap: int, carry: list[str]) -> DataFrame:
             done = rest if done is None else done.union(rest)
             rows = cut(rows.join(large, "key", "left_semi").select("fp", *carry, "rest", "key"))
     rows = rows.select("fp", "key", *carry)
-    return (rows if done is None else done.union(rows)).repartition("key")
+    return (rows if done is None else done.union(rows)).repartition(tasks, "key")
 
 
 def _columns(batches: Iterator[pa.RecordBatch], number: int) -> list[np.ndarray] | None:
@@ -250,7 +257,7 @@ def links(fps: DataFrame, limit: int = 3, cap: int = 1024) -> DataFrame:
         yield _edges(value, forest(len(value), ((at[i], at[j]) for i, j in index.pairs(limit))))
 
     rows = fps.select("fp", F.lit(1).cast("long").alias("key"))
-    return _buckets(rows, cap, []).mapInArrow(run, "a long, b long")
+    return _buckets(rows, fps.count(), cap, []).mapInArrow(run, "a long, b long")
 
 
 def similar_links(nodes: DataFrame, most: int, number: int, limit: int = 3, cap: int = 2048) -> DataFrame:
@@ -281,7 +288,7 @@ def similar_links(nodes: DataFrame, most: int, number: int, limit: int = 3, cap:
         yield _edges(names, forest(len(names), checked()))
 
     rows = nodes.select("id", "sketch", F.posexplode("fps").alias("k", "fp")).select("fp", (F.col("k") + number).cast("long").alias("key"), "id", "sketch")
-    return _buckets(rows, cap, ["id", "sketch"]).mapInArrow(run, "a long, b long")
+    return _buckets(rows, number * nodes.count(), cap, ["id", "sketch"]).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, limit: int = 3, cap: int = 1024) -> DataFrame:
