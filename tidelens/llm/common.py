@@ -45,6 +45,16 @@ def fold(key: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds, F.lit(0))
 
 
+ROWS = 1000  # rows that are Python values at a time
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ROWS rows, which bounds what a worker holds twice."""
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
     """Run a function over columns of Python values, Arrow batch by Arrow batch.
 
@@ -59,7 +69,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list], lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
+        for b in pieces(batches):
             out = f([c.to_pylist() for c in b.columns])
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
 
@@ -73,7 +83,7 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
+        for b in pieces(batches):
             yield b.filter(pa.array(f(b.column(at).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

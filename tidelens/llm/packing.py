@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import PRE_SPLIT, byte_letters
+from .common import pieces
 
 
 @dataclass(frozen=True)
@@ -168,7 +169,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             sequence += len(windows)
             return pa.RecordBatch.from_arrays(columns, names=[*names, "ids"][: len(columns)])
 
-        for b in batches:
+        for b in pieces(batches):
             id_type = b.column(0).type
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 keys.append(key)
