@@ -793,10 +793,10 @@ def node_set(spark, d):
     return b.select("tag").union(a.select("tag")).distinct()
 
 
-@query("SET5", "SELECT t.id, list_sort(list_filter(list(DISTINCT tag), lambda x: x NOT IN ('Brand#1', 'Brand#2'))) AS rest FROM tags t GROUP BY 1", "tags")
+@query("SET5", "SELECT t.id, array_to_string(list_sort(list_filter(list(DISTINCT tag), lambda x: x NOT IN ('Brand#1', 'Brand#2'))), ',') AS rest FROM tags t GROUP BY 1", "tags")
 def array_difference(spark, d):
     sets = tags(spark, d).groupBy("id").agg(F.sort_array(F.collect_set("tag")).alias("t"))
-    return sets.select("id", F.array_except("t", F.array(F.lit("Brand#1"), F.lit("Brand#2"))).alias("rest"))
+    return sets.select("id", F.array_join(F.array_except("t", F.array(F.lit("Brand#1"), F.lit("Brand#2"))), ",").alias("rest"))
 
 
 @query("SET7", "SELECT year FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders) INTERSECT SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) FROM lineitem")
