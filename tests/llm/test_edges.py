@@ -91,3 +91,12 @@ def test_archive_edges(spark):
     want = [(0, 0, "revisit", 1), (0, 2, "response", None), (1, 0, "response", None), (3, 1, "revisit", 4), (3, 1, "revisit", 4), (4, 1, "response", None), (5, 1_500_000, "response", None)]
     assert got == sorted(want, key=str)
     assert warc.archive_pages(spark, df.limit(0)).collect() == []
+
+
+def test_batches_of_many_rows(spark):
+    """More rows than are converted at a time, in one partition."""
+    rows = [(i, f"row {i} " + "word " * (i % 7), "en", "s", 1) for i in range(2500)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    assert {r.doc_id: r.n_words for r in quality_rules.quality_rules(df).collect()} == {i: 2 + i % 7 for i in range(2500)}
+    got = packing.pack(df, path("byte_bpe_50k.json")).toPandas()
+    assert sorted(got.doc_id.unique()) == list(range(2500))
