@@ -133,6 +133,57 @@ def test_similarity_limit(spark):
     assert all(got[i] == i for i in base)
 
 
+def by_jaccard(texts, similarity=0.8):
+    """Groups by the exact similarity of every pair that shares a shingle: a dict from id to the smallest id reached."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, simhash.words_of(t)) for i, t in texts.items())}
+    root, holders = {i: i for i in sets}, {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in sorted(sets.items()):
+        for j in {j for x in s for j in holders[x] if j < i}:
+            if len(s & sets[j]) >= similarity * len(s | sets[j]) and top(i) != top(j):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i in sets}
+
+
+def contiguous_edits():
+    """Pairs of random texts in which one passage was added, dropped or replaced, near to the limit on both sides."""
+    rng = random.Random(23)
+    words, texts = [f"w{i}" for i in range(5000)], {}
+    for i in range(80):
+        w, n = rng.choices(words, k=400), rng.randrange(20, 130)
+        at, passage = rng.choice([0, 150, 400]), rng.choices(words, k=n)
+        texts[i] = " ".join(w)
+        texts[1000 + i] = " ".join([w[:at] + passage + w[at:], w[n:], w[: 200 - n // 4] + passage[: n // 2] + w[200 + n // 4 :]][i % 3])
+    return texts
+
+
+@pytest.mark.parametrize("cap", [4, 32])
+def test_similar_documents_by_jaccard(spark, sf, cap):
+    """Contiguous edits, a crowd of copies that is a chain, a crowd that shares a passage, and the test table."""
+    texts = contiguous_edits()
+    words = [f"v{i}" for i in range(600)]
+    texts |= {2000 + i: " ".join(words[i : i + 200]) for i in range(60)}
+    texts |= {3000 + i: " ".join([*words[400:520], *(f"u{i}x{k}" for k in range(40))]) for i in range(40)}
+    want = by_jaccard(texts)
+    assert 20 < sum(want[1000 + i] == i for i in range(80)) < 75
+    assert {want[i] for i in range(2000, 2060)} == {2000}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), cap=cap).collect()}
+    assert got == want
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = by_jaccard({r.doc_id: r.text for r in docs.collect()})
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs, cap=cap).collect()} == want
+    assert {r.doc_id for r in simhash.first_of_each(docs).collect()} == {i for i, c in want.items() if i == c}
+
+
 def test_sketches_of_few_words(spark):
     rows = [(1, None), (2, ""), (3, "one"), (4, "ONE"), (5, "one two"), (6, "one two three four"), (7, "one  two\nthree four"), (None, "one")]
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -11,7 +11,6 @@ the way down exceed the limit. Links are reduced to a forest inside the task.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, small
+from .common import cut, map_rows, pieces, small
 from .components import connected_components
 
 FAN = 16
@@ -96,10 +95,15 @@ def sketch(text: str | None, size: int = 5, near: int = 2, number: int = 8) -> t
     return out[0].view("<i8").tolist(), out[1].tobytes()
 
 
-def bits_apart(similarity: float, bits: int) -> int:
-    """How many of so many sketch bits sets of this Jaccard similarity differ in, on average, plus one standard deviation."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key per band: the least values of a set of hashes under `rows` independent hash functions, hashed together.
+
+    Two sets of Jaccard similarity j share a band's key with probability j ** rows.
+    """
+    least = np.full(bands * rows, ~np.uint64(0))
+    for i in range(0, len(hashes), 4096):  # bounds what a long text holds
+        least = np.minimum(least, spread(hashes[i : i + 4096], bands * rows).min(1))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(bands, rows))], "<u8")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
@@ -260,35 +264,49 @@ def links(fps: DataFrame, limit: int = 3, cap: int = 1024) -> DataFrame:
     return _buckets(rows, fps.count(), cap, []).mapInArrow(run, "a long, b long")
 
 
-def similar_links(nodes: DataFrame, most: int, number: int, limit: int = 3, cap: int = 2048) -> DataFrame:
-    """(a, b): a forest over ids (id, fps, sketch) whose trees are joined by checked links.
-
-    A pair is a candidate if any of its fingerprints differ in at most `limit` bits, and a
-    link if its sketches differ in at most `most` bits. The fingerprints of each number have
-    buckets of their own.
-    """
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs (a, b) of ids whose sets (id, hashes: sorted longs without repeats) are that similar (Jaccard)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _columns(batches, 4)
-        if got is None:
-            return
-        fp, key, ids, marks = got
-        marks = np.frombuffer(b"".join(marks), "<u8").reshape(-1, number)
-        index = GrayIndex(key, fp.view(np.uint64))
-        names, at = np.unique(ids[index.order], return_inverse=True)
-        marks = marks[index.order]
+        for batch in pieces(batches):
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-        def checked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for i, j in index.pairs(limit):
-                for k in range(0, len(i), 100_000):
-                    a, b = i[k : k + 100_000], j[k : k + 100_000]
-                    good = np.bitwise_count(marks[a] ^ marks[b]).sum(1, dtype=np.int64) <= most
-                    yield at[a[good]], at[b[good]]
+    left, right = (sets.select(F.col("id").alias(k), F.col("hashes").alias(f"hashes_{k}")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
 
-        yield _edges(names, forest(len(names), checked()))
 
-    rows = nodes.select("id", "sketch", F.posexplode("fps").alias("k", "fp")).select("fp", (F.col("k") + number).cast("long").alias("key"), "id", "sketch")
-    return _buckets(rows, number * nodes.count(), cap, ["id", "sketch"]).mapInArrow(run, "a long, b long")
+def _similar_roots(members: DataFrame, sets: DataFrame, similarity: float, crowd: int) -> DataFrame | None:
+    """(id, root) of the ids linked to a smaller one; members: (key, id, n), n the size of the id's set.
+
+    Members of a key are candidates of each other. Up to `crowd` of them are all compared;
+    more of them first with a few, and only those that this leaves in different groups
+    with ever more, until each pair is compared or in one group: a large group
+    of copies costs a few comparisons for each, and no pair is left out.
+    """
+    links = roots = None
+    members, few = cut(members.withColumn("root", F.col("id"))), 1
+    while not members.isEmpty():
+        part = F.when(F.col("m") <= crowd * few, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(few)))
+        size = cut(members.groupBy("key").agg(F.count("*").alias("m")))
+        sized = members.join(size, "key")
+        lead = sized.groupBy("key", part.alias("part")).agg(F.min(F.struct("id", "n", "root")).alias("x")).select("key", "x")
+        able = (F.col("x.root") != F.col("root")) & (F.least("n", "x.n") >= similarity * F.greatest("n", "x.n") - 1e-9)
+        pairs = cut(members.join(lead, "key").where(able).select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct())
+        new = cut(_similar(pairs, sets, similarity))
+        if links is None or not new.isEmpty():
+            links = new if links is None else cut(links.union(new))
+            roots = connected_components(links).withColumnsRenamed({"node": "id"})
+        # What is left: members of crowded keys that are still in several groups.
+        left = members.join(size.where(F.col("m") > crowd * few).select("key"), "key", "left_semi").drop("root")
+        left = cut(left.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")))
+        several = left.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l != h").select("key")
+        members, few = cut(left.join(several, "key", "left_semi")), 8 * few
+    return roots
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, limit: int = 3, cap: int = 1024) -> DataFrame:
@@ -311,34 +329,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, near: int = 2, number: int = 8, cap: int = 2048) -> DataFrame:
-    """(doc_id, component_id), one row per row with an id: groups of texts whose shingles of
-    `size` words have about `similarity` or more in common (Jaccard).
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4, cap: int = 32) -> DataFrame:
+    """(doc_id, component_id), one row per row with an id: groups of texts linked by pairs whose
+    shingles of `size` words, each counted once, have a Jaccard similarity of `similarity` or more.
 
-    The similarity is estimated from a sketch of 64 * number bits, so pairs near the limit
-    may fall on either side; a pair far below it is not linked. Equal texts always share
-    a group, as do texts without a word. component_id is the smallest id of the group.
+    Candidates share one of `bands` keys of `rows` least hashes of those shingles: of pairs of
+    similarity 0.8, 3 in a million share none, whatever the edits. Each link is checked
+    on the sets of the shingles' 64-bit hashes. Equal sets always share a group, as do texts
+    without a word. component_id is the smallest id of the group. Keys of up to `cap` sets have
+    all their pairs compared at once.
     Texts count whole; rows with a null id take no part; repeated rows give a row each; an
     empty table gives an empty result; other columns of docs are not read.
     """
 
+    def hashes(text: str | None) -> np.ndarray:
+        words = words_of(text)
+        return np.unique(shingle_hashes(words, size)) if words else np.array([], "<u8")
+
     def make():
         def f(cols):
-            found = [sketch(t, size, near, number) for t in cols[1]]
-            return [cols[0], [b"".join(v.to_bytes(8, "little", signed=True) for v in a) for a, _ in found], [b for _, b in found]]
+            out: list[list] = [[], [], [], []]
+            for t in cols[1]:
+                found = hashes(t)
+                digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), "<i8").tolist()
+                for o, v in zip(out, (*digest, len(found), band_keys(found, bands, rows).tobytes()), strict=True):
+                    o.append(v)
+            return [cols[0], *out]
+
+        return f
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = np.frombuffer(b"".join(b.column(2).to_pylist()), "<i8")
+            at = np.repeat(np.arange(b.num_rows), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["key", "id", "n"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
+    marks = cut(map_rows(texts, "doc_id long, h long, g long, n long, bands binary", make))
+    nodes = cut(marks.groupBy("h", "g").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("bands").alias("bands")))
+    dealt = nodes.where("n > 0").select("id", "n", "bands").mapInArrow(deal, "key long, id long, n long")
+    shared = dealt.groupBy("key").agg(F.min("id").alias("l"), F.max("id").alias("h")).where("l != h").select("key")
+    members = cut(dealt.join(shared, "key", "left_semi"))
+    wanted = cut(members.select(F.col("id").alias("doc_id")).distinct())
+    # A repeated id may have several texts: the set of the node is wanted.
+    wanted = nodes.select(F.col("id").alias("doc_id"), "h", "g").join(wanted, "doc_id", "left_semi")
+
+    def make_sets():
+        def f(cols):
+            found = [hashes(t).tobytes() for t in cols[1]]
+            digests = [np.frombuffer(xxhash.xxh3_128_digest(x), "<i8").tolist() for x in found]
+            return [cols[0], [d[0] for d in digests], [d[1] for d in digests], found]
 
         return f
 
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(id_col).isNotNull())
-    marks = map_rows(rows, "doc_id long, near binary, sketch binary", make)
-    # Little-endian words of the binary columns, read in the JVM.
-    word = lambda i: F.conv(F.hex(F.reverse(F.substring("near", 8 * i + 1, 8))), 16, -10).cast("long")
-    marks = cut(marks.withColumn("h", F.xxhash64("near", "sketch")).withColumn("g", F.xxhash64("sketch", "near", F.lit(1))))
-    nodes = cut(marks.groupBy("h", "g").agg(F.min("doc_id").alias("id"), F.min("near").alias("near"), F.min("sketch").alias("sketch")))
-    fps = nodes.select("id", "sketch", F.array(*(word(i) for i in range(number))).alias("fps"))
-    roots = connected_components(similar_links(fps, bits_apart(similarity, 64 * number), number, cap=cap))
-    member = cut(nodes.join(roots, nodes.id == roots.node, "left").select("h", "g", F.coalesce("root", "id").alias("component_id")))
-    return marks.join(member, ["h", "g"]).select("doc_id", "component_id")
+    wanted = small(cut(wanted), IDS_SENT)
+    sets = map_rows(texts.join(wanted.select("doc_id"), "doc_id", "left_semi"), "doc_id long, h long, g long, hashes binary", make_sets)
+    sets = cut(sets.join(wanted, ["doc_id", "h", "g"], "left_semi").dropDuplicates(["doc_id", "h", "g"]).select(F.col("doc_id").alias("id"), "hashes"))
+    roots = _similar_roots(members, sets, similarity, cap)
+    member = nodes.select("h", "g", "id")
+    if roots is not None:
+        member = member.join(roots, "id", "left").select("h", "g", F.coalesce("root", "id").alias("id"))
+    return marks.select("doc_id", "h", "g").join(cut(member), ["h", "g"]).select("doc_id", F.col("id").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
