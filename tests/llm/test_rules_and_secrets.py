@@ -153,3 +153,23 @@ def test_entropy_by_increments(spark, run):
 
     got = spark.createDataFrame([(run,)], "r string").select(secrets._peak(F.col("r"), 20).alias("h")).first().h
     assert math.isclose(got, peak(run), abs_tol=1e-9)
+
+
+def test_random_keys_of_each_alphabet(spark):
+    """Nearly all random keys in a sentence are found and redacted, whatever their alphabet; ordinary words stay."""
+    import random
+    import string
+
+    rng = random.Random(4)
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    alphabets = [digits + "abcdef", digits + "abcdefABCDEF", upper + "234567", lower + digits, upper + digits, lower, lower + upper, lower + upper + digits, lower + upper + digits + "+/"]
+    least = {(a, n): 0.95 if n > 20 else 0.9 for a in alphabets for n in (20, 32, 40)} | {(lower, 20): 0.75, (lower + upper, 20): 0.75}
+    rows = [(a, n, f"the key is {''.join(rng.choices(a, k=n))} for now") for a, n in least for _ in range(150)]
+    df = spark.createDataFrame([(i, r[2]) for i, r in enumerate(rows)], "doc_id long, text string")
+    found = Counter()
+    for r in secrets.scan(df).collect():
+        found[rows[r.doc_id][:2]] += r.n_entropy
+    assert {k: found[k] / 150 for k in least if found[k] < least[k] * 150} == {}
+    words = ["Donaudampfschifffahrtsgesellschaft", "Rechtsschutzversicherungsgesellschaften", "counterrevolutionaries", "getUserAccountInformationFromDatabase", "src/main/java/com/example2/UserGuide", "state-of-the-art-methods-and-more", "=" * 80, "a-" * 20000, "Geschwindigkeitsbegrenzung", "https://example.org/wiki/Data_science/History_of_Computing"]
+    df = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert {words[r.doc_id][:60]: r.spans for r in secrets.scan(df).collect() if r.n_entropy} == {}

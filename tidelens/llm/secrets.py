@@ -1,10 +1,10 @@
 """Secret scans in DataFrame expressions only.
 
 Three fixed patterns give the base spans. The entropy scan looks at candidate strings
-(long unbroken runs with a digit), slides a window over them and keeps the Shannon
+(long unbroken runs), slides a window over them and keeps the Shannon
 entropy by incremental counts: a character that enters or leaves changes one count and
-one term. A run is reported when a window reaches the limit of its character class and
-no allow-list pattern matches the whole run. Everything happens inside the row: no
+one term. A run is reported when a window reaches the limit of its character class,
+which follows from the class's alphabet and the window, and no allow-list pattern matches the whole run. Everything happens inside the row: no
 shuffle, no join, no Python on the executors.
 """
 
@@ -23,17 +23,36 @@ ASSIGN = rf"""({_KEY})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{24,}"  # runs are maximal, so those of 24 or more need no length check
 ALPHABET = "0123456789abcdefABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz+/_=-"
-CANDIDATE = "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: The characters of a whole run, and how many a random key of the class draws from; the first match holds, one-case hex comes before.
+CLASSES = (
+    ("^[0-9a-fA-F]+$", 22),
+    ("^(?:[a-z]+|[A-Z]+)$", 26),
+    ("^[A-Z2-7]+$", 32),
+    ("^(?:[a-z0-9]+|[A-Z0-9]+)$", 36),
+    ("^[A-Za-z]+$", 52),
+    ("^[A-Za-z0-9]+$", 62),
+    ("^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])", 64),
+)
+#: What ordinary words don't have: five consonants on end (common clusters count as one), capitals and small letters in turn.
+_ODD = "(?i:(?:(?>sch|ch|ck|th|ph|ng|st|[b-df-hj-np-tv-xz])){5})|[a-z][A-Z][a-z][A-Z]"
 #: Runs that are no secrets: UUIDs, numbers, ordered alphabets, words joined to a path or slug.
 ALLOW = (
     "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     "^[0-9+/_=-]+$",
     "(?i)^.*(?:0123456789|abcdefghij).*$",
-    "^[A-Za-z]+(?:[-_/=+][A-Za-z]+|[-_/=+][0-9]{1,4})*$",
+    f"^(?=[A-Za-z])(?!.*(?:[0-9]{{5}}|[A-Za-z][0-9]|[0-9][A-Za-z]|[-_/=+]{{2}}|[-_/=+]$|{_ODD}))",
+    f"^(?=[A-Za-z]+[0-9]{{0,4}}[-_/=+])(?!.*(?:[0-9]{{5}}|[0-9][A-Za-z]|(?<![A-Za-z])[A-Za-z](?![A-Za-z])|{_ODD}))",
 )
 MARK = "[SECRET]"
 
 
+def least_bits(alphabet: int, window: int, margin: float = 0.35) -> float:
+    """The entropy that `window` random characters of an alphabet have on average, less a margin that few fall below."""
+    lost = sum(math.comb(window, c) * alphabet ** (1 - c) * (1 - 1 / alphabet) ** (window - c) * c * math.log2(c) for c in range(2, window + 1))
+    return math.log2(window) - lost / window - margin
+
+
 def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), f), 1)
@@ -115,7 +134,10 @@ def _spans(text: Column, window: int, hex_bits: float, other_bits: float, allow:
         run, ok = x["g"], F.lit(True)
         for p in allow:
             ok = ok & ~run.rlike(p)
-        bits = F.when(run.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit(hex_bits)).otherwise(F.lit(other_bits))
+        bits = F.when(run.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit(hex_bits))
+        for p, alphabet in CLASSES:
+            bits = bits.when(run.rlike(p), F.lit(least_bits(alphabet, window)))
+        bits = bits.otherwise(F.lit(other_bits))
         return F.when(ok, _peak(run, window) >= bits).otherwise(F.lit(False))
 
     found.append(F.filter(_matches(text, text.rlike(CANDIDATE), CANDIDATE), secret))
@@ -136,6 +158,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
     Spans are code points of the whole match, end exclusive, as kind:start:end by start,
     then kind, comma-joined; base_sha256 is over the first three kinds, spans holds all.
+    hex_bits is the limit of one-case hex, other_bits that of runs of no class in CLASSES.
     An entropy span may cover a base span: both are listed. Null and empty texts have no
     span (base_sha256 is that of the empty string); texts are searched whole; repeated
     rows and null ids give a row each; an empty table gives an empty result; other
