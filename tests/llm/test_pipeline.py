@@ -36,3 +36,26 @@ def test_stages(spark, sf, tmp_path):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_foreign_languages_and_noise_go(spark, sf):
+    """Texts in no language of the table go, of the clean ones nearly all stay."""
+    import random
+
+    rng = random.Random(5)
+    foreign = [
+        "Tämä on suomenkielinen lause, joka kertoo kesäisestä päivästä järven rannalla ja vanhasta talosta.",
+        "To jest zdanie po polsku, które opowiada o letnim dniu nad jeziorem i o starym domu w lesie.",
+        "Αυτή είναι μια πρόταση στα ελληνικά που μιλάει για μια καλοκαιρινή μέρα.",
+        "Это предложение на русском языке рассказывает о летнем дне у озера.",
+        "这是一个关于夏日湖边的中文句子，讲述了一座老房子的故事。",
+        "Dit is een zin in het Nederlands over een zomerdag aan het meer en een oud huis.",
+        "Ez egy magyar mondat, amely egy nyári napról szól a tó partján és egy régi házról.",
+    ]
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=rng.randint(2, 10))) for _ in range(100)) for _ in range(100)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 1000000")
+    clean = quality_rules.quality_filter(docs)
+    added = [(1_000_000 + i, t, None, "s", len(t)) for i, t in enumerate(foreign + noise)]
+    kept = [r.doc_id for r in corpus_pipeline.languages(spark, clean.union(spark.createDataFrame(added, docs.schema)), sf).collect()]
+    assert [i for i in kept if i >= 1_000_000] == []
+    assert len(kept) >= 0.99 * clean.count()
