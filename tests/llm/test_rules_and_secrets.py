@@ -173,3 +173,29 @@ def test_random_keys_of_each_alphabet(spark):
     words = ["Donaudampfschifffahrtsgesellschaft", "Rechtsschutzversicherungsgesellschaften", "counterrevolutionaries", "getUserAccountInformationFromDatabase", "src/main/java/com/example2/UserGuide", "state-of-the-art-methods-and-more", "=" * 80, "a-" * 20000, "Geschwindigkeitsbegrenzung", "https://example.org/wiki/Data_science/History_of_Computing"]
     df = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
     assert {words[r.doc_id][:60]: r.spans for r in secrets.scan(df).collect() if r.n_entropy} == {}
+
+
+def test_bands_reject_ascii_noise(spark, sf):
+    """Random base64 and printable characters fall to the upper limits at any length with words enough; clean texts of each language stay."""
+    import random
+    import string
+
+    rng, measure = random.Random(6), quality_rules.measurer()
+    base64, printable = string.ascii_letters + string.digits + "+/", "".join(map(chr, range(33, 127)))
+
+    def noise(alphabet, n, width, between):
+        return between.join("".join(rng.choices(alphabet, k=width)) for _ in range(n // (width + 1) + 1))[:n]
+
+    for alphabet in (base64, printable):
+        for n in (150, 180, 250, 300, 500, 600, 1000, 1500, 2000, 4000, 6000, 50_000, 300_000):
+            for width, between in ((10, " "), (76, "\n")):
+                if n > 11 * (width + 1):  # fewer words fail anyway
+                    got = measure(noise(alphabet, n, width, between))
+                    assert not got[5] and not got[6], (alphabet, n, width, got[7:])
+    for n in (6000, 50_000):
+        assert not measure(noise(string.ascii_lowercase, n, 10, " "))[6]
+    assert not measure(noise("0123456789abcdef", 50_000, 10, " "))[6]
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    found = [(r.lang, m[6], m[7]) for r in rows for m in [measure(r.text)] if not m[5]]
+    assert {x for x, _, _ in found} >= {"de", "en", "es", "fr"}
+    assert all(ratio < 0.35 for _, kept, ratio in found if not kept)  # only what repeats itself

@@ -2,7 +2,8 @@
 
 A ratio is compressed bytes over raw bytes, for the whole document and for each fixed
 chunk of it. Short texts carry frame overhead and little context, so the band depends
-on the length. Below the band the text repeats itself, above it is noise.
+on the length. Below the band the text repeats itself, above it is noise. From 150 bytes
+on the upper limits lie between clean prose and random base64 (0.74 for long texts).
 """
 
 from __future__ import annotations
@@ -31,11 +32,16 @@ class Rules:
     bands: tuple[tuple[float, float, float], ...] = (
         (64, 0.0, float("inf")),
         (128, 0.35, 1.3),
-        (256, 0.32, 1.1),
-        (1024, 0.30, 0.95),
-        (4096, 0.27, 0.90),
-        (32768, 0.24, 0.88),
-        (float("inf"), 0.20, 0.88),
+        (160, 0.32, 0.98),
+        (192, 0.32, 0.95),
+        (256, 0.32, 0.88),
+        (320, 0.30, 0.86),
+        (512, 0.30, 0.80),
+        (1024, 0.30, 0.74),
+        (1536, 0.27, 0.72),
+        (4096, 0.27, 0.65),
+        (32768, 0.24, 0.57),
+        (float("inf"), 0.20, 0.50),
     )
     max_bad_chunks: float = 0.3
 
