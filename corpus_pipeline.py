@@ -38,7 +38,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents become pieces of training sequences, with their token ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=True)
 
 
 STAGES = [("quality_rules", rules), ("language_id", languages), ("simhash", near_duplicates), ("secrets", redact_secrets), ("packing", pack)]

@@ -59,3 +59,13 @@ def test_foreign_languages_and_noise_go(spark, sf):
     kept = [r.doc_id for r in corpus_pipeline.languages(spark, clean.union(spark.createDataFrame(added, docs.schema)), sf).collect()]
     assert [i for i in kept if i >= 1_000_000] == []
     assert len(kept) >= 0.99 * clean.count()
+
+
+def test_pieces_hold_their_token_ids(spark, sf):
+    import zlib
+
+    import numpy as np
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(50)
+    rows = corpus_pipeline.pack(spark, docs, sf).collect()
+    assert rows and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
