@@ -268,7 +268,7 @@ def central_graph(spark, d):
 
 def _prompts(spark, d, limit: int = 2000):
     shots = annotation.few_shots(_golden(spark, d), _targets(spark, d), 1, 2)
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("text"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     p = posts(spark, d).select("id", F.concat(F.lit("Question "), F.col("id").cast("string")).alias("text"))
     return annotation.prompts(shots, texts.unionByName(p).groupBy("id").agg(F.min("text").alias("text")), _golden(spark, d), "Rate the question as 0, 1 or 2.", limit)
 
