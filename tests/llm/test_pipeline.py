@@ -1,5 +1,5 @@
 import corpus_pipeline
-from tests.llm.test_search import by_sketches
+from tests.llm.test_search import by_jaccard
 from tidelens.llm import language, quality_rules, secrets
 
 
@@ -20,10 +20,10 @@ def test_stages(spark, sf, tmp_path):
         elif name == "language_id":
             model = language.fit(before)
             names, scores = model.predict([r.text for r in rows.values()])
-            assert kept[name] == {i for i, n, s in zip(rows, names, scores, strict=True) if n != "und" and s >= 0.2}
+            assert kept[name] == {i for i, n, s in zip(rows, names, scores, strict=True) if n != "und" and s >= corpus_pipeline.MIN_SCORE}
             assert len(kept[name]) >= 0.99 * len(rows)
         elif name == "simhash":
-            root = by_sketches({i: r.text for i, r in rows.items()})
+            root = by_jaccard({i: r.text for i, r in rows.items()})
             assert kept[name] == {i for i, c in root.items() if i == c}
         elif name == "secrets":
             assert kept[name] == set(rows)

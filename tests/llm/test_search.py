@@ -87,33 +87,6 @@ def jaccard(a, b, size=5):
     return len(x & y) / len(x | y)
 
 
-def by_sketches(texts, most=86):
-    """Groups by every pair of sketches: a dict from id to the smallest id reached."""
-    marks = {i: simhash.sketch(t) for i, t in texts.items()}
-    near = {i: np.array(m[0], np.int64).view(np.uint64) for i, m in marks.items()}
-    far = {i: np.frombuffer(m[1], np.uint64) for i, m in marks.items()}
-    ids = sorted(texts)
-    a, b = np.array([near[i] for i in ids]), np.array([far[i] for i in ids])
-    root = {i: i for i in ids}
-    linked = {i: [ids[j] for j in np.flatnonzero((np.bitwise_count(a ^ a[k]).min(1) <= 3) & (np.bitwise_count(b ^ b[k]).sum(1) <= most))] for k, i in enumerate(ids)}
-    while True:
-        new = {i: min(root[j] for j in linked[i]) for i in ids}
-        if new == root:
-            return root
-        root = new
-
-
-@pytest.mark.parametrize("cap", [8, 2048])
-def test_similar_documents(spark, sf, cap):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    want = by_sketches(texts)
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, cap=cap).collect()}
-    assert got == want
-    if cap > 8:
-        assert {r.doc_id for r in simhash.first_of_each(docs).collect()} == {i for i, c in want.items() if i == c}
-
-
 def test_similarity_limit(spark):
     """Edited copies of random texts: nearly all above 0.85 are found, none below 0.5."""
     rng = random.Random(11)
@@ -166,13 +139,27 @@ def contiguous_edits():
     return texts
 
 
-@pytest.mark.parametrize("cap", [4, 32])
-def test_similar_documents_by_jaccard(spark, sf, cap):
+def crowd():
+    """Copies of one text with few to many edits: a large group, texts just outside it, and texts far from it."""
+    rng = random.Random(29)
+    words, base, texts = [f"y{i}" for i in range(5000)], [f"z{i}" for i in range(140)], {}
+    for i in range(150):
+        copy = list(base)
+        for at in rng.sample(range(140), rng.choice([0, 1, 2, 3, 4, 5, 6, 8, 12])):
+            copy[at] = rng.choice(words)
+        texts[5000 + i] = " ".join(copy)
+    return texts
+
+
+@pytest.mark.parametrize(("cap", "block"), [(4, 2000), (4, 1_000_000), (32, 1_000_000)])
+def test_similar_documents_by_jaccard(spark, sf, cap, block, monkeypatch):
     """Contiguous edits, a crowd of copies that is a chain, a crowd that shares a passage, and the test table."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
     texts = contiguous_edits()
     words = [f"v{i}" for i in range(600)]
     texts |= {2000 + i: " ".join(words[i : i + 200]) for i in range(60)}
     texts |= {3000 + i: " ".join([*words[400:520], *(f"u{i}x{k}" for k in range(40))]) for i in range(40)}
+    texts |= crowd()
     want = by_jaccard(texts)
     assert 20 < sum(want[1000 + i] == i for i in range(80)) < 75
     assert {want[i] for i in range(2000, 2060)} == {2000}
@@ -184,7 +171,7 @@ def test_similar_documents_by_jaccard(spark, sf, cap):
     assert {r.doc_id for r in simhash.first_of_each(docs).collect()} == {i for i, c in want.items() if i == c}
 
 
-def test_sketches_of_few_words(spark):
+def test_groups_of_few_words(spark):
     rows = [(1, None), (2, ""), (3, "one"), (4, "ONE"), (5, "one two"), (6, "one two three four"), (7, "one  two\nthree four"), (None, "one")]
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 6}

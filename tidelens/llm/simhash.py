@@ -28,6 +28,8 @@ FRONTIER = 2_000_000
 KEYS_SENT, IDS_SENT = 50_000, 1_000_000
 #: Rows that a task of the search takes, and the number of tasks that this may lead to.
 TASK_ROWS, MOST_TASKS = 50_000, 200_000
+#: Shingles that a block of members of a large group of candidates holds.
+BLOCK = 1_000_000
 
 
 def shingle_hashes(words: list[bytes], size: int, seed: int = 42) -> np.ndarray:
@@ -79,22 +81,6 @@ def spread(hashes: np.ndarray, number: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def sketch(text: str | None, size: int = 5, near: int = 2, number: int = 8) -> tuple[list[int], bytes]:
-    """(fingerprints, sketch): `number` fingerprints over shingles of `near` words, to find candidates,
-    and as many over shingles of `size` words, each shingle once, to estimate the similarity.
-
-    No word: all zero.
-    """
-    words = words_of(text)
-    if not words:
-        return [0] * number, bytes(8 * number)
-    out = []
-    for k in (near, size):
-        values = np.unique(shingle_hashes(words, k))
-        out.append(majorities(spread(values, number)))
-    return out[0].view("<i8").tolist(), out[1].tobytes()
-
-
 def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A key per band: the least values of a set of hashes under `rows` independent hash functions, hashed together.
 
@@ -280,32 +266,125 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
 
 
+def _group_links(ids: np.ndarray, roots: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links, as places of two members, that join groups: members of unlike roots (and of two sides, if there are two) are compared.
+
+    The largest group is only compared with the others' members, never inside itself, and a link that joins nothing is not returned.
+    """
+    n, both = np.array([len(x) for x in sets]), len(np.unique(side)) > 1
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.cumsum(n) - n
+    names, group = np.unique(roots, return_inverse=True)
+    largest, made = int(np.bincount(group).argmax()), []
+    mark = np.zeros(int(code.max(initial=-1)) + 1, bool)
+    for x in np.flatnonzero(group != largest):
+        able = group != group[x]
+        if both:
+            able &= side != side[x]
+        able &= np.minimum(n, n[x]) >= similarity * np.maximum(n, n[x]) - 1e-9
+        if not able.any():
+            continue
+        own = code[start[x] : start[x] + n[x]]
+        mark[own] = True
+        common = np.add.reduceat(mark[code], start, dtype=np.int64)
+        mark[own] = False
+        for y in np.flatnonzero(able & (common >= similarity * (n + n[x] - common) - 1e-9)):
+            if group[y] != group[x]:
+                made.append((int(x), int(y)))
+                group[group == group[y]] = group[x]
+    return made
+
+
+def _with_company(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """members (key, id, n, root) without those that none of the others can be similar to.
+
+    A partner must hold `similarity` of a set's shingles, so a set with more than the rest of them to itself has none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(x, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), i))], names=["x", "id"])
+
+    each = members.select("id").distinct().join(sets, "id").select("id", "hashes").mapInArrow(run, "x long, id long")
+    own = each.groupBy("x").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
+    own = own.join(sets.groupBy("id").count().where("count > 1"), "id", "left_anti")  # an id that repeats has several sets
+    return members.join(own, "id", "left").where(F.coalesce("own", F.lit(0)) <= (1 - similarity) * F.col("n") + 1e-9).select(*members.columns)
+
+
+def _crowd_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between the members (key, id, n, root) of a key that join all groups that belong together.
+
+    Keys that share members are put together (by their smallest id, twice), so that a member is sent once and not
+    once a key. Members are dealt to blocks of about BLOCK shingles and a task compares two blocks at a time: it holds
+    no more than these, and returns at most one link for each of their members.
+    """
+    home = members.groupBy("key").agg(F.min("id").alias("home"))
+    for _ in range(2):
+        near = members.join(home, "key").groupBy("id").agg(F.min("home").alias("home"))
+        home = cut(members.select("key", "id").join(near, "id").groupBy("key").agg(F.min("home").alias("home")))
+    member = cut(members.join(home, "key").select("home", "id", "n", "root").distinct())
+    size = member.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = member.join(size, "home").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = dealt.select("home", "id", "root", "side", other).select("home", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "root")
+    rows = dealt.join(sets, "id").select("home", "i", "j", "side", "id", "root", "hashes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held = None, []
+
+        def found() -> pa.RecordBatch:
+            side, ids, roots = (np.array([h[k] for h in held], np.int64) for k in range(3))
+            links = _group_links(ids, roots, side, [np.frombuffer(h[3], "<u8") for h in held], similarity)
+            return pa.RecordBatch.from_arrays([pa.array([int(ids[p[k]]) for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in pieces(batches):
+            for home, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (home, i, j) != unit:
+                    if held:
+                        yield found()
+                    unit, held = (home, i, j), []
+                held.append(row)
+        if held:
+            yield found()
+
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "home", "i", "j").sortWithinPartitions("home", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def _similar_roots(members: DataFrame, sets: DataFrame, similarity: float, crowd: int) -> DataFrame | None:
     """(id, root) of the ids linked to a smaller one; members: (key, id, n), n the size of the id's set.
 
-    Members of a key are candidates of each other. Up to `crowd` of them are all compared;
-    more of them first with a few, and only those that this leaves in different groups
-    with ever more, until each pair is compared or in one group: a large group
-    of copies costs a few comparisons for each, and no pair is left out.
+    Members of a key are candidates of each other. Up to `crowd` of them are all compared; more of them
+    first with one, then with eight, which joins most of a large group of copies at little cost. Of what this leaves
+    in different groups, sets too unlike all others go, and the rest is compared block by block: no pair is left out.
     """
     links = roots = None
-    members, few = cut(members.withColumn("root", F.col("id"))), 1
-    while not members.isEmpty():
-        part = F.when(F.col("m") <= crowd * few, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(few)))
-        size = cut(members.groupBy("key").agg(F.count("*").alias("m")))
-        sized = members.join(size, "key")
-        lead = sized.groupBy("key", part.alias("part")).agg(F.min(F.struct("id", "n", "root")).alias("x")).select("key", "x")
-        able = (F.col("x.root") != F.col("root")) & (F.least("n", "x.n") >= similarity * F.greatest("n", "x.n") - 1e-9)
-        pairs = cut(members.join(lead, "key").where(able).select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct())
-        new = cut(_similar(pairs, sets, similarity))
+    members = cut(members.withColumn("root", F.col("id")))
+    for few in (1, 8, 0):
+        if members.isEmpty():
+            break
+        if few:
+            part = F.when(F.col("m") <= crowd, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(few)))
+            size = cut(members.groupBy("key").agg(F.count("*").alias("m")))
+            sized = members.join(size, "key")
+            lead = sized.groupBy("key", part.alias("part")).agg(F.min(F.struct("id", "n", "root")).alias("x")).select("key", "x")
+            able = (F.col("x.root") != F.col("root")) & (F.least("n", "x.n") >= similarity * F.greatest("n", "x.n") - 1e-9)
+            pairs = cut(members.join(lead, "key").where(able).select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct())
+            new = cut(_similar(pairs, sets, similarity))
+        else:
+            new = cut(_crowd_links(members, sets, similarity))
         if links is None or not new.isEmpty():
             links = new if links is None else cut(links.union(new))
             roots = connected_components(links).withColumnsRenamed({"node": "id"})
-        # What is left: members of crowded keys that are still in several groups.
-        left = members.join(size.where(F.col("m") > crowd * few).select("key"), "key", "left_semi").drop("root")
-        left = cut(left.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")))
-        several = left.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l != h").select("key")
-        members, few = cut(left.join(several, "key", "left_semi")), 8 * few
+        if few:
+            # What is left: members of crowded keys that are still in several groups.
+            left = members.join(size.where(F.col("m") > crowd).select("key"), "key", "left_semi").drop("root")
+            left = cut(left.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")))
+            several = left.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l != h").select("key")
+            members = left.join(several, "key", "left_semi")
+            members = cut(_with_company(cut(members), sets, similarity) if few == 1 else members)
     return roots
 
 
@@ -367,8 +446,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
     marks = cut(map_rows(texts, "doc_id long, h long, g long, n long, bands binary", make))
     nodes = cut(marks.groupBy("h", "g").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("bands").alias("bands")))
-    dealt = nodes.where("n > 0").select("id", "n", "bands").mapInArrow(deal, "key long, id long, n long")
-    shared = dealt.groupBy("key").agg(F.min("id").alias("l"), F.max("id").alias("h")).where("l != h").select("key")
+    dealt = nodes.where("n > 0").select("id", F.col("n").cast("int"), "bands").mapInArrow(deal, "key long, id long, n int")
+    shared = dealt.groupBy("key").count().where("count > 1").select("key")
     members = cut(dealt.join(shared, "key", "left_semi"))
     wanted = cut(members.select(F.col("id").alias("doc_id")).distinct())
     # A repeated id may have several texts: the set of the node is wanted.
