@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -27,24 +28,52 @@ def measured(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered), failed
 
 
+def verdict(text):
+    """Ratio, share of bad chunks and the bands' verdict, straight from their definition."""
+    raw, knots = (text or "").encode(), quality_rules.Rules().bands
+
+    def ratio(x):
+        return len(zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False).compress(x)) / len(x)
+
+    def fine(x):
+        size = min(max(len(x), knots[0][0]), knots[-1][0])
+        (a, low_a, high_a), (b, low_b, high_b) = next((p, q) for p, q in zip(knots, knots[1:]) if p[0] <= size <= q[0])
+        t = math.log2(size / a) / math.log2(b / a)
+        return low_a + t * (low_b - low_a) <= ratio(x) <= high_a + t * (high_b - high_a)
+
+    if not raw:
+        return 0.0, 0.0, True
+    ends = [*range(1024, len(raw), 1024), len(raw)]
+    if len(ends) > 1 and ends[-1] - ends[-2] < 512:
+        del ends[-2]
+    chunks = [raw[a:b] for a, b in zip([0, *ends], ends)]
+    bad = sum(not fine(x) for x in chunks) / len(chunks)
+    return ratio(raw), bad, fine(raw) and bad <= 0.5
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(st.none(), st.text(max_size=80), st.lists(st.sampled_from(["a", "b", "c\n", "é", " x", "#|", "\x1cq", "\n"]), max_size=80).map(" ".join)))
 def test_measures(text):
     assert quality_rules.measurer()(text)[:6] == measured(text)
 
 
-def test_bands():
-    measure = quality_rules.measurer()
-    words = [f"w{i * 7919 % 10007}" for i in range(400)]
-    assert measure(" ".join(words))[6]
+def test_bands(spark, sf):
     import random
 
+    measure = quality_rules.measurer()
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1")
+    clean = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").join(labels, "doc_id").where("length(text) between 3000 and 6000").collect()]
+    clean = [t for t in clean if not measure(t)[5]]
+    assert sum(measure(t)[6] for t in clean) >= 0.99 * len(clean)
     noise = "".join(random.Random(1).choice([chr(c) for c in range(0x4E00, 0x9FFF)]) for _ in range(4000))
     assert not measure(" ".join(noise[i : i + 9] for i in range(0, 4000, 9)))[6]  # incompressible
     looped = " ".join(f"{w} again" for w in ["alpha"] * 300)
     assert not measure(looped)[6]
-    with_hole = " ".join(words) + " " + "x" * 60_000
-    assert not measure(with_hole)[6]  # most chunks repeat one letter
+    kept = [t for t in clean if measure(t)[6]]
+    assert not measure(kept[0] + " " + "x" * 60_000)[6]  # most chunks repeat one letter
+    halves = " ".join(kept)[:50_000]
+    assert measure(halves)[8] < 0.1 < measure(halves + "\n" + halves[:40_000])[7]  # a copy of itself is good in every chunk
+    assert not measure(halves + "\n" + halves[:40_000])[6]  # but not as a whole
 
 
 def test_whole_table(spark, sf):
@@ -52,12 +81,15 @@ def test_whole_table(spark, sf):
     texts = {r.doc_id: r.text for r in docs.collect()}
     got = quality_rules.quality_rules(docs).collect()
     assert all(tuple(r[1:7]) == measured(texts[r.doc_id]) for r in got)
-    assert not any(r.kept and r.base_failed for r in got)
+    for r in got:
+        ratio, bad, kept = verdict(texts[r.doc_id])
+        assert (r.ratio, r.kept) == (ratio, kept and not r.base_failed) and math.isclose(r.bad_chunks, bad)
     kept = {r.doc_id for r in quality_rules.quality_filter(docs).collect()}
     assert kept == {r.doc_id for r in got if r.kept}
-    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()
     passed = {r.doc_id for r in got if not r.base_failed}
-    assert all(r.doc_id in kept for r in labels if r.doc_id in passed)  # no good text falls to the bands
+    good, bad = ([r.doc_id in kept for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality == y and r.doc_id in passed] for y in (1, 0))
+    assert len(good) > 100 and sum(good) >= 0.99 * len(good)  # what falls to the bands alone
+    assert len(bad) > 10 and sum(bad) <= 0.5 * len(bad)
 
 
 PATTERNS = [
@@ -196,6 +228,7 @@ def test_bands_reject_ascii_noise(spark, sf):
         assert not measure(noise(string.ascii_lowercase, n, 10, " "))[6]
     assert not measure(noise("0123456789abcdef", 50_000, 10, " "))[6]
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    found = [(r.lang, m[6], m[7]) for r in rows for m in [measure(r.text)] if not m[5]]
-    assert {x for x, _, _ in found} >= {"de", "en", "es", "fr"}
-    assert all(ratio < 0.35 for _, kept, ratio in found if not kept)  # only what repeats itself
+    rules = quality_rules.Rules()
+    found = [(r.lang, m[7] <= rules.limits(len(r.text.encode()))[1]) for r in rows for m in [measure(r.text)] if not m[5]]
+    assert {x for x, _ in found} >= {"de", "en", "es", "fr"}
+    assert all(x for _, x in found)  # none of the table's texts falls to the upper limits
