@@ -64,7 +64,26 @@ def test_chains_never_cross_documents():
     first, size = toxicity.chains(ends, np.array([3, 0, 4]))
     assert list(zip(first.tolist(), size.tolist())) == [(0, 2), (2, 1), (3, 3), (6, 1)]
     first, size = toxicity.chains(np.zeros(150, bool), np.array([150]))
-    assert size.tolist() == [64, 64, 22]
+    assert size.tolist() == [150]
+
+
+def test_long_chains_are_walked_whole():
+    """Chains of many parts against the plain recurrence, word by word."""
+    rng = np.random.default_rng(4)
+    size = np.array([1, 63, 64, 65, 128, 129, 700, 3, 5000])
+    first, n = np.cumsum(size) - size, int(size.sum())
+    s, t = rng.normal(size=n) * 3, rng.normal(size=(2, 2))
+    e, a = np.exp(s), np.exp(t)
+    f, g = np.empty(n), np.ones(n)
+    for lo, k in zip(first, size):
+        x = 0.0
+        for i in range(lo, lo + k):
+            x = f[i] = e[i] * (a[0, 1] + a[1, 1] * x) / (a[0, 0] + a[1, 0] * x)
+        for i in range(lo + k - 2, lo - 1, -1):
+            y = e[i + 1] * g[i + 1]
+            g[i] = (a[1, 0] + a[1, 1] * y) / (a[0, 0] + a[0, 1] * y)
+    got = toxicity.forward_backward(s, first, size, t)
+    assert np.allclose(got[0], f, rtol=1e-9) and np.allclose(got[1], g, rtol=1e-9)
 
 
 def test_kernel_counts_shared_grams():

@@ -24,7 +24,7 @@ from .labelled import fit_logistic, labelled_sample, logistic
 
 LETTERS = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"\S+")
-LONGEST, ENDS = 64, 1000.0  # words in a chain; added to the score of a word that ends a sentence
+PART = 64  # words of a chain that are walked one by one; longer chains are walked part by part, with the same result
 
 
 @dataclass(frozen=True)
@@ -49,32 +49,58 @@ def features(word: str) -> list[str]:
 
 
 def chains(ends: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of the chains: sentences, at most LONGEST words, never across documents. docs: words of each."""
+    """Start and length of the chains: whole sentences, never across documents. docs: words of each."""
     last = ends.copy()
     last[np.cumsum(docs)[docs > 0] - 1] = True
     stop = np.flatnonzero(last) + 1
     start = np.r_[0, stop[:-1]] if len(stop) else stop
-    size = stop - start
-    parts = -(-size // LONGEST)
-    first = np.repeat(start, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    return first, np.minimum(LONGEST, np.repeat(stop, parts) - first)
+    return start, stop - start
+
+
+def walk(m: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """x[i] = (m[0, i] * x[i - 1] + m[1, i]) / (m[2, i] * x[i - 1] + m[3, i]) along each chain, from 0 before its first place.
+
+    All chains take a step at a time. Chains longer than PART are cut into parts; the maps of a part, put together,
+    give the value that its next part starts from.
+    """
+    parts = -(-size // PART)
+    chain, at = np.repeat(np.arange(len(size)), parts), np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = first[chain] + PART * at
+    number = np.minimum(PART, size[chain] - PART * at)
+    x = np.zeros(len(chain))
+    passed = np.flatnonzero(at < parts[chain] - 1)  # full parts with a next one
+    if len(passed):
+        a, b, c, d = m[:, begin[passed]]
+        for k in range(1, PART):
+            e, f, g, h = m[:, begin[passed] + k]
+            a, b, c, d = e * a + f * c, e * b + f * d, g * a + h * c, g * b + h * d
+            scale = np.maximum(np.maximum(a, b), np.maximum(c, d))
+            a, b, c, d = a / scale, b / scale, c / scale, d / scale
+        order = np.argsort(at[passed], kind="stable")
+        level = np.searchsorted(at[passed][order], np.arange(at[passed].max() + 2))
+        for lo, hi in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
+            i = order[lo:hi]
+            v = x[passed[i]]
+            x[passed[i] + 1] = (a[i] * v + b[i]) / (c[i] * v + d[i])
+    out = np.empty(m.shape[1])
+    order = np.argsort(-number, kind="stable")
+    begin, number, x = begin[order], number[order], x[order]
+    alive = np.searchsorted(-number, -np.arange(1, (number[0] if len(number) else 0) + 1), "right")
+    for k, n in enumerate(alive.tolist()):
+        a, b, c, d = m[:, begin[:n] + k]
+        out[begin[:n] + k] = x = (a * x[:n] + b) / (c * x[:n] + d)
+    return out
 
 
 def forward_backward(score: np.ndarray, first: np.ndarray, size: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ratios toxic : other of the forward and backward sums, and exp(score). t: log weights [other, toxic] x [other, toxic]."""
     e, a = np.exp(np.clip(score, -25, 25)), np.exp(t)
-    f, g = np.empty_like(e), np.ones_like(e)
-    order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
-    alive = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), "right")
-    for k, n in enumerate(alive.tolist()):
-        i = first[:n] + k
-        p = f[i - 1] if k else None
-        f[i] = e[i] * ((a[0, 1] + a[1, 1] * p) / (a[0, 0] + a[1, 0] * p) if k else a[0, 1] / a[0, 0])
-    for k in range(len(alive) - 2, -1, -1):
-        i = first[: alive[k + 1]] + k
-        n = e[i + 1] * g[i + 1]
-        g[i] = (a[1, 0] + a[1, 1] * n) / (a[0, 0] + a[0, 1] * n)
+    one = np.ones(len(e))
+    f = walk(np.array([a[1, 1] * e, a[0, 1] * e, a[1, 0] * one, a[0, 0] * one]), first, size)
+    after = np.r_[e[1:], 1.0]
+    m = np.array([a[1, 1] * after, a[1, 0] * one, a[0, 1] * after, a[0, 0] * one])
+    m[:, first + size - 1] = [[0.0], [1.0], [0.0], [1.0]]  # nothing follows a chain's last word
+    g = walk(m[:, ::-1], len(e) - (first + size), size)[::-1]
     return f, g, e
 
 
@@ -97,13 +123,21 @@ class ToxicityModel:
 
     def __init__(self, sample: list[tuple[str, int]], prior: float = 0.0, params: ToxicityParams = ToxicityParams()) -> None:
         self.weights, self.bias, self.t = self._train(sample, params)
-        self.cache: dict[str, float] = {}
+        self._open()
         self.calibration = np.zeros(3)
         x = self._aggregate([t for t, _ in sample])[0]
         self.calibration = fit_logistic(x, np.array([y for _, y in sample]), prior=prior)
 
+    def _open(self) -> None:
+        self.cache: dict[str, int] = {}
+        self.scores, self.ends = np.empty(self.CACHE), np.empty(self.CACHE, bool)
+
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "scores", "ends")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._open()
 
     def _train(self, sample: list[tuple[str, int]], p: ToxicityParams) -> tuple[dict[str, float], float, np.ndarray]:
         known: dict[str, list[str]] = {}
@@ -167,27 +201,28 @@ class ToxicityModel:
             w, b, t = new[0], float(new[1]), new[2]
         return {x: float(w[i]) for x, i in ids.items()}, b, t
 
-    def _score(self, word: str) -> float:
-        s = self.bias + sum(self.weights.get(x, 0.0) for x in features(word))
-        return s + (ENDS if word[-1] in ".!?" else 0.0)
+    def _learn(self, word: str) -> int:
+        """The place of a word's score, and of whether it ends a sentence, in the tables."""
+        i = self.cache[word] = len(self.cache)
+        self.scores[i] = self.bias + sum(self.weights.get(x, 0.0) for x in features(word))
+        self.ends[i] = word[-1] in ".!?"
+        return i
 
     def _aggregate(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text [log expected toxic words, peak, 1]; per word the marginal; words per text."""
-        cache, scores, number = self.cache, [], []
+        scores, ends, number = [np.zeros(0)], [np.zeros(0, bool)], []
         for t in texts:
             words = t.split()
             number.append(len(words))
-            for w in words:
-                s = cache.get(w)
-                if s is None:
-                    if len(cache) >= self.CACHE:
-                        cache.clear()
-                    s = cache[w] = self._score(w)
-                scores.append(s)
-        number, s = np.array(number, int), np.array(scores, float)
-        ends = s > ENDS / 2
-        s[ends] -= ENDS
-        p = marginals(s, *chains(ends, number), self.t) if len(s) else s
+            for lo in range(0, len(words), self.CACHE):
+                part = words[lo : lo + self.CACHE]
+                if len(self.cache) + len(part) > self.CACHE:
+                    self.cache.clear()
+                places = np.array([self.cache[w] if w in self.cache else self._learn(w) for w in part], int)
+                scores.append(self.scores[places])
+                ends.append(self.ends[places])
+        number, s, e = np.array(number, int), np.concatenate(scores), np.concatenate(ends)
+        p = marginals(s, *chains(e, number), self.t) if len(s) else s
         x = np.tile([np.log(1e-3), 0.0, 1.0], (len(texts), 1))
         full = np.flatnonzero(number)
         if len(full):
