@@ -154,7 +154,7 @@ def _listed(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, hex_bits: float = 3.0, other_bits: float = 4.0, allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans), one row per input row.
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy), one row per input row.
 
     Spans are code points of the whole match, end exclusive, as kind:start:end by start,
     then kind, comma-joined; base_sha256 is over the first three kinds, spans holds all.
@@ -168,7 +168,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     found = docs.select(F.col(id_col).alias("doc_id"), _spans(text, window, hex_bits, other_bits, allow).alias("all"))
     count = lambda k: F.size(F.filter("all", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     base = _listed(F.filter("all", lambda x: x["k"] < 3))
-    return found.select("doc_id", *(count(k) for k in range(4)), F.sha2(base, 256).alias("base_sha256"), _listed(F.col("all")).alias("spans"))
+    return found.select("doc_id", *(count(k) for k in range(3)), F.sha2(base, 256).alias("base_sha256"), _listed(F.col("all")).alias("spans"), count(3))
 
 
 def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars", window: int = 20, hex_bits: float = 3.0, other_bits: float = 4.0, allow: tuple[str, ...] = ALLOW) -> DataFrame:
