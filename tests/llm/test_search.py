@@ -188,8 +188,9 @@ def test_top_k_is_exact(seed):
     at, got, score = block.top(np.array([ids[0], -1, -2, -3, -4]), q, 20)
     for i, key in enumerate([ids[0], -1, -2, -3, -4]):
         s = x @ q[i]
+        assert (s <= block.reach(q)[i]).all()
         order = [j for j in np.lexsort((ids, -s)) if ids[j] != key][:20]
-        mine = sorted(zip(-score[at == key], got[at == key], strict=True))
+        mine = sorted(zip(-score[at == i], got[at == i], strict=True))
         assert mine == [(-s[j], ids[j]) for j in order]
 
 
@@ -203,3 +204,41 @@ def test_top_k_over_blocks(spark, sf):
         s = x @ x[np.flatnonzero(ids == key)[0]]
         order = [j for j in np.lexsort((ids, -s)) if ids[j] != key][:20]
         assert g.vec_id.tolist() == [ids[j] for j in order] and g.score.tolist() == [s[j] for j in order] and g["rank"].tolist() == list(range(1, 21))
+
+
+def test_top_k_of_large_components(spark):
+    """Components far beyond 2**24 against Python's integers; a score that no long holds is an error."""
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([1e6, 1.0, -3e7, 0.01]) * rng.uniform(-1, 1), rng.uniform(-1, 1), 1e5 * rng.uniform(-1, 1)]) for i in range(300)]
+    exact = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    got = bitsliced.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=7, block_rows=32)
+    want = {}
+    for i in range(0, 300, 7):
+        best = sorted((-sum(a * b for a, b in zip(exact[i], exact[j])), j) for j in exact if j != i)[:5]
+        want[i] = [(j, -s) for s, j in best]
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert found == want and max(s for w in want.values() for _, s in w) > 1 << 60
+    big = [(i, [float(1 << 50), 1.0]) for i in (0, 1)]
+    with pytest.raises(Exception, match="does not fit a long"):
+        bitsliced.top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>")).collect()
+    with pytest.raises(Exception, match="exceeds 2"):
+        bitsliced.top_k(spark.createDataFrame([(0, [1e300]), (1, [0.0])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_top_k_rows_follow_the_queries(spark):
+    """The search returns at most GROUPS times k rows for a query, however many blocks there are."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = bitsliced.top_k(df, block_rows=16, chunk=5).toPandas().sort_values(["query_id", "rank"])
+    whole = bitsliced.top_k(df).toPandas().sort_values(["query_id", "rank"])
+    assert got.reset_index(drop=True).equals(whole.reset_index(drop=True)) and len(got) == 45 * 20
+    z = np.floor(64 * x).astype(np.int64)
+    best, asked = bitsliced.Best(np.arange(0, 900, 20), z[::20], 20), []
+    for lo in range(0, 900, 16):
+        best.meet(bitsliced.Block.build(np.arange(lo, min(lo + 16, 900)), z[lo : lo + 16]))
+        asked.append(len(best.row))
+    assert max(asked) <= 45 * 20
+    assert [(q, r, s) for q, r, s in zip(best.ids[best.query], best.row, best.score)] == list(got[["query_id", "vec_id", "score"]].itertuples(index=False, name=None))
