@@ -43,6 +43,8 @@ class WarcParams:
 
 
 NO_ID = -(1 << 63)
+#: Payloads with copies (a digest and an id each) that are broadcast; of more, each is dealt to SALTS keys.
+GROUPS_SENT, SALTS = 200_000, 16
 
 
 def url_key(url: str | None) -> str:
@@ -102,7 +104,12 @@ def write_archives(pages: DataFrame, folder: str, params: WarcParams = WarcParam
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), F.coalesce(pages[html_col], F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     groups = cut(rows.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha", "last"))
-    typed = rows.join(groups, "sha", "left").select("page_id", "url", "html", F.when(F.coalesce(F.col("page_id") != F.col("last"), F.col("last").isNotNull()), F.col("last")).alias("to"))
+    if groups.count() <= GROUPS_SENT:
+        joined = rows.join(F.broadcast(groups), "sha", "left")
+    else:  # a payload that very many pages have must not meet its group in one task
+        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"], "left")
+    typed = joined.select("page_id", "url", "html", F.when(F.coalesce(F.col("page_id") != F.col("last"), F.col("last").isNotNull()), F.col("last")).alias("to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
