@@ -140,7 +140,7 @@ class LanguageModel:
             for k in range(0, len(texts[i]), size):
                 rows.append(i)
                 parts.append(texts[i][k : k + size])
-                if len(parts) == 512:
+                if len(parts) == 128:
                     add()
         if parts:
             add()

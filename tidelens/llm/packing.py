@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import PRE_SPLIT, byte_letters
-from .common import pieces
+from .common import pieces, tidy
 
 
 @dataclass(frozen=True)
@@ -181,4 +181,4 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         if keys:
             yield flush()
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, schema)
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(tidy(run), schema)
