@@ -63,7 +63,9 @@ def test_links_and_components(spark, cap):
     assert len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_components_of_chains(spark, most, monkeypatch):
+    monkeypatch.setattr(components, "ONE_TASK", most)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000), (5, 5), (None, 3)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 201)}, 1001: 1000}

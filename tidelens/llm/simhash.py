@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, pieces, small
-from .components import connected_components
+from .common import cut, map_rows, pieces, small, tidy
+from .components import connected_components, forest, tree_links
 
 FAN = 16
 FRONTIER = 2_000_000
@@ -167,22 +167,6 @@ class GrayIndex:
             node = child
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest position that each of n positions reaches through the pairs."""
-    root = np.arange(n)
-    for a, b in pairs:
-        while True:
-            ra, rb = root[a], root[b]
-            open_ = ra != rb
-            if not open_.any():
-                break
-            a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-            while (root[root] != root).any():
-                root = root[root]
-    return root
-
-
 def _deal(rows: DataFrame, bits: int, carry: list[str]) -> DataFrame:
     """Four rows (fp, carry, rest, key) for each: the key grows by a band of rest, which loses it."""
     width = -(-bits // 4)
@@ -225,11 +209,6 @@ def _columns(batches: Iterator[pa.RecordBatch], number: int) -> list[np.ndarray]
     return [np.concatenate([g[i] for g in got]) for i in range(number)] if got else None
 
 
-def _edges(names: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
-    own = np.flatnonzero(root != np.arange(len(names)))
-    return pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[root[own]])], names=["a", "b"])
-
-
 def links(fps: DataFrame, limit: int = 3, cap: int = 1024) -> DataFrame:
     """(a, b): a forest over the distinct values fp whose trees are joined by links of at most limit bits.
 
@@ -244,10 +223,10 @@ def links(fps: DataFrame, limit: int = 3, cap: int = 1024) -> DataFrame:
             return
         index = GrayIndex(got[1], got[0].view(np.uint64))
         value, at = np.unique(index.value.view(np.int64), return_inverse=True)
-        yield _edges(value, forest(len(value), ((at[i], at[j]) for i, j in index.pairs(limit))))
+        yield tree_links(value, forest(len(value), ((at[i], at[j]) for i, j in index.pairs(limit))))
 
     rows = fps.select("fp", F.lit(1).cast("long").alias("key"))
-    return _buckets(rows, fps.count(), cap, []).mapInArrow(run, "a long, b long")
+    return _buckets(rows, fps.count(), cap, []).mapInArrow(tidy(run), "a long, b long")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -263,7 +242,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     left, right = (sets.select(F.col("id").alias(k), F.col("hashes").alias(f"hashes_{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _group_links(ids: np.ndarray, roots: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -307,7 +286,7 @@ def _with_company(members: DataFrame, sets: DataFrame, similarity: float) -> Dat
                 x = np.frombuffer(x, "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), i))], names=["x", "id"])
 
-    each = members.select("id").distinct().join(sets, "id").select("id", "hashes").mapInArrow(run, "x long, id long")
+    each = members.select("id").distinct().join(sets, "id").select("id", "hashes").mapInArrow(tidy(run), "x long, id long")
     own = each.groupBy("x").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
     own = own.join(sets.groupBy("id").count().where("count > 1"), "id", "left_anti")  # an id that repeats has several sets
     return members.join(own, "id", "left").where(F.coalesce("own", F.lit(0)) <= (1 - similarity) * F.col("n") + 1e-9).select(*members.columns)
@@ -350,7 +329,7 @@ def _crowd_links(members: DataFrame, sets: DataFrame, similarity: float) -> Data
             yield found()
 
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(tasks, "home", "i", "j").sortWithinPartitions("home", "i", "j").mapInArrow(run, "a long, b long")
+    return rows.repartition(tasks, "home", "i", "j").sortWithinPartitions("home", "i", "j").mapInArrow(tidy(run), "a long, b long")
 
 
 def _similar_roots(members: DataFrame, sets: DataFrame, similarity: float, crowd: int) -> DataFrame | None:
@@ -446,7 +425,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
     marks = cut(map_rows(texts, "doc_id long, h long, g long, n long, bands binary", make))
     nodes = cut(marks.groupBy("h", "g").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("bands").alias("bands")))
-    dealt = nodes.where("n > 0").select("id", F.col("n").cast("int"), "bands").mapInArrow(deal, "key long, id long, n int")
+    dealt = nodes.where("n > 0").select("id", F.col("n").cast("int"), "bands").mapInArrow(tidy(deal), "key long, id long, n int")
     shared = dealt.groupBy("key").count().where("count > 1").select("key")
     members = cut(dealt.join(shared, "key", "left_semi"))
     wanted = cut(members.select(F.col("id").alias("doc_id")).distinct())
