@@ -59,6 +59,62 @@ def test_filters_keep_the_columns(spark, keep):
     assert keep(frame(spark, [])).collect() == []
 
 
+@pytest.fixture(scope="module")
+def fitted(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    return {"quality": quality_model.fit(docs, labels), "toxicity": toxicity.fit(docs, labels), "language": language.fit(docs)}
+
+
+SCORE = {"quality": quality_model.score_quality, "toxicity": toxicity.score_toxicity, "language": language.identify}
+
+
+@pytest.mark.parametrize("name", SCORE)
+def test_fitted_models(spark, fitted, name):
+    """Null, empty, blank, very long, repeated and tied texts, a table without a row, and columns of clashing names."""
+    words = ("seldom " * 9 + "again. ") * 13_000  # over 1 MB, with sentences of ten words
+    tied = [(i, "one and the same text", "en", "s", 1) for i in range(20, 30)]
+    rows = [*ROWS, (6, words, "en", "s", 1), (7, "word " * 100_000, None, None, None), (8, "12 34 !", "en", "s", 1), *tied]
+    got = SCORE[name](frame(spark, rows), fitted[name]).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((r[0] is None, r[0] or 0) for r in rows)
+    assert all(0 <= r.score <= 1 for r in got)
+    score = {}
+    for r in got:
+        score.setdefault(r.doc_id, set()).add(r.score)
+    assert len(score[1]) == 1 and len(set.union(*(score[i] for i in range(20, 30)))) == 1
+    assert score[2] == score[3]  # null as empty
+    if name == "language":
+        assert {r.lang_pred for r in got if r.doc_id in (2, 3, 4, 8)} == {"und"} and {r.score for r in got if r.doc_id in (2, 3, 4, 8)} == {0.0}
+        kept = language.language_filter(frame(spark, rows), fitted[name], 0.0).collect()
+        assert len(kept) == len(rows) - 4
+        assert language.language_filter(frame(spark, []), fitted[name]).collect() == []
+    else:
+        assert all(r.predicted == (r.score >= 0.5) for r in got)
+    assert SCORE[name](frame(spark, []), fitted[name]).collect() == []
+
+
+def test_pipeline_edges(spark, sf, tmp_path):
+    """The stages on a table of such rows with clashing names, and on one without a row."""
+    import corpus_pipeline
+
+    whole = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = frame(spark, ROWS)
+    docs = whole.unionByName(extra.select(*whole.columns)).withColumns({c: _lit(c) for c in CLASH})
+    for rows, least in ((docs, 100), (extra.limit(0), 0)):
+        folder = f"{tmp_path}/{least}"
+        for name, stage in corpus_pipeline.STAGES:
+            before = rows
+            stage(spark, rows, sf).write.parquet(f"{folder}-{name}")
+            rows = spark.read.parquet(f"{folder}-{name}")
+            assert name == "packing" or rows.columns == before.columns
+        assert rows.count() >= least
+
+
+def _lit(c):
+    from pyspark.sql import functions as F
+
+    return F.lit(c)
+
+
 def test_fits_without_labels(spark):
     docs = frame(spark, ROWS)
     labels = spark.createDataFrame([(1, 1, None), (None, 0, 0)], "doc_id long, quality int, toxic int")

@@ -19,6 +19,27 @@ def test_quality_on_held_out_rows(spark, sf):
     assert p.score.between(0, 1).all() and ((p.score >= 0.5) == (p.predicted == 1)).all()
 
 
+def test_quality_by_hand(spark, sf):
+    """The scores of a whole table from the dictionaries, compressing by hand; AUC on held-out rows."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_model.fit(docs, labels)
+    good, bad = (zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in model.dictionaries)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in quality_model.score_quality(docs, model).collect()}
+    assert set(got) == set(texts) and model.weights.shape == (2,) and model.weights[0] > 0
+    for i, text in texts.items():
+        raw = (text or "").encode()
+        parts = [raw[k : k + 256] for k in range(0, len(raw), 256)]
+        d = 10 * sum(len(bad.compress(p)) - len(good.compress(p)) for p in parts) / len(raw) if raw else 0.0
+        assert np.isclose(got[i], 1 / (1 + np.exp(-(model.weights[0] * d + model.weights[1]))))
+    p = held_out(spark, sf, quality_model.score_quality(docs, model), "quality")
+    rank = p.score.rank()
+    n1, n0 = (p.quality == 1).sum(), (p.quality == 0).sum()
+    assert (rank[p.quality == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.98
+
+
 def test_toxicity_on_held_out_rows(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity.score_toxicity(docs, toxicity.fit(docs, labels))
@@ -86,22 +107,50 @@ def test_long_chains_are_walked_whole():
     assert np.allclose(got[0], f, rtol=1e-9) and np.allclose(got[1], g, rtol=1e-9)
 
 
+def held_grams(g, text):
+    """The grams of one to three classes that a text holds, two separators before and after it; those of separators only don't count."""
+    c = [g._class(ord(x)) for x in "\0\0" + text.lower() + "\0\0"]
+    return {tuple(c[i : i + n]) for n in (1, 2, 3) for i in range(len(c) - n + 1)} - {(0,), (0, 0), (0, 0, 0)}
+
+
 def test_kernel_counts_shared_grams():
     texts = ["abc abd", "xyz", "abc", "été là", "漢字 漢"]
     g = language.Grams(texts)
-
-    def grams(t):
-        c = [g._class(ord(x)) for x in "\0" + t.lower() + "\0"]
-        return {tuple(c[i : i + n]) for n in (1, 2, 3) for i in range(len(c) - n + 1)} - {(0,), (0, 0), (0, 0, 0)}
-
     x = g.presence(texts)
     for i, j in product(range(len(texts)), repeat=2):
-        shared = (x[i] * x[j]).sum()
-        # The separators around a text count as one non-letter on each side, two for grams of three.
-        assert abs(shared - len(grams(texts[i]) & grams(texts[j]))) <= 4
+        assert (x[i] * x[j]).sum() == len(held_grams(g, texts[i]) & held_grams(g, texts[j]))
     assert np.array_equal(g.presence(texts), np.vstack([g.presence([t]) for t in texts]))
 
 
+def test_regression_on_the_full_kernel():
+    """With every segment a landmark, the fitted scores are those of ridge regression in the kernel's own feature space."""
+    rng = np.random.default_rng(6)
+    words = {"a": ["alba", "mare", "luna", "terra", "sole"], "b": ["dwars", "klok", "huis", "brug", "straat"], "c": ["zyx", "qwu", "vyk", "xox", "juq"]}
+    segments, labels = zip(*((" ".join(rng.choice(words[y], 6)), y) for _ in range(12) for y in words))
+    params = language.LanguageParams(landmarks=len(segments))
+    m = language.LanguageModel(list(segments), list(labels), params)
+    sets = [held_grams(m.grams, s) for s in segments]
+    k = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    values, vectors = np.linalg.eigh(k)
+    good = values > 1e-6 * values.max()
+    phi = np.c_[vectors[:, good] * np.sqrt(values[good]), np.ones(len(k))]  # phi @ phi.T is the kernel, plus one
+    y = np.array([[x == z for z in m.languages] for x in labels], float)
+    share = len(m.languages) / len(k)  # languages count alike: here all have as many segments
+    w = np.linalg.solve(phi.T @ phi * share + params.ridge * np.trace(phi.T @ phi * share) / phi.shape[1] * np.eye(phi.shape[1]), phi.T @ y * share)
+    new = ["luna mare sole", "klok brug dwars", "xox vyk", "terra huis"]
+    cross = np.array([[len(held_grams(m.grams, t) & b) / np.sqrt(m.grams.presence([t]).sum() * len(b)) for b in sets] for t in new])
+    want = np.c_[cross @ (vectors[:, good] / np.sqrt(values[good])), np.ones(len(new))] @ w
+    got = m._kernel(m.grams.presence(new)) @ m.weights + m.bias
+    assert np.allclose(got, want, atol=2e-3)
+    assert m.predict(new[:3])[0] == ["a", "b", "c"]
+
+
+def test_ties_go_to_the_first_language():
+    m = language.LanguageModel(["same words here"] * 4, ["b", "a", "b", "a"])
+    names, scores = m.predict(["same words here", "other"])
+    assert names == ["a", "a"] and all(0 <= s <= 1 for s in scores)
+
+
 def test_long_texts_are_read_in_parts(monkeypatch):
     g = language.Grams(["abc def ghi jkl", "mno pqr"])
     text = "abc def " * 50 + "mno"

@@ -13,7 +13,7 @@ from tidelens.llm import bpe, packing
 
 FILE = path("byte_bpe_50k.json")
 REFERENCE = Tokenizer.from_file(FILE)
-AUTOMATON = bpe.automaton(FILE)
+AUTOMATON, TOKENS = bpe.automaton(FILE), packing.Tokens(FILE)
 
 pieces = st.sampled_from(["a", "aaaa", " ", "    ", "the", "ing", "\n", "\n\n", "'s", "'ll", "123", "==", "é", "漢", "😀", "<|endoftext|>", " ", " ", "\x00", "_", "Hello", "ation"])
 
@@ -24,14 +24,14 @@ def test_equals_the_library(text):
     ids = REFERENCE.encode(text, add_special_tokens=False).ids
     assert AUTOMATON.encode(text) == ids
     assert AUTOMATON.decode(ids) == REFERENCE.decode(ids, skip_special_tokens=False)
-    assert packing.Tokens(FILE)(text).tolist() == ids if len(text) < 5 else True
+    assert TOKENS(text).tolist() == ids
 
 
 @pytest.mark.parametrize("text", ["a" * 100_000, " " * 100_000, "ab" * 50_000, "thequick" * 9000, "=" * 50_000 + "x"])
 def test_very_long_words(text):
     ids = REFERENCE.encode(text, add_special_tokens=False).ids
     assert AUTOMATON.encode(text) == ids
-    assert packing.Tokens(FILE)(text).tolist() == ids
+    assert TOKENS(text).tolist() == ids
 
 
 def test_gadgets_on_a_small_vocabulary(tmp_path):
