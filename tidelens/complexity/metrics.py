@@ -23,7 +23,6 @@ from .walkers import cognitive
 
 #: Languages whose snippets skip the syntax gate.
 EXEMPT = ("f#", "vb.net", "groovy", "assembly")
-LONGEST = 200_000  # characters of a snippet; a longer one is no snippet and is reported as not measured
 DECISIONS = {"if", "for", "while", "case", "catch", "elif", "elsif", "elseif", "until", "unless", "foreach", "except", "rescue", "when", "&&", "||", "?", "and", "or", "guard", "andalso", "orelse"}
 
 FUNCTION = StructType(
@@ -42,7 +41,7 @@ FUNCTION = StructType(
 
 def valid(source: str, language: str) -> bool:
     """The syntax gate: Python by its grammar, other languages by their brackets."""
-    if language not in LANGUAGES or len(source) > LONGEST:
+    if language not in LANGUAGES:
         return False
     if language in EXEMPT:
         return True

@@ -85,7 +85,7 @@ class Brace:
                     s += self.expression(a, b, nest)
                 return score + s, j
             a, b, j = self.head(i + 1, end)
-            if word not in ("for", "foreach"):
+            if word not in ("for", "foreach") or lang.ext == "go":  # Go's only loop word also begins while loops
                 score += self.expression(a, b, nest)
             s, j = self.body(j, end, nest + 1)
             return score + s, j
@@ -514,7 +514,10 @@ class Python:
 
 
 def prolog(toks: list[Token]) -> list[Function]:
-    """Predicates: an if-then-else adds 1 and its nesting and 1 for the else; facts, rules and conjunctions add nothing."""
+    """Predicates: an if-then-else adds 1 and its nesting and 1 for the else; facts, rules and conjunctions add nothing.
+
+    A condition that follows an else of the same parentheses adds 1 without nesting.
+    """
     clauses, cur = [], []
     for i, t in enumerate(toks):
         if t.text == "." and (i + 1 == len(toks) or toks[i + 1].text == NEWLINE or toks[i + 1].column > t.column + 1):
@@ -532,7 +535,7 @@ def prolog(toks: list[Token]) -> list[Function]:
             elif t.text == ")" and open_:
                 depth -= open_.pop()
             elif t.text == "->":
-                score += 1 + depth
+                score += 1 + depth - (open_[-1] if open_ else 0)
                 if open_ and not open_[-1]:
                     open_[-1] = 1
                     depth += 1
@@ -547,27 +550,74 @@ def prolog(toks: list[Token]) -> list[Function]:
     return [Function(n, s, a, b, 0, k) for n, (s, a, b, k) in scores.items()]
 
 
+#: Branches that depend on a condition, and those that do not, of the common instruction sets.
+CONDITIONAL = re.compile(r"j(?!mp$|al$|alr$|r$)[a-z]{1,5}|b(?:eq|ne|lt|le|gt|ge|hi|lo|hs|ls|cs|cc|vs|vc|mi|pl)z?|b(?:lt|le|gt|ge)u|c?bn?z|tbn?z|loop(?:n?[ez])?", re.IGNORECASE)
+ALWAYS = re.compile(r"jmp|b|j", re.IGNORECASE)
+
+
+def _instructions(toks: list[Token]) -> list[tuple[list[str], str, str, int, int]]:
+    """(labels before it, mnemonic, target, line, tokens) of each instruction; one without a mnemonic ends a source with labels."""
+    out, labels, line, size = [], [], [], 0
+    for t in [*toks, Token(NEWLINE, 0, 0)]:
+        if t.text != NEWLINE:
+            line.append(t)
+            continue
+        at = line[0].line if line else 0
+        size += len(line)
+        texts = [t.text for t in line]
+        while ":" in texts[:4] and all(re.fullmatch(r"[\w.$@]+", x) for x in texts[: texts.index(":")]):
+            labels.append("".join(texts[: texts.index(":")]))
+            texts = texts[texts.index(":") + 1 :]
+        if texts:
+            last = len(texts) - texts[::-1].index(",") if "," in texts else 1
+            out.append((labels, texts[0], "".join(texts[last:]), at, size))
+            labels, size = [], 0
+        line = []
+    if labels:
+        out.append((labels, "", "", out[-1][3] + 1 if out else 1, size))
+    return out
+
+
 def assembly(toks: list[Token]) -> list[Function]:
-    """Labels begin functions; a conditional jump adds 1, a backward one is a loop and adds its depth as well."""
-    rows, cur, line_start, seen = [], ["(top)", 0, 1, 1, 0], True, set()
-    words = [t for t in toks]
-    for i, t in enumerate(words):
-        nxt = words[i + 1].text if i + 1 < len(words) else ""
-        if t.text == NEWLINE:
-            line_start = True
+    """Structures read off the jumps of each function.
+
+    A conditional jump back is a loop, one ahead an if: each adds 1 and the loops, ifs and elses that it lies in.
+    More jumps of one row of comparisons to one place add 1 each. A jump that always happens adds 1: as an else
+    where it stands before an if's end, or else as a goto. Labels of their own begin functions.
+    """
+    code = _instructions(toks)
+    jumped = {target for _, word, target, _, _ in code if CONDITIONAL.fullmatch(word)}
+    begins = [i for i, (labels, *_) in enumerate(code) if any(not re.match(r"[.\d]|L\d", x) and x not in jumped for x in labels)]
+    out = []
+    for lo, hi in zip([0, *begins], [*begins, len(code)], strict=True):
+        part = code[lo:hi]
+        if not part:
             continue
-        if line_start and nxt == ":" and not t.text.startswith((".", "L")):
-            if cur[4]:
-                rows.append(Function(cur[0], cur[1], cur[2], cur[3], 0, cur[4]))
-            cur, seen = [t.text, 0, t.line, t.line, 0], set()
-        elif line_start and nxt == ":":
-            seen.add(t.text)
-        elif re.fullmatch(r"(?i)j(?!mp)[a-z]{1,4}|b(?:eq|ne|lt|gt|le|ge)|cb[n]?z|loop\w*", t.text) and line_start:
-            cur[1] += 2 if nxt in seen else 1
-        line_start = False
-        cur[3], cur[4] = t.line, cur[4] + 1
-    rows.append(Function(cur[0], cur[1], cur[2], cur[3], 0, cur[4]))
-    return [r for r in rows if r.tokens]
+        place = {x: i for i, (labels, *_) in enumerate(part) for x in labels}
+        jumps = [(i, place.get(target, -1), bool(CONDITIONAL.fullmatch(word))) for i, (_, word, target, _, _) in enumerate(part) if CONDITIONAL.fullmatch(word) or ALWAYS.fullmatch(word)]
+        loops = [(to, i) for i, to, when in jumps if when and 0 <= to <= i]
+        score, ifs, elses, before = 0, [], [], None
+        for i, to, when in jumps:
+            if not when or 0 <= to <= i:
+                continue
+            if before and before[1] == to and i - before[0] <= 2:
+                score += 1  # one more condition of the same if
+            elif all(to <= end for start, end in loops if start <= i <= end):
+                ifs.append((i, to if to >= 0 else i))
+            else:
+                score += 1 + sum(start <= i <= end for start, end in loops)  # leaves a loop
+            before = (i, to)
+        for i, to, when in jumps:
+            if not when:
+                score += 1
+                if to > i and any(end == i + 1 for _, end in ifs):
+                    elses.append((i, to))
+        around = lambda i: sum(start < i < end for start, end in [*ifs, *elses])
+        score += sum(1 + around(i) + sum(start <= i <= end for start, end in loops) for i, _ in ifs)
+        score += sum(1 + around(start) + sum(a <= start and end <= b and (a, b) != (start, end) for a, b in loops) for start, end in loops)
+        names = [x for x in part[0][0] if x not in jumped]
+        out.append(Function(names[-1] if names else "(top)", score, part[0][3], part[-1][3], 0, sum(p[4] for p in part)))
+    return out
 
 
 def by_indent(toks: list[Token], lang: Language) -> list[Function]:
@@ -591,7 +641,8 @@ def by_indent(toks: list[Token], lang: Language) -> list[Function]:
                         rows.append(cur)
                     cur = [name, 0, t.line, t.line, 0]
                 open_ = []
-            open_ = [c for c in open_ if c < t.column]
+            arm = t.text == "|" and lang.ext == "fs"  # the arms of a match stand below its word
+            open_ = [c for c in open_ if c < t.column + arm]
         if cur is None:
             cur = ["(top)", 0, t.line, t.line, 0]
         if t.text in ("if", *lang.switches, *lang.loops):
