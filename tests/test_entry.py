@@ -33,3 +33,10 @@ def test_works_without_the_corpus_operators(tmp_path):
     shutil.rmtree(tmp_path / "tidelens" / "llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'AGG14' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q), q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, timeout=120)
+
+
+def test_works_without_a_library_of_the_corpus_operators(tmp_path):
+    """Where a compressor cannot be imported, the other queries still are there."""
+    (tmp_path / "zstandard.py").write_text("raise ImportError('not there')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'AGG14' in q and not any(k.startswith('op') for k in q), q"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": f"{tmp_path}:{ROOT}"}, timeout=120)

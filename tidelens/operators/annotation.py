@@ -26,26 +26,37 @@ def with_run(df: DataFrame, day: Column, base: int, step: int = 1) -> DataFrame:
     return df.withColumn("_d", day).join(days, "_d").drop("_d")
 
 
+#: Rows of a hand-labelled set; it travels with every task as one array.
+GOLDEN_ROWS = 100_000
+
+
+def _pool(golden: DataFrame, item: Column) -> DataFrame:
+    """One row with all of a hand-labelled set; an error if it is none by its size."""
+    if golden.limit(GOLDEN_ROWS + 1).count() > GOLDEN_ROWS:
+        raise ValueError(f"a hand-labelled set has at most {GOLDEN_ROWS} rows")
+    return F.broadcast(golden.groupBy().agg(F.sort_array(F.collect_list(item)).alias("_g")))
+
+
 def few_shots(golden: DataFrame, targets: DataFrame, per_class: int, draws: int, label: str = "answer", exclude_target: bool = True, seed: int = 0) -> DataFrame:
     """(eval_id, draw, shot_id, label, pos): per_class golden examples of each class, for every target and draw.
 
-    golden is a hand-labelled set (hundreds of rows, collected into one array row); targets
-    may be of any number.
+    golden is a hand-labelled set of at most GOLDEN_ROWS rows, one array; targets may be of any number. The
+    examples are ordered by a hash and sliced inside the target's own row, so only drawn ones become rows
+    and nothing is shuffled.
     """
-    pool = golden.groupBy().agg(F.collect_list(F.struct(F.col("id").alias("shot_id"), F.col(label).alias("label"))).alias("_g"))
-    rows = targets.select(F.col("id").alias("eval_id")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    rows = rows.join(F.broadcast(pool)).select("eval_id", "draw", F.explode("_g").alias("g")).select("eval_id", "draw", "g.*")
-    if exclude_target:
-        rows = rows.where("shot_id != eval_id")
-    order = draw_key(seed, "eval_id", "draw", "shot_id")
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("eval_id", "draw", "label").orderBy(order))).where(F.col("_n") <= per_class).drop("_n")
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("eval_id", "draw").orderBy("label", order)))
+    pool = _pool(golden, F.struct(F.col(label).alias("label"), F.col("id").alias("shot_id")))
+    rows = targets.select(F.col("id").alias("eval_id")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).join(pool)
+    key = lambda g: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("eval_id"), F.col("draw"), g["shot_id"]))
+    able = F.filter("_g", lambda g: g["shot_id"] != F.col("eval_id")) if exclude_target else F.col("_g")
+    ordered = F.array_sort(F.transform(able, lambda g: F.struct(g["label"].alias("label"), key(g).alias("k"), g["shot_id"].alias("shot_id"))))
+    of = lambda x: F.slice(F.filter("_s", lambda g: g["label"].eqNullSafe(x)), 1, per_class)
+    rows = rows.select("eval_id", "draw", ordered.alias("_s")).withColumn("_s", F.flatten(F.transform(F.array_distinct(F.transform("_s", lambda g: g["label"])), of)))
+    return rows.select("eval_id", "draw", F.posexplode("_s").alias("pos", "g")).select("eval_id", "draw", "g.shot_id", "g.label", (F.col("pos") + 1).alias("pos"))
 
 
 def with_replacement(golden: DataFrame, targets: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(eval_id, pos, shot_id): n independent draws from the golden set."""
-    pool = golden.groupBy().agg(F.sort_array(F.collect_list("id")).alias("_g"))
-    rows = targets.select(F.col("id").alias("eval_id")).withColumn("pos", F.explode(F.sequence(F.lit(1), F.lit(n)))).join(F.broadcast(pool))
+    """(eval_id, pos, shot_id): n independent draws from the golden set, which has at most GOLDEN_ROWS rows."""
+    rows = targets.select(F.col("id").alias("eval_id")).withColumn("pos", F.explode(F.sequence(F.lit(1), F.lit(n)))).join(_pool(golden, F.col("id")))
     at = F.conv(F.substring(draw_key(seed, "eval_id", "pos"), 1, 12), 16, 10).cast("long") % F.size("_g")
     return rows.select("eval_id", "pos", F.get("_g", at.cast("int")).alias("shot_id"))
 

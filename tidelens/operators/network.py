@@ -58,16 +58,36 @@ def summary(edge_list: DataFrame) -> DataFrame:
 
 
 def clustering(edge_list: DataFrame) -> DataFrame:
-    """(node, clustering): closed pairs of neighbours over all pairs; 0 below two neighbours."""
-    e = edge_list.select("a", "b")
-    triangles = e.alias("x").join(e.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("x.b").alias("m"), F.col("y.b").alias("b")).join(e, ["a", "b"])
-    hits = triangles.select(F.explode(F.array("a", "m", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("t"))
-    k = degrees(edge_list).select("node", "degree").join(hits, "node", "left").fillna(0, ["t"])
+    """(node, clustering): closed pairs of neighbours over all pairs; 0 below two neighbours.
+
+    Edges are led from the node of fewer neighbours to that of more, so no node begins more
+    than sqrt(2 * edges) of them and a hub's neighbours are not paired with each other.
+    """
+    k = degrees(edge_list).select("node", "degree")
+    side = lambda c: k.select(F.col("node").alias(c), F.struct("degree", "node").alias(f"_{c}"))
+    led = edge_list.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    e = led.select(F.least("_a", "_b").alias("u"), F.greatest("_a", "_b").alias("v"))
+    wedges = e.alias("x").join(e.alias("y"), F.col("x.u") == F.col("y.u")).where(F.col("x.v") < F.col("y.v"))
+    wedges = wedges.select(F.col("x.u").alias("m"), F.col("x.v").alias("u"), F.col("y.v").alias("v"))
+    hits = wedges.join(e, ["u", "v"]).select(F.explode(F.array("m.node", "u.node", "v.node")).alias("node")).groupBy("node").agg(F.count("*").alias("t"))
+    k = k.join(hits, "node", "left").fillna(0, ["t"])
     return k.select("node", F.when(F.col("degree") < 2, 0.0).otherwise(F.try_divide(2.0 * F.col("t"), F.col("degree") * (F.col("degree") - 1))).alias("clustering"))
 
 
+MOST_EDGES = 2_000_000  # edges of a network that is measured in one task, as a dense matrix
+
+
+def _bounded(edge_list: DataFrame) -> DataFrame:
+    """edge_list under one key; an error if it is too large for one task."""
+    if edge_list.limit(MOST_EDGES + 1).count() > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} edges: take an ego network or an induced one")
+    return edge_list.select("a", "b", F.col("weight").cast("double").alias("weight"), F.lit(1).alias("_m"))
+
+
 def _matrix(p: pd.DataFrame) -> tuple[list[str], np.ndarray]:
     names = sorted(set(p["a"]) | set(p["b"]))
+    if len(names) > 10_000:
+        raise ValueError("more than 10000 nodes: take an ego network or an induced one")
     at = {n: i for i, n in enumerate(names)}
     m = np.zeros((len(names), len(names)))
     i, j = p["a"].map(at).to_numpy(int), p["b"].map(at).to_numpy(int)
@@ -90,7 +110,7 @@ def eigenvector(edge_list: DataFrame, rounds: int = 1000, tolerance: float = 1e-
             v = new
         return pd.DataFrame({"node": names, "centrality": v})
 
-    return edge_list.select("a", "b", F.col("weight").cast("double").alias("weight"), F.lit(1).alias("_m")).groupBy("_m").applyInPandas(lambda p: run(p), "node string, centrality double")
+    return _bounded(edge_list).groupBy("_m").applyInPandas(lambda p: run(p), "node string, centrality double")
 
 
 def communities(edge_list: DataFrame) -> DataFrame:
@@ -118,7 +138,7 @@ def communities(edge_list: DataFrame) -> DataFrame:
         rows = [(names[n], c) for c, g in enumerate(order) for n in g]
         return pd.DataFrame(rows, columns=["node", "community"])
 
-    return edge_list.select("a", "b", F.col("weight").cast("double").alias("weight"), F.lit(1).alias("_m")).groupBy("_m").applyInPandas(lambda p: run(p), "node string, community int")
+    return _bounded(edge_list).groupBy("_m").applyInPandas(lambda p: run(p), "node string, community int")
 
 
 def modularity(edge_list: DataFrame, member: DataFrame) -> DataFrame:

@@ -224,16 +224,12 @@ def summary(spark, d):
     return network.summary(_ego_edges(spark, d))
 
 
-_STRONG = "st AS (SELECT a, b, count(*) AS weight FROM (SELECT x.id, x.tag AS a, y.tag AS b FROM tags x JOIN tags y ON x.id = y.id AND x.tag < y.tag) GROUP BY 1, 2 HAVING count(*) % 3 = 0)"
+_ALL = "st AS (SELECT a, b, count(*) AS weight FROM (SELECT x.id, x.tag AS a, y.tag AS b FROM tags x JOIN tags y ON x.id = y.id AND x.tag < y.tag) GROUP BY 1, 2)"
 
 
-def _strong(spark, d):
-    return network.edges(network.pairs(tags(spark, d))).where("weight % 3 = 0")
-
-
-@query("NET5", f"WITH {_STRONG}, s AS (SELECT a AS n, b AS o FROM st UNION ALL SELECT b, a FROM st), k AS (SELECT n AS node, count(*) AS k FROM s GROUP BY 1), t AS (SELECT x.n AS node, count(*) AS t FROM s x JOIN s y ON x.n = y.n AND x.o < y.o JOIN st ON st.a = x.o AND st.b = y.o GROUP BY 1) SELECT k.node, CASE WHEN k < 2 THEN 0 ELSE 2.0 * coalesce(t, 0) / (k * (k - 1)) END AS clustering FROM k LEFT JOIN t ON k.node = t.node", "tags", "clustering")
+@query("NET5", f"WITH {_ALL}, s AS (SELECT a AS n, b AS o FROM st UNION ALL SELECT b, a FROM st), k AS (SELECT n AS node, count(*) AS k FROM s GROUP BY 1), t AS (SELECT x.n AS node, count(*) AS t FROM s x JOIN s y ON x.n = y.n AND x.o < y.o JOIN st ON st.a = x.o AND st.b = y.o GROUP BY 1) SELECT k.node, CASE WHEN k < 2 THEN 0 ELSE 2.0 * coalesce(t, 0) / (k * (k - 1)) END AS clustering FROM k LEFT JOIN t ON k.node = t.node", "tags", "clustering")
 def clustering(spark, d):
-    return network.clustering(_strong(spark, d))
+    return network.clustering(network.edges(network.pairs(tags(spark, d))))
 
 
 @query("NET6")

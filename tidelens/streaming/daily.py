@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from datetime import date
 
@@ -24,19 +25,26 @@ def aligned_windows(stream: DataFrame, ts: str, event: str, days: int = 7, late:
 
 
 def run_available(stream: DataFrame, work: Callable[[DataFrame], DataFrame], done_path: str, out_path: str, checkpoint: str, key: str = "id") -> StreamingQuery:
-    """Process everything available once, skipping keys that the done table holds.
+    """Process everything available once, skipping keys that the done table holds, whichever checkpoint put them there.
 
-    Each batch writes its results and then its keys under its batch number, so a batch that
-    runs again after a failure overwrites what it left instead of adding to it.
+    Each batch writes its results and then its keys under its own name (the checkpoint's
+    and its number), so a batch that runs again after a failure overwrites what it left
+    instead of adding to it: its own keys do not count as done.
     """
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        fresh = df
-        if number:
-            done = spark.read.parquet(*(f"{done_path}/batch={i}" for i in range(number)))
-            fresh = df.join(done.select(key), key, "left_anti")
-        work(fresh).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        fresh.select(key).distinct().write.mode("overwrite").parquet(f"{done_path}/batch={number}")
-
+        spark, name = df.sparkSession, f"batch={run}-{number}"
+        done = spark.read.schema(f"{key} {df.schema[key].dataType.simpleString()}, batch string").parquet(done_path)
+        done = done.where(F.col("batch") != name.removeprefix("batch="))
+        fresh = df.join(done.select(key), key, "left_anti").persist()
+        try:
+            work(fresh).write.mode("overwrite").parquet(f"{out_path}/{name}")
+            fresh.select(key).distinct().write.mode("overwrite").parquet(f"{done_path}/{name}")
+        finally:
+            fresh.unpersist()
+
+    spark = stream.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(done_path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
