@@ -141,6 +141,23 @@ def bin_effects(df: DataFrame, by: list[str], bin_: str, y: str, w: str | None =
     return means.withColumn("coef", F.col("_m") - base).where("coef is not null").drop("_m")
 
 
+def bin_study(df: DataFrame, by: list[str], bin_: str, y: str, w: str, ref: int = -1) -> DataFrame:
+    """(by, bin, coef, se, t, df) of a weighted regression on bins alone: weighted means against the reference bin's.
+
+    df: the residual degrees of freedom. The reference bin is listed with 0; errors are classical, null without a degree of freedom.
+    """
+    yc, wc = F.col(y).cast("double"), F.col(w).cast("double")
+    cells = df.groupBy(*by, bin_).agg(F.count("*").alias("_n"), F.sum(wc).alias("_w"), F.sum(wc * yc).alias("_wy"), F.sum(wc * yc * yc).alias("_wyy"))
+    cells = cells.withColumn("_m", F.col("_wy") / F.col("_w")).withColumn("_ss", F.col("_wyy") - F.col("_wy") * F.col("_m"))
+    every = Window.partitionBy(*(by or [F.lit(1)]))
+    at_ref = lambda c: F.max(F.when(F.col(bin_) == ref, F.col(c))).over(every)
+    dof = F.sum("_n").over(every) - F.count("*").over(every)
+    out = cells.withColumn("df", dof).withColumn("_s2", F.try_divide(F.sum("_ss").over(every), F.col("df")))
+    var = F.when(F.col(bin_) == ref, F.lit(0.0)).otherwise(F.col("_s2") * (1 / F.col("_w") + 1 / at_ref("_w")))
+    out = out.select(*by, bin_, (F.col("_m") - at_ref("_m")).alias("coef"), F.sqrt(F.when(F.col("df") > 0, var)).alias("se"), "df")
+    return out.where("coef is not null").select(*by, bin_, "coef", "se", F.try_divide("coef", "se").alias("t"), "df")
+
+
 def pearson(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """(by, n, r, t) with n - 2 degrees of freedom."""
     xc, yc = F.col(x).cast("double"), F.col(y).cast("double")

@@ -153,31 +153,96 @@ def effect_curve(panel: DataFrame, entity: str, grid: list[int], y: str = "y", t
     return one_model(panel, [entity, y, t], [entity, t], build, "t int, effect double, se double")
 
 
+STUDY = "bin int, coef double, se double, z double, p double"
+
+
+def _study(p: pd.DataFrame, entity: str, bin_: str, y: str, weights: str | None, ref: int) -> pd.DataFrame:
+    bins = sorted(set(p[bin_]) - {ref})
+    x0 = np.c_[np.ones(len(p)), (p[bin_].to_numpy()[:, None] == np.array(bins)).astype(float), pd.get_dummies(p[entity], drop_first=True).to_numpy(float)]
+    beta, e, bread, x = solve(x0, p[y].to_numpy(float), p[weights].to_numpy(float) if weights else None)
+    k = len(bins) + 1
+    out = _table(["const", *map(str, bins)], beta[:k], cluster(x, e, bread, p[entity].to_numpy())[:k, :k]).iloc[1:]
+    out = pd.concat([out, pd.DataFrame({"term": [str(ref)], "coef": [0.0], "se": [0.0], "z": [0.0], "p": [1.0]})])
+    out["bin"] = out["term"].astype(int)
+    return out[["bin", "coef", "se", "z", "p"]]
+
+
 def event_study(panel: DataFrame, entity: str, bin_: str, y: str = "y", weights: str | None = None, ref: int = -1) -> DataFrame:
     """(bin, coef, se, z, p): bin and entity effects, errors by entity; the reference bin has 0 and p 1."""
+    columns = list(dict.fromkeys([entity, bin_, y, *([weights] if weights else [])]))
+    return one_model(panel, columns, [entity, bin_], lambda p: _study(p, entity, bin_, y, weights, ref), STUDY)
 
-    def build(p: pd.DataFrame) -> pd.DataFrame:
-        bins = sorted(set(p[bin_]) - {ref})
-        x0 = np.c_[np.ones(len(p)), (p[bin_].to_numpy()[:, None] == np.array(bins)).astype(float), pd.get_dummies(p[entity], drop_first=True).to_numpy(float)]
-        beta, e, bread, x = solve(x0, p[y].to_numpy(float), p[weights].to_numpy(float) if weights else None)
-        k = len(bins) + 1
-        out = _table(["const", *map(str, bins)], beta[:k], cluster(x, e, bread, p[entity].to_numpy())[:k, :k]).iloc[1:]
-        out = pd.concat([out, pd.DataFrame({"term": [str(ref)], "coef": [0.0], "se": [0.0], "z": [0.0], "p": [1.0]})])
-        out["bin"] = out["term"].astype(int)
-        return out[["bin", "coef", "se", "z", "p"]]
 
+def leave_one_out(panel: DataFrame, entity: str, bin_: str, y: str = "y", weights: str | None = None) -> DataFrame:
+    """(left_out, bin, coef, se, z, p): the event study without each entity in turn, all on one copy of the panel."""
     columns = list(dict.fromkeys([entity, bin_, y, *([weights] if weights else [])]))
-    return one_model(panel, columns, [entity, bin_], build, "bin int, coef double, se double, z double, p double")
+    kind = panel.schema[entity].dataType.simpleString()
 
+    def build(p: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for n in sorted(set(p[entity])):
+            one = _study(p[p[entity] != n], entity, bin_, y, weights, -1)
+            one.insert(0, "left_out", n)
+            out.append(one)
+        return pd.concat(out)
 
-def leave_one_out(panel: DataFrame, entity: str, bin_: str, y: str = "y", weights: str | None = None) -> DataFrame:
-    """(left_out, bin, coef, se, z, p): the event study without each entity in turn; entities are a small dimension."""
-    names = [r[0] for r in panel.select(entity).distinct().orderBy(entity).collect()]
-    out = None
-    for n in names:
-        one = event_study(panel.where(F.col(entity) != n), entity, bin_, y, weights).select(F.lit(n).alias("left_out"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return one_model(panel, columns, [entity, bin_], build, f"left_out {kind}, {STUDY}")
+
+
+def studies_by_size(panel: DataFrame, entity: str, week: str, sizes: tuple[int, ...], limits: tuple[int, int], y: str = "y", weights: str = "n_func") -> DataFrame:
+    """(size, bin, coef, se, z, p): the event study with bins of so many weeks, all from one weekly panel of weighted means."""
+
+    def build(p: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for size in sizes:
+            q = p.assign(bin=p[week] // size, wy=p[y] * p[weights]).groupby([entity, "bin"], as_index=False)[["wy", weights]].sum()
+            q = q[q["bin"].between(*limits)].assign(**{y: lambda q: q["wy"] / q[weights]}).sort_values([entity, "bin"])
+            one = _study(q, entity, "bin", y, weights, -1)
+            one.insert(0, "size", size)
+            out.append(one)
+        return pd.concat(out)
+
+    return one_model(panel, [entity, week, y, weights], [entity, week], build, f"size int, {STUDY}")
+
+
+def its_models(panel: DataFrame, by: str, widths: tuple[int, ...], y: str = "y", t: str = "t", weights: str = "n_func", lags: int = 8) -> DataFrame:
+    """(by, term, coef, se, z, p, model): each entity's weighted series with HAC errors, and plain ones on narrower windows with HC3."""
+    kind = panel.schema[by].dataType.simpleString()
+
+    def fit(p: pd.DataFrame) -> pd.DataFrame:
+        p, out = p.dropna().sort_values(t), []
+        models = [(f"wls_hac{lags}", p, weights, "hac"), *((f"hc3_{k}", p[p[t].between(-k, k)], None, "hc3") for k in widths)]
+        for name, q, w, cov in models:
+            if len(q) < 5:
+                continue
+            beta, e, bread, x = solve(its_design(q[t].to_numpy(float)), q[y].to_numpy(float), q[w].to_numpy(float) if w else None)
+            one = _table(list(ITS_TERMS), beta, _covariance(cov, lags, x, e, bread))
+            one.insert(0, by, p[by].iloc[0])
+            out.append(one.assign(model=name))
+        return pd.concat(out) if out else pd.DataFrame(columns=[by, "term", "coef", "se", "z", "p", "model"])
+
+    return panel.select(by, y, t, weights).groupBy(by).applyInPandas(fit, f"{by} {kind}, {TERMS}, model string")
+
+
+def bin_study_hac(panel: DataFrame, by: str, bin_: str, t: str, lags: int, ref: int | None = -1, y: str = "y", weights: str | None = None) -> DataFrame:
+    """(by, bin, coef, se, z, p) of y on bins alone with HAC errors; ref None: the first bin. Bins without an error go."""
+    kind = panel.schema[by].dataType.simpleString()
+
+    def fit(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.dropna().sort_values(t)
+        base = p[bin_].min() if ref is None else ref
+        bins = sorted(set(p[bin_]) - {base})
+        if base not in set(p[bin_]) or not bins:
+            return pd.DataFrame(columns=[by, "bin", "coef", "se", "z", "p"])
+        x0 = np.c_[np.ones(len(p)), (p[bin_].to_numpy()[:, None] == np.array(bins)).astype(float)]
+        beta, e, bread, x = solve(x0, p[y].to_numpy(float), p[weights].to_numpy(float) if weights else None)
+        out = _table(["const", *map(str, bins)], beta, hac(x, e, bread, lags)).iloc[1:].dropna()
+        out["bin"] = out["term"].astype(int)
+        out.insert(0, by, p[by].iloc[0])
+        return out[[by, "bin", "coef", "se", "z", "p"]]
+
+    columns = list(dict.fromkeys([by, bin_, t, y, *([weights] if weights else [])]))
+    return panel.select(*columns).groupBy(by).applyInPandas(fit, f"{by} {kind}, {STUDY}")
 
 
 def spline(panel: DataFrame, by: str, knots: tuple[int, ...] = (0, 52, 104), y: str = "y", t: str = "t", lags: int = 4) -> DataFrame:

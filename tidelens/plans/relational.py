@@ -638,11 +638,18 @@ def centred_10(spark, d):
     return panel(spark, d).select("language", "rel_week", F.when(F.count("y").over(w) == 10, F.avg("y").over(w)).alias("m"))
 
 
-@query("WIN5", "SELECT language, rel_week, CASE WHEN count(*) OVER x = 8 THEN regr_slope(y, rel_week) OVER x END AS slope, CASE WHEN count(*) OVER x = 8 THEN regr_slope(y, rel_week) OVER x / avg(y) OVER x END AS relative, CASE WHEN count(*) OVER x = 8 THEN min(rel_week) OVER x END AS start FROM panel WINDOW x AS (PARTITION BY language ORDER BY rel_week ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)", "panel", "slope relative")
+_R2 = "(1 - regr_r2(y, rel_week) OVER x)"
+
+
+@query("WIN5", f"SELECT language, rel_week, CASE WHEN count(*) OVER x = 8 THEN regr_slope(y, rel_week) OVER x END AS slope, CASE WHEN count(*) OVER x = 8 THEN regr_slope(y, rel_week) OVER x / avg(y) OVER x END AS relative, CASE WHEN count(*) OVER x = 8 THEN 1 - sqrt(1 - {_R2}) * (1 + {_R2} / 2 + 3 * {_R2} ** 2 / 8) END AS p, CASE WHEN count(*) OVER x = 8 THEN min(rel_week) OVER x END AS start, count(*) OVER x AS n FROM panel WINDOW x AS (PARTITION BY language ORDER BY rel_week ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)", "panel", "slope relative p", 8)
 def rolling_line(spark, d):
+    """Lines over eight weeks. p is that of Student's t with six degrees of freedom, which is a polynomial of r."""
     w = Window.partitionBy("language").orderBy("rel_week").rowsBetween(-7, 0)
-    full, slope = F.count("*").over(w) == 8, F.regr_slope(F.col("y"), F.col("rel_week").cast("double")).over(w)
-    return panel(spark, d).select("language", "rel_week", F.when(full, slope).alias("slope"), F.when(full, slope / F.avg("y").over(w)).alias("relative"), F.when(full, F.min("rel_week").over(w)).alias("start"))
+    y, x = F.col("y"), F.col("rel_week").cast("double")
+    n, slope, rest = F.count("*").over(w), F.regr_slope(y, x).over(w), 1 - F.regr_r2(y, x).over(w)
+    p = 1 - F.sqrt(1 - rest) * (1 + rest / 2 + 3 * rest**2 / 8)
+    full = lambda c: F.when(n == 8, c)
+    return panel(spark, d).select("language", "rel_week", full(slope).alias("slope"), full(slope / F.avg("y").over(w)).alias("relative"), full(p).alias("p"), full(F.min("rel_week").over(w)).alias("start"), n.alias("n"))
 
 
 @query("WIN6", "SELECT id, cc, nloc FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cc DESC, nloc) AS r FROM metrics) WHERE r = 1", "metrics")

@@ -17,6 +17,21 @@ def _line(prefix: str, y: str, x: str, when: str) -> str:
     return f"CAST(regr_count({c}, {x}) AS BIGINT) AS {prefix}n, regr_slope({c}, {x}) AS {prefix}slope, regr_intercept({c}, {x}) AS {prefix}icpt, regr_avgx({c}, {x}) AS {prefix}xm, regr_sxx({c}, {x}) AS {prefix}sxx, regr_syy({c}, {x}) * (1 - coalesce(regr_r2({c}, {x}), 0)) AS {prefix}rss, regr_r2({c}, {x}) AS {prefix}r2"
 
 
+def _t_p(t: str, df: str) -> str:
+    """Two-sided p of Student's t with whole degrees of freedom in SQL: its finite series."""
+    cos2 = f"({df} / ({df} + ({t}) ** 2))"
+    even = f"list_sum(list_transform(range(0, CAST({df} AS BIGINT) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * {cos2} ** k))"
+    odd = f"list_sum(list_transform(range(0, CAST({df} AS BIGINT) // 2), lambda k: exp(lgamma(k + 1.0) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * {cos2} ** k))"
+    return f"(1 - CASE WHEN CAST({df} AS BIGINT) % 2 = 0 THEN sqrt(1 - {cos2}) * {even} ELSE 2 / pi() * (acos(sqrt({cos2})) + sqrt(1 - {cos2}) * sqrt({cos2}) * coalesce({odd}, 0)) END)"
+
+
+def _t_quantiles(table: str, p: float = 0.975) -> str:
+    """tq AS (df, tq) for the degrees of freedom df of a table, by bisection in SQL."""
+    inside = _t_p("((lo + hi) / 2)", "df")
+    half = f"CASE WHEN {inside} > {2 * (1 - p)}"
+    return f"tq AS (WITH RECURSIVE r AS (SELECT DISTINCT df, CAST(0 AS DOUBLE) AS lo, CAST(64 AS DOUBLE) AS hi, 0 AS i FROM {table} WHERE df > 0 UNION ALL SELECT df, {half} THEN (lo + hi) / 2 ELSE lo END, {half} THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM r WHERE i < 60) SELECT df, (lo + hi) / 2 AS tq FROM r WHERE i = 60)"
+
+
 def _panel_t(spark, d):
     return panel(spark, d).withColumnRenamed("rel_week", "t")
 
@@ -169,9 +184,10 @@ def trend(spark, d):
     return s.select("language", numbers.trend_class(F.col("r"), 0.00001).alias("trend"))
 
 
-@query("STA1", f"WITH {_OLS} SELECT language, n, slope, icpt, r2, se, slope / se AS t FROM o", "panel", "slope icpt r2 se t", 6)
+@query("STA1", f"WITH {_OLS} SELECT language, n, slope, icpt, r2, se, slope / se AS t, {_t_p('slope / se', '(n - 2)')} AS p FROM o", "panel", "slope icpt r2 se t p", 6)
 def ols(spark, d):
-    return closed.ols(panel(spark, d), ["language"], "y", "rel_week").select("language", "n", "slope", "icpt", "r2", "se", "t")
+    o = closed.ols(panel(spark, d), ["language"], "y", "rel_week")
+    return o.select("language", "n", "slope", "icpt", "r2", "se", "t", dist.t_p_col(F.col("t"), F.col("n") - 2).alias("p"))
 
 
 @query("STA2", "WITH s AS (SELECT language, count(*) AS n, sum(n_func) AS w, sum(n_func * rel_week) AS wx, sum(n_func * y) AS wy, sum(n_func * rel_week * rel_week) AS wxx, sum(n_func * rel_week * y) AS wxy, sum(n_func * y * y) AS wyy FROM panel GROUP BY 1), c AS (SELECT *, (wxy - wx * wy / w) / (wxx - wx * wx / w) AS slope FROM s) SELECT language, n, slope, (wy - slope * wx) / w AS icpt, sqrt((wyy - wy * wy / w - slope * (wxy - wx * wy / w)) / (n - 2) / (wxx - wx * wx / w)) AS se FROM c", "panel", "slope icpt se", 6)
@@ -179,17 +195,18 @@ def wls(spark, d):
     return closed.wls(panel(spark, d).withColumn("x", F.col("rel_week").cast("double")).withColumn("wt", F.col("n_func").cast("double")), ["language"], "y", "x", "wt")
 
 
-@query("STA3")
+@query("STA3", f"WITH {_OLS} SELECT language, slope, icpt, sqrt(r2) * sign(slope) AS r, {_t_p('slope / se', '(n - 2)')} AS p, se FROM o", "panel", "slope icpt r p se", 6)
 def linregress(spark, d):
     o = closed.ols(panel(spark, d), ["language"], "y", "rel_week")
-    return o.select("language", F.round("slope", 8).alias("slope"), F.round(dist.t_p_col(F.col("t"), F.col("n") - 2), 6).alias("p"))
+    return o.select("language", "slope", "icpt", (F.sqrt("r2") * F.signum("slope")).alias("r"), dist.t_p_col(F.col("t"), F.col("n") - 2).alias("p"), "se")
 
 
-@query("STA4", f"WITH l AS (SELECT language, {_line('', 'y', 'rel_week', 'TRUE')} FROM panel GROUP BY 1) SELECT language, x, icpt + slope * x AS fit, sqrt(rss / (n - 2) * (1 / n + (x - xm) ** 2 / sxx)) AS se FROM l, (SELECT unnest([-100, 0, 100]) AS x)", "panel", "fit se", 6)
+@query("STA4", f"WITH l AS (SELECT *, n - 2 AS df FROM (SELECT language, {_line('', 'y', 'rel_week', 'TRUE')} FROM panel GROUP BY 1)), {_t_quantiles('l')}, f AS (SELECT language, x, df, icpt + slope * x AS fit, sqrt(rss / (n - 2) * (1 / n + (x - xm) ** 2 / sxx)) AS se FROM l, (SELECT unnest([-100, 0, 100]) AS x)) SELECT language, x, fit, se, fit - tq * se AS low, fit + tq * se AS high FROM f JOIN tq ON f.df = tq.df", "panel", "fit se low high", 6)
 def prediction(spark, d):
-    l = panel(spark, d).groupBy("language").agg(*closed.line(F.col("y"), F.col("rel_week")))
+    l = panel(spark, d).groupBy("language").agg(*closed.line(F.col("y"), F.col("rel_week"))).withColumn("q", dist.t_quantile_col(F.lit(0.975), F.col("n") - 2))
     g = l.withColumn("x", F.explode(F.array(F.lit(-100), F.lit(0), F.lit(100))))
-    return g.select("language", "x", (F.col("icpt") + F.col("slope") * F.col("x")).alias("fit"), closed.mean_se(F.col("x")).alias("se"))
+    f = g.select("language", "x", (F.col("icpt") + F.col("slope") * F.col("x")).alias("fit"), closed.mean_se(F.col("x")).alias("se"), "q")
+    return f.select("language", "x", "fit", "se", (F.col("fit") - F.col("q") * F.col("se")).alias("low"), (F.col("fit") + F.col("q") * F.col("se")).alias("high"))
 
 
 @query("STA5", "SELECT language, regr_slope(y, rel_week) AS slope, regr_intercept(y, rel_week) AS icpt FROM panel GROUP BY 1", "panel", "slope icpt", 6)
@@ -208,18 +225,19 @@ def chow(spark, d):
     return closed.chow(panel(spark, d), ["language"], "y", "rel_week", F.col("rel_week") < 0)
 
 
-@query("STA6_p")
+@query("STA6_p", f"SELECT language, power(1 + 2 * f / df2, -df2 / 2) AS p FROM ({_chow_sql('rel_week < 0', 'panel', 'rel_week', 'language')})", "panel", "p", 6)
 def chow_p(spark, d):
+    """With two degrees of freedom above, the F distribution has a closed form, which the SQL uses."""
     c = closed.chow(panel(spark, d), ["language"], "y", "rel_week", F.col("rel_week") < 0)
-    return c.select("language", F.round(dist.f_p_col(F.col("f"), F.col("df1"), F.col("df2")), 6).alias("p"))
+    return c.select("language", dist.f_p_col(F.col("f"), F.col("df1"), F.col("df2")).alias("p"))
 
 
-@query("STA7", f"WITH l AS (SELECT language, {_line('b_', 'y', 'rel_week', 'rel_week < 0')}, {_line('c_', 'y', 'rel_week', 'rel_week >= 0')} FROM panel GROUP BY 1) SELECT p.language, p.rel_week, CASE WHEN p.rel_week < 0 THEN sqrt(b_rss / (b_n - 2) * (1 / b_n + (p.rel_week - b_xm) ** 2 / b_sxx)) ELSE sqrt(c_rss / (c_n - 2) * (1 / c_n + (p.rel_week - c_xm) ** 2 / c_sxx)) END AS se FROM panel p JOIN l ON p.language = l.language", "panel", "se", 6)
+@query("STA7", f"WITH l AS (SELECT *, n - 2 AS df FROM (SELECT language, rel_week >= 0 AS s, {_line('', 'y', 'rel_week', 'TRUE')} FROM panel GROUP BY 1, 2)), {_t_quantiles('l')}, f AS (SELECT p.language, p.rel_week, df, icpt + slope * p.rel_week AS fit, sqrt(rss / df * (1 / n + (p.rel_week - xm) ** 2 / sxx)) AS se FROM panel p JOIN l ON p.language = l.language AND (p.rel_week >= 0) = l.s) SELECT language, rel_week, fit, se, fit - tq * se AS low, fit + tq * se AS high FROM f JOIN tq ON f.df = tq.df", "panel", "fit se low high", 6)
 def segment_band(spark, d):
-    p = panel(spark, d)
-    side = p.withColumn("s", F.col("rel_week") >= 0)
-    l = side.groupBy("language", "s").agg(*closed.line(F.col("y"), F.col("rel_week")))
-    return side.join(l, ["language", "s"]).select("language", "rel_week", closed.mean_se(F.col("rel_week")).alias("se"))
+    side = panel(spark, d).withColumn("s", F.col("rel_week") >= 0)
+    l = side.groupBy("language", "s").agg(*closed.line(F.col("y"), F.col("rel_week"))).withColumn("q", dist.t_quantile_col(F.lit(0.975), F.col("n") - 2))
+    f = side.join(l, ["language", "s"]).select("language", "rel_week", (F.col("icpt") + F.col("slope") * F.col("rel_week")).alias("fit"), closed.mean_se(F.col("rel_week")).alias("se"), "q")
+    return f.select("language", "rel_week", "fit", "se", (F.col("fit") - F.col("q") * F.col("se")).alias("low"), (F.col("fit") + F.col("q") * F.col("se")).alias("high"))
 
 
 @query("STA8", _chow_sql("t < 0", "weekly", "t"), "weekly", "f level_change slope_change", 6)
@@ -253,9 +271,30 @@ def its_record(spark, d):
     return closed.its_points(p, ["language"]).join(n, "language").select("language", "n_func", "n_obs", "pre_trend", "level", numbers.percent_effect(F.col("slope"), 52).alias("yearly"))
 
 
-@query("STA12_points")
+@query("STA11_record")
+def its_full_record(spark, d):
+    """Level and slope change with HAC errors, p, the yearly effect in percent with its interval, and whether it is significant."""
+    p = _panel_t(spark, d)
+    fits = solve.its(p, "language", cov="hac", lags=4)
+    of = lambda term, c: F.max(F.when(F.col("term") == term, F.col(c)))
+    r = fits.groupBy("language").agg(of("time", "coef").alias("pre_trend"), of("time", "p").alias("pre_trend_p"), of("post", "coef").alias("level"), of("post", "se").alias("level_se"), of("post", "p").alias("level_p"), of("post_time", "coef").alias("slope"), of("post_time", "se").alias("slope_se"), of("post_time", "p").alias("slope_p"))
+    low, high = numbers.interval(F.col("slope"), F.col("slope_se"))
+    r = r.withColumns({"level_pct": numbers.percent_effect(F.col("level")), "yearly": numbers.percent_effect(F.col("slope"), 52), "yearly_low": numbers.percent_effect(low, 52), "yearly_high": numbers.percent_effect(high, 52)})
+    n = p.groupBy("language").agg(F.sum("n_func").alias("n_func"), F.count("*").alias("n_obs"))
+    return _rounded(r.join(n, "language").withColumn("significant", F.col("slope_p") < 0.05))
+
+
+#: The pooled fit with an effect per language: normal equations of the within-language differences, solved by determinants.
+_POOLED = """x AS (SELECT language, rel_week, n_func, y, CAST(rel_week AS DOUBLE) AS x1, CASE WHEN rel_week >= 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS x2, CAST(greatest(rel_week, 0) AS DOUBLE) AS x3 FROM panel),
+  mm AS (SELECT language, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3 FROM x GROUP BY 1),
+  w AS (SELECT y - my AS y, x1 - m1 AS x1, x2 - m2 AS x2, x3 - m3 AS x3 FROM x JOIN mm ON x.language = mm.language),
+  s AS (SELECT count(*) AS n, sum(x1 * x1) AS a, sum(x1 * x2) AS b, sum(x1 * x3) AS c, sum(x2 * x2) AS e, sum(x2 * x3) AS f, sum(x3 * x3) AS i, sum(x1 * y) AS p, sum(x2 * y) AS q, sum(x3 * y) AS r FROM w),
+  co AS (SELECT n, (p * (e * i - f * f) - b * (q * i - f * r) + c * (q * f - e * r)) / z AS pre_trend, (a * (q * i - f * r) - p * (b * i - f * c) + c * (b * r - q * c)) / z AS level, (a * (e * r - q * f) - b * (b * r - q * c) + p * (b * f - e * c)) / z AS slope FROM (SELECT *, a * (e * i - f * f) - b * (b * i - c * f) + c * (b * f - c * e) AS z FROM s))"""
+
+
+@query("STA12_points", f"WITH {_POOLED} SELECT * FROM co", "panel", "pre_trend level slope", 6)
 def pooled_points(spark, d):
-    return _rounded(closed.pooled_points(_panel_t(spark, d), "language"))
+    return closed.pooled_points(_panel_t(spark, d), "language")
 
 
 @query("STA12")
@@ -263,12 +302,16 @@ def pooled_cluster(spark, d):
     return _rounded(solve.pooled_its(_panel_t(spark, d), "language").where("cov = 'cluster'"))
 
 
-@query("STA13", f"WITH {_ITS} SELECT rel_week AS t, avg((exp(y - (b_icpt + b_slope * rel_week)) - 1) * 100) AS effect, sum(n_func * (exp(y - (b_icpt + b_slope * rel_week)) - 1) * 100) / sum(n_func) AS weighted FROM panel JOIN its ON panel.language = its.language GROUP BY 1", "panel", "effect weighted", 6)
+@query("STA13", f"WITH {_POOLED}, g AS (SELECT rel_week AS t, n_func, (exp(y - (my - pre_trend * m1 - level * m2 - slope * m3) - pre_trend * x1) - 1) * 100 AS e FROM x JOIN mm ON x.language = mm.language, co) SELECT t, avg(e) AS effect, sum(n_func * e) / sum(n_func) AS weighted FROM g GROUP BY 1", "panel", "effect weighted", 6)
 def counterfactual(spark, d):
-    p = _panel_t(spark, d)
-    e = p.join(F.broadcast(closed.its_points(p, ["language"]).select("language", "const", "pre_trend")), "language")
-    e = e.withColumn("e", numbers.percent_effect(F.col("y") - F.col("const") - F.col("pre_trend") * F.col("t")))
-    return e.groupBy("t").agg(F.avg("e").alias("effect"), rollups.weighted_mean("e", "n_func").alias("weighted"))
+    """Observed values against what the pooled fit says without the event."""
+    p = _panel_t(spark, d).withColumn("x1", F.col("t").cast("double")).withColumn("x2", (F.col("t") >= 0).cast("double")).withColumn("x3", F.greatest(F.col("t"), F.lit(0)).cast("double"))
+    w = Window.partitionBy("language")
+    mean = lambda c: F.avg(c).over(w)
+    fit = closed.pooled_points(p, "language").select(F.col("pre_trend").alias("b1"), F.col("level").alias("b2"), F.col("slope").alias("b3"))
+    rows = p.select("t", "y", "n_func", "x1", *(mean(c).alias(f"m_{c}") for c in ("y", "x1", "x2", "x3"))).join(F.broadcast(fit))
+    without = F.col("m_y") - F.col("b1") * F.col("m_x1") - F.col("b2") * F.col("m_x2") - F.col("b3") * F.col("m_x3") + F.col("b1") * F.col("x1")
+    return rows.withColumn("e", numbers.percent_effect(F.col("y") - without)).groupBy("t").agg(F.avg("e").alias("effect"), rollups.weighted_mean("e", "n_func").alias("weighted"))
 
 
 @query("STA14")
@@ -283,22 +326,34 @@ def linear_curve(spark, d):
 
 @query("STA16", f"WITH s AS (SELECT w, stddev_samp(v) AS y FROM (SELECT id, w, max(ln(1 + cc)) AS v FROM pm GROUP BY 1, 2) GROUP BY 1) SELECT b_n + c_n AS n_obs, b_icpt AS const, b_slope AS pre_trend, c_icpt - b_icpt AS level, c_slope - b_slope AS slope FROM (SELECT {_line('b_', 'y', 'w', 'w < 0')}, {_line('c_', 'y', 'w', 'w >= 0')} FROM s)", "pm", "const pre_trend level slope", 6)
 def its_dispersion(spark, d):
-    s = pm(spark, d).groupBy("id", "w").agg(F.max(F.log1p("cc")).alias("v")).groupBy(F.col("w").alias("t")).agg(F.stddev_samp("v").alias("y"))
-    return closed.its_points(s, [])
+    return closed.its_points(_dispersion(spark, d), [])
+
+
+def _dispersion(spark, d):
+    """(t, y): the weekly spread of the posts' largest values."""
+    return pm(spark, d).groupBy("id", "w").agg(F.max(F.log1p("cc")).alias("v")).groupBy(F.col("w").alias("t")).agg(F.stddev_samp("v").alias("y"))
+
+
+@query("STA16_errors")
+def its_dispersion_errors(spark, d):
+    """The same with HAC errors over 12 lags and with classical ones."""
+    s = _dispersion(spark, d).withColumn("series", F.lit("all"))
+    kinds = {"hac": {"cov": "hac", "lags": 12}, "classical": {"cov": "classical"}}
+    hac, plain = (solve.its(s, "series", **k).drop("series").withColumn("errors", F.lit(n)) for n, k in kinds.items())
+    return _rounded(hac.unionByName(plain))
 
 
 @query("STA17")
 def its_variants(spark, d):
-    p = _panel_t(spark, d)
-    w = solve.its(p, "language", weights="n_func", cov="hac", lags=8).withColumn("model", F.lit("wls_hac8"))
-    for k in (52, 78, 104, 130):
-        w = w.unionByName(solve.its(p.where(F.col("t").between(-k, k)), "language", cov="hc3").withColumn("model", F.lit(f"hc3_{k}")))
-    return _rounded(w)
+    return _rounded(solve.its_models(_panel_t(spark, d), "language", (52, 78, 104, 130)))
 
 
-@query("STA18", f"WITH {_ITS} SELECT language, b_slope AS before, c_slope AS after FROM its", "panel", "before after", 6)
+@query("STA18", f"WITH {_ITS}, v AS (SELECT sum(b_rss + c_rss) / sum(b_n + c_n - 4) AS s2 FROM its) SELECT language, b_slope AS before, sqrt(s2 / b_sxx) AS before_se, c_slope AS after, sqrt(s2 / c_sxx) AS after_se FROM its, v", "panel", "before before_se after after_se", 6)
 def saturated(spark, d):
-    return closed.its_points(_panel_t(spark, d), ["language"]).select("language", F.col("pre_trend").alias("before"), (F.col("pre_trend") + F.col("slope")).alias("after"))
+    """Slopes of the saturated pooled model; its residual variance is one for all languages."""
+    l = _panel_t(spark, d).groupBy("language").agg(*closed.line(F.col("y"), F.col("t"), "b_", F.col("t") < 0), *closed.line(F.col("y"), F.col("t"), "c_", F.col("t") >= 0))
+    s2 = l.agg((F.sum(F.col("b_rss") + F.col("c_rss")) / F.sum(F.col("b_n") + F.col("c_n") - 4)).alias("s2"))
+    return l.join(F.broadcast(s2)).select("language", F.col("b_slope").alias("before"), F.sqrt(F.col("s2") / F.col("b_sxx")).alias("before_se"), F.col("c_slope").alias("after"), F.sqrt(F.col("s2") / F.col("c_sxx")).alias("after_se"))
 
 
 @query("STA19")
@@ -321,9 +376,28 @@ _BINS = "bins AS (SELECT language, CAST(floor(floor(days / 7.0) / 4) AS INTEGER)
 _COEF = "e AS (SELECT bins.language, bin, y - r.ry AS coef FROM bins JOIN (SELECT language, y AS ry FROM bins WHERE bin = -1) r ON bins.language = r.language)"
 
 
-@query("STA21", f"WITH {_BINS}, {_COEF} SELECT * FROM e", "pm", "coef", 6)
+def _binned(spark, d, size: int = 4):
+    """The weekly panel with bins of so many weeks."""
+    return _panel_t(spark, d).withColumn("bin", F.floor(F.col("t") / size).cast("int")).where(F.col("bin").between(-28, 39))
+
+
+def _study(spark, d):
+    e = closed.bin_study(_binned(spark, d), ["language"], "bin", "y", "n_func")
+    return e.withColumn("p", F.when(F.col("bin") == -1, F.lit(1.0)).otherwise(dist.t_p_col(F.col("t"), F.col("df"))))
+
+
+_CELLS = "wk AS (SELECT language, CAST(floor(rel_week / 4.0) AS INTEGER) AS bin, y, n_func AS w FROM panel WHERE floor(rel_week / 4.0) BETWEEN -28 AND 39), ce AS (SELECT language, bin, count(*) AS n, sum(w) AS w, sum(w * y) / sum(w) AS m, sum(w * y * y) - sum(w * y) ** 2 / sum(w) AS ss FROM wk GROUP BY 1, 2), v AS (SELECT language, CAST(sum(n) - count(*) AS BIGINT) AS df, sum(ss) / (sum(n) - count(*)) AS s2, max(CASE WHEN bin = -1 THEN m END) AS rm, max(CASE WHEN bin = -1 THEN w END) AS rw FROM ce GROUP BY 1)"
+_EFF = f"{_CELLS}, ef AS (SELECT ce.language, bin, m - rm AS coef, CASE WHEN bin = -1 THEN 0 ELSE sqrt(s2 * (1 / w + 1 / rw)) END AS se, df FROM ce JOIN v ON ce.language = v.language WHERE rm IS NOT NULL), e AS (SELECT *, CASE WHEN bin = -1 THEN 1 ELSE {_t_p('coef / nullif(se, 0)', 'df')} END AS p FROM ef)"
+
+
+@query("STA21", f"WITH {_EFF} SELECT language, bin, coef, se, p FROM e", "panel", "coef se p", 6)
 def per_language_study(spark, d):
-    return closed.bin_effects(_bins(spark, d), ["language"], "bin", "y", "n_func")
+    return _study(spark, d).select("language", "bin", "coef", "se", "p")
+
+
+@query("STA21_hac")
+def per_language_study_hac(spark, d):
+    return _rounded(solve.bin_study_hac(_binned(spark, d), "language", "bin", "t", 3, weights="n_func"))
 
 
 @query("STA22")
@@ -338,23 +412,33 @@ def coarse_study(spark, d):
     return c.join(F.broadcast(first)).select("bin", (F.col("y") - F.col("base")).alias("coef"))
 
 
-@query("STA24", f"WITH {_BINS}, {_COEF}, s AS (SELECT language, regr_slope(coef, bin) AS trend, avg(coef) / (stddev_samp(coef) / sqrt(count(*))) AS t, count(*) AS n FROM e WHERE bin < 0 GROUP BY 1) SELECT language, trend, t, n FROM s", "pm", "trend t", 5)
+@query("STA23_hac")
+def coarse_study_hac(spark, d):
+    rows = weekly(spark, d).withColumn("bin", F.floor(F.col("t") / 12).cast("int")).where("bin != -1").withColumn("series", F.lit("all"))
+    return _rounded(solve.bin_study_hac(rows, "series", "bin", "t", 8, ref=None).drop("series"))
+
+
+_PRE = "s AS (SELECT language, regr_slope(coef, bin) AS trend, avg(coef) / (stddev_samp(coef) / sqrt(count(*))) AS t, count(*) AS n FROM e WHERE bin < 0 GROUP BY 1)"
+
+
+@query("STA24", f"WITH {_EFF}, {_PRE}, k AS (SELECT *, {_t_p('t', '(n - 1)')} AS p FROM s) SELECT language, trend, t, n, p, least(p * count(*) OVER (), 1.0) AS p_adjusted FROM k", "panel", "trend t p p_adjusted", 5)
 def pre_trends(spark, d):
-    e = closed.bin_effects(_bins(spark, d), ["language"], "bin", "y", "n_func").where("bin < 0")
-    return e.groupBy("language").agg(F.regr_slope(F.col("coef"), F.col("bin").cast("double")).alias("trend"), closed.one_sample_t(F.col("coef")).alias("t"), F.count("*").alias("n"))
+    e = _study(spark, d).where("bin < 0")
+    s = e.groupBy("language").agg(F.regr_slope(F.col("coef"), F.col("bin").cast("double")).alias("trend"), closed.one_sample_t(F.col("coef")).alias("t"), F.count("*").alias("n"))
+    s = s.withColumn("p", dist.t_p_col(F.col("t"), F.col("n") - 1))
+    return s.withColumn("p_adjusted", numbers.bonferroni(F.col("p"), F.count("*").over(Window.partitionBy(F.lit(1)))))
 
 
-@query("STA25", f"WITH {_BINS}, {_COEF} SELECT language, avg(CASE WHEN abs(coef) > 0.1 THEN 1.0 ELSE 0.0 END) AS share, avg(CASE WHEN abs(coef) > 0.1 THEN 1.0 ELSE 0.0 END) > 0.2 AS warn FROM e WHERE bin < -1 GROUP BY 1", "pm", "share", 6)
+@query("STA25", f"WITH {_EFF} SELECT language, avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END) AS share, avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END) > 0.2 AS warn FROM e WHERE bin < -1 GROUP BY 1", "panel", "share", 6)
 def pre_share(spark, d):
-    e = closed.bin_effects(_bins(spark, d), ["language"], "bin", "y", "n_func").where("bin < -1")
-    share = F.avg((F.abs("coef") > 0.1).cast("double"))
-    return e.groupBy("language").agg(share.alias("share"), (share > 0.2).alias("warn"))
+    share = F.avg(F.coalesce(F.col("p") < 0.05, F.lit(False)).cast("double"))
+    return _study(spark, d).where("bin < -1").groupBy("language").agg(share.alias("share"), (share > 0.2).alias("warn"))
 
 
-@query("STA26", f"WITH {_BINS}, {_COEF} SELECT language, avg(coef) AS mean, median(coef) AS med, count(*) FILTER (coef > 0) AS positive, max_by(coef, bin) AS last FROM e WHERE bin > 0 GROUP BY 1", "pm", "mean med last", 6)
+@query("STA26", f"WITH {_EFF} SELECT language, avg(coef) AS mean, median(coef) AS med, count(*) FILTER (p < 0.05) AS significant, count(*) FILTER (coef > 0) AS positive, regr_slope(coef, bin) AS trend, max_by(coef, bin) AS last FROM e WHERE bin > 0 GROUP BY 1", "panel", "mean med trend last", 6)
 def post_summary(spark, d):
-    e = closed.bin_effects(_bins(spark, d), ["language"], "bin", "y", "n_func").where("bin > 0")
-    return e.groupBy("language").agg(F.avg("coef").alias("mean"), F.median("coef").alias("med"), F.count_if(F.col("coef") > 0).alias("positive"), F.max_by("coef", "bin").alias("last"))
+    e = _study(spark, d).where("bin > 0")
+    return e.groupBy("language").agg(F.avg("coef").alias("mean"), F.median("coef").alias("med"), F.count_if(F.col("p") < 0.05).alias("significant"), F.count_if(F.col("coef") > 0).alias("positive"), F.regr_slope(F.col("coef"), F.col("bin").cast("double")).alias("trend"), F.max_by("coef", "bin").alias("last"))
 
 
 @query("STA27", f"WITH {_BINS}, {_COEF} SELECT language, avg(coef) FILTER (bin < 0) AS pre, avg(coef) FILTER (bin >= 0) AS post FROM e GROUP BY 1 HAVING count(*) FILTER (bin < 0) >= 3 AND count(*) FILTER (bin >= 0) >= 3", "pm", "pre post", 6)
@@ -384,11 +468,7 @@ def placebo_chow(spark, d):
 
 @query("STA31")
 def bin_sizes(spark, d):
-    out = None
-    for size in (2, 8, 13):
-        one = solve.event_study(_bins(spark, d, size=size), "language", "bin", weights="n_func").withColumn("size", F.lit(size))
-        out = one if out is None else out.unionByName(one)
-    return _rounded(out)
+    return _rounded(solve.studies_by_size(_panel_t(spark, d), "language", "t", (2, 8, 13), (-28, 39)))
 
 
 _DID = "w AS (SELECT tag, language, w AS t, CAST(count(*) AS DOUBLE) AS y, tag IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') AS tr FROM pt GROUP BY 1, 2, 3)"
@@ -425,9 +505,9 @@ def meta(spark, d):
     return closed.meta(studies(spark, d), [])
 
 
-@query("STA35", f"WITH {_STUDY}, r AS (SELECT effect / se AS y, 1 / se AS x FROM study WHERE se > 0), l AS (SELECT {_line('', 'y', 'x', 'TRUE')} FROM r) SELECT n, icpt AS intercept, sqrt(rss / (n - 2) * (1 / n + xm ** 2 / sxx)) AS se, icpt / sqrt(rss / (n - 2) * (1 / n + xm ** 2 / sxx)) AS t FROM l WHERE n >= 10", "pt", "intercept se t", 5)
+@query("STA35", f"WITH {_STUDY}, r AS (SELECT effect / se AS y, 1 / se AS x FROM study WHERE se > 0), l AS (SELECT {_line('', 'y', 'x', 'TRUE')} FROM r), g AS (SELECT n, icpt AS intercept, sqrt(rss / (n - 2) * (1 / n + xm ** 2 / sxx)) AS se FROM l WHERE n >= 10) SELECT *, intercept / se AS t, {_t_p('intercept / se', '(n - 2)')} AS p FROM g", "pt", "intercept se t p", 5)
 def egger(spark, d):
-    return closed.egger(studies(spark, d), [])
+    return closed.egger(studies(spark, d), []).withColumn("p", dist.t_p_col(F.col("t"), F.col("n") - 2))
 
 
 @query("STA36", f"WITH {_ITS}, r AS (SELECT panel.language, rel_week, y - CASE WHEN rel_week < 0 THEN b_icpt + b_slope * rel_week ELSE c_icpt + c_slope * rel_week END AS e FROM panel JOIN its ON panel.language = its.language), g AS (SELECT *, e - lag(e) OVER (PARTITION BY language ORDER BY rel_week) AS de FROM r) SELECT language, sum(de ** 2) / sum(e ** 2) AS dw FROM g GROUP BY 1", "panel", "dw", 6)
@@ -440,25 +520,29 @@ def diagnostics(spark, d):
     return _rounded(solve.diagnostics(_panel_t(spark, d), "language"))
 
 
-@query("STA37", "WITH r AS (SELECT language, y, n_func, rank() OVER (PARTITION BY language ORDER BY y) + (count(*) OVER (PARTITION BY language, y) - 1) / 2 AS ry, rank() OVER (PARTITION BY language ORDER BY n_func) + (count(*) OVER (PARTITION BY language, n_func) - 1) / 2 AS rn FROM panel) SELECT language, corr(y, n_func) AS pearson, corr(ry, rn) AS spearman FROM r GROUP BY 1", "panel", "pearson spearman", 6)
+_RHO = "r AS (SELECT language, y, n_func, rank() OVER (PARTITION BY language ORDER BY y) + (count(*) OVER (PARTITION BY language, y) - 1) / 2 AS ry, rank() OVER (PARTITION BY language ORDER BY n_func) + (count(*) OVER (PARTITION BY language, n_func) - 1) / 2 AS rn FROM panel WHERE y IS NOT NULL), c AS (SELECT language, count(*) AS n, corr(y, n_func) AS pearson, corr(ry, rn) AS spearman FROM r GROUP BY 1)"
+
+
+@query("STA37", f"WITH {_RHO} SELECT language, pearson, {_t_p('pearson * sqrt((n - 2) / (1 - pearson ** 2))', '(n - 2)')} AS pearson_p, spearman, {_t_p('spearman * sqrt((n - 2) / (1 - spearman ** 2))', '(n - 2)')} AS spearman_p FROM c", "panel", "pearson pearson_p spearman spearman_p", 6)
 def correlations(spark, d):
     p = panel(spark, d)
-    a, b = closed.pearson(p, ["language"], "y", "n_func"), closed.spearman(p, ["language"], "y", "n_func")
-    return a.select("language", F.col("r").alias("pearson")).join(b.select("language", F.col("r").alias("spearman")), "language")
+    one = lambda f, name: f(p, ["language"], "y", "n_func").select("language", F.col("r").alias(name), dist.t_p_col(F.col("t"), F.col("n") - 2).alias(f"{name}_p"))
+    return one(closed.pearson, "pearson").join(one(closed.spearman, "spearman"), "language")
 
 
-@query("STA38", "SELECT rel_week, least(0.001 * (1 + abs(rel_week)) * count(*) OVER (), 1.0) AS p FROM (SELECT DISTINCT rel_week FROM panel)", "panel", "p", 6)
+@query("STA38", f"WITH {_OLS}, k AS (SELECT language, {_t_p('slope / se', '(n - 2)')} AS p FROM o) SELECT language, p, least(p * count(*) OVER (), 1.0) AS p_adjusted FROM k", "panel", "p p_adjusted", 6)
 def bonferroni(spark, d):
-    w = panel(spark, d).select("rel_week").distinct()
-    return w.select("rel_week", numbers.bonferroni(0.001 * (1 + F.abs("rel_week")), F.count("*").over(Window.partitionBy(F.lit(1)))).alias("p"))
+    o = closed.ols(panel(spark, d), ["language"], "y", "rel_week")
+    o = o.select("language", dist.t_p_col(F.col("t"), F.col("n") - 2).alias("p"))
+    return o.withColumn("p_adjusted", numbers.bonferroni(F.col("p"), F.count("*").over(Window.partitionBy(F.lit(1)))))
 
 
-@query("STA39")
+@query("STA39", f"WITH l AS (SELECT *, n - 2 AS df FROM (SELECT {_line('', 'y', 't', 'TRUE')} FROM weekly)), {_t_quantiles('l')}, f AS (SELECT x, df, icpt + slope * x AS fit, sqrt(rss / df * (1 / n + (x - xm) ** 2 / sxx)) AS se FROM l, (SELECT CAST(unnest([-150, -100, -50, 0, 50, 100, 150]) AS INTEGER) AS x)) SELECT x, fit - tq * se AS low, fit, fit + tq * se AS high FROM f JOIN tq ON f.df = tq.df", "weekly", "low fit high", 6)
 def mean_band(spark, d):
     l = weekly(spark, d).agg(*closed.line(F.col("y"), F.col("t")))
     g = l.withColumn("x", F.explode(F.sequence(F.lit(-150), F.lit(150), F.lit(50))))
     fit, half = F.col("icpt") + F.col("slope") * F.col("x"), dist.t_quantile_col(F.lit(0.975), F.col("n") - 2) * closed.mean_se(F.col("x"))
-    return _rounded(g.select("x", (fit - half).alias("low"), fit.alias("fit"), (fit + half).alias("high")))
+    return g.select("x", (fit - half).alias("low"), fit.alias("fit"), (fit + half).alias("high"))
 
 
 @query("STA41", "WITH k AS (SELECT unnest([-104, -52, 0, 52]) AS s) SELECT s AS start, regr_slope(y, t) AS slope, count(*) AS n FROM weekly, k WHERE t >= s AND t < s + 78 GROUP BY 1", "weekly", "slope", 6)
