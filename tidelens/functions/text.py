@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -64,6 +65,11 @@ def has_tag(tags: Column, tag: str) -> Column:
     return tags.contains(f"<{tag}>")
 
 
+def any_tag(tags: Column, names: list[str]) -> Column:
+    """Whether <a><b> notation holds one of the names, whatever characters they have."""
+    return tags.rlike("|".join(re.escape(f"<{n}>") for n in names)) if names else F.lit(False)
+
+
 def level_of(answer: Column) -> Column:
     """The digit after the first level mark, else null."""
     return F.regexp_extract(answer, "<Difficulty Level>\\s*(\\d)\\s*", 1).try_cast("int")

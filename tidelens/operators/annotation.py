@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.adapters import scratch
+
 
 def draw_key(seed: int, *parts: str | Column) -> Column:
     """A deterministic random order: the same for the same seed and ids, on any engine."""
@@ -107,6 +109,24 @@ def unanimous(votes: DataFrame, key: str = "id", label: str = "label") -> DataFr
     return votes.groupBy(key).agg(F.count_distinct(F.coalesce(F.col(label).cast("string"), F.lit("-"))).alias("_n")).where("_n = 1").select(key)
 
 
+def until_unanimous(questions: DataFrame, ask: Callable[[DataFrame, int], DataFrame], draws: int, most: int) -> DataFrame:
+    """(id, label, attempt), one row per question (id): asked again and again, `most` times at most, until all draws agree.
+
+    ask(questions, attempt) gives (id, draw, label). An attempt asks only what has not agreed yet, and its answers
+    are kept by a checkpoint, so nothing is asked twice. What never agrees has a null label and attempt.
+    """
+    spark, left, out = questions.sparkSession, questions.select("id"), None
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(scratch(spark))
+    for attempt in range(1, most + 1):
+        agreed = consistent(ask(left, attempt), draws).select("id", "label", F.lit(attempt).alias("attempt")).checkpoint()
+        out = agreed if out is None else out.union(agreed)
+        left = left.join(agreed.select("id"), "id", "left_anti").checkpoint()
+        if left.isEmpty():
+            break
+    return out.union(left.select("id", F.lit(None).cast(out.schema["label"].dataType).alias("label"), F.lit(None).cast("int").alias("attempt")))
+
+
 def plurality(votes: DataFrame, key: str = "id", label: str = "label") -> DataFrame:
     """(key, label, votes): the label with most votes, ties to the smaller label."""
     w = Window.partitionBy(key).orderBy(F.desc("votes"), label)

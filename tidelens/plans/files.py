@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import network
 from ..sources import readers, writers
-from ..sources.adapters import EVENT, metrics, posts, scratch, table, votes
+from ..sources.adapters import EVENT, metrics, posts, scratch, table, tags, votes
 from ..streaming import daily
 from .registry import query
 
@@ -136,14 +137,14 @@ def snippet_names(spark, d):
     return writers.snippet_files(rows)
 
 
-@query("SNK11", "SELECT 'g' AS kind, count(DISTINCT p_brand) AS n FROM part")
+@query("SNK11", "WITH e AS (SELECT x.tag AS a, y.tag AS b, count(*) AS w FROM tags x JOIN tags y ON x.id = y.id AND x.tag < y.tag WHERE x.id IN (SELECT id FROM tags WHERE tag = 'Brand#5') GROUP BY 1, 2) SELECT 'node' AS kind, count(DISTINCT t) AS n, CAST(NULL AS DOUBLE) AS weight FROM (SELECT a AS t FROM e UNION SELECT b FROM e) UNION ALL SELECT 'edge', count(*), CAST(sum(w) AS DOUBLE) FROM e", "tags")
 def graph_file(spark, d):
-    """The nodes of a graph file, read back as text."""
+    """The nodes and edges of an ego network's graph file, read back as text."""
     f = f"{_folder(spark)}.gexf"
-    nodes = table(spark, d, "part").select(F.col("p_brand").alias("node")).distinct()
-    edges = spark.createDataFrame([("Brand#1", "Brand#2", 3)], "a string, b string, weight int")
-    writers.gexf(edges, nodes, f)
-    return spark.read.text(f).where(F.col("value").startswith("<node ")).groupBy(F.lit("g").alias("kind")).agg(F.count("*").alias("n"))
+    edges = network.edges(network.pairs(network.ego(tags(spark, d), "Brand#5")))
+    writers.gexf(edges, network.degrees(edges).select("node"), f)
+    lines = spark.read.text(f).select(F.regexp_extract("value", "^<(node|edge) ", 1).alias("kind"), F.regexp_extract("value", 'weight="([^"]*)"', 1).try_cast("double").alias("weight"))
+    return lines.where("kind != ''").groupBy("kind").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
 @query("SNK7", "SELECT DISTINCT 50000 AS ver, '1998-06-03' AS creationdate, CAST(id AS INTEGER) AS id FROM votes", "votes")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers
+from ..functions import text as text_functions
 from ..operators import annotation, distributions, rollups
 from ..sources import calendar
 from ..sources.adapters import EVENT, metrics, posts, table, tag_sets, tags, votes
@@ -126,10 +127,19 @@ def levels_in(spark, d):
     return votes(spark, d).where(F.col("label").isin(0, 2)).select("id").distinct()
 
 
+def _tag_text(spark, d):
+    return tags(spark, d).groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_set("tag")), lambda t: F.concat(F.lit("<"), t, F.lit(">"))), "").alias("tags"))
+
+
 @query("FLT9", "SELECT DISTINCT id FROM tags WHERE tag IN ('Brand#2', 'Brand#3')", "tags")
 def tag_text_filter(spark, d):
-    text = tags(spark, d).groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_set("tag")), lambda t: F.concat(F.lit("<"), t, F.lit(">"))), "").alias("tags"))
-    return text.where(F.col("tags").rlike("<Brand#2>|<Brand#3>")).select("id")
+    return _tag_text(spark, d).where(text_functions.any_tag(F.col("tags"), ["Brand#2", "Brand#3"])).select("id")
+
+
+@query("STR17", "SELECT DISTINCT id FROM tags WHERE tag IN ('Brand#4', 'c++', '.net', 'a|b')", "tags")
+def escaped_names(spark, d):
+    """Names that a pattern would read as its own signs."""
+    return _tag_text(spark, d).where(text_functions.any_tag(F.col("tags"), ["Brand#4", "c++", ".net", "a|b"])).select("id")
 
 
 @query("FLT10", "SELECT doc_id FROM documents WHERE source = 'src1'")
@@ -137,6 +147,11 @@ def topic_equal(spark, d):
     return table(spark, d, "documents").where(F.col("source") == "src1").select("doc_id")
 
 
+@query("FLT10_tags", "SELECT DISTINCT id FROM tags WHERE tag = 'Brand#7'", "tags")
+def tag_equal(spark, d):
+    return _tag_text(spark, d).where(text_functions.has_tag(F.col("tags"), "Brand#7")).select("id")
+
+
 @query("FLT11", "SELECT id, nloc, cc FROM metrics WHERE cc > 0 AND nloc IS NOT NULL", "metrics")
 def guards(spark, d):
     return metrics(spark, d).where("cc > 0").dropna(subset=["nloc"]).select("id", "nloc", "cc")
@@ -289,9 +304,10 @@ def part_of_total(spark, d):
 
 @query("JOI13", "SELECT a.id, a.label AS a_1, b.label AS a_2, c.label AS a_3, e.label AS a_4 FROM votes a JOIN votes b ON a.id = b.id AND b.draw = 2 JOIN votes c ON a.id = c.id AND c.draw = 3 JOIN votes e ON a.id = e.id AND e.draw = 4 WHERE a.draw = 1", "votes")
 def raters_wide(spark, d):
-    v = votes(spark, d)
-    one = lambda k: v.where(F.col("draw") == k).select("id", F.col("label").alias(f"a_{k}"))
-    return one(1).join(one(2), "id").join(one(3), "id").join(one(4), "id")
+    """Four raters side by side: one aggregation by id in place of three joins."""
+    names = [f"a_{k}" for k in range(1, 5)]
+    wide = votes(spark, d).where("draw <= 4").groupBy("id").agg(*(F.max(F.when(F.col("draw") == k, F.col("label"))).alias(n) for k, n in enumerate(names, 1)))
+    return wide.dropna(subset=names)
 
 
 @query("JOI14", "SELECT id FROM posts WHERE id IN (SELECT id FROM metrics WHERE cc = 50)", "posts metrics")
@@ -612,6 +628,14 @@ def tag_turnover(spark, d):
     return life.groupBy("language").agg(pct(2).alias("new_pct"), pct(1).alias("retained_pct"), pct(0).alias("gone_pct"))
 
 
+@query("AGG46_lists", "WITH s AS (SELECT language, tag, bool_or(days < -900) AS b, bool_or(days >= 1100) AS a FROM pt GROUP BY 1, 2) SELECT language, coalesce(string_agg(tag, ',' ORDER BY tag) FILTER (a AND NOT b), '') AS new_tags, coalesce(string_agg(tag, ',' ORDER BY tag) FILTER (a AND b), '') AS retained_tags, coalesce(string_agg(tag, ',' ORDER BY tag) FILTER (b AND NOT a), '') AS gone_tags FROM s WHERE a OR b GROUP BY 1", "pt")
+def tag_turnover_lists(spark, d):
+    s = pt(spark, d).groupBy("language", "tag").agg(F.bool_or(F.col("days") < -900).alias("b"), F.bool_or(F.col("days") >= 1100).alias("a")).where("a or b")
+    life = s.withColumn("x", distributions.lifecycle(F.col("b"), F.col("a")))
+    names = lambda k: F.array_join(F.sort_array(F.collect_list(F.when(F.col("x") == k, F.col("tag")))), ",")
+    return life.groupBy("language").agg(names(2).alias("new_tags"), names(1).alias("retained_tags"), names(0).alias("gone_tags"))
+
+
 # ---- windows
 
 
@@ -752,7 +776,9 @@ def draws(spark, d):
     return annotation.few_shots(_golden(spark, d), _targets(spark, d), 4, 5, exclude_target=False).groupBy("eval_id").agg(F.count("*").alias("shots"))
 
 
-@query("SMP6")
+@query("SMP6", """WITH g AS (SELECT id AS shot_id, row_number() OVER (ORDER BY id) - 1 AS n FROM (SELECT id FROM votes WHERE draw <= 4 GROUP BY id, label HAVING count(*) = 4 OR (count(*) = 3 AND label = 2))),
+  d AS (SELECT p.id AS eval_id, CAST(k AS INTEGER) AS pos, CAST(('0x' || substr(md5(concat_ws('|', '0', CAST(p.id AS VARCHAR), CAST(k AS VARCHAR))), 1, 12)) AS BIGINT) % (SELECT count(*) FROM g) AS n FROM posts p, (SELECT unnest(range(1, 13)) AS k) WHERE p.id % 50 = 0)
+  SELECT eval_id, pos, shot_id FROM d JOIN g ON d.n = g.n""", "posts votes")
 def replaced(spark, d):
     return annotation.with_replacement(_golden(spark, d), _targets(spark, d), 12)
 

@@ -14,19 +14,31 @@ from .relational import _golden, _targets, pt
 
 
 def _html(spark, d):
-    return table(spark, d, "pages").select("page_id", "html")
+    return table(spark, d, "pages").select("page_id", "url", "html")
+
+
+_PY = '<pre class="lang-py prettyprint-override"><code>'
 
 
 def _body():
-    """A post body with code, made from a page id: the test pages hold no code blocks."""
-    n = F.col("page_id").cast("string")
-    one = F.concat(F.lit("<p>see "), n, F.lit("</p><pre><code>if x &lt; "), n, F.lit(":\n run();go</code></pre>"))
-    two = F.concat(one, F.lit('<p>and</p><pre class="lang-py prettyprint-override"><code>print(1)</code></pre><p>end</p>'))
-    return F.when(F.col("page_id") % 3 == 0, two).when(F.col("page_id") % 3 == 1, one).otherwise(F.concat(F.lit("<p>none "), n, F.lit("</p>")))
+    """A post about a page that quotes the whole page as code, or in its text: the test pages themselves hold no code blocks."""
+    show = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page, url = show(F.col("html")), show(F.col("url"))
+    one = F.concat(F.lit("<p>see "), url, F.lit("</p><pre><code>"), page, F.lit("</code></pre>"))
+    two = F.concat(one, F.lit("<p>and</p>" + _PY), url, F.lit("</code></pre><p>end</p>"))
+    return F.when(F.col("page_id") % 3 == 0, two).when(F.col("page_id") % 3 == 1, one).otherwise(F.concat(F.lit("<p>"), page, F.lit("</p>")))
+
 
+def _body_sql(page: str, url: str) -> str:
+    one = f"'<p>see ' || {url} || '</p><pre><code>' || {page} || '</code></pre>'"
+    return f"CASE page_id % 3 WHEN 0 THEN {one} || '<p>and</p>{_PY}' || {url} || '</code></pre><p>end</p>' WHEN 1 THEN {one} ELSE '<p>' || {page} || '</p>' END"
 
-_BODY = """b AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN a || '<p>and</p><pre class="lang-py prettyprint-override"><code>print(1)</code></pre><p>end</p>' WHEN 1 THEN a ELSE '<p>none ' || page_id || '</p>' END AS body
-  FROM (SELECT page_id, '<p>see ' || page_id || '</p><pre><code>if x &lt; ' || page_id || ':' || chr(10) || ' run();go</code></pre>' AS a FROM pages))"""
+
+_SHOWN = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_BODY = f"b AS (SELECT page_id, {_body_sql(_SHOWN.format('html'), _SHOWN.format('url'))} AS body FROM pages)"
+#: The same without its entities.
+_PLAIN = f"u AS (SELECT page_id, {_body_sql('html', 'url')} AS body FROM pages)"
+_CODE = f"regexp_extract_all(body, '(?s)(?:<pre><code>|{_PY})(.*?)</code></pre>', 1)"
 
 
 @query("STR1", "SELECT page_id, md5(regexp_replace(html, '<[^>\\n]*>', '', 'g')) AS h FROM pages")
@@ -54,7 +66,7 @@ def fenced(spark, d):
     return _html(spark, d).select("page_id", text.fence_code(_body()).alias("fenced"))
 
 
-@query("STR5", f"WITH {_BODY} SELECT page_id, regexp_replace(body, ';(\\S)', '\\1', 'g') AS scrubbed FROM b")
+@query("STR5", f"WITH {_BODY} SELECT page_id, regexp_replace(body, ';+(\\S)', '\\1', 'g') AS scrubbed FROM b")
 def scrubbed(spark, d):
     return _html(spark, d).select("page_id", text.scrub_semicolons(_body()).alias("scrubbed"))
 
@@ -69,28 +81,28 @@ def _sections(spark, d):
     return _html(spark, d).select("page_id", _body().alias("body")).withColumn("s", text.code_sections("body"))
 
 
-@query("STR7", f"WITH {_BODY}, u AS (SELECT page_id, replace(body, '&lt;', '<') AS body FROM b) SELECT page_id, len(regexp_extract_all(body, '<code>')) AS n, array_to_string(regexp_extract_all(body, '(?s)<pre(?: class=\"lang-py prettyprint-override\")?><code>(.*?)</code></pre>', 1), '|') AS code FROM u")
+@query("STR7", f"WITH {_PLAIN} SELECT page_id, len({_CODE}) AS n, array_to_string({_CODE}, '|') AS code FROM u")
 def sections(spark, d):
     return _sections(spark, d).select("page_id", F.size("s").cast("long").alias("n"), F.array_join("s.span_str", "|").alias("code"))
 
 
-@query("STR8", "SELECT page_id, page_id % 3 <> 2 AS has_code FROM pages")
+@query("STR8", f"WITH {_PLAIN} SELECT page_id, contains(body, '<pre><code>') OR contains(body, '{_PY}') AS has_code FROM u")
 def has_code(spark, d):
     return _sections(spark, d).select("page_id", (F.size("s") > 0).alias("has_code"))
 
 
-@query("STR9", f"WITH {_BODY}, u AS (SELECT page_id, replace(body, '&lt;', '<') AS body FROM b) SELECT page_id, regexp_replace(body, '(?s)(<pre(?: class=\"lang-py prettyprint-override\")?><code>)(.*?)(</code></pre>)', '\\1' || repeat(chr(10), 3) || '\\3', 'g') AS prose FROM u")
+@query("STR9", f"WITH {_PLAIN} SELECT page_id, regexp_replace(body, '(?s)(<pre><code>|{_PY})(.*?)(</code></pre>)', '\\1' || repeat(chr(10), 3) || '\\3', 'g') AS prose FROM u")
 def prose(spark, d):
     whole = _sections(spark, d).withColumn("u", text.unescape("body"))
     return whole.select("page_id", text.prose_text(F.col("u"), F.col("s")).alias("prose"))
 
 
-@query("STR10")
+@query("STR10", f"WITH {_PLAIN} SELECT page_id, array_to_string({_CODE}, repeat(chr(10), 3)) AS code FROM u")
 def code(spark, d):
     return _sections(spark, d).select("page_id", text.code_text(F.col("s")).alias("code"))
 
 
-@query("STR11", f"WITH {_BODY}, u AS (SELECT page_id, replace(body, '&lt;', '<') AS body FROM b) SELECT page_id, unnest(regexp_extract_all(body, '(?s)<pre(?: class=\"lang-py prettyprint-override\")?><code>(.*?)</code></pre>', 1)) AS src FROM u")
+@query("STR11", f"WITH {_PLAIN}, x AS (SELECT page_id, unnest({_CODE}) AS src FROM u) SELECT * FROM x WHERE src <> ''")
 def sources(spark, d):
     return _sections(spark, d).select("page_id", F.explode("s.span_str").alias("src")).where("src != ''")
 
@@ -290,66 +302,89 @@ def answered(spark, d):
 # ---- complexity
 
 
+_KEYS = ["conv_id", "turn"]
+
+
+def _words(spark, d):
+    """(conv_id, turn, text, words): runs of a to z of every whole turn."""
+    return table(spark, d, "conversations").select(*_KEYS, "text", F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)).alias("words"))
+
+
+_WORDS = "wd AS (SELECT conv_id, turn, text, regexp_extract_all(text, '[a-z]+') AS words, len(regexp_extract_all(text, '[a-z]+')) AS n, (conv_id + turn) % 4 AS k FROM conversations)"
+
+
 def _snippets(spark, d):
-    """A snippet per page, in four shapes."""
-    k, n = F.col("page_id") % 4, F.col("page_id").cast("string")
-    java = F.concat(F.lit("class K { int f(int a, int b) { if (a > "), n, F.lit(" && b > 0) { for (int i = 0; i < a; i++) { while (b > 0) { b--; } } } else { a = 1; } return a; } }"))
-    python = F.concat(F.lit("def f(a, b):\n    if a and b or a:\n        return "), n, F.lit("\n    return 0\n\ndef g():\n    return 1\n"))
-    go = F.lit("package p\nfunc f(a int) int { switch a { case 1: return 2 }; return 3 }")
-    src = F.when(k == 0, java).when(k == 1, python).when(k == 2, go).otherwise(F.concat(F.lit("def f(: "), n))
-    language = F.when(k == 0, "java").when(k == 2, "go").otherwise("python")
-    return table(spark, d, "pages").select("page_id", language.alias("language"), src.alias("src"))
+    """A snippet per turn, in four shapes: each word becomes a branch, a loop or, in the last shape, the text is no code."""
+    k = (F.col("conv_id") + F.col("turn")) % 4
+    each = lambda before, after, between: F.array_join(F.transform("words", lambda w: F.concat(F.lit(before + "w_"), w, F.lit(after))), between)
+    java = F.concat(F.lit("class K { int f(int a) { "), each("if (a > 0) { ", "(); }", " "), F.lit(" return a; } }"))
+    python = F.concat(F.lit("def f(a):\n"), each("    if a and ", ":\n        a += 1", "\n"), F.lit("\n    return a\n"))
+    go = F.concat(F.lit("package p\nfunc f(a int) int { "), each("for a > 0 { ", "() }", " "), F.lit(" return a }"))
+    src = F.when(k == 0, java).when(k == 1, python).when(k == 2, go).otherwise(F.concat(F.lit("def f(: "), "text"))
+    return _words(spark, d).select(*_KEYS, F.when(k == 0, "java").when(k == 2, "go").otherwise("python").alias("language"), src.alias("src"))
 
 
-@query("UDF1", "SELECT page_id, x.f AS function, x.c AS complexity, x.y AS cyclomatic FROM (SELECT page_id, unnest(CASE page_id % 4 WHEN 0 THEN [{'f': 'f', 'c': 8, 'y': 5}] WHEN 1 THEN [{'f': 'f', 'c': 3, 'y': 4}, {'f': 'g', 'c': 0, 'y': 1}] WHEN 2 THEN [{'f': 'f', 'c': 1, 'y': 2}] ELSE [] END) AS x FROM pages)")
+@query("UDF1", f"WITH {_WORDS} SELECT conv_id, turn, 'f' AS function, CAST(CASE WHEN k = 1 THEN 2 * n ELSE n END AS INTEGER) AS complexity, CAST(CASE WHEN k = 1 THEN 1 + 2 * n ELSE 1 + n END AS INTEGER) AS cyclomatic FROM wd WHERE k <> 3")
 def snippet_functions(spark, d):
-    return metrics.function_metrics(_snippets(spark, d), ["page_id"]).select("page_id", "function", "complexity", "cyclomatic")
+    return metrics.function_metrics(_snippets(spark, d), _KEYS).select(*_KEYS, "function", "complexity", "cyclomatic")
 
 
-@query("UDF2", "SELECT page_id, 1 AS n, 4 AS complexity FROM pages")
+@query("UDF2", f"WITH {_WORDS} SELECT conv_id, turn, '(top)' AS function, CAST(n AS INTEGER) AS complexity FROM wd WHERE n > 0")
 def top_level(spark, d):
-    rows = table(spark, d, "pages").select("page_id", F.lit("c").alias("language"), F.lit("if (a && b) { while (c) { } }").alias("src"))
-    return metrics.function_metrics(rows, ["page_id"]).groupBy("page_id").agg(F.count("*").cast("int").alias("n"), F.sum("complexity").cast("int").alias("complexity"))
+    """A snippet without a function is measured as a whole."""
+    src = F.array_join(F.transform("words", lambda w: F.concat(F.lit("if (a) { w_"), w, F.lit("(); }"))), "\n")
+    rows = _words(spark, d).select(*_KEYS, F.lit("c").alias("language"), src.alias("src"))
+    return metrics.function_metrics(rows, _KEYS).select(*_KEYS, "function", "complexity")
 
 
-@query("UDF3", "SELECT page_id, page_id % 4 <> 3 AS ok FROM pages")
+@query("UDF3", f"WITH {_WORDS} SELECT conv_id, turn, k <> 3 AS ok FROM wd")
 def syntax_gate(spark, d):
-    return metrics.syntax_ok(_snippets(spark, d), ["page_id"])
+    return metrics.syntax_ok(_snippets(spark, d), _KEYS)
 
 
-@query("UDF4", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 5 ELSE 2 END AS cyclomatic, CASE page_id % 4 WHEN 0 THEN 2 ELSE 1 END AS parameter_count FROM pages WHERE page_id % 4 IN (0, 2)")
+@query("UDF4", f"WITH {_WORDS} SELECT conv_id, turn, CAST(CASE WHEN k = 1 THEN 1 + 2 * n ELSE 1 + n END AS INTEGER) AS cyclomatic, 1 AS parameter_count FROM wd WHERE k <> 3")
 def cyclomatic(spark, d):
-    return metrics.function_metrics(_snippets(spark, d).where("page_id % 2 = 0"), ["page_id"]).select("page_id", "cyclomatic", "parameter_count")
+    return metrics.function_metrics(_snippets(spark, d), _KEYS).select(*_KEYS, "cyclomatic", "parameter_count")
 
 
-@query("UDF6", "SELECT page_id FROM pages WHERE page_id % 4 = 3")
+@query("UDF6", f"WITH {_WORDS} SELECT conv_id, turn FROM wd WHERE k = 3")
 def rejected(spark, d):
-    return metrics.not_measured(_snippets(spark, d), ["page_id"])
+    return metrics.not_measured(_snippets(spark, d), _KEYS)
 
 
-_REPORT = """CASE WHEN page_id % 2 = 0 THEN '{"kind": "unit", "spaces": [{"kind": "function", "name": "f", "metrics": {"cognitive": {"sum": ' || page_id || '}}, "spaces": [{"kind": "function", "name": "in"}]}]}' ELSE 'broken' END"""
+def _reports(spark, d):
+    """What an external tool would say of a turn: a function for each word, with an inner one; odd turns are no report."""
+    unit = F.struct(F.lit("unit").alias("kind"), F.transform("words", lambda w: F.struct(F.lit("function").alias("kind"), w.alias("name"), F.struct(F.struct(F.length(w).alias("sum")).alias("cognitive")).alias("metrics"), F.array(F.struct(F.lit("function").alias("kind"), F.lit("in").alias("name"))).alias("spaces"))).alias("spaces"))
+    return _words(spark, d).select(*_KEYS, F.when(F.col("turn") % 2 == 0, F.to_json(unit)).otherwise(F.col("text")).alias("report"))
 
 
-@query("JSN2", "SELECT page_id, 'f' AS name, CAST(page_id AS DOUBLE) AS cognitive_sum FROM pages WHERE page_id % 2 = 0")
+@query("JSN2", f"WITH {_WORDS}, x AS (SELECT conv_id, turn, unnest(words) AS name FROM wd WHERE turn % 2 = 0) SELECT conv_id, turn, name, CAST(length(name) AS DOUBLE) AS cognitive_sum FROM x")
 def report_rows(spark, d):
-    rows = table(spark, d, "pages").select("page_id", F.expr(_REPORT).alias("report"))
-    return metrics.report_functions(rows, ["page_id"]).select("page_id", "name", "cognitive_sum")
+    return metrics.report_functions(_reports(spark, d), _KEYS).select(*_KEYS, "name", "cognitive_sum")
 
 
-@query("UDF5", "SELECT page_id, count(*) AS functions FROM pages WHERE page_id % 2 = 0 GROUP BY 1")
+@query("UDF5", f"WITH {_WORDS} SELECT conv_id, turn, CAST(n AS BIGINT) AS functions FROM wd WHERE turn % 2 = 0 AND n > 0")
 def report_counts(spark, d):
-    rows = table(spark, d, "pages").select("page_id", F.expr(_REPORT).alias("report"))
-    return metrics.report_functions(rows, ["page_id"]).groupBy("page_id").agg(F.count("*").alias("functions"))
+    return metrics.report_functions(_reports(spark, d), _KEYS).groupBy(*_KEYS).agg(F.count("*").alias("functions"))
 
 
-@query("MAP1", "SELECT page_id, page_id || '_' || page_id || CASE page_id % 4 WHEN 0 THEN '.java' WHEN 2 THEN '.go' ELSE '.py' END AS file FROM pages")
+@query("MAP1", "SELECT conv_id, turn, conv_id || '_' || turn || CASE (conv_id + turn) % 4 WHEN 0 THEN '.java' WHEN 2 THEN '.go' ELSE '.py' END AS file FROM conversations")
 def file_names(spark, d):
     ext = F.create_map(*(F.lit(x) for n, g in LANGUAGES.items() for x in (n, g.ext)))
-    id_ = F.col("page_id").cast("string")
-    return _snippets(spark, d).select("page_id", F.concat(id_, F.lit("_"), id_, F.lit("."), F.element_at(ext, F.col("language"))).alias("file"))
+    return _snippets(spark, d).select(*_KEYS, F.concat(F.concat_ws("_", *_KEYS), F.lit("."), F.element_at(ext, F.col("language"))).alias("file"))
+
+
+def _asked(questions, attempt: int):
+    """Three answers to each question, by its hash: another attempt gives others."""
+    rows = questions.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    h = F.md5(F.concat_ws("|", F.col("id"), F.lit(attempt), F.col("draw")))
+    return rows.select("id", "draw", (F.conv(F.substring(h, 1, 4), 16, 10).cast("int") % 2).alias("label"))
 
 
-@query("UDF11", "SELECT id, CAST(min(draw) AS INTEGER) AS attempt FROM votes v WHERE label = gold GROUP BY id", "votes")
+@query("UDF11", """WITH l AS (SELECT id, attempt, CAST(('0x' || substr(md5(concat_ws('|', CAST(id AS VARCHAR), CAST(attempt AS VARCHAR), CAST(draw AS VARCHAR))), 1, 4)) AS INTEGER) % 2 AS label FROM (SELECT id, attempt, unnest(range(1, 4)) AS draw FROM (SELECT doc_id AS id, unnest(range(1, 5)) AS attempt FROM labels))),
+  u AS (SELECT id, attempt, min(label) AS label FROM l GROUP BY 1, 2 HAVING count(DISTINCT label) = 1), f AS (SELECT id, min(attempt) AS attempt, arg_min(label, attempt) AS label FROM u GROUP BY 1)
+  SELECT doc_id AS id, label, CAST(attempt AS INTEGER) AS attempt FROM (SELECT DISTINCT doc_id FROM labels) LEFT JOIN f ON doc_id = f.id""")
 def retried(spark, d):
-    """The first of a bounded number of attempts whose answer agrees with the label."""
-    return votes(spark, d).where("label = gold").groupBy("id").agg(F.min("draw").alias("attempt"))
+    """Questions are asked again until their answers agree, four times at most; what never does has no label."""
+    questions = table(spark, d, "labels").select(F.col("doc_id").alias("id")).distinct()
+    return annotation.until_unanimous(questions, _asked, 3, 4)

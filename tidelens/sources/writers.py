@@ -57,8 +57,13 @@ def snippet_files(snippets: DataFrame, extension: Callable[[str], str] | None =
     return snippets.select(F.concat_ws("_", F.col("row").cast("string"), F.concat(F.col("id").cast("string"), F.lit("."), F.try_element_at(ext, F.col("language")))).alias("file"), "src")
 
 
+MOST_EDGES = 2_000_000
+
+
 def gexf(edges: DataFrame, nodes: DataFrame, path: str) -> None:
-    """A graph file of an ego network (edges a, b, weight; nodes node), whose size the tag vocabulary bounds."""
+    """A graph file of an ego network (edges a, b, weight; nodes node). One file is written by one machine: at most MOST_EDGES edges."""
+    if edges.limit(MOST_EDGES + 1).count() > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} edges: write an ego network or an induced one")
     names = [r.node for r in nodes.select("node").orderBy("node").collect()]
     at = {n: i for i, n in enumerate(names)}
     lines = ['<?xml version="1.0" encoding="UTF-8"?>', '<gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="undirected"><nodes>']
