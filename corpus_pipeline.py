@@ -1,4 +1,9 @@
-"""A pipeline over the corpus operators: quality rules, language, near-duplicates, secrets, packing."""
+"""A pipeline over the corpus operators: quality rules, language, near-duplicates, secrets, packing.
+
+All stages but the last keep the columns of documents, whatever others there are. Rows with a null, empty or
+blank text go in the first stage; a null id takes no part in near-duplicates and stays; repeated rows are kept or
+dropped together, but copies under other ids are near-duplicates; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

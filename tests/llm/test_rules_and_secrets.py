@@ -107,6 +107,15 @@ def peak(run, window=20):
     return out
 
 
+def expected_bits(letters, window=20):
+    """The mean entropy of a window of random letters, each count's chance by the binomial law."""
+    out = 0.0
+    for c in range(1, window + 1):
+        chance = math.comb(window, c) / letters**c * (1 - 1 / letters) ** (window - c)
+        out -= letters * chance * c / window * math.log2(c / window)
+    return out
+
+
 def spans(text, allow=secrets.ALLOW):
     out = []
     for k, (name, p) in enumerate(PATTERNS):
@@ -116,11 +125,14 @@ def spans(text, allow=secrets.ALLOW):
             out.append((m.start(), k, m.end()))
     for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
         run = m[0]
-        if not any(c.isdigit() for c in run) or any(re.search(a, run) for a in allow):
+        if any(re.search(a, run) for a in allow):
             continue
-        limit = 3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", run) else 4.0
-        h = peak(run)
-        if abs(h - limit) > 1e-9 and h > limit:
+        if re.fullmatch("[0-9a-f]+|[0-9A-F]+", run):
+            limit = 3.0
+        else:
+            letters = next((n for p, n in secrets.CLASSES if re.search(p, run)), None)
+            limit = expected_bits(letters) - 0.35 if letters else 4.0
+        if peak(run) >= limit - 1e-12:
             out.append((m.start(), 3, m.end()))
     return sorted(out)
 

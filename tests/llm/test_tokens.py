@@ -119,3 +119,25 @@ def test_streams_bound_memory(spark, sf):
     small = packing.pack(docs, FILE, packing=packing.Packing(length=64, stream=500)).toPandas()
     assert small.groupby("sequence_id").length.sum().max() <= 64
     assert small.groupby("doc_id").length.sum().eq(small.groupby("doc_id").doc_tokens.first()).all()
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    data = json.load(open(FILE))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": data["model"] | {"ignore_merges": True}}, {"added_tokens": [data["added_tokens"][0] | {"lstrip": True}]}):
+        file = tmp_path / "other.json"
+        file.write_text(json.dumps(data | change))
+        for reader in (bpe.Automaton, packing.Tokens):
+            with pytest.raises(ValueError, match="not supported"):
+                reader(str(file))
+
+
+def test_full_memories_change_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 50)
+    monkeypatch.setattr(bpe, "CELLS_KEPT", 60)
+    rng, a = random.Random(9), bpe.Automaton(FILE)
+    for _ in range(60):
+        text = " ".join("".join(rng.choices("etaoinshr", k=rng.randint(1, 12))) for _ in range(30))
+        assert a.encode(text) == REFERENCE.encode(text, add_special_tokens=False).ids
+    assert len(a.words) <= 50 and len(a.cells) <= 61

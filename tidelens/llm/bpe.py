@@ -23,15 +23,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+from itertools import islice
 
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import id_column, map_rows
 
 #: Fixed value: the byte-level pre-split of the vocabulary files.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORDS_KEPT, CELLS_KEPT = 1_000_000, 4_000_000
+#: Words and cells that a worker remembers, about 100 MB each; the older half goes when they are full.
+WORDS_KEPT, CELLS_KEPT = 500_000, 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -41,12 +43,36 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def read_vocabulary(path: str) -> dict:
+    """A vocabulary file of the tokenizers library; ValueError for what these operators do not do.
+
+    They do byte-level BPE with the usual pre-split, without normaliser, prefix space, dropout, unknown token, affixes
+    or ignored merges, and with special tokens that are found as they are written.
+    """
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    model, split = data["model"], data.get("pre_tokenizer") or {"type": "ByteLevel"}
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += ["normalizer"] if data.get("normalizer") else []
+    if model.get("type", "BPE") != "BPE" or split["type"] != "ByteLevel" or split.get("add_prefix_space", False) or not split.get("use_regex", True):
+        odd.append("pre_tokenizer or model")
+    odd += [x["content"] for x in data.get("added_tokens", []) if any(x.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if odd:
+        raise ValueError(f"{path}: not supported: {', '.join(odd)}")
+    return data
+
+
+def forget(kept: dict) -> None:
+    """Drop the older half."""
+    for k in list(islice(kept, len(kept) // 2)):
+        del kept[k]
+
+
 class Automaton:
     """The compiled automaton of a byte-level BPE vocabulary file of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
+        data = read_vocabulary(path)
         letters, model = byte_letters(), data["model"]
         spell = lambda s: bytes(letters[c] for c in s)
         special = {x["content"]: x["id"] for x in data.get("added_tokens", [])}
@@ -95,7 +121,7 @@ class Automaton:
         got = self.cells.get(key)
         if got is None:
             if len(self.cells) >= CELLS_KEPT:
-                self.cells.clear()
+                forget(self.cells)
             got = self.cells[key] = self._arc(x, y)
         return got
 
@@ -171,7 +197,7 @@ class Automaton:
                     ids = self.word(w)
                     if len(w) < 64:
                         if len(words) >= WORDS_KEPT:
-                            words.clear()
+                            forget(words)
                         words[w] = ids
                 out += ids
             if k < len(parts) - 1:
@@ -201,7 +227,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     the text decoded from the ids. Whole texts are encoded; null and empty texts have no
     token; repeated rows and null ids give a row each; an empty table gives an empty
     result; other columns of docs are not read. vocabulary: path of the vocabulary file,
-    there on every machine.
+    there on every machine; a file of another kind, or one in which two merges make the same
+    token, is a ValueError.
     """
 
     def make():
@@ -219,5 +246,5 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
         return f
 
-    kind = docs.schema[id_col].dataType.simpleString().replace("bigint", "long")
-    return map_rows(docs.select(docs[id_col].alias("doc_id"), docs[text_col]), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    key, kind = id_column(docs, id_col)
+    return map_rows(docs.select(key, docs[text_col]), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", make)

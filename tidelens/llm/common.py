@@ -42,6 +42,14 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def id_column(docs: DataFrame, id_col: str, name: str = "doc_id") -> tuple[Column, str]:
+    """(the id under a name, its type for map_rows): whole numbers are long (int stays int), all else is text."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    whole = kind in ("tinyint", "smallint", "bigint") or (kind.startswith("decimal") and kind.endswith(",0)"))
+    kind = "long" if whole else kind if kind == "int" else "string"
+    return docs[id_col].cast(kind).alias(name), kind
+
+
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo folds; a null key is in fold 0."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds, F.lit(0))

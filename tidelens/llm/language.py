@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, keep_rows, map_rows
+from .common import fold, id_column, keep_rows, map_rows
 
 CLASSES = 128  # letter classes: 0 is no letter, the last 31 are shared by rarer letters
 FREQUENT = CLASSES - 32
@@ -188,12 +188,16 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
 
         return f
 
-    kind = docs.schema[id_col].dataType.simpleString().replace("bigint", "long")
-    return map_rows(docs.select(docs[id_col].alias("doc_id"), docs[text_col]), f"doc_id {kind}, lang_pred string, score double", make)
+    key, kind = id_column(docs, id_col)
+    return map_rows(docs.select(key, docs[text_col]), f"doc_id {kind}, lang_pred string, score double", make)
 
 
 def language_filter(docs: DataFrame, model: LanguageModel | None, min_score: float = 0.4, text_col: str = "text") -> DataFrame:
-    """The rows of docs with a language of at least min_score, all columns as they are."""
+    """The rows of docs with a language of at least min_score, all columns as they are.
+
+    Null texts, texts without a letter and, without a model, all texts go; texts count whole; repeated rows
+    stay or go together; ids are not looked at; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -15,7 +15,6 @@ cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,8 +25,8 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import PRE_SPLIT, byte_letters
-from .common import pieces, tidy
+from .bpe import PRE_SPLIT, byte_letters, read_vocabulary
+from .common import id_column, pieces, tidy
 
 
 @dataclass(frozen=True)
@@ -44,8 +43,7 @@ class Tokens:
     """Token ids of whole texts, equal to those of the tokenizers library for a byte-level file."""
 
     def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
+        data = read_vocabulary(path)
         letters = byte_letters()
         special = {x["content"]: x["id"] for x in data.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in k): v for k, v in data["model"]["vocab"].items() if k not in special}
@@ -135,7 +133,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     ids are packed like others; an empty table gives an empty result; other columns of docs
     are not read. ids=True adds the piece's ids as array<int>.
     """
-    kind = docs.schema[id_col].dataType.simpleString().replace("bigint", "long")
+    key, kind = id_column(docs, id_col)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = ", ".join([f"doc_id {kind}", *(f"{x} long" for x in names[1:])]) + (", ids array<int>" if ids else "")
 
@@ -181,4 +179,4 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         if keys:
             yield flush()
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(tidy(run), schema)
+    return docs.select(key, docs[text_col]).mapInArrow(tidy(run), schema)

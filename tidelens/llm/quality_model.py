@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_rows
+from .common import fold, id_column, map_rows
 from .labelled import fit_logistic, labelled_sample, logistic
 
 
@@ -105,6 +105,6 @@ def score_quality(docs: DataFrame, model: QualityModel | None, id_col: str = "do
 
         return f
 
-    kind = docs.schema[id_col].dataType.simpleString().replace("bigint", "long")
-    out = map_rows(docs.select(docs[id_col].alias("doc_id"), docs[text_col]), f"doc_id {kind}, score double", make)
+    key, kind = id_column(docs, id_col)
+    out = map_rows(docs.select(key, docs[text_col]), f"doc_id {kind}, score double", make)
     return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -16,7 +16,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import keep_rows, map_rows
+from .common import id_column, keep_rows, map_rows
 
 SPACE, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 
@@ -126,8 +126,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         measure = measurer(rules)
         return lambda cols: [cols[0], *(list(x) for x in zip(*map(measure, cols[1]), strict=True))] if cols[0] else [[] for _ in range(10)]
 
-    kind = docs.schema[id_col].dataType.simpleString().replace("bigint", "long")
-    return map_rows(docs.select(docs[id_col].alias("doc_id"), docs[text_col]), f"doc_id {kind}, {SCHEMA}", make)
+    key, kind = id_column(docs, id_col)
+    return map_rows(docs.select(key, docs[text_col]), f"doc_id {kind}, {SCHEMA}", make)
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:

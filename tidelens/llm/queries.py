@@ -1,4 +1,8 @@
-"""The queries of the corpus operators, and SQL for those that SQL can express."""
+"""The queries of the corpus operators, and SQL for those that SQL can express.
+
+Each takes its whole table and gives a row per input row (op5: per query and rank, op6: per piece). Null texts
+count as empty; null ids, repeated rows, empty tables and further columns do what the operator's docstring says.
+"""
 
 from __future__ import annotations
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_rows
+from .common import fold, id_column, map_rows
 from .labelled import fit_logistic, labelled_sample, logistic
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -272,6 +272,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
 
         return f
 
-    kind = docs.schema[id_col].dataType.simpleString().replace("bigint", "long")
-    out = map_rows(docs.select(docs[id_col].alias("doc_id"), docs[text_col]), f"doc_id {kind}, score double, spans string", make)
+    key, kind = id_column(docs, id_col)
+    out = map_rows(docs.select(key, docs[text_col]), f"doc_id {kind}, score double, spans string", make)
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
