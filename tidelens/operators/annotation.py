@@ -28,6 +28,21 @@ def with_run(df: DataFrame, day: Column, base: int, step: int = 1) -> DataFrame:
     return df.withColumn("_d", day).join(days, "_d").drop("_d")
 
 
+#: System prompts by name; {levels} becomes the list of levels, {topic} what the questions are about.
+TEMPLATES = {
+    "plain": "Rate how hard the question about {topic} is. Answer with one of {levels}.",
+    "tagged": "You grade questions about {topic}. Choose one of {levels} and answer as <Difficulty Level>n</Difficulty Level>, nothing else.",
+    "reasoned": "You grade questions about {topic}. First say in one sentence what somebody must know to answer, then choose one of {levels} and end with <Difficulty Level>n</Difficulty Level>.",
+    "strict": "Grade the question about {topic} as one of {levels}. If it is no question, grade it as the first. Answer as <Difficulty Level>n</Difficulty Level>.",
+}
+
+
+def system_prompt(template: str, topic: Column, levels: dict[int, str]) -> Column:
+    """The named template for a topic, with levels such as "0 (basic), 1 (advanced)"."""
+    listed = ", ".join(f"{k} ({v})" for k, v in sorted(levels.items()))
+    return F.replace(F.lit(TEMPLATES[template].replace("{levels}", listed)), F.lit("{topic}"), topic)
+
+
 #: Rows of a hand-labelled set; it travels with every task as one array.
 GOLDEN_ROWS = 100_000
 

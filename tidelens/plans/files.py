@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import network
-from ..sources import readers, writers
+from ..sources import manifest, readers, writers
 from ..sources.adapters import EVENT, metrics, posts, scratch, table, tags, votes
 from ..streaming import daily
 from .registry import query
@@ -182,6 +182,38 @@ def _event_stream(spark, d):
     return daily.source(spark, f, EVENTS)
 
 
+@query("SRC19", "SELECT * FROM (VALUES ('event', '1998-06-03'), ('languages', '[\"java\",\"python\"]'), ('lags', '12')) AS t (option, value)")
+def run_manifest(spark, d):
+    """A run's options, written as JSON and read back as rows."""
+    f = f"{_folder(spark)}/manifest.json"
+    manifest.write(f, {"lags": 12, "event": EVENT, "languages": ["java", "python"]})
+    return manifest.table(spark, f)
+
+
+_DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+def _database(spark, d):
+    """Customers written to a database inside the JVM, which needs no server: a stand-in for a real one."""
+    url = f"jdbc:derby:memory:db{uuid.uuid4().hex};create=true"
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal").coalesce(2)
+    writers.jdbc(rows, url, "customers", "app", "app", driver=_DERBY)
+    return url
+
+
+@query("SNK5", "SELECT c_custkey, c_name, c_acctbal FROM customer", "", "c_acctbal", 6)
+def bulk_insert(spark, d):
+    return readers.jdbc(spark, _database(spark, d), "customers", "app", "app", driver=_DERBY).load()
+
+
+@query("SRC1", "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 2 = 0 AND c_acctbal > 0", "", "c_acctbal", 6)
+def database(spark, d):
+    """A table read in four ranges of its key; columns and the filter on the balance reach the database."""
+    top = table(spark, d, "customer").agg(F.max("c_custkey")).first()[0]
+    rows = readers.jdbc(spark, _database(spark, d), "customers", "app", "app", split=("c_custkey", 0, top + 1, 4), driver=_DERBY).load()
+    return rows.where((F.col("c_custkey") % 2 == 0) & (F.col("c_acctbal") > 0)).select("c_custkey", "c_acctbal")
+
+
 @query("STREAM1", "SELECT event_type, CAST(floor(date_diff('day', DATE '2024-01-10', CAST(ts AS DATE)) / 7.0) AS INTEGER) AS bin, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2", "", "v", 6)
 def streamed_windows(spark, d):
     """Event-aligned weeks of a stream, complete; the batch result is the oracle."""

@@ -734,6 +734,19 @@ def middle(spark, d):
     return _groups(spark, d).where("grp = 'middle'").select("tag")
 
 
+_CHURN = "tot AS (SELECT tag, round(sum(pct) FILTER (days < 0), 6) AS b, round(sum(pct) FILTER (days >= 0), 6) AS a FROM pt GROUP BY 1), r AS (SELECT tag, row_number() OVER (ORDER BY b DESC, tag) AS rb, row_number() OVER (ORDER BY a DESC, tag) AS ra, count(*) OVER () AS n FROM tot WHERE a IS NOT NULL AND b IS NOT NULL), gr AS (SELECT tag, CASE WHEN rb <= floor(n * 0.2) THEN 'top' WHEN rb > n - floor(n * 0.2) THEN 'bottom' ELSE 'middle' END AS before, CASE WHEN ra <= floor(n * 0.2) THEN 'top' WHEN ra > n - floor(n * 0.2) THEN 'bottom' ELSE 'middle' END AS after FROM r)"
+
+
+@query("TOP6_churn", f"WITH {_CHURN} SELECT before AS grp, count(*) AS members, count(*) FILTER (before <> after) AS gone FROM gr GROUP BY 1", "pt")
+def churn(spark, d):
+    """How many tags of the top, middle and bottom group before the event are in another one after it."""
+    when = lambda c: F.round(F.sum(F.when(c, F.col("pct"))), 6)
+    totals = pt(spark, d).groupBy("tag").agg(when(F.col("days") < 0).alias("b"), when(F.col("days") >= 0).alias("a")).dropna()
+    before = distributions.top_bottom(totals, "tag", "b").select("tag", "a", F.col("grp").alias("before"))
+    both = distributions.top_bottom(before, "tag", "a")
+    return both.groupBy(F.col("before").alias("grp")).agg(F.count("*").alias("members"), F.count_if(F.col("before") != F.col("grp")).alias("gone"))
+
+
 @query("TOP7", "WITH s AS (SELECT tag, sum(pct) FILTER (days < 0) AS b, sum(pct) FILTER (days >= 0) AS a FROM pt GROUP BY 1) SELECT tag, round(abs(a - b), 6) AS gap FROM s ORDER BY gap DESC, tag LIMIT 5", "pt", "gap")
 def largest_gap(spark, d):
     s = pt(spark, d).groupBy("tag").agg(F.sum(F.when(F.col("days") < 0, F.col("pct"))).alias("b"), F.sum(F.when(F.col("days") >= 0, F.col("pct"))).alias("a"))

@@ -281,6 +281,12 @@ def _prompts(spark, d, limit: int = 2000):
     return annotation.prompts(shots, texts.unionByName(p).groupBy("id").agg(F.min("text").alias("text")), _golden(spark, d), "Rate the question as 0, 1 or 2.", limit)
 
 
+@query("UDF12", "SELECT n_nationkey, 'You grade questions about ' || n_name || '. Choose one of 0 (basic), 1 (middle), 2 (advanced) and answer as <Difficulty Level>n</Difficulty Level>, nothing else.' AS prompt FROM nation")
+def templates(spark, d):
+    levels = {0: "basic", 1: "middle", 2: "advanced"}
+    return table(spark, d, "nation").select("n_nationkey", annotation.system_prompt("tagged", F.col("n_name"), levels).alias("prompt"))
+
+
 @query("UDF7")
 def token_budget(spark, d):
     return _prompts(spark, d, 460).select("eval_id", "draw", "fits")

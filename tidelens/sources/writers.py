@@ -34,9 +34,10 @@ def by_window(df: DataFrame, path: str, *keys: str, mode: str = "error") -> None
     df.repartition(*keys).write.mode(mode).partitionBy(*keys).parquet(path)
 
 
-def jdbc(df: DataFrame, url: str, table: str, user: str, password: str, page: int = 100) -> None:
+def jdbc(df: DataFrame, url: str, table: str, user: str, password: str, page: int = 100, driver: str | None = None) -> None:
     """Append in multi-row inserts; a failed task rolls its own transaction back."""
-    df.write.format("jdbc").option("url", url).option("dbtable", table).option("user", user).option("password", password).option("batchsize", page).mode("append").save()
+    w = df.write.format("jdbc").option("url", url).option("dbtable", table).option("user", user).option("password", password).option("batchsize", page)
+    (w.option("driver", driver) if driver else w).mode("append").save()
 
 
 def done_rows(results: DataFrame) -> DataFrame:
