@@ -26,16 +26,18 @@ _POSTS = "SELECT CAST(id AS INTEGER) AS id, strftime(creationdate, '%Y-%m-%dT%H:
 
 @query("SRC3", _POSTS, "posts")
 def json_folder(spark, d):
+    """A folder of files that are arrays of objects."""
     f = _folder(spark)
-    writers.json_lines(_post_rows(spark, d), f)
-    return spark.read.schema(readers.schemas.QUESTIONS).json(f)
+    writers.json_arrays(_post_rows(spark, d).repartition(3, "id"), f)
+    return readers.json_folder(spark, f, readers.schemas.QUESTIONS)
 
 
 @query("SRC4", _POSTS, "posts")
 def json_single(spark, d):
+    """One file that is an array of objects."""
     f = _folder(spark)
-    writers.one_file(_post_rows(spark, d), f)
-    return spark.read.schema(readers.schemas.QUESTIONS).json(f)
+    writers.json_arrays(_post_rows(spark, d).coalesce(1), f)
+    return readers.json_file(spark, f"{f}/*.json", readers.schemas.QUESTIONS)
 
 
 @query("SRC5", "SELECT CAST(id AS INTEGER) AS id, language AS title FROM posts", "posts")

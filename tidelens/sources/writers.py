@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from xml.sax.saxutils import quoteattr
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,29 @@ def json_lines(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).json(path)
 
 
+def json_arrays(df: DataFrame, folder: str, mode: str = "error") -> None:
+    """A folder of JSON files, each one array with an object per line; one file for each partition."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["
+        for b in batches:
+            out = []
+            for x in b.column(0).to_pylist():
+                out.append(mark + x)
+                mark = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"])], names=["value"])
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(lines, "value string").write.mode(mode).text(folder)
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    store = place.getFileSystem(conf)
+    for f in store.listStatus(place):
+        name = f.getPath().getName()
+        if name.endswith(".txt"):
+            store.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(place, name.removesuffix(".txt") + ".json"))
+
+
 def one_file(df: DataFrame, path: str, mode: str = "error") -> None:
     """A single JSON-lines file, in the frame's order: for exports of bounded size only."""
     df.coalesce(1).write.mode(mode).json(path)
