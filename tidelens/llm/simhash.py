@@ -332,15 +332,24 @@ def _crowd_links(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     return rows.repartition(tasks, "home", "i", "j").sortWithinPartitions("home", "i", "j").mapInArrow(tidy(run), "a long, b long")
 
 
-def _similar_roots(members: DataFrame, sets: DataFrame, similarity: float, crowd: int) -> DataFrame | None:
-    """(id, root) of the ids linked to a smaller one; members: (key, id, n), n the size of the id's set.
+def _close(nodes: DataFrame) -> DataFrame:
+    """(a, b): candidates among nodes (id, fp), by the Gray-order index: each id with the smallest of its fingerprint,
+    and these along the trees of fingerprints at most three bits apart."""
+    first = cut(nodes.groupBy("fp").agg(F.min("id").alias("first")))
+    same = nodes.join(first, "fp").where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    near = cut(links(first.select("fp"))).join(first.withColumnsRenamed({"fp": "a", "first": "x"}), "a").join(first.withColumnsRenamed({"fp": "b", "first": "y"}), "b")
+    return same.union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def _similar_roots(members: DataFrame, sets: DataFrame, similarity: float, crowd: int, links: DataFrame) -> DataFrame:
+    """(id, root) of the ids linked to a smaller one; members: (key, id, n), n the size of the id's set; links: what is known.
 
     Members of a key are candidates of each other. Up to `crowd` of them are all compared; more of them
     first with one, then with eight, which joins most of a large group of copies at little cost. Of what this leaves
     in different groups, sets too unlike all others go, and the rest is compared block by block: no pair is left out.
     """
-    links = roots = None
-    members = cut(members.withColumn("root", F.col("id")))
+    roots = connected_components(links).withColumnsRenamed({"node": "id"})
+    members = cut(members.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")))
     for few in (1, 8, 0):
         if members.isEmpty():
             break
@@ -354,8 +363,8 @@ def _similar_roots(members: DataFrame, sets: DataFrame, similarity: float, crowd
             new = cut(_similar(pairs, sets, similarity))
         else:
             new = cut(_crowd_links(members, sets, similarity))
-        if links is None or not new.isEmpty():
-            links = new if links is None else cut(links.union(new))
+        if not new.isEmpty():
+            links = cut(links.union(new))
             roots = connected_components(links).withColumnsRenamed({"node": "id"})
         if few:
             # What is left: members of crowded keys that are still in several groups.
@@ -391,8 +400,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(doc_id, component_id), one row per row with an id: groups of texts linked by pairs whose
     shingles of `size` words, each counted once, have a Jaccard similarity of `similarity` or more.
 
-    Candidates share one of `bands` keys of `rows` least hashes of those shingles: of pairs of
-    similarity 0.8, 3 in a million share none, whatever the edits. Each link is checked
+    Candidates are found in two ways. The Gray-order index gives texts whose fingerprints of those shingles are at
+    most three bits apart, which joins most copies cheaply. Beyond three bits, candidates share one of `bands` keys of
+    `rows` least hashes of the shingles: of pairs of similarity 0.8, 3 in a million share none, whatever the edits. Each link is checked
     on the sets of the shingles' 64-bit hashes. Equal sets always share a group, as do texts
     without a word. component_id is the smallest id of the group. Keys of up to `cap` sets have
     all their pairs compared at once.
@@ -406,11 +416,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def make():
         def f(cols):
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for t in cols[1]:
                 found = hashes(t)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), "<i8").tolist()
-                for o, v in zip(out, (*digest, len(found), band_keys(found, bands, rows).tobytes()), strict=True):
+                fp = int(majorities(found[None]).view("<i8")[0]) if len(found) else 0
+                for o, v in zip(out, (*digest, fp, len(found), band_keys(found, bands, rows).tobytes()), strict=True):
                     o.append(v)
             return [cols[0], *out]
 
@@ -423,8 +434,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["key", "id", "n"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
-    marks = cut(map_rows(texts, "doc_id long, h long, g long, n long, bands binary", make))
-    nodes = cut(marks.groupBy("h", "g").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("bands").alias("bands")))
+    marks = cut(map_rows(texts, "doc_id long, h long, g long, fp long, n long, bands binary", make))
+    nodes = cut(marks.groupBy("h", "g").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands")))
     dealt = nodes.where("n > 0").select("id", F.col("n").cast("int"), "bands").mapInArrow(tidy(deal), "key long, id long, n int")
     shared = dealt.groupBy("key").count().where("count > 1").select("key")
     members = cut(dealt.join(shared, "key", "left_semi"))
@@ -443,10 +454,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     wanted = small(cut(wanted), IDS_SENT)
     sets = map_rows(texts.join(wanted.select("doc_id"), "doc_id", "left_semi"), "doc_id long, h long, g long, hashes binary", make_sets)
     sets = cut(sets.join(wanted, ["doc_id", "h", "g"], "left_semi").dropDuplicates(["doc_id", "h", "g"]).select(F.col("doc_id").alias("id"), "hashes"))
-    roots = _similar_roots(members, sets, similarity, cap)
-    member = nodes.select("h", "g", "id")
-    if roots is not None:
-        member = member.join(roots, "id", "left").select("h", "g", F.coalesce("root", "id").alias("id"))
+    close = cut(_similar(_close(nodes.where("n > 0").select("id", "fp")), sets, similarity))
+    roots = _similar_roots(members, sets, similarity, cap, close)
+    member = nodes.join(roots, "id", "left").select("h", "g", F.coalesce("root", "id").alias("id"))
     return marks.select("doc_id", "h", "g").join(cut(member), ["h", "g"]).select("doc_id", F.col("id").alias("component_id"))
 
 
