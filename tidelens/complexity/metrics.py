@@ -98,10 +98,15 @@ def _udf():
     return run
 
 
+def _each(rows: DataFrame, records: str, *keys: str) -> DataFrame:
+    """(keys, fields): a row per record. A plain explode would let the optimizer filter on the array's size and run its function twice."""
+    return rows.select(*keys, F.explode_outer(records).alias("_x")).where("_x is not null").select(*keys, "_x.*")
+
+
 def function_metrics(snippets: DataFrame, keys: list[str], source: str = "src", language: str = "language") -> DataFrame:
     """(keys, language, function, complexity, cyclomatic, nloc, ...): a row per function of the snippets that pass the gate."""
     rows = snippets.select(*keys, F.col(language).alias("language"), _udf()(F.col(source), F.col(language)).alias("_m"))
-    return rows.select(*keys, "language", F.explode("_m").alias("m")).select(*keys, "language", "m.*")
+    return _each(rows, "_m", *keys, "language")
 
 
 def not_measured(snippets: DataFrame, keys: list[str], source: str = "src", language: str = "language") -> DataFrame:
@@ -152,7 +157,7 @@ def report_functions(reports: DataFrame, keys: list[str], column: str = "report"
     def run(s: pd.Series) -> pd.Series:
         return s.map(spaces_of)
 
-    return reports.select(*keys, F.explode(run(F.col(column))).alias("s")).select(*keys, "s.*")
+    return _each(reports.select(*keys, run(F.col(column)).alias("_s")), "_s", *keys)
 
 
 def extension(language: str) -> str:

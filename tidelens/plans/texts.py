@@ -104,7 +104,7 @@ def code(spark, d):
 
 @query("STR11", f"WITH {_PLAIN}, x AS (SELECT page_id, unnest({_CODE}) AS src FROM u) SELECT * FROM x WHERE src <> ''")
 def sources(spark, d):
-    return _sections(spark, d).select("page_id", F.explode("s.span_str").alias("src")).where("src != ''")
+    return _sections(spark, d).select("page_id", F.explode_outer("s.span_str").alias("src")).where("src != ''")
 
 
 _TAGTEXT = "tt AS (SELECT id, string_agg('<' || tag || '>', '' ORDER BY tag) AS tags FROM tags GROUP BY id)"
@@ -312,8 +312,9 @@ _KEYS = ["conv_id", "turn"]
 
 
 def _words(spark, d):
-    """(conv_id, turn, text, words): runs of a to z of every whole turn."""
-    return table(spark, d, "conversations").select(*_KEYS, "text", F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)).alias("words"))
+    """(conv_id, turn, text, words): runs of a to z of every whole turn, dealt to all cores: to measure a snippet costs far more than to send it."""
+    rows = table(spark, d, "conversations").repartition(spark.sparkContext.defaultParallelism, *_KEYS)
+    return rows.select(*_KEYS, "text", F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)).alias("words"))
 
 
 _WORDS = "wd AS (SELECT conv_id, turn, text, regexp_extract_all(text, '[a-z]+') AS words, len(regexp_extract_all(text, '[a-z]+')) AS n, (conv_id + turn) % 4 AS k FROM conversations)"
