@@ -170,3 +170,34 @@ def test_jdbc_reader_options(spark):
     r = readers.jdbc(spark, "jdbc:postgresql://h/db", "posts", "u", "p", "s", ("id", 0, 100, 4))
     with pytest.raises(Exception):  # noqa: B017 - no driver here; the reader itself is lazy
         r.load()
+
+
+def test_running_total_of_periods(spark):
+    """Against plain sums, with a null key, a key of one period and ties of the first order column."""
+    from pyspark.sql import functions as F
+
+    from tidelens.operators import rollups
+
+    rows = [(i, "a" if i % 3 else None, i // 4, float(i)) for i in range(40)] + [(100 + i, "b", 1, 2.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "id int, k string, day int, v double")
+    got = {r.id: r.total for r in rollups.running_total(df, "k", ["day", "id"], F.floor(F.col("day") / 3), "v", "total").collect()}
+    assert got == {i: sum(v for j, q, d, v in rows if q == k and (d, j) <= (day, i)) for i, k, day, _ in rows}
+
+
+def test_asked_until_answers_agree(spark):
+    """Only what has not agreed is asked again, and what never does has no label."""
+    from pyspark.sql import functions as F
+
+    from tidelens.operators import annotation
+
+    asked = []
+
+    def ask(questions, attempt):
+        asked.append((attempt, sorted(r.id for r in questions.collect())))
+        rows = questions.withColumn("draw", F.explode(F.array(F.lit(1), F.lit(2))))
+        return rows.select("id", "draw", F.when(F.col("id") <= attempt, F.lit(7)).otherwise(F.col("draw")).alias("label"))
+
+    df = spark.createDataFrame([(1,), (2,), (9,)], "id int")
+    got = {r.id: (r.label, r.attempt) for r in annotation.until_unanimous(df, ask, 2, 3).collect()}
+    assert got == {1: (7, 1), 2: (7, 2), 9: (None, None)}
+    assert asked == [(1, [1, 2, 9]), (2, [2, 9]), (3, [9])]

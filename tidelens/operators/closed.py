@@ -121,8 +121,7 @@ def meta(df: DataFrame, by: list[str], effect: str = "effect", se: str = "se") -
     dof = F.col("k") - 1
     s = s.withColumn("i2", F.greatest(F.lit(0.0), F.coalesce(F.try_divide(100 * (F.col("q") - dof), F.col("q")), F.lit(0.0))))
     s = s.withColumn("tau2", F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col("q") - dof, F.col("w") - F.col("ww") / F.col("w")), F.lit(0.0)))).select(*by, "k", "fixed", "fixed_se", "q", "i2", "tau2")
-    key = by or ["_one"]
-    back = (rows if by else rows.withColumn("_one", F.lit(1))).join(F.broadcast(s if by else s.withColumn("_one", F.lit(1))), key)
+    back = rows.join(s, by) if by else rows.join(F.broadcast(s))
     r = F.lit(1.0) / (F.col(se) ** 2 + F.col("tau2"))
     return back.groupBy(*by, "k", "fixed", "fixed_se", "q", "i2", "tau2").agg((F.sum(r * F.col("_e")) / F.sum(r)).alias("random"), F.sqrt(1 / F.sum(r)).alias("random_se"))
 

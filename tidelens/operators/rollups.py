@@ -99,3 +99,17 @@ def pivot_counts(df: DataFrame, row: str, column: str, values: list) -> DataFram
 def empty_cells(df: DataFrame, row: str, column: str) -> DataFrame:
     """How many pairs of a row value and a column value never occur."""
     return df.agg((F.count_distinct(row) * F.count_distinct(column) - F.count_distinct(row, column)).alias("empty_cells"))
+
+
+def running_total(df: DataFrame, key: str, order: list[str], period: Column, value: str, name: str) -> DataFrame:
+    """df with the sum of value over the key's rows up to each one, in the given order, the first part of which gives the period.
+
+    Rows are summed inside a period of a key, and the periods before are added: a key with very many rows
+    is spread over as many tasks as it has periods.
+    """
+    rows = df.withColumn("_p", period)
+    inside = Window.partitionBy(key, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = rows.groupBy(key, "_p").agg(F.sum(value).alias("_s")).select(F.col(key).alias("_k"), F.col("_p").alias("_q"), F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_b"))
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col("_p").eqNullSafe(F.col("_q"))
+    return rows.withColumn("_i", F.sum(value).over(inside)).join(earlier, same).withColumn(name, F.col("_i") + F.col("_b")).drop("_i", "_b", "_p", "_k", "_q")

@@ -870,6 +870,5 @@ def running_total(spark, d):
 
 @query("UDF13", "SELECT id, owner, sum(price) OVER (PARTITION BY owner ORDER BY creationdate, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reputation FROM posts", "posts", "reputation", 2)
 def reputation(spark, d):
-    """The sum of an owner's events up to each of them: an as-of value by one window."""
-    w = Window.partitionBy("owner").orderBy("creationdate", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return posts(spark, d).select("id", "owner", F.sum("price").over(w).alias("reputation"))
+    """The sum of an owner's events up to each of them: an as-of value, by month so that an owner of very many events is no single task."""
+    return rollups.running_total(posts(spark, d), "owner", ["creationdate", "id"], F.date_trunc("month", "creationdate"), "price", "reputation").select("id", "owner", "reputation")
