@@ -114,6 +114,24 @@ def test_packing(spark, sf):
     assert max(full) <= 2048 and padding < 0.01 * sum(full)
 
 
+SPACES = ["a" + " " * 1_000_000 + "b", " " * 5_000_000, "x\t" + "\t" * 1_500_000, "\n" * 1_200_000 + " y", "a b " + " \n" * 700_000 + "<|endoftext|> c", "z" * 1_500_000]
+
+
+def test_very_long_white_space(spark):
+    """Runs of a million characters and more, in the operator itself; repeated rows count."""
+    rows = [*enumerate(SPACES), (0, SPACES[0]), (9, "plain"), (9, "plain")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = packing.pack(docs, FILE, ids=True).toPandas()
+    for doc, text in dict(rows).items():
+        want = [*REFERENCE.encode(text, add_special_tokens=False).ids, 1]
+        copies = sum(d == doc for d, _ in rows)
+        g = got[got.doc_id == doc]
+        assert g.length.sum() == copies * len(want) and (g.doc_tokens == len(want)).all()
+        if copies == 1:
+            assert [i for x in g.sort_values("start").ids for i in x] == want
+    assert (got.start == 0).sum() == len(rows)
+
+
 def test_streams_bound_memory(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     small = packing.pack(docs, FILE, packing=packing.Packing(length=64, stream=500)).toPandas()

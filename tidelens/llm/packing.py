@@ -25,7 +25,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import PRE_SPLIT, byte_letters, read_vocabulary
+from .bpe import PRE_SPLIT, automaton, byte_letters, read_vocabulary
 from .common import id_column, pieces, tidy
 
 
@@ -40,10 +40,14 @@ class Packing:
 
 
 class Tokens:
-    """Token ids of whole texts, equal to those of the tokenizers library for a byte-level file."""
+    """Token ids of whole texts, equal to those of the tokenizers library for a byte-level file.
+
+    The library's pattern gives up on white space of a million characters or so: such a text goes to the automaton.
+    """
 
     def __init__(self, path: str) -> None:
         data = read_vocabulary(path)
+        self.path = path
         letters = byte_letters()
         special = {x["content"]: x["id"] for x in data.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in k): v for k, v in data["model"]["vocab"].items() if k not in special}
@@ -53,7 +57,10 @@ class Tokens:
             self.sentence[v] = k.rstrip(b" \t\r\"')").endswith((b".", b"!", b"?", b"\n", "。".encode(), "…".encode()))
 
     def __call__(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        try:
+            return self.encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        except ValueError:  # the pattern's stack is full
+            return np.array(automaton(self.path).encode(text), np.uint32)
 
 
 def plan(places: list[int], penalty: list[int], length: int, hard: int) -> tuple[list[float], list[int]]:
