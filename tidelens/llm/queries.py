@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, bpe, language, packing, quality_model, quality_rules, secrets, simhash, toxicity, warc
+from . import bitsliced, bpe, language, packing, quality_model, quality_rules, records, secrets, simhash, toxicity, warc
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -59,5 +59,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_score, op3_warc_index, op4_bpe_automaton, op5_bitsliced_topk, op6_packing, op7_toxicity_crf, op8_language_kernel, op9_secret_scan, op10_simhash)}
+def op11_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.token_records(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_score, op3_warc_index, op4_bpe_automaton, op5_bitsliced_topk, op6_packing, op7_toxicity_crf, op8_language_kernel, op9_secret_scan, op10_simhash, op11_token_records)}
 ORACLES = {"op3_warc_index": warc.ORACLE, "op5_bitsliced_topk": bitsliced.ORACLE}
