@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, bpe, language, packing, phrases, quality_model, quality_rules, records, secrets, simhash, toxicity, warc
+from . import bitsliced, bpe, divergence, language, packing, phrases, quality_model, quality_rules, records, secrets, simhash, toxicity, warc
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -67,5 +67,9 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_score, op3_warc_index, op4_bpe_automaton, op5_bitsliced_topk, op6_packing, op7_toxicity_crf, op8_language_kernel, op9_secret_scan, op10_simhash, op11_token_records, op12_phrases)}
-ORACLES = {"op3_warc_index": warc.ORACLE, "op5_bitsliced_topk": bitsliced.ORACLE, "op12_phrases": phrases.ORACLE}
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_score, op3_warc_index, op4_bpe_automaton, op5_bitsliced_topk, op6_packing, op7_toxicity_crf, op8_language_kernel, op9_secret_scan, op10_simhash, op11_token_records, op12_phrases, op13_divergence)}
+ORACLES = {"op3_warc_index": warc.ORACLE, "op5_bitsliced_topk": bitsliced.ORACLE, "op12_phrases": phrases.ORACLE, "op13_divergence": divergence.ORACLE}
