@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 ROLLUPS = {"mean": F.avg, "max": F.max, "std": F.stddev_samp, "median": F.median}
 
 
@@ -74,9 +76,11 @@ def grid(df: DataFrame, left: str, right: str, values: list[str], fill: float =
 
 def describe(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     x = F.col(column)
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("_q"), F.max(x).alias("max"))
-    return out.select(*by, "count", "mean", "std", "min", F.get("_q", F.lit(0)).alias("q25"), F.get("_q", F.lit(1)).alias("q50"), F.get("_q", F.lit(2)).alias("q75"), "max")
+    # How often each value occurs is far less to read again than df, where values repeat.
+    times = df.groupBy(*by, column).agg(F.count("*").alias("_times"))
+    q = quantiles.quantiles(times, by, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, "_times")
+    out = df.groupBy(*by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return quantiles.same(out, q, by, "left").select(*by, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def weighted_mean(x: str, w: str) -> Column:

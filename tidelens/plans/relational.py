@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers
 from ..functions import text as text_functions
-from ..operators import annotation, distributions, rollups
+from ..operators import annotation, distributions, quantiles, rollups
 from ..sources import calendar
 from ..sources.adapters import EVENT, metrics, posts, table, tag_sets, tags, votes
 from .registry import query
@@ -594,9 +594,10 @@ def max_then_mean(spark, d):
 
 @query("AGG43", "SELECT language, w, quantile_cont(cc, 0.75) - quantile_cont(cc, 0.25) AS iqr, var_samp(cc) AS vr, median(cc) AS med FROM pm GROUP BY 1, 2", "pm", "iqr vr med")
 def dispersion_panel(spark, d):
-    q = F.percentile("cc", F.array(F.lit(0.25), F.lit(0.75)))
-    out = pm(spark, d).groupBy("language", "w").agg(q.alias("q"), F.var_samp("cc").alias("vr"), F.median("cc").alias("med"))
-    return out.select("language", "w", (F.get("q", F.lit(1)) - F.get("q", F.lit(0))).alias("iqr"), "vr", "med")
+    rows = pm(spark, d)
+    q = quantiles.quantiles(rows.groupBy("language", "w", "cc").agg(F.count("*").alias("times")), ["language", "w"], "cc", {"low": 0.25, "med": 0.5, "high": 0.75}, "times")
+    out = rows.groupBy("language", "w").agg(F.var_samp("cc").alias("vr"))
+    return quantiles.same(out, q, ["language", "w"]).select("language", "w", (F.col("high") - F.col("low")).alias("iqr"), "vr", "med")
 
 
 _GROUPS = "pre AS (SELECT tag, round(sum(pct), 6) AS v FROM pt WHERE days < 0 GROUP BY 1), g AS (SELECT tag, CASE WHEN row_number() OVER (ORDER BY v DESC, tag) <= floor(count(*) OVER () * 0.2) THEN 'top' WHEN row_number() OVER (ORDER BY v DESC, tag) > count(*) OVER () - floor(count(*) OVER () * 0.2) THEN 'bottom' ELSE 'middle' END AS grp FROM pre)"
