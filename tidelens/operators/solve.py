@@ -2,13 +2,11 @@
 
 Panels have one row per entity and bin, hundreds to some ten thousand rows, whatever the
 size of the raw data: the aggregation before them is distributed, the solve is numpy in one
-applyInPandas group per model.
+applyInPandas group per entity. Models over all entities are in panels.py.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,27 +44,6 @@ def hc3(x: np.ndarray, e: np.ndarray, bread: np.ndarray) -> np.ndarray:
     return bread @ (u.T @ u) @ bread
 
 
-def cluster(x: np.ndarray, e: np.ndarray, bread: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """With the factor G/(G-1) * (N-1)/(N-K)."""
-    names, at = np.unique(groups, return_inverse=True)
-    u = np.zeros((len(names), x.shape[1]))
-    np.add.at(u, at, x * e[:, None])
-    g, n, k = len(names), len(e), np.linalg.matrix_rank(x)
-    return bread @ (u.T @ u) @ bread * (g / max(1, g - 1)) * ((n - 1) / max(1, n - k))
-
-
-def driscoll_kraay(x: np.ndarray, e: np.ndarray, bread: np.ndarray, time: np.ndarray, lags: int) -> np.ndarray:
-    """HAC on the scores summed by time."""
-    names, at = np.unique(time, return_inverse=True)
-    u = np.zeros((len(names), x.shape[1]))
-    np.add.at(u, at, x * e[:, None])
-    s = u.T @ u
-    for k in range(1, min(lags, len(u) - 1) + 1):
-        g = u[k:].T @ u[:-k]
-        s += (1 - k / (lags + 1)) * (g + g.T)
-    return bread @ s @ bread
-
-
 def its_design(t: np.ndarray) -> np.ndarray:
     post = (t >= 0).astype(float)
     return np.c_[np.ones(len(t)), t, post, post * t]
@@ -110,101 +87,9 @@ def its(panel: DataFrame, by: str, y: str = "y", t: str = "t", weights: str | No
     return panel.select(*columns).groupBy(by).applyInPandas(fit, f"{by} {kind}, {TERMS}")
 
 
-def one_model(panel: DataFrame, columns: list[str], order: list[str], build: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A model over a whole panel (one row per entity and bin) as one group."""
-    rows = panel.select(*columns).withColumn("_m", F.lit(1))
-    return rows.groupBy("_m").applyInPandas(lambda p: build(p.drop(columns="_m").dropna().sort_values(order)), schema)
-
-
-def pooled_its(panel: DataFrame, entity: str, y: str = "y", t: str = "t", weights: str | None = None, lags: int = 8) -> DataFrame:
-    """(cov, term, coef, se, z, p): one model with entity effects under cluster, HAC and Driscoll-Kraay errors."""
-
-    def build(p: pd.DataFrame) -> pd.DataFrame:
-        tv = p[t].to_numpy(float)
-        dummies = pd.get_dummies(p[entity], drop_first=True).to_numpy(float)
-        beta, e, bread, x = solve(np.c_[its_design(tv), dummies], p[y].to_numpy(float), p[weights].to_numpy(float) if weights else None)
-        covs = {"cluster": cluster(x, e, bread, p[entity].to_numpy()), "hac": hac(x, e, bread, lags), "driscoll_kraay": driscoll_kraay(x, e, bread, tv, lags)}
-        out = []
-        for name, c in covs.items():
-            f = _table(list(ITS_TERMS), beta[:4], c[:4, :4])
-            f.insert(0, "cov", name)
-            out.append(f)
-        return pd.concat(out)
-
-    columns = list(dict.fromkeys([entity, y, t, *([weights] if weights else [])]))
-    return one_model(panel, columns, [entity, t], build, f"cov string, {TERMS}")
-
-
-def effect_curve(panel: DataFrame, entity: str, grid: list[int], y: str = "y", t: str = "t", log: bool = True) -> DataFrame:
-    """(t, effect, se): post + t·post_time over a grid by the delta method, in percent if log; 0 before the event."""
-
-    def build(p: pd.DataFrame) -> pd.DataFrame:
-        tv = p[t].to_numpy(float)
-        x0 = np.c_[its_design(tv), pd.get_dummies(p[entity], drop_first=True).to_numpy(float)]
-        beta, e, bread, x = solve(x0, p[y].to_numpy(float))
-        c = cluster(x, e, bread, p[entity].to_numpy())
-        g = np.array(grid, float)
-        on = (g >= 0).astype(float)
-        d = on * (beta[2] + g * beta[3])
-        v = on * (c[2, 2] + g**2 * c[3, 3] + 2 * g * c[2, 3])
-        se = np.sqrt(np.maximum(v, 0))
-        return pd.DataFrame({"t": g.astype(int), "effect": np.expm1(d) * 100 if log else d, "se": 100 * np.exp(d) * se if log else se})
-
-    return one_model(panel, [entity, y, t], [entity, t], build, "t int, effect double, se double")
-
-
 STUDY = "bin int, coef double, se double, z double, p double"
 
 
-def _study(p: pd.DataFrame, entity: str, bin_: str, y: str, weights: str | None, ref: int) -> pd.DataFrame:
-    bins = sorted(set(p[bin_]) - {ref})
-    x0 = np.c_[np.ones(len(p)), (p[bin_].to_numpy()[:, None] == np.array(bins)).astype(float), pd.get_dummies(p[entity], drop_first=True).to_numpy(float)]
-    beta, e, bread, x = solve(x0, p[y].to_numpy(float), p[weights].to_numpy(float) if weights else None)
-    k = len(bins) + 1
-    out = _table(["const", *map(str, bins)], beta[:k], cluster(x, e, bread, p[entity].to_numpy())[:k, :k]).iloc[1:]
-    out = pd.concat([out, pd.DataFrame({"term": [str(ref)], "coef": [0.0], "se": [0.0], "z": [0.0], "p": [1.0]})])
-    out["bin"] = out["term"].astype(int)
-    return out[["bin", "coef", "se", "z", "p"]]
-
-
-def event_study(panel: DataFrame, entity: str, bin_: str, y: str = "y", weights: str | None = None, ref: int = -1) -> DataFrame:
-    """(bin, coef, se, z, p): bin and entity effects, errors by entity; the reference bin has 0 and p 1."""
-    columns = list(dict.fromkeys([entity, bin_, y, *([weights] if weights else [])]))
-    return one_model(panel, columns, [entity, bin_], lambda p: _study(p, entity, bin_, y, weights, ref), STUDY)
-
-
-def leave_one_out(panel: DataFrame, entity: str, bin_: str, y: str = "y", weights: str | None = None) -> DataFrame:
-    """(left_out, bin, coef, se, z, p): the event study without each entity in turn, all on one copy of the panel."""
-    columns = list(dict.fromkeys([entity, bin_, y, *([weights] if weights else [])]))
-    kind = panel.schema[entity].dataType.simpleString()
-
-    def build(p: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for n in sorted(set(p[entity])):
-            one = _study(p[p[entity] != n], entity, bin_, y, weights, -1)
-            one.insert(0, "left_out", n)
-            out.append(one)
-        return pd.concat(out)
-
-    return one_model(panel, columns, [entity, bin_], build, f"left_out {kind}, {STUDY}")
-
-
-def studies_by_size(panel: DataFrame, entity: str, week: str, sizes: tuple[int, ...], limits: tuple[int, int], y: str = "y", weights: str = "n_func") -> DataFrame:
-    """(size, bin, coef, se, z, p): the event study with bins of so many weeks, all from one weekly panel of weighted means."""
-
-    def build(p: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for size in sizes:
-            q = p.assign(bin=p[week] // size, wy=p[y] * p[weights]).groupby([entity, "bin"], as_index=False)[["wy", weights]].sum()
-            q = q[q["bin"].between(*limits)].assign(**{y: lambda q: q["wy"] / q[weights]}).sort_values([entity, "bin"])
-            one = _study(q, entity, "bin", y, weights, -1)
-            one.insert(0, "size", size)
-            out.append(one)
-        return pd.concat(out)
-
-    return one_model(panel, [entity, week, y, weights], [entity, week], build, f"size int, {STUDY}")
-
-
 def its_models(panel: DataFrame, by: str, widths: tuple[int, ...], y: str = "y", t: str = "t", weights: str = "n_func", lags: int = 8) -> DataFrame:
     """(by, term, coef, se, z, p, model): each entity's weighted series with HAC errors, and plain ones on narrower windows with HC3."""
     kind = panel.schema[by].dataType.simpleString()

@@ -53,7 +53,8 @@ def query(name: str, body: str | None = None, use: str = "", doubles: str = "",
             parts = [f"{n} AS ({BASE[n]})" for n in _with(use.split())]
             text = " ".join(body.split())
             if parts:
-                text = f"WITH {', '.join(parts)}" + (f", {text.removeprefix('WITH ')}" if text.startswith("WITH ") else f" {text}")
+                lead = "WITH RECURSIVE " if text.startswith("WITH RECURSIVE ") else "WITH "
+                text = f"{lead}{', '.join(parts)}" + (f", {text.removeprefix(lead)}" if text.startswith(lead) else f" {text}")
             inner = text
             fixed = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + CAST(0 AS DOUBLE) AS {c}" for c in cols)
             ORACLES[name] = f"SELECT * REPLACE ({fixed}) FROM ({inner})" if cols else inner

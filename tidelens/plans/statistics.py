@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, dist, numbers
-from ..operators import closed, rollups, solve
+from ..operators import closed, panels, rollups, solve
 from ..sources.adapters import EVENT, PLACEBO, posts
 from .registry import query
 from .relational import dated, panel, pm, pt, weekly
@@ -284,6 +284,63 @@ def its_full_record(spark, d):
     return _rounded(r.join(n, "language").withColumn("significant", F.col("slope_p") < 0.05))
 
 
+def _z_p(z: str) -> str:
+    """Two-sided p of a normal value in SQL, by the series of erf."""
+    return f"CASE WHEN {z} = 0 THEN 1 WHEN abs({z}) > 8 THEN 0 ELSE 1 - exp(-1 * ({z}) * ({z}) / 2) * list_sum(list_transform(range(0, 200), lambda n: exp((2 * n + 1) * ln(abs({z}) / sqrt(2)) - lgamma(n + 1.5)))) END"
+
+
+def _pooled_errors(weight: str, lags: int = 8) -> str:
+    """co, with the pooled coefficients b0 to b3, and psi, each row's influence on them, in SQL; vc, vh, vd: cluster, HAC and Driscoll-Kraay variances."""
+    lagged = lambda t: ", ".join(f"sum(a.p{i} * b.p{i} * (1 - abs(a.i - b.i) / {lags + 1}.0)) AS v{i}" for i in range(4)) + f" FROM {t} a JOIN {t} b ON abs(a.i - b.i) <= {lags}"
+    sums = ", ".join(f"sum(p{i}) AS p{i}" for i in range(4))
+    return f"""x AS (SELECT language, rel_week AS t, CAST({weight} AS DOUBLE) AS w, y, CAST(rel_week AS DOUBLE) AS x1, CASE WHEN rel_week >= 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS x2, CAST(greatest(rel_week, 0) AS DOUBLE) AS x3 FROM panel WHERE y IS NOT NULL),
+  mm AS (SELECT language, sum(w) AS sw, sum(w * y) / sum(w) AS my, sum(w * x1) / sum(w) AS m1, sum(w * x2) / sum(w) AS m2, sum(w * x3) / sum(w) AS m3 FROM x GROUP BY 1),
+  d AS (SELECT x.language, t, w, y - my AS y, x1 - m1 AS x1, x2 - m2 AS x2, x3 - m3 AS x3 FROM x JOIN mm ON x.language = mm.language),
+  s AS (SELECT count(*) AS n, sum(w * x1 * x1) AS a, sum(w * x1 * x2) AS b, sum(w * x1 * x3) AS c, sum(w * x2 * x2) AS e, sum(w * x2 * x3) AS f, sum(w * x3 * x3) AS i, sum(w * x1 * y) AS p, sum(w * x2 * y) AS q, sum(w * x3 * y) AS r FROM d),
+  iv AS (SELECT n, p, q, r, (e * i - f * f) / z AS i11, (c * f - b * i) / z AS i12, (b * f - c * e) / z AS i13, (a * i - c * c) / z AS i22, (b * c - a * f) / z AS i23, (a * e - b * b) / z AS i33 FROM (SELECT *, a * (e * i - f * f) - b * (b * i - c * f) + c * (b * f - c * e) AS z FROM s)),
+  cf AS (SELECT *, i11 * p + i12 * q + i13 * r AS b1, i12 * p + i22 * q + i23 * r AS b2, i13 * p + i23 * q + i33 * r AS b3 FROM iv),
+  co AS (SELECT cf.*, language AS l0, sw AS sw0, m1 AS f1, m2 AS f2, m3 AS f3, my - b1 * m1 - b2 * m2 - b3 * m3 AS b0 FROM cf, mm WHERE language = (SELECT min(language) FROM mm)),
+  u AS (SELECT language, t, w * (y - b1 * x1 - b2 * x2 - b3 * x3) AS u, x1, x2, x3, co.* FROM d, co),
+  pr AS (SELECT *, u * (i11 * x1 + i12 * x2 + i13 * x3) AS p1, u * (i12 * x1 + i22 * x2 + i23 * x3) AS p2, u * (i13 * x1 + i23 * x2 + i33 * x3) AS p3 FROM u),
+  psi AS (SELECT language, t, CASE WHEN language = l0 THEN u / sw0 ELSE 0 END - f1 * p1 - f2 * p2 - f3 * p3 AS p0, p1, p2, p3 FROM pr),
+  cl AS (SELECT {sums} FROM psi GROUP BY language),
+  vc AS (SELECT 'cluster' AS cov, {", ".join(f"sum(p{i} * p{i}) * max(k) AS v{i}" for i in range(4))}, sum(p2 * p3) * max(k) AS v23 FROM cl, (SELECT g / (g - 1.0) * (n - 1.0) / (n - g - 3) AS k FROM s, (SELECT count(*) AS g FROM mm))),
+  o AS (SELECT row_number() OVER (ORDER BY language, t) AS i, p0, p1, p2, p3 FROM psi),
+  tm AS (SELECT row_number() OVER (ORDER BY t) AS i, {sums} FROM psi GROUP BY t),
+  vh AS (SELECT 'hac' AS cov, {lagged('o')}), vd AS (SELECT 'driscoll_kraay' AS cov, {lagged('tm')})"""
+
+
+def _pooled_table(tables: str) -> str:
+    each = " UNION ALL ".join(f"SELECT cov, '{name}' AS term, b{i} AS coef, sqrt(v{i}) AS se FROM co, ve" for i, name in enumerate(("const", "time", "post", "post_time")))
+    return f"ve AS ({' UNION ALL '.join(f'SELECT cov, v0, v1, v2, v3 FROM {t}' for t in tables.split())}), te AS ({each}) SELECT cov, term, coef, se, coef / se AS z, {_z_p('(coef / se)')} AS p FROM te"
+
+
+def _curve(log: bool) -> str:
+    e, v = ("(exp(d) - 1) * 100", "100 * exp(d) * sqrt(v)") if log else ("d", "sqrt(v)")
+    return f"gr AS (SELECT CAST(unnest(range(-52, 157, 4)) AS INTEGER) AS t), cu AS (SELECT t, CASE WHEN t >= 0 THEN b2 + t * b3 ELSE 0 END AS d, CASE WHEN t >= 0 THEN v2 + t * t * v3 + 2 * t * v23 ELSE 0 END AS v FROM gr, co, vc) SELECT t, {e} AS effect, {v} AS se FROM cu"
+
+
+def _two_way(tables: str, key: str = "") -> str:
+    """The event study of cells (k, language, bin, y, w), which tables ends with, for each k in SQL: elimination of the bins' moments in a recursion of lists."""
+    return f"""WITH RECURSIVE {tables}, ce AS (SELECT * FROM cells WHERE y IS NOT NULL),
+  en AS (SELECT k, language, sum(w) AS sw, sum(w * y) / sum(w) AS my FROM ce GROUP BY 1, 2),
+  bn AS (SELECT k, bin, row_number() OVER (PARTITION BY k ORDER BY bin) AS i FROM (SELECT DISTINCT k, bin FROM ce WHERE bin <> -1)),
+  sz AS (SELECT ce.k, count(*) AS n, count(DISTINCT language) AS g, (SELECT count(*) FROM bn WHERE bn.k = ce.k) AS m FROM ce GROUP BY ce.k),
+  g AS (SELECT ce.k, ce.language, i, w, sw, y - my AS y FROM ce JOIN en ON ce.k = en.k AND ce.language = en.language JOIN bn ON ce.k = bn.k AND ce.bin = bn.bin),
+  mo AS (SELECT p.k, p.i, q.i AS j, sum(CASE WHEN p.i = q.i THEN p.w ELSE 0 END - p.w * q.w / p.sw) AS a FROM g p JOIN g q ON p.k = q.k AND p.language = q.language GROUP BY ALL),
+  rw AS (SELECT r.k, r.i, list_concat(list(coalesce(a, 0) ORDER BY c.i), list(CASE WHEN r.i = c.i THEN CAST(1 AS DOUBLE) ELSE 0 END ORDER BY c.i)) AS r FROM bn r JOIN bn c ON r.k = c.k LEFT JOIN mo ON mo.k = r.k AND mo.i = r.i AND mo.j = c.i GROUP BY 1, 2),
+  rh AS (SELECT k, i, sum(w * y) AS q FROM g GROUP BY 1, 2),
+  gj AS (SELECT rw.k, CAST(1 AS BIGINT) AS s, list(list_append(r, q) ORDER BY rw.i) AS m FROM rw JOIN rh ON rw.k = rh.k AND rw.i = rh.i GROUP BY rw.k
+    UNION ALL SELECT k, s + 1, list_transform(m, lambda r, i: CASE WHEN i = s THEN list_transform(r, lambda v: v / m[s][s]) ELSE list_transform(r, lambda v, j: v - r[s] * m[s][j] / m[s][s]) END) FROM gj WHERE s <= len(m)),
+  so AS (SELECT k, i, m[i] AS r, m[i][len(m[i])] AS b FROM (SELECT k, m, CAST(unnest(range(1, len(m) + 1)) AS BIGINT) AS i FROM gj WHERE s > len(m))),
+  fm AS (SELECT g.k, g.language, sum(w * b) / max(sw) AS fb FROM g JOIN so ON g.k = so.k AND g.i = so.i GROUP BY 1, 2),
+  sc AS (SELECT g.k, g.language, g.i, w * (y - b + fb) AS s FROM g JOIN so ON g.k = so.k AND g.i = so.i JOIN fm ON g.k = fm.k AND g.language = fm.language),
+  pi AS (SELECT so.k, so.i, sc.language, sum(so.r[sz.m + sc.i] * sc.s) AS p FROM so JOIN sc ON so.k = sc.k JOIN sz ON sz.k = so.k GROUP BY 1, 2, 3),
+  va AS (SELECT pi.k, pi.i, sqrt(sum(p * p) * max(g / (g - 1.0) * (n - 1.0) / (n - g - m))) AS se FROM pi JOIN sz ON pi.k = sz.k GROUP BY 1, 2),
+  fi AS (SELECT so.k, CAST(bin AS INTEGER) AS bin, b AS coef, se FROM so JOIN va ON so.k = va.k AND so.i = va.i JOIN bn ON bn.k = so.k AND bn.i = so.i)
+  SELECT {f"k AS {key}, " if key else ""}bin, coef, se, coef / se AS z, {_z_p('(coef / se)')} AS p FROM fi UNION ALL SELECT {f"k AS {key}, " if key else ""}-1, 0, 0, 0, 1 FROM sz"""
+
+
 #: The pooled fit with an effect per language: normal equations of the within-language differences, solved by determinants.
 _POOLED = """x AS (SELECT language, rel_week, n_func, y, CAST(rel_week AS DOUBLE) AS x1, CASE WHEN rel_week >= 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS x2, CAST(greatest(rel_week, 0) AS DOUBLE) AS x3 FROM panel),
   mm AS (SELECT language, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3 FROM x GROUP BY 1),
@@ -297,9 +354,9 @@ def pooled_points(spark, d):
     return closed.pooled_points(_panel_t(spark, d), "language")
 
 
-@query("STA12")
+@query("STA12", f"WITH {_pooled_errors('1')}, {_pooled_table('vc')}", "panel", "coef se z p", 6)
 def pooled_cluster(spark, d):
-    return _rounded(solve.pooled_its(_panel_t(spark, d), "language").where("cov = 'cluster'"))
+    return panels.pooled(_panel_t(spark, d), "language", kinds=("cluster",))
 
 
 @query("STA13", f"WITH {_POOLED}, g AS (SELECT rel_week AS t, n_func, (exp(y - (my - pre_trend * m1 - level * m2 - slope * m3) - pre_trend * x1) - 1) * 100 AS e FROM x JOIN mm ON x.language = mm.language, co) SELECT t, avg(e) AS effect, sum(n_func * e) / sum(n_func) AS weighted FROM g GROUP BY 1", "panel", "effect weighted", 6)
@@ -314,14 +371,14 @@ def counterfactual(spark, d):
     return rows.withColumn("e", numbers.percent_effect(F.col("y") - without)).groupBy("t").agg(F.avg("e").alias("effect"), rollups.weighted_mean("e", "n_func").alias("weighted"))
 
 
-@query("STA14")
+@query("STA14", f"WITH {_pooled_errors('1')}, {_curve(True)}", "panel", "effect se", 6)
 def effect_curve(spark, d):
-    return _rounded(solve.effect_curve(_panel_t(spark, d), "language", list(range(-52, 157, 4))))
+    return panels.effect_curve(_panel_t(spark, d), "language", list(range(-52, 157, 4)))
 
 
-@query("STA15")
+@query("STA15", f"WITH {_pooled_errors('1')}, {_curve(False)}", "panel", "effect se", 6)
 def linear_curve(spark, d):
-    return _rounded(solve.effect_curve(_panel_t(spark, d), "language", list(range(-52, 157, 4)), log=False))
+    return panels.effect_curve(_panel_t(spark, d), "language", list(range(-52, 157, 4)), log=False)
 
 
 @query("STA16", f"WITH s AS (SELECT w, stddev_samp(v) AS y FROM (SELECT id, w, max(ln(1 + cc)) AS v FROM pm GROUP BY 1, 2) GROUP BY 1) SELECT b_n + c_n AS n_obs, b_icpt AS const, b_slope AS pre_trend, c_icpt - b_icpt AS level, c_slope - b_slope AS slope FROM (SELECT {_line('b_', 'y', 'w', 'w < 0')}, {_line('c_', 'y', 'w', 'w >= 0')} FROM s)", "pm", "const pre_trend level slope", 6)
@@ -356,9 +413,9 @@ def saturated(spark, d):
     return l.join(F.broadcast(s2)).select("language", F.col("b_slope").alias("before"), F.sqrt(F.col("s2") / F.col("b_sxx")).alias("before_se"), F.col("c_slope").alias("after"), F.sqrt(F.col("s2") / F.col("c_sxx")).alias("after_se"))
 
 
-@query("STA19")
+@query("STA19", f"WITH {_pooled_errors('n_func')}, {_pooled_table('vc vh vd')}", "panel", "coef se z p", 6)
 def three_errors(spark, d):
-    return _rounded(solve.pooled_its(_panel_t(spark, d), "language", weights="n_func", lags=8))
+    return panels.pooled(_panel_t(spark, d), "language", weights="n_func", lags=8)
 
 
 def _bins(spark, d, event: str = EVENT, size: int = 4):
@@ -367,15 +424,15 @@ def _bins(spark, d, event: str = EVENT, size: int = 4):
     return cells.where(F.col("bin").between(-28, 39))
 
 
-@query("STA20")
-def event_study(spark, d):
-    return _rounded(solve.event_study(_bins(spark, d), "language", "bin", weights="n_func"))
-
-
 _BINS = "bins AS (SELECT language, CAST(floor(floor(days / 7.0) / 4) AS INTEGER) AS bin, avg(ln(1 + cc)) AS y, count(*) AS n_func FROM pm WHERE floor(floor(days / 7.0) / 4) BETWEEN -28 AND 39 GROUP BY 1, 2)"
 _COEF = "e AS (SELECT bins.language, bin, y - r.ry AS coef FROM bins JOIN (SELECT language, y AS ry FROM bins WHERE bin = -1) r ON bins.language = r.language)"
 
 
+@query("STA20", _two_way(f"{_BINS}, cells AS (SELECT 1 AS k, language, bin, y, n_func AS w FROM bins)"), "pm", "coef se z p", 6)
+def event_study(spark, d):
+    return panels.studies(_bins(spark, d), [], "language", "bin", weights="n_func")
+
+
 def _binned(spark, d, size: int = 4):
     """The weekly panel with bins of so many weeks."""
     return _panel_t(spark, d).withColumn("bin", F.floor(F.col("t") / size).cast("int")).where(F.col("bin").between(-28, 39))
@@ -400,9 +457,9 @@ def per_language_study_hac(spark, d):
     return _rounded(solve.bin_study_hac(_binned(spark, d), "language", "bin", "t", 3, weights="n_func"))
 
 
-@query("STA22")
+@query("STA22", _two_way(f"{_BINS}, cells AS (SELECT 1 AS k, language, bin, y, 1 AS w FROM bins)"), "pm", "coef se z p", 6)
 def two_way_study(spark, d):
-    return _rounded(solve.event_study(_bins(spark, d), "language", "bin"))
+    return panels.studies(_bins(spark, d), [], "language", "bin")
 
 
 @query("STA23", "WITH c AS (SELECT CAST(floor(floor(days / 7.0) / 12) AS INTEGER) AS bin, avg(ln(1 + cc)) AS y FROM pm WHERE floor(floor(days / 7.0) / 12) <> -1 GROUP BY 1) SELECT bin, y - (SELECT arg_min(y, bin) FROM c) AS coef FROM c", "pm", "coef", 6)
@@ -449,15 +506,15 @@ def language_summary(spark, d):
     return out.where("a >= 3 and b >= 3").select("language", "pre", "post")
 
 
-@query("STA28")
+@query("STA28", _two_way(f"{_BINS}, cells AS (SELECT o.language AS k, bins.language, bin, y, n_func AS w FROM bins, (SELECT DISTINCT language FROM bins) o WHERE o.language <> bins.language)", "left_out"), "pm", "coef se z p", 6)
 def left_out(spark, d):
-    return _rounded(solve.leave_one_out(_bins(spark, d), "language", "bin", weights="n_func"))
+    return panels.studies(_bins(spark, d), [], "language", "bin", weights="n_func", left_out=True)
 
 
-@query("STA29")
+@query("STA29", _two_way(f"pb AS (SELECT language, cc, CAST(floor(floor(date_diff('day', DATE '{PLACEBO}', CAST(creationdate AS DATE)) / 7.0) / 4) AS INTEGER) AS bin FROM pm), cells AS (SELECT 1 AS k, language, bin, avg(ln(1 + cc)) AS y, count(*) AS w FROM pb WHERE bin BETWEEN -28 AND 12 GROUP BY 2, 3)"), "pm", "coef se z p", 6)
 def placebo_study(spark, d):
     cells = _bins(spark, d, PLACEBO).where("bin <= 12")
-    return _rounded(solve.event_study(cells, "language", "bin", weights="n_func"))
+    return panels.studies(cells, [], "language", "bin", weights="n_func")
 
 
 @query("STA30", "WITH x AS (SELECT unnest([-78, -52, -26, 0]) AS brk), l AS (SELECT brk, " + ", ".join(_line(p, "y", "t", w) for p, w in (("a_", "TRUE"), ("b_", "t < brk"), ("c_", "t >= brk"))) + " FROM weekly, x GROUP BY 1) SELECT brk, b_n AS n_pre, c_n AS n_post, ((a_rss - b_rss - c_rss) / 2) / ((b_rss + c_rss) / (a_n - 4)) AS f FROM l WHERE b_n >= 20 AND c_n >= 20", "weekly", "f", 6)
@@ -466,9 +523,12 @@ def placebo_chow(spark, d):
     return closed.chow(rows, ["brk"], "y", "t", F.col("t") < F.col("brk")).where("n_pre >= 20 and n_post >= 20").select("brk", "n_pre", "n_post", "f")
 
 
-@query("STA31")
+@query("STA31", _two_way("zs AS (SELECT CAST(unnest([2, 8, 13]) AS INTEGER) AS size), cells AS (SELECT size AS k, language, CAST(floor(rel_week / CAST(size AS DOUBLE)) AS INTEGER) AS bin, sum(n_func * y) / sum(n_func) AS y, sum(n_func) AS w FROM panel, zs WHERE floor(rel_week / CAST(size AS DOUBLE)) BETWEEN -28 AND 39 GROUP BY 1, 2, 3)", "size"), "panel", "coef se z p", 6)
 def bin_sizes(spark, d):
-    return _rounded(solve.studies_by_size(_panel_t(spark, d), "language", "t", (2, 8, 13), (-28, 39)))
+    """Bins of several widths, all from one weekly panel of weighted means."""
+    rows = _panel_t(spark, d).withColumn("size", F.explode(F.array(*map(F.lit, (2, 8, 13))))).withColumn("bin", F.floor(F.col("t") / F.col("size")).cast("int"))
+    cells = rows.groupBy("size", "language", "bin").agg(rollups.weighted_mean("y", "n_func").alias("y"), F.sum("n_func").alias("n_func")).where(F.col("bin").between(-28, 39))
+    return panels.studies(cells, ["size"], "language", "bin", weights="n_func")
 
 
 _DID = "w AS (SELECT tag, language, w AS t, CAST(count(*) AS DOUBLE) AS y, tag IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') AS tr FROM pt GROUP BY 1, 2, 3)"
