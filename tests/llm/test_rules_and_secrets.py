@@ -186,6 +186,22 @@ def test_redact(spark):
         assert out[i].n_chars == len(want or "")
 
 
+def test_redaction_is_linear_in_spans(spark):
+    """30,000 spans, and ten times as many, with characters outside the basic plane between them; by Python slices."""
+    import time
+
+    took = []
+    for n in (30_000, 300_000):
+        text = "".join(f"token={i:06d}{' ' if i % 3 else ' \U0001f600é\n'}" for i in range(n)) + "end"
+        want = re.sub("token=[0-9]{6}", lambda m: secrets.MARK, text)
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        got = secrets.redact(df).first().text
+        took.append(time.time() - began)
+        assert got == want
+    assert took[1] < 30 * took[0] + 10, took
+
+
 def test_scan_has_no_python(spark, sf):
     plan = secrets.scan(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)

@@ -45,6 +45,7 @@ ALLOW = (
     f"^(?=[A-Za-z]+[0-9]{{0,4}}[-_/=+])(?!.*(?:[0-9]{{5}}|[0-9][A-Za-z]|(?<![A-Za-z])[A-Za-z](?![A-Za-z])|{_ODD}))",
 )
 MARK = "[SECRET]"
+BLOCK = 1024  # characters of a text that redaction looks up together
 
 
 def least_bits(alphabet: int, window: int, margin: float = 0.35) -> float:
@@ -58,12 +59,12 @@ def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def _running(a: Column, size: int = 512) -> Column:
-    """Running sums of an array of longs, in blocks so that long arrays stay far from quadratic."""
+def _running(a: Column, op: Callable[[Column, Column], Column] = lambda x, y: x + y, size: int = 512) -> Column:
+    """Running sums (or another op that 0 does not change) of an array of longs, in blocks so that long arrays stay far from quadratic."""
     zero = F.lit(0).cast("long")
 
     def block(start: Column, values: Column) -> Column:
-        sums = F.aggregate(values, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        sums = F.aggregate(values, F.array(start), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
         return F.slice(sums, F.lit(2), F.size(values))
 
     def step(acc: Column, i: Column) -> Column:
@@ -183,14 +184,26 @@ def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_c
     text = F.col(text_col)
     found = docs.withColumn(name, _spans(F.coalesce(text, F.lit("")), window, hex_bits, other_bits, allow))
 
-    def step(acc: Column, x: Column) -> Column:
-        more = F.when(x["s"] >= acc["p"], F.array(F.concat(F.substr(text, (acc["p"] + 1).cast("int"), (x["s"] - acc["p"]).cast("int")), F.lit(MARK)))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["p"], x["e"]).alias("p"), F.concat(acc["a"], more).alias("a"))
+    def clean(blocks: Column, ends: Column) -> Column:
+        def between(start: Column, end: Column | None) -> Column:
+            """The characters from start to end, out of the blocks that hold them."""
+            first = F.floor(start / BLOCK).cast("int")
+            count = F.size(blocks) if end is None else F.floor((end - 1) / BLOCK).cast("int") - first + 1
+            held, at = F.array_join(F.slice(blocks, first + 1, F.greatest(F.lit(0), count)), ""), (start - first * BLOCK + 1).cast("int")
+            return F.substr(held, at) if end is None else F.substr(held, at, (end - start).cast("int"))
 
-    start = F.struct(F.lit(0).cast("long").alias("p"), F.array().cast("array<string>").alias("a"))
-    clean = _bind(F.aggregate(F.col(name), start, step), lambda r: F.concat(F.array_join(r["a"], ""), F.substr(text, (r["p"] + 1).cast("int"))))
+        def part(x: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(ends, i - 1), F.lit(0).cast("long"))
+            gap = F.when(x["s"] > before, between(before, x["s"])).otherwise(F.lit(""))
+            return F.when(x["s"] >= before, F.concat(gap, F.lit(MARK))).otherwise(F.lit(""))
+
+        return F.concat(F.array_join(F.transform(F.col(name), part), ""), between(F.element_at(ends, -1), None))
+
+    # Blocks and running ends keep the work linear: the text is walked once, and a span looks at its own blocks.
+    whole = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    reach = _bind(F.transform(F.col(name), lambda x: x["e"]), lambda e: _running(e, F.greatest))
     hit = F.size(name) > 0
-    out = found.withColumn(text_col, F.when(hit, clean).otherwise(text))
+    out = found.withColumn(text_col, F.when(hit, _bind(whole, lambda b: _bind(reach, lambda r: clean(b, r)))).otherwise(text))
     if count_col in docs.columns:
         out = out.withColumn(count_col, F.when(hit, F.length(text_col).cast(docs.schema[count_col].dataType)).otherwise(F.col(count_col)))
     return out.select(*docs.columns)
