@@ -163,7 +163,30 @@ def test_graph_file(spark, tmp_path):
     writers.gexf(e, spark.createDataFrame([("a",), ("b & c",)], "node string"), f"{tmp_path}/g.gexf")
     import xml.etree.ElementTree as ET
 
-    assert len(ET.parse(f"{tmp_path}/g.gexf").getroot().findall(".//{*}edge")) == 1
+    def parsed(folder):
+        return ET.fromstring("".join(p.read_text() for p in sorted((tmp_path / folder).glob("part-*"))).encode())
+
+    root = parsed("g.gexf")
+    assert [x.attrib for x in root.findall(".//{*}node")] == [{"id": "0", "label": "a"}, {"id": "1", "label": "b & c"}]
+    assert [x.attrib for x in root.findall(".//{*}edge")] == [{"id": "0", "source": "0", "target": "1", "weight": "2.0"}]
+
+    # In many parts: none coalesced, so that each part is a task's.
+    odd = ['quo"te', "new\nline", "<tag>", "é", ""]
+    big = spark.range(3000).selectExpr("concat('n', lpad(id, 5, '0')) AS a", "concat('n', lpad(id * 7 % 3001 + 3000, 5, '0')) AS b", "id + 1 AS weight")
+    names = big.select("a").union(big.select("b")).distinct().toDF("node").union(spark.createDataFrame([(x,) for x in odd], "node string"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        writers.gexf(big, names, f"{tmp_path}/big")
+    finally:
+        spark.conf.unset(key)
+    assert len(list((tmp_path / "big").glob("part-*"))) > 2
+    root = parsed("big")
+    label = [x.attrib["label"] for x in root.findall(".//{*}node")]
+    assert label == sorted(r.node for r in names.collect()) and [int(x.attrib["id"]) for x in root.findall(".//{*}node")] == list(range(len(label)))
+    found = [x.attrib for x in root.findall(".//{*}edge")]
+    assert [int(x["id"]) for x in found] == list(range(3000))
+    assert {(label[int(x["source"])], label[int(x["target"])], float(x["weight"])) for x in found} == {(r.a, r.b, float(r.weight)) for r in big.collect()}
 
 
 def test_jdbc_reader_options(spark):

@@ -1,17 +1,19 @@
 """Tag co-occurrence networks: edges and nodes as DataFrames.
 
-Edges are undirected, written (a, b) with a < b, and weighted by distinct posts. The
-node measures that need the whole graph at once run on an ego network, whose size the
-tag vocabulary bounds, in one numpy group.
+Edges are undirected, written (a, b) with a < b, and weighted by distinct posts. Measures
+that look at the whole graph go over the edge table in rounds; no task holds the graph.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.adapters import scratch
+from . import numbering
+
 
 def pairs(tags: DataFrame, key: str = "id", tag: str = "tag") -> DataFrame:
     """(key, a, b): the tag pairs of each post, built inside the post's own tag array (a post holds few tags)."""
@@ -74,71 +76,96 @@ def clustering(edge_list: DataFrame) -> DataFrame:
     return k.select("node", F.when(F.col("degree") < 2, 0.0).otherwise(F.try_divide(2.0 * F.col("t"), F.col("degree") * (F.col("degree") - 1))).alias("clustering"))
 
 
-MOST_EDGES = 2_000_000  # edges of a network that is measured in one task, as a dense matrix
-
-
-def _bounded(edge_list: DataFrame) -> DataFrame:
-    """edge_list under one key; an error if it is too large for one task."""
-    if edge_list.limit(MOST_EDGES + 1).count() > MOST_EDGES:
-        raise ValueError(f"more than {MOST_EDGES} edges: take an ego network or an induced one")
-    return edge_list.select("a", "b", F.col("weight").cast("double").alias("weight"), F.lit(1).alias("_m"))
-
-
-def _matrix(p: pd.DataFrame) -> tuple[list[str], np.ndarray]:
-    names = sorted(set(p["a"]) | set(p["b"]))
-    if len(names) > 10_000:
-        raise ValueError("more than 10000 nodes: take an ego network or an induced one")
-    at = {n: i for i, n in enumerate(names)}
-    m = np.zeros((len(names), len(names)))
-    i, j = p["a"].map(at).to_numpy(int), p["b"].map(at).to_numpy(int)
-    np.add.at(m, (i, j), p["weight"].to_numpy(float))
-    return names, m + m.T
-
-
-def eigenvector(edge_list: DataFrame, rounds: int = 1000, tolerance: float = 1e-9) -> DataFrame:
-    """(node, centrality) by power iteration on A + I, unit length."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        names, m = _matrix(p)
-        v = np.full(len(names), 1 / np.sqrt(len(names)))
-        for _ in range(rounds):
-            new = m @ v + v
-            new /= np.linalg.norm(new)
-            if np.abs(new - v).sum() < len(v) * tolerance:
-                v = new
-                break
-            v = new
-        return pd.DataFrame({"node": names, "centrality": v})
-
-    return _bounded(edge_list).groupBy("_m").applyInPandas(lambda p: run(p), "node string, centrality double")
-
-
-def communities(edge_list: DataFrame) -> DataFrame:
-    """(node, community): greedy merging of the pair of communities that raises modularity most; ties to the first."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        names, m = _matrix(p)
-        total = m.sum()
-        e = m / total
-        a = e.sum(1)
-        groups = {i: [i] for i in range(len(names))}
-        while len(groups) > 1:
-            alive = sorted(groups)
-            sub = 2 * (e[np.ix_(alive, alive)] - np.outer(a[alive], a[alive]))
-            sub[np.tril_indices(len(alive))] = -np.inf
-            i, j = divmod(int(np.argmax(sub)), len(alive))
-            if sub[i, j] <= 0:
-                break
-            i, j = alive[i], alive[j]
-            groups[i] += groups.pop(j)
-            e[i] += e[j]
-            e[:, i] += e[:, j]
-            a[i] += a[j]
-        order = sorted(groups.values(), key=lambda g: (-len(g), names[min(g)]))
-        rows = [(names[n], c) for c, g in enumerate(order) for n in g]
-        return pd.DataFrame(rows, columns=["node", "community"])
-
-    return _bounded(edge_list).groupBy("_m").applyInPandas(lambda p: run(p), "node string, community int")
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, which cuts its lineage."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def eigenvector(edge_list: DataFrame, rounds: int = 1000, tolerance: float = 1e-9, step: int = 4) -> DataFrame:
+    """(node, centrality) by power iteration on A + I, unit length.
+
+    A round is the product of the edge table and the node table: a join on one end and a sum by the other.
+    Every `step` rounds the vector is written, and the driver gets two numbers, its length and how far it has moved;
+    it stops below tolerance per node. A network without an edge has no row.
+    """
+    sides = ends(edge_list).select("node", "other", F.col("weight").cast("double").alias("w"))
+    own = sides.select("node", F.col("node").alias("other"), F.lit(1.0).alias("w")).distinct()
+    both = _kept(sides.unionByName(own).groupBy("node", "other").agg(F.sum("w").alias("w")), "edges")
+    now = both.where("node = other").select("node", F.lit(1.0).alias("c"))
+    n, length = now.count(), 1.0
+    for _ in range(0, rounds if n else 0, step):
+        new = now
+        for _ in range(step):
+            new = both.join(new.select(F.col("node").alias("other"), "c"), "other").groupBy("node").agg(F.sum(F.col("w") * F.col("c")).alias("c"))
+        new = _kept(new, "vector")
+        length = new.agg(F.sqrt(F.sum(F.col("c") * F.col("c")))).first()[0]
+        new = new.select("node", (F.col("c") / length).alias("c"))
+        far = new.join(now.withColumnRenamed("c", "_was"), "node").agg(F.sum(F.abs(F.col("c") - F.col("_was")))).first()[0]
+        now = new
+        if far <= n * tolerance:
+            break
+    return now.withColumnRenamed("c", "centrality")
+
+
+def _moves(both: DataFrame, degree: DataFrame, members: DataFrame, total: float) -> DataFrame:
+    """(node, to): moves of nodes to other groups that gain modularity and are the best one for both groups."""
+    links = both.join(members.select(F.col("node").alias("o"), F.col("community").alias("c")), "o").groupBy("node", "c").agg(F.sum("w").alias("w"))
+    sums = members.join(degree, "node").groupBy(F.col("community").alias("c")).agg(F.sum("d").alias("dc"))
+    own = members.join(degree, "node").join(links.withColumnsRenamed({"c": "community", "w": "inside"}), ["node", "community"], "left").join(sums.withColumnsRenamed({"c": "community", "dc": "dh"}), "community")
+    options = links.join(own, "node").where("c != community").join(sums, "c")
+    gain = (F.col("w") - F.coalesce("inside", F.lit(0.0))) / total - F.col("d") * (F.col("dc") - F.col("dh") + F.col("d")) / (2 * total * total)
+    options = options.select("node", "community", "c", gain.alias("gain")).where("gain > 1e-12")
+    best = options.select(F.explode(F.array("community", "c")).alias("g"), F.struct((-F.col("gain")).alias("loss"), "node", "c").alias("p")).groupBy("g").agg(F.min("p").alias("p"))
+    return best.groupBy("p.node", F.col("p.c").alias("to")).agg(F.count("*").alias("n")).where("n = 2").drop("n")
+
+
+def communities(edge_list: DataFrame, moves: int = 30) -> DataFrame:
+    """(node, community): groups of high modularity, numbered by size, then by their first node.
+
+    In every round all pairs of groups that are each other's best gain in modularity merge at once (of equal gains the
+    pair of the first names), and the edge table is summed up by group; it ends when no pair gains. Nodes
+    with one neighbour join it before the first round, where they are best in any case. The best pair
+    of all is always such a pair, so each round merges at least one. Then single nodes move in up to `moves` rounds, at most
+    one out of and one into a group in each, so that gains add up. Only counts pass the driver.
+    """
+    e = edge_list.where("a != b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").cast("double").alias("w"))
+    e = _kept(e, "edges")
+    half = lambda x: x.select(F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("b").alias("o"), "w"), F.struct(F.col("b").alias("g"), F.col("a").alias("o"), "w"))).alias("x")).select("x.*")
+    degree = _kept(half(e).groupBy(F.col("g").alias("node")).agg(F.sum("w").alias("d"), F.count("*").alias("k"), F.min("o").alias("o")), "degrees")
+    both, total = half(e).withColumnRenamed("g", "node"), e.agg(F.sum("w")).first()[0] or 1.0
+    # A node with one neighbour goes to it; of two such nodes that have each other the first stays.
+    one = degree.where("k = 1").select(F.col("node").alias("g"), "o")
+    pairs_ = one.join(one.select(F.col("g").alias("o"), F.lit(True).alias("_both")), "o", "left").where("_both IS NULL OR o < g")
+    merges = pairs_.select("g", F.col("o").alias("to"))
+    members, step = degree.select("node", F.col("node").alias("community")), 0
+    degree = degree.select("node", "d")
+    while True:
+        merges, step = _kept(merges, "merges"), step + 1
+        to = lambda c, name: merges.select(F.col("g").alias(c), F.col("to").alias(name))
+        if step > 1 and not merges.count():
+            break
+        # What lies inside a group stays as its own edge, so that its degree remains the sum of its edges' ends.
+        e = e.join(to("a", "_a"), "a", "left").join(to("b", "_b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "w")
+        e = _kept(e.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")), "edges")
+        members = members.join(to("community", "_c"), "community", "left").select("node", F.coalesce("_c", "community").alias("community"))
+        members = members if step % 8 else _kept(members, "members")
+        d = half(e).groupBy("g").agg(F.sum("w").alias("d"))
+        side = lambda c: d.select(F.col("g").alias(c), F.col("d").alias(f"d{c}"))
+        gains = e.where("a != b").join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("w") / total - F.col("da") * F.col("db") / (2 * total * total)).alias("gain")).where("gain > 0")
+        best = gains.select(F.explode(F.array("a", "b")).alias("g"), F.struct((-F.col("gain")).alias("loss"), "a", "b").alias("p")).groupBy("g").agg(F.min("p").alias("p"))
+        mutual = best.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where("n = 2")
+        merges = mutual.select(F.col("b").alias("g"), F.col("a").alias("to"))
+    members = _kept(members, "members")
+    for _ in range(moves):
+        better = _kept(_moves(both, degree, members, total), "moves")
+        if not better.count():
+            break
+        members = _kept(members.join(better, "node", "left").select("node", F.coalesce("to", "community").alias("community")), "members")
+    sizes = members.groupBy("community").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    numbers = numbering.numbered(sizes, [F.col("n").desc(), F.col("first")], "number").select("community", F.col("number").cast("int").alias("number"))
+    return members.join(numbers, "community").select("node", F.col("number").alias("community"))
 
 
 def modularity(edge_list: DataFrame, member: DataFrame) -> DataFrame:

@@ -244,7 +244,15 @@ def clustering(spark, d):
     return network.clustering(network.edges(network.pairs(tags(spark, d))))
 
 
-@query("NET6")
+#: Power iteration on a matrix of lists, to the digits that are compared.
+_EIGEN = f"""WITH RECURSIVE {_EGO}, nm AS (SELECT node, row_number() OVER (ORDER BY node) AS i FROM (SELECT a AS node FROM ed UNION SELECT b FROM ed)),
+  sd AS (SELECT a, b, weight FROM ed UNION ALL SELECT b, a, weight FROM ed),
+  mx AS (SELECT list(r ORDER BY i) AS m FROM (SELECT x.i, list(CAST(coalesce(weight, 0) + CASE WHEN x.i = y.i THEN 1 ELSE 0 END AS DOUBLE) ORDER BY y.i) AS r FROM nm x CROSS JOIN nm y LEFT JOIN sd ON sd.a = x.node AND sd.b = y.node GROUP BY x.i)),
+  it AS (SELECT 0 AS k, m, list_transform(m, lambda r: CAST(1 AS DOUBLE)) AS v FROM mx UNION ALL SELECT k + 1, m, list_transform(u, lambda c: c / sqrt(list_dot_product(u, u))) FROM (SELECT k, m, list_transform(m, lambda r: list_dot_product(r, v)) AS u FROM it WHERE k < 200)),
+  ev AS (SELECT node, round(v[i], 6) AS centrality FROM it, nm WHERE k = 200)"""
+
+
+@query("NET6", f"{_EIGEN} SELECT node, centrality FROM ev", "pt tags")
 def eigenvector(spark, d):
     return network.eigenvector(_ego_edges(spark, d)).withColumn("centrality", F.round("centrality", 6))
 
@@ -260,12 +268,12 @@ def modularity(spark, d):
     return network.modularity(e, network.communities(e)).withColumn("modularity", F.round("modularity", 6))
 
 
-@query("TOP5")
+@query("TOP5", f"{_EIGEN} SELECT node, centrality FROM ev ORDER BY centrality DESC, node LIMIT 11", "pt tags")
 def central_nodes(spark, d):
     return network.eigenvector(_ego_edges(spark, d)).withColumn("centrality", F.round("centrality", 6)).orderBy(F.desc("centrality"), "node").limit(11)
 
 
-@query("NET8")
+@query("NET8", f"{_EIGEN}, tp AS (SELECT node FROM ev ORDER BY centrality DESC, node LIMIT 11) SELECT a, b, weight FROM ed WHERE a IN (SELECT node FROM tp) AND b IN (SELECT node FROM tp)", "pt tags")
 def central_graph(spark, d):
     e = _ego_edges(spark, d)
     return network.induced(e, central_nodes(spark, d).select("node"))

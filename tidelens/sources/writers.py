@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from xml.sax.saxutils import quoteattr
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import numbering
+
 
 def json_lines(df: DataFrame, path: str, mode: str = "error") -> None:
     """One object per line; text is not escaped to ASCII."""
@@ -55,7 +56,8 @@ def csv(df: DataFrame, path: str, mode: str = "error") -> None:
 
 def by_window(df: DataFrame, path: str, *keys: str, mode: str = "error") -> None:
     """Parquet partitioned by window keys, so that ranges prune folders."""
-    df.repartition(*keys).write.mode(mode).partitionBy(*keys).parquet(path)
+    # A busy window is split over several tasks, small ones share one.
+    df.hint("rebalance", *(F.col(k) for k in keys)).write.mode(mode).partitionBy(*keys).parquet(path)
 
 
 def jdbc(df: DataFrame, url: str, table: str, user: str, password: str, page: int = 100, driver: str | None = None) -> None:
@@ -82,22 +84,22 @@ def snippet_files(snippets: DataFrame, extension: Callable[[str], str] | None =
     return snippets.select(F.concat_ws("_", F.col("row").cast("string"), F.concat(F.col("id").cast("string"), F.lit("."), F.try_element_at(ext, F.col("language")))).alias("file"), "src")
 
 
-MOST_EDGES = 2_000_000
-
-
 def gexf(edges: DataFrame, nodes: DataFrame, path: str) -> None:
-    """A graph file of an ego network (edges a, b, weight; nodes node). One file is written by one machine: at most MOST_EDGES edges."""
-    if edges.limit(MOST_EDGES + 1).count() > MOST_EDGES:
-        raise ValueError(f"more than {MOST_EDGES} edges: write an ego network or an induced one")
-    names = [r.node for r in nodes.select("node").orderBy("node").collect()]
-    at = {n: i for i, n in enumerate(names)}
-    lines = ['<?xml version="1.0" encoding="UTF-8"?>', '<gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="undirected"><nodes>']
-    lines += [f'<node id="{i}" label={quoteattr(n)}/>' for n, i in at.items()]
-    lines.append("</nodes><edges>")
-    for i, r in enumerate(edges.select("a", "b", "weight").orderBy("a", "b").collect()):
-        lines.append(f'<edge id="{i}" source="{at[r.a]}" target="{at[r.b]}" weight="{float(r.weight)}"/>')
-    lines.append("</edges></graph></gexf>")
-    store, place = fs.FileSystem.from_uri(path)
-    store.create_dir(place.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(place, compression=None) as f:
-        f.write("\n".join(lines).encode())
+    """A graph file (edges a, b, weight; nodes node) as a folder of text parts that, one after the other by name, are the file.
+
+    Nodes and edges are numbered in their order over ranges, and tasks write the lines of a range; the first part begins with the head and
+    the last one ends with the foot. Edges with an end that is no node are left out.
+    """
+    quoted = F.col("node")
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        quoted = F.replace(quoted, F.lit(mark), F.lit(name))
+    named = numbering.numbered(nodes.select("node").distinct(), [F.col("node")], "id")
+    ends = edges.select("a", "b", F.col("weight").cast("double").cast("string").alias("weight")).join(named.select(F.col("node").alias("a"), F.col("id").alias("s")), "a").join(named.select(F.col("node").alias("b"), F.col("id").alias("t")), "b")
+    placed = numbering.numbered(ends, [F.col("s"), F.col("t")], "id")
+    line = lambda section, text: edges.sparkSession.range(1).select(F.lit(section).alias("section"), "id", F.lit(text).alias("value"))
+    lines = line(0, '<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="undirected"><nodes>')
+    lines = lines.unionByName(named.select(F.lit(1).alias("section"), "id", F.format_string('<node id="%d" label="%s"/>', F.col("id"), quoted).alias("value")))
+    lines = lines.unionByName(line(2, "</nodes><edges>"))
+    lines = lines.unionByName(placed.select(F.lit(3).alias("section"), "id", F.format_string('<edge id="%d" source="%d" target="%d" weight="%s"/>', "id", "s", "t", "weight").alias("value")))
+    lines = lines.unionByName(line(4, "</edges></graph></gexf>"))
+    lines.repartitionByRange("section", "id").sortWithinPartitions("section", "id").select("value").write.text(path)
