@@ -116,15 +116,20 @@ def test_votes(spark):
 def test_prompts_fit_and_order(spark):
     golden = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "id long, answer int")
     targets = spark.createDataFrame([(1,), (9,)], "id long")
-    texts = spark.createDataFrame([(i, f"text {i}") for i in (1, 2, 3, 9)], "id long, text string")
     shots = annotation.few_shots(golden, targets, 1, 2)
     assert all(r.eval_id != r.shot_id for r in shots.collect())
-    p = annotation.prompts(shots, texts, golden, "sys", 400)
+    said = lambda df: df.withColumn("text", F.concat(F.lit("text "), F.col("id")))
+    p = annotation.prompts(said(golden), said(targets), "sys", 400, 1, 2)
     got = {(r.eval_id, r.draw): r for r in p.collect()}
     m = got[9, 1].messages
     assert [x.role for x in m] == ["system", *["user", "assistant"] * 3, "user"] and m[-1].content == "text 9" and got[9, 1].fits
-    assert not any(r.fits for r in annotation.prompts(shots, texts, golden, "sys", 390).collect())
+    drawn = sorted((r.pos, r.shot_id, r.label) for r in shots.collect() if (r.eval_id, r.draw) == (9, 1))
+    assert [x.content for x in m[1:-1]] == [c for _, i, a in drawn for c in (f"text {i}", str(a))]
+    none = annotation.prompts(said(golden), said(targets), "sys", 390, 1, 2).collect()
+    assert len(none) == 4 and not any(r.fits or r.messages for r in none)
     assert annotation.first_that_fits(p).count() == 2
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan and "BatchEvalPython" not in plan
 
 
 def test_network(spark):

@@ -55,6 +55,6 @@ def test_prompts_hold_whole_texts(spark, sf):
     from tidelens.plans.texts import _prompts
 
     whole = {r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    said = {m.content for r in _prompts(spark, sf).collect() for m in r.messages if m.role == "user"}
+    said = {m.content for r in _prompts(spark, sf, 100_000).collect() for m in r.messages if m.role == "user"}
     texts = {x for x in said if not x.startswith("Question ")}
     assert texts <= whole and any(len(x) > 200 for x in texts)

@@ -45,6 +45,7 @@ def system_prompt(template: str, topic: Column, levels: dict[int, str]) -> Colum
 
 #: Rows of a hand-labelled set; it travels with every task as one array.
 GOLDEN_ROWS = 100_000
+GOLDEN_CHARS = 100_000_000
 
 
 def _pool(golden: DataFrame, item: Column) -> DataFrame:
@@ -54,6 +55,16 @@ def _pool(golden: DataFrame, item: Column) -> DataFrame:
     return F.broadcast(golden.groupBy().agg(F.sort_array(F.collect_list(item)).alias("_g")))
 
 
+def _drawn(pool: Column, label: str, per_class: int, exclude_target: bool, seed: int) -> Column:
+    """Of a row with eval_id and draw, per_class items of each class in pool, by label and then by a hash; items have shot_id and the label."""
+    key = lambda g: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("eval_id"), F.col("draw"), g["shot_id"]))
+    able = F.filter(pool, lambda g: g["shot_id"] != F.col("eval_id")) if exclude_target else pool
+    ordered = F.array_sort(F.transform(able, lambda g: F.struct(g[label].alias("label"), key(g).alias("k"), g.alias("g"))))
+    of = lambda s: lambda x: F.slice(F.filter(s, lambda g: g["label"].eqNullSafe(x)), 1, per_class)
+    bound = F.transform(F.array(ordered), lambda s: F.flatten(F.transform(F.array_distinct(F.transform(s, lambda g: g["label"])), of(s))))
+    return F.transform(F.element_at(bound, 1), lambda x: x["g"])
+
+
 def few_shots(golden: DataFrame, targets: DataFrame, per_class: int, draws: int, label: str = "answer", exclude_target: bool = True, seed: int = 0) -> DataFrame:
     """(eval_id, draw, shot_id, label, pos): per_class golden examples of each class, for every target and draw.
 
@@ -63,11 +74,7 @@ def few_shots(golden: DataFrame, targets: DataFrame, per_class: int, draws: int,
     """
     pool = _pool(golden, F.struct(F.col(label).alias("label"), F.col("id").alias("shot_id")))
     rows = targets.select(F.col("id").alias("eval_id")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).join(pool)
-    key = lambda g: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("eval_id"), F.col("draw"), g["shot_id"]))
-    able = F.filter("_g", lambda g: g["shot_id"] != F.col("eval_id")) if exclude_target else F.col("_g")
-    ordered = F.array_sort(F.transform(able, lambda g: F.struct(g["label"].alias("label"), key(g).alias("k"), g["shot_id"].alias("shot_id"))))
-    of = lambda x: F.slice(F.filter("_s", lambda g: g["label"].eqNullSafe(x)), 1, per_class)
-    rows = rows.select("eval_id", "draw", ordered.alias("_s")).withColumn("_s", F.flatten(F.transform(F.array_distinct(F.transform("_s", lambda g: g["label"])), of)))
+    rows = rows.select("eval_id", "draw", _drawn(F.col("_g"), "label", per_class, exclude_target, seed).alias("_s"))
     return rows.select("eval_id", "draw", F.posexplode("_s").alias("pos", "g")).select("eval_id", "draw", "g.shot_id", "g.label", (F.col("pos") + 1).alias("pos"))
 
 
@@ -78,21 +85,28 @@ def with_replacement(golden: DataFrame, targets: DataFrame, n: int, seed: int =
     return rows.select("eval_id", "pos", F.get("_g", at.cast("int")).alias("shot_id"))
 
 
-def prompts(shots: DataFrame, texts: DataFrame, answers: DataFrame, system: str, max_tokens: int, tokens: Callable[[Column], Column] | None = None, reserve: int = 256 + 128) -> DataFrame:
-    """(eval_id, draw, messages, fits): system, (user, assistant) per shot, then the target.
+def prompts(golden: DataFrame, targets: DataFrame, system: str, max_tokens: int, per_class: int, draws: int, tokens: Callable[[Column], Column] | None = None, reserve: int = 256 + 128, label: str = "answer", exclude_target: bool = True, seed: int = 0) -> DataFrame:
+    """(eval_id, draw, messages, fits): system, (user, assistant) per example that few_shots() draws, then the target.
 
-    fits: whether the messages leave the reserve within max_tokens; tokens counts a text's
-    tokens (words if not given).
+    golden: (id, label, text), targets: (id, text). fits: whether the messages leave the reserve within
+    max_tokens; tokens counts a text's tokens (words if not given). That is decided on counts, of which
+    a golden text has one for all prompts; messages are null where they do not fit. The hand-labelled set travels
+    as one array of at most GOLDEN_ROWS rows and GOLDEN_CHARS characters, so nothing is shuffled.
     """
     count = tokens or (lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")))
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
-    rows = shots.join(texts.select(F.col("id").alias("shot_id"), F.col("text").alias("q")), "shot_id").join(answers.select(F.col("id").alias("shot_id"), F.col("answer").cast("string").alias("a")), "shot_id")
-    rows = rows.groupBy("eval_id", "draw").agg(F.sort_array(F.collect_list(F.struct("pos", "q", "a"))).alias("s"))
-    rows = rows.join(texts.select(F.col("id").alias("eval_id"), F.col("text").alias("target")), "eval_id")
-    turns = F.flatten(F.transform("s", lambda x: F.array(message("user", x["q"]), message("assistant", x["a"]))))
-    rows = rows.withColumn("messages", F.concat(F.array(message("system", F.lit(system))), turns, F.array(message("user", F.col("target")))))
-    size = F.aggregate("messages", F.lit(0), lambda acc, m: acc + count(m["content"]))
-    return rows.select("eval_id", "draw", "messages", (size + reserve <= max_tokens).alias("fits"))
+    q, a = F.coalesce("text", F.lit("")), F.coalesce(F.col(label).cast("string"), F.lit(""))
+    if (golden.agg(F.sum(F.length("text"))).first()[0] or 0) > GOLDEN_CHARS:
+        raise ValueError(f"a hand-labelled set has at most {GOLDEN_CHARS} characters")
+    pool = _pool(golden, F.struct(F.col("id").alias("shot_id"), F.col(label).alias("label"), a.alias("a"), q.alias("q"), (count(q) + count(a)).alias("n")))
+    rows = targets.select(F.col("id").alias("eval_id"), q.alias("target"), count(q).alias("own")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).join(pool)
+    light = F.transform("_g", lambda g, i: F.struct(g["shot_id"].alias("shot_id"), g["label"].alias("label"), g["n"].alias("n"), i.alias("at")))
+    rows = rows.withColumn("_s", _drawn(light, "label", per_class, exclude_target, seed))
+    size = F.aggregate("_s", count(F.lit(system)) + F.col("own"), lambda s, x: s + x["n"])
+    turns = F.flatten(F.transform("_s", lambda x: F.transform(F.array(F.get("_g", x["at"])), lambda g: F.array(message("user", g["q"]), message("assistant", g["a"])))[0]))
+    rows = rows.withColumn("fits", size + reserve <= max_tokens)
+    messages = F.concat(F.array(message("system", F.lit(system))), turns, F.array(message("user", F.col("target"))))
+    return rows.select("eval_id", "draw", F.when(F.col("fits"), messages).alias("messages"), "fits")
 
 
 def first_that_fits(candidates: DataFrame) -> DataFrame:

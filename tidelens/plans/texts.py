@@ -282,11 +282,22 @@ def central_graph(spark, d):
 # ---- prompts
 
 
+_SYSTEM = "Rate the question as 0, 1 or 2."
+
+
 def _prompts(spark, d, limit: int = 2000):
-    shots = annotation.few_shots(_golden(spark, d), _targets(spark, d), 1, 2)
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    p = posts(spark, d).select("id", F.concat(F.lit("Question "), F.col("id").cast("string")).alias("text"))
-    return annotation.prompts(shots, texts.unionByName(p).groupBy("id").agg(F.min("text").alias("text")), _golden(spark, d), "Rate the question as 0, 1 or 2.", limit)
+    labelled = table(spark, d, "documents").join(F.broadcast(_golden(spark, d)), F.col("doc_id") == F.col("id")).select("id", "answer", "text")
+    questions = _targets(spark, d).select("id", F.concat(F.lit("Question "), F.col("id").cast("string")).alias("text"))
+    return annotation.prompts(labelled, questions, _SYSTEM, limit, 1, 2)
+
+
+#: The prompts in SQL: t has their tokens and messages, each as role:content, joined by a separator.
+_PROMPTS = f"""g AS (SELECT id AS shot_id, label FROM votes WHERE draw <= 4 GROUP BY 1, 2 HAVING count(*) = 4 OR (count(*) = 3 AND label = 2)),
+  gd AS (SELECT shot_id, label, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS n FROM g JOIN documents ON doc_id = shot_id),
+  r AS (SELECT p.id AS eval_id, CAST(k AS INTEGER) AS draw, gd.*, md5(concat_ws('|', '0', CAST(p.id AS VARCHAR), CAST(k AS VARCHAR), CAST(shot_id AS VARCHAR))) AS h FROM posts p, (SELECT unnest([1, 2]) AS k), gd WHERE p.id % 50 = 0 AND shot_id <> p.id),
+  s AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY eval_id, draw, label ORDER BY h) = 1),
+  t AS (SELECT eval_id, draw, 8 + 2 + sum(n + 1) AS tokens, 2 + 2 * count(*) AS n, {len(_SYSTEM)} + sum(length(text) + 1) + length('Question ' || eval_id) AS chars,
+    'system:{_SYSTEM}' || chr(30) || string_agg('user:' || text || chr(30) || 'assistant:' || label, chr(30) ORDER BY label, h) || chr(30) || 'user:Question ' || eval_id AS said FROM s GROUP BY 1, 2)"""
 
 
 @query("UDF12", "SELECT n_nationkey, 'You grade questions about ' || n_name || '. Choose one of 0 (basic), 1 (middle), 2 (advanced) and answer as <Difficulty Level>n</Difficulty Level>, nothing else.' AS prompt FROM nation")
@@ -295,22 +306,23 @@ def templates(spark, d):
     return table(spark, d, "nation").select("n_nationkey", annotation.system_prompt("tagged", F.col("n_name"), levels).alias("prompt"))
 
 
-@query("UDF7")
+@query("UDF7", f"WITH {_PROMPTS} SELECT eval_id, draw, tokens + 384 <= 700 AS fits FROM t", "posts votes")
 def token_budget(spark, d):
-    return _prompts(spark, d, 460).select("eval_id", "draw", "fits")
+    return _prompts(spark, d, 700).select("eval_id", "draw", "fits")
 
 
-@query("UDF8")
+@query("UDF8", f"WITH {_PROMPTS} SELECT eval_id, draw, CAST(n AS INTEGER) AS n, md5(said) AS h FROM t WHERE tokens + 384 <= 2000", "posts votes")
 def prompt_messages(spark, d):
-    return _prompts(spark, d).select("eval_id", "draw", F.size("messages").alias("n"), F.md5(F.to_json("messages")).alias("h"))
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), chr(30))
+    return _prompts(spark, d).where("fits").select("eval_id", "draw", F.size("messages").alias("n"), F.md5(said).alias("h"))
 
 
-@query("UDF9")
+@query("UDF9", f"WITH {_PROMPTS} SELECT eval_id, draw, '<Difficulty Level> ' || (chars % 3) || ' </Difficulty Level>' AS result, CAST(chars % 3 AS INTEGER) AS level FROM t WHERE tokens + 384 <= 2000", "posts votes")
 def answered(spark, d):
     def client():
         return lambda batch: [f"<Difficulty Level> {sum(len(m['content']) for m in messages) % 3} </Difficulty Level>" for messages in batch]
 
-    return annotation.answer(_prompts(spark, d), client).withColumn("level", text.level_of(F.col("result")))
+    return annotation.answer(_prompts(spark, d).where("fits"), client).withColumn("level", text.level_of(F.col("result")))
 
 
 # ---- complexity
