@@ -7,16 +7,17 @@ of structs from an Arrow UDF and are exploded, so no file is written on the way.
 from __future__ import annotations
 
 import ast
-import json
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from ..sources.adapters import scratch
 from .languages import CYCLOMATIC, LANGUAGES
 from .lexer import NEWLINE, balanced, tokens
 from .walkers import cognitive
@@ -124,40 +125,43 @@ def syntax_ok(snippets: DataFrame, keys: list[str], source: str = "src", languag
 
 
 NESTED = ("cognitive.sum", "cognitive.average", "cyclomatic.sum", "cyclomatic.average", "loc.sloc", "loc.ploc", "loc.lloc", "loc.cloc", "halstead.volume", "halstead.difficulty", "mi.mi_original", "nom.functions")
-SPACE = StructType([StructField("name", StringType()), StructField("parent", StringType()), StructField("start_line", IntegerType()), StructField("end_line", IntegerType()), *(StructField(x.replace(".", "_"), DoubleType()) for x in NESTED)])
+SPACE_LINES = ("start_line", "end_line")
 
 
-def spaces_of(text: str | None) -> list[dict]:
-    """Outermost functions of an external metric report, with the name of what holds them; null where a level is missing."""
-
-    def get(d: object, path: str) -> float | None:
-        for k in path.split("."):
-            d = d.get(k) if isinstance(d, dict) else None
-        return float(d) if isinstance(d, (int, float)) and not isinstance(d, bool) else None
-
-    def walk(space: dict, parent: str | None) -> Iterator[dict]:
-        if space.get("kind") == "function":
-            yield {"name": space.get("name"), "parent": parent, "start_line": space.get("start_line"), "end_line": space.get("end_line"), **{x.replace(".", "_"): get(space.get("metrics"), x) for x in NESTED}}
-            return
-        for s in space.get("spaces") or []:
-            if isinstance(s, dict):
-                yield from walk(s, space.get("name"))
-
-    try:
-        root = json.loads(text or "")
-    except ValueError:
-        return []
-    return list(walk(root, None)) if isinstance(root, dict) else []
+def _number(v: Column, path: str) -> Column:
+    """The number at a path of a variant; null for anything else there."""
+    found = F.try_variant_get(v, f"$.{path}", "variant")
+    kind = F.schema_of_variant(found)
+    return F.when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(found, "$", "double"))
 
 
 def report_functions(reports: DataFrame, keys: list[str], column: str = "report") -> DataFrame:
-    """(keys, name, parent, lines, metrics): a row per outermost function of external JSON reports."""
-
-    @F.pandas_udf(ArrayType(SPACE))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(spaces_of)
-
-    return _each(reports.select(*keys, run(F.col(column)).alias("_s")), "_s", *keys)
+    """(keys, name, parent, start_line, end_line, metrics): a row per outermost function of external JSON reports.
+
+    parent is the name of what holds the function; a missing level or value is null. The tree is gone down
+    level by level: functions of a level become rows, and only what holds others goes on, as a variant. Text that is no
+    JSON object has no function. The driver learns after each level whether one is left.
+    """
+    spark, found = reports.sparkSession, []
+    folder = f"{scratch(spark)}/reports-{uuid.uuid4().hex}"
+    level = reports.select(*keys, F.try_parse_json(column).alias("_v"), F.lit(None).cast("string").alias("parent"))
+    while True:
+        level = level.where(F.schema_of_variant("_v").startswith("OBJECT"))
+        text = lambda path: F.try_variant_get("_v", f"$.{path}", "string")
+        function = F.coalesce(text("kind") == "function", F.lit(False))
+        lines = (F.try_variant_get("_v", f"$.{x}", "int").alias(x) for x in SPACE_LINES)
+        found.append(level.where(function).select(*keys, text("name").alias("name"), "parent", *lines, *(_number(F.col("_v"), f"metrics.{x}").alias(x.replace(".", "_")) for x in NESTED)))
+        rest = level.where(~function).select(*keys, text("name").alias("parent"), F.explode(F.try_variant_get("_v", "$.spaces", "array<variant>")).alias("_v")).select(*keys, "_v", "parent")
+        # What is below is functions for the most part: those become rows, the others are kept.
+        below = f"{folder}/{len(found)}"
+        rest.write.parquet(below)
+        level = spark.read.parquet(below)
+        if level.isEmpty():
+            break
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def extension(language: str) -> str:
