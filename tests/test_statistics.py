@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tidelens.functions import dist
-from tidelens.operators import closed, solve
+from tidelens.operators import closed, smooth, solve
 
 
 @pytest.mark.parametrize(
@@ -85,6 +85,36 @@ def test_short_and_degenerate_series(spark):
         solve.its(df, "g", cov="none")
 
 
-def test_smoother_keeps_lines(spark):
-    df = spark.createDataFrame([("a", float(i), 2.0 * i + 1) for i in range(30)], "g string, x double, y double")
-    assert all(math.isclose(r.smooth, 2 * r.x + 1, abs_tol=1e-8) for r in solve.lowess(df, "g", "x", "y").collect())
+def by_the_book(x, y, share, rounds):
+    """Each row against all others."""
+    n = len(x)
+    k, robust, out = min(n, max(2, int(share * n + 1e-10))), np.ones(n), y.copy()
+    for r in range(rounds + 1):
+        for i in range(n):
+            d = np.abs(x - x[i])
+            near = np.argsort(d, kind="stable")[:k]
+            w = np.clip(1 - (d[near] / max(d[near].max(), 1e-12)) ** 3, 0, 1) ** 3 * robust[near]
+            if w.sum() <= 0:
+                continue
+            xm, ym = w @ x[near] / w.sum(), w @ y[near] / w.sum()
+            sxx = w @ (x[near] - xm) ** 2
+            out[i] = ym + (w @ ((x[near] - xm) * (y[near] - ym)) / sxx if sxx > 1e-12 else 0.0) * (x[i] - xm)
+        if r < rounds:
+            s = 6 * np.median(np.abs(y - out))
+            robust = np.clip(1 - (np.abs(y - out) / s) ** 2, 0, 1) ** 2 if s > 0 else np.ones(n)
+    return out
+
+
+def test_smoother(spark):
+    """Lines stay; uneven places, ties and an outlier are as by the book; groups of other sizes do not matter."""
+    rng = np.random.default_rng(8)
+    x = np.sort(np.r_[rng.uniform(0, 30, 45), [3.0, 3.0, 3.0]])
+    y = np.sin(x / 4) + rng.normal(size=len(x)) * 0.1
+    y[20] = 9.0
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    rows = [("line", float(i), 2.0 * i + 1) for i in range(30)] + [("wave", float(a), float(b)) for a, b in zip(x, y, strict=True)] + [("one", 1.0, 5.0), ("none", 1.0, None)]
+    got = smooth.lowess(spark.createDataFrame(rows, "g string, x double, y double").repartition(3), "g", "x", "y", 0.3, 2).collect()
+    assert all(math.isclose(r.smooth, 2 * r.x + 1, abs_tol=1e-8) for r in got if r.g == "line") and [r.smooth for r in got if r.g == "one"] == [5.0]
+    want = by_the_book(x, y, 0.3, 2)
+    assert np.allclose(sorted(r.smooth for r in got if r.g == "wave"), np.sort(want), atol=1e-9) and len(got) == 79

@@ -163,34 +163,3 @@ def diagnostics(panel: DataFrame, by: str, y: str = "y", t: str = "t", lags: int
         return pd.DataFrame({by: [p[by].iloc[0]], "dw": [float((np.diff(e) ** 2).sum() / (e @ e))], "bg": [bg], "bg_p": [dist.chi2_p(bg, lags)], "bp": [bp], "bp_p": [dist.chi2_p(bp, 3)]})
 
     return panel.select(by, y, t).groupBy(by).applyInPandas(fit, f"{by} {kind}, dw double, bg double, bg_p double, bp double, bp_p double")
-
-
-def lowess(panel: DataFrame, by: str, x: str, y: str, share: float = 0.2, rounds: int = 3) -> DataFrame:
-    """(by, x, smooth): local lines with tricube weights, made robust by bisquare rounds."""
-    kind = panel.schema[by].dataType.simpleString()
-
-    def fit(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.dropna().sort_values(x)
-        xv, yv = p[x].to_numpy(float), p[y].to_numpy(float)
-        n = len(xv)
-        k, robust, out = min(n, max(2, int(share * n + 1e-10))), np.ones(n), yv.copy()
-        for r in range(rounds + 1):
-            for i in range(n):
-                d = np.abs(xv - xv[i])
-                near = np.argsort(d, kind="stable")[:k]
-                far = max(d[near].max(), 1e-12)
-                w = np.clip(1 - (d[near] / far) ** 3, 0, 1) ** 3 * robust[near]
-                total = w.sum()
-                if total <= 0:
-                    continue
-                xm, ym = w @ xv[near] / total, w @ yv[near] / total
-                sxx = w @ (xv[near] - xm) ** 2
-                slope = (w @ ((xv[near] - xm) * (yv[near] - ym))) / sxx if sxx > 1e-12 else 0.0
-                out[i] = ym + slope * (xv[i] - xm)
-            if r < rounds:
-                e = np.abs(yv - out)
-                s = 6 * np.median(e)
-                robust = np.clip(1 - (e / s) ** 2, 0, 1) ** 2 if s > 0 else np.ones(n)
-        return pd.DataFrame({by: p[by], x: p[x].astype(float), "smooth": out})
-
-    return panel.select(by, F.col(x).cast("double").alias(x), y).groupBy(by).applyInPandas(fit, f"{by} {kind}, {x} double, smooth double")

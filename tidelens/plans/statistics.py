@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, dist, numbers
-from ..operators import closed, panels, rollups, solve
+from ..operators import closed, panels, rollups, smooth, solve
 from ..sources.adapters import EVENT, PLACEBO, posts
 from .registry import query
 from .relational import dated, panel, pm, pt, weekly
@@ -616,9 +616,24 @@ def moving_fits(spark, d):
     return rows.groupBy("start").agg(F.regr_slope(F.col("y"), F.col("t").cast("double")).alias("slope"), F.count("*").alias("n"))
 
 
-@query("STA42")
+def _lowess_sql(rounds: int) -> str:
+    """The smoother in SQL: r0 has the rows, o0, o1, ... the smoothed values of the rounds, w1, w2, ... the robust weights between them."""
+    out = ["r0 AS (SELECT language, CAST(rel_week AS DOUBLE) AS x, y, row_number() OVER (PARTITION BY language ORDER BY rel_week, y) AS i, least(count(*) OVER (PARTITION BY language), greatest(2, floor(0.2 * count(*) OVER (PARTITION BY language) + 1e-10))) AS k FROM panel WHERE y IS NOT NULL)", "w0 AS (SELECT language, i, CAST(1 AS DOUBLE) AS r FROM r0)"]
+    for n in range(rounds + 1):
+        out += [
+            f"n{n} AS (SELECT a.language, a.i, a.x AS ax, b.x, b.y, w.r, abs(b.x - a.x) AS d FROM r0 a JOIN r0 b ON a.language = b.language AND abs(a.i - b.i) < a.k JOIN w{n} w ON w.language = b.language AND w.i = b.i QUALIFY row_number() OVER (PARTITION BY a.language, a.i ORDER BY abs(b.x - a.x), b.i) <= a.k)",
+            f"g{n} AS (SELECT *, greatest(0, 1 - (d / greatest(max(d) OVER (PARTITION BY language, i), 1e-12)) ** 3) ** 3 * r AS w FROM n{n})",
+            f"m{n} AS (SELECT language, i, sum(w) AS w, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM g{n} GROUP BY 1, 2)",
+            f"s{n} AS (SELECT g.language, g.i, max(ax) AS ax, max(my) AS my, max(mx) AS mx, sum(g.w * (x - mx) ** 2) AS sxx, sum(g.w * (x - mx) * (y - my)) AS sxy FROM g{n} g JOIN m{n} m ON g.language = m.language AND g.i = m.i WHERE m.w > 0 GROUP BY 1, 2)",
+            f"o{n} AS (SELECT r0.language, r0.i, r0.x, r0.y, coalesce(my + CASE WHEN sxx > 1e-12 THEN sxy / sxx ELSE 0 END * (ax - mx), {f'p.o' if n else 'r0.y'}) AS o FROM r0 LEFT JOIN s{n} s ON s.language = r0.language AND s.i = r0.i{f' JOIN o{n - 1} p ON p.language = r0.language AND p.i = r0.i' if n else ''})",
+            f"w{n + 1} AS (SELECT language, i, CASE WHEN med > 0 THEN greatest(0, 1 - (abs(y - o) / (6 * med)) ** 2) ** 2 ELSE 1 END AS r FROM (SELECT *, median(abs(y - o)) OVER (PARTITION BY language) AS med FROM o{n}))",
+        ]
+    return f"WITH {', '.join(out[:-1])} SELECT language, x AS t, o AS smooth FROM o{rounds}"
+
+
+@query("STA42", _lowess_sql(3), "panel", "smooth", 6)
 def smoothed(spark, d):
-    return _rounded(solve.lowess(_panel_t(spark, d), "language", "t", "y"))
+    return smooth.lowess(_panel_t(spark, d), "language", "t", "y")
 
 
 @query("STA43")
