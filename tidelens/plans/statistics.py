@@ -25,6 +25,11 @@ def _t_p(t: str, df: str) -> str:
     return f"(1 - CASE WHEN CAST({df} AS BIGINT) % 2 = 0 THEN sqrt(1 - {cos2}) * {even} ELSE 2 / pi() * (acos(sqrt({cos2})) + sqrt(1 - {cos2}) * sqrt({cos2}) * coalesce({odd}, 0)) END)"
 
 
+def _z_p(z: str) -> str:
+    """Two-sided p of a normal value in SQL, by the series of erf."""
+    return f"CASE WHEN {z} = 0 THEN 1 WHEN abs({z}) > 8 THEN 0 ELSE 1 - exp(-1 * ({z}) * ({z}) / 2) * list_sum(list_transform(range(0, 200), lambda n: exp((2 * n + 1) * ln(abs({z}) / sqrt(2)) - lgamma(n + 1.5)))) END"
+
+
 def _t_quantiles(table: str, p: float = 0.975) -> str:
     """tq AS (df, tq) for the degrees of freedom df of a table, by bisection in SQL."""
     inside = _t_p("((lo + hi) / 2)", "df")
@@ -250,6 +255,25 @@ def chow_at(spark, d):
     return closed.chow(weekly(spark, d), [], "y", "t", F.col("t") < 26)
 
 
+def _series_errors(rows: str, lags: int = 4) -> str:
+    """co (k, b0 .. b3) and vh, v3, vp (k, v0 .. v3): two weighted lines for each series k of rows (k, t, y, w) in SQL, with the variances of HAC, HC3 and classical errors."""
+    parts = range(4)
+    return f"""rs AS ({rows}), se AS (SELECT k, t >= 0 AS post, count(*) AS n, sum(w) AS sw, sum(w * t) / sum(w) AS tm, sum(w * y) / sum(w) AS ym FROM rs GROUP BY 1, 2),
+  sx AS (SELECT rs.k, post, max(n) AS n, max(sw) AS sw, max(tm) AS tm, max(ym) AS ym, sum(w * (t - tm) ** 2) AS sxx, sum(w * (t - tm) * (y - ym)) AS sxy FROM rs JOIN se ON rs.k = se.k AND (t >= 0) = post GROUP BY 1, 2),
+  ln AS (SELECT *, sxy / sxx AS b, ym - sxy / sxx * tm AS a FROM sx),
+  co AS (SELECT x.k, x.n + z.n AS n, x.a AS b0, x.b AS b1, z.a - x.a AS b2, z.b - x.b AS b3, 1 / x.sw + x.tm ** 2 / x.sxx AS c0, 1 / x.sxx AS c1, 1 / x.sw + x.tm ** 2 / x.sxx + 1 / z.sw + z.tm ** 2 / z.sxx AS c2, 1 / x.sxx + 1 / z.sxx AS c3 FROM ln x JOIN ln z ON x.k = z.k AND NOT x.post AND z.post),
+  ro AS (SELECT rs.k, t, post, y - a - b * t AS e, w * (y - a - b * t) * (1 / sw - tm * (t - tm) / sxx) AS pa, w * (y - a - b * t) * (t - tm) / sxx AS pb, 1 / sw + (t - tm) ** 2 / sxx AS h FROM rs JOIN ln ON rs.k = ln.k AND (t >= 0) = post),
+  fl AS (SELECT k, e, h, row_number() OVER (PARTITION BY k ORDER BY t) AS i, CASE WHEN post THEN 0 ELSE pa END AS p0, CASE WHEN post THEN 0 ELSE pb END AS p1, CASE WHEN post THEN pa ELSE -1 * pa END AS p2, CASE WHEN post THEN pb ELSE -1 * pb END AS p3 FROM ro),
+  vh AS (SELECT a.k, {", ".join(f"sum(a.p{i} * b.p{i} * (1 - abs(a.i - b.i) / {lags + 1}.0)) AS v{i}" for i in parts)} FROM fl a JOIN fl b ON a.k = b.k AND abs(a.i - b.i) <= {lags} GROUP BY 1),
+  v3 AS (SELECT k, {", ".join(f"sum((p{i} / (1 - h)) ** 2) AS v{i}" for i in parts)} FROM fl GROUP BY 1),
+  vp AS (SELECT co.k, {", ".join(f"max(c{i}) * sum(e * e) / (max(n) - 4) AS v{i}" for i in parts)} FROM fl JOIN co ON fl.k = co.k GROUP BY 1)"""
+
+
+def _series_terms(variances: str) -> str:
+    """(k, term, coef, se) of co and one of the tables of variances."""
+    return " UNION ALL ".join(f"SELECT co.k, '{name}' AS term, b{i} AS coef, sqrt(v{i}) AS se FROM co JOIN {variances} v ON co.k = v.k" for i, name in enumerate(("const", "time", "post", "post_time")))
+
+
 @query("STA10", f"WITH {_ITS} SELECT language, b_n + c_n AS n_obs, b_icpt AS const, b_slope AS pre_trend, c_icpt - b_icpt AS level, c_slope - b_slope AS slope FROM its", "panel", "const pre_trend level slope", 6)
 def its_points(spark, d):
     return closed.its_points(_panel_t(spark, d), ["language"])
@@ -259,9 +283,12 @@ def _rounded(df):
     return df.withColumns({c: F.round(c, 6) for c, k in df.dtypes if k == "double"})
 
 
-@query("STA10_hac")
+_PLAIN = "SELECT language AS k, rel_week AS t, y, CAST(1 AS DOUBLE) AS w FROM panel WHERE y IS NOT NULL"
+
+
+@query("STA10_hac", f"WITH {_series_errors(_PLAIN)}, te AS ({_series_terms('vh')}) SELECT k AS language, term, coef, se, coef / se AS z, {_z_p('(coef / se)')} AS p FROM te", "panel", "coef se z p", 6)
 def its_hac(spark, d):
-    return _rounded(solve.its(_panel_t(spark, d), "language", cov="hac", lags=4))
+    return solve.its(_panel_t(spark, d), "language", cov="hac", lags=4)
 
 
 @query("STA11", f"WITH {_ITS}, n AS (SELECT language, CAST(sum(n_func) AS BIGINT) AS n_func FROM panel GROUP BY 1) SELECT its.language, n_func, b_n + c_n AS n_obs, b_slope AS pre_trend, c_icpt - b_icpt AS level, (exp(52 * (c_slope - b_slope)) - 1) * 100 AS yearly FROM its JOIN n ON its.language = n.language", "panel", "pre_trend level yearly", 6)
@@ -271,7 +298,7 @@ def its_record(spark, d):
     return closed.its_points(p, ["language"]).join(n, "language").select("language", "n_func", "n_obs", "pre_trend", "level", numbers.percent_effect(F.col("slope"), 52).alias("yearly"))
 
 
-@query("STA11_record")
+@query("STA11_record", f"WITH {_series_errors(_PLAIN)}, n AS (SELECT language, CAST(sum(n_func) AS BIGINT) AS n_func, count(*) AS n_obs FROM panel GROUP BY 1), z AS (SELECT co.k, b1, b2, b3, sqrt(v2) AS s2, sqrt(v3) AS s3, b1 / sqrt(v1) AS z1, b2 / sqrt(v2) AS z2, b3 / sqrt(v3) AS z3 FROM co JOIN vh ON co.k = vh.k), r AS (SELECT k AS language, b1 AS pre_trend, {_z_p('z1')} AS pre_trend_p, b2 AS level, s2 AS level_se, {_z_p('z2')} AS level_p, b3 AS slope, s3 AS slope_se, {_z_p('z3')} AS slope_p FROM z) SELECT r.*, (exp(level) - 1) * 100 AS level_pct, (exp(52 * slope) - 1) * 100 AS yearly, (exp(52 * (slope - 1.96 * slope_se)) - 1) * 100 AS yearly_low, (exp(52 * (slope + 1.96 * slope_se)) - 1) * 100 AS yearly_high, n_func, n_obs, slope_p < 0.05 AS significant FROM r JOIN n ON r.language = n.language", "panel", "pre_trend pre_trend_p level level_se level_p slope slope_se slope_p level_pct yearly yearly_low yearly_high", 6)
 def its_full_record(spark, d):
     """Level and slope change with HAC errors, p, the yearly effect in percent with its interval, and whether it is significant."""
     p = _panel_t(spark, d)
@@ -281,12 +308,7 @@ def its_full_record(spark, d):
     low, high = numbers.interval(F.col("slope"), F.col("slope_se"))
     r = r.withColumns({"level_pct": numbers.percent_effect(F.col("level")), "yearly": numbers.percent_effect(F.col("slope"), 52), "yearly_low": numbers.percent_effect(low, 52), "yearly_high": numbers.percent_effect(high, 52)})
     n = p.groupBy("language").agg(F.sum("n_func").alias("n_func"), F.count("*").alias("n_obs"))
-    return _rounded(r.join(n, "language").withColumn("significant", F.col("slope_p") < 0.05))
-
-
-def _z_p(z: str) -> str:
-    """Two-sided p of a normal value in SQL, by the series of erf."""
-    return f"CASE WHEN {z} = 0 THEN 1 WHEN abs({z}) > 8 THEN 0 ELSE 1 - exp(-1 * ({z}) * ({z}) / 2) * list_sum(list_transform(range(0, 200), lambda n: exp((2 * n + 1) * ln(abs({z}) / sqrt(2)) - lgamma(n + 1.5)))) END"
+    return r.join(n, "language").withColumn("significant", F.col("slope_p") < 0.05)
 
 
 def _pooled_errors(weight: str, lags: int = 8) -> str:
@@ -391,18 +413,24 @@ def _dispersion(spark, d):
     return pm(spark, d).groupBy("id", "w").agg(F.max(F.log1p("cc")).alias("v")).groupBy(F.col("w").alias("t")).agg(F.stddev_samp("v").alias("y"))
 
 
-@query("STA16_errors")
+_SPREAD = "SELECT 'all' AS k, w AS t, stddev_samp(v) AS y, CAST(1 AS DOUBLE) AS w FROM (SELECT id, w, max(ln(1 + cc)) AS v FROM pm GROUP BY 1, 2) GROUP BY w HAVING count(*) > 1"
+
+
+@query("STA16_errors", f"WITH {_series_errors(_SPREAD, 12)}, te AS (SELECT *, 'hac' AS errors FROM ({_series_terms('vh')}) UNION ALL SELECT *, 'classical' FROM ({_series_terms('vp')})) SELECT term, coef, se, coef / se AS z, {_z_p('(coef / se)')} AS p, errors FROM te", "pm", "coef se z p", 6)
 def its_dispersion_errors(spark, d):
     """The same with HAC errors over 12 lags and with classical ones."""
     s = _dispersion(spark, d).withColumn("series", F.lit("all"))
     kinds = {"hac": {"cov": "hac", "lags": 12}, "classical": {"cov": "classical"}}
     hac, plain = (solve.its(s, "series", **k).drop("series").withColumn("errors", F.lit(n)) for n, k in kinds.items())
-    return _rounded(hac.unionByName(plain))
+    return hac.unionByName(plain)
+
+
+_WIDTHS = "SELECT struct_pack(language := language, model := 'wls_hac8') AS k, rel_week AS t, y, CAST(n_func AS DOUBLE) AS w FROM panel WHERE y IS NOT NULL UNION ALL SELECT struct_pack(language := language, model := 'hc3_' || x), rel_week, y, 1 FROM panel, (SELECT unnest([52, 78, 104, 130]) AS x) WHERE y IS NOT NULL AND rel_week BETWEEN -x AND x"
 
 
-@query("STA17")
+@query("STA17", f"WITH {_series_errors(_WIDTHS, 8)}, te AS (SELECT * FROM ({_series_terms('vh')}) WHERE k.model = 'wls_hac8' UNION ALL SELECT * FROM ({_series_terms('v3')}) WHERE k.model <> 'wls_hac8') SELECT k.language AS language, term, coef, se, coef / se AS z, {_z_p('(coef / se)')} AS p, k.model AS model FROM te", "panel", "coef se z p", 6)
 def its_variants(spark, d):
-    return _rounded(solve.its_models(_panel_t(spark, d), "language", (52, 78, 104, 130)))
+    return solve.its_models(_panel_t(spark, d), "language", (52, 78, 104, 130))
 
 
 @query("STA18", f"WITH {_ITS}, v AS (SELECT sum(b_rss + c_rss) / sum(b_n + c_n - 4) AS s2 FROM its) SELECT language, b_slope AS before, sqrt(s2 / b_sxx) AS before_se, c_slope AS after, sqrt(s2 / c_sxx) AS after_se FROM its, v", "panel", "before before_se after after_se", 6)
