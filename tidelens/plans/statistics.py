@@ -274,15 +274,30 @@ def _series_terms(variances: str) -> str:
     return " UNION ALL ".join(f"SELECT co.k, '{name}' AS term, b{i} AS coef, sqrt(v{i}) AS se FROM co JOIN {variances} v ON co.k = v.k" for i, name in enumerate(("const", "time", "post", "post_time")))
 
 
+def _bins_hac(rows: str, lags: int, ref: str) -> str:
+    """te (k, bin, coef, se): weighted means of bins against a reference bin for rows (k, t, bin, y, w) in SQL, HAC errors in the order of t."""
+    return f"""bw AS ({rows}), bm AS (SELECT k, bin, sum(w) AS sw, sum(w * y) / sum(w) AS m FROM bw GROUP BY 1, 2), rf AS (SELECT k, {ref} AS ref FROM bm GROUP BY 1),
+  bf AS (SELECT bw.k, bw.bin, row_number() OVER (PARTITION BY bw.k ORDER BY t) AS i, w * (y - m) / sw AS g FROM bw JOIN bm ON bw.k = bm.k AND bw.bin = bm.bin),
+  bp AS (SELECT a.k, a.bin AS x, b.bin AS y, sum(a.g * b.g * (1 - abs(a.i - b.i) / {lags + 1}.0)) AS s FROM bf a JOIN bf b ON a.k = b.k AND abs(a.i - b.i) <= {lags} GROUP BY 1, 2, 3),
+  bv AS (SELECT bp.k, bm.bin, sum(CASE WHEN x = y THEN s ELSE -1 * s END) AS v FROM bm JOIN rf ON bm.k = rf.k JOIN bp ON bp.k = bm.k AND x IN (bm.bin, ref) AND y IN (bm.bin, ref) WHERE bm.bin <> ref GROUP BY 1, 2),
+  te AS (SELECT bv.k, bv.bin, b.m - r.m AS coef, sqrt(v) AS se FROM bv JOIN bm b ON b.k = bv.k AND b.bin = bv.bin JOIN rf ON rf.k = bv.k JOIN bm r ON r.k = bv.k AND r.bin = ref WHERE v > 0)"""
+
+
+def _regression(rows: str, size: int, name: str = "") -> str:
+    """rg (k, t, x, y) and ft (k, inv, b), its regressions on `size` columns in a list x, in SQL; in {name}rg and {name}ft."""
+    at = f"(SELECT CAST(unnest(range(1, {size + 1})) AS BIGINT)"
+    return f"""{name}rg AS ({rows}),
+  {name}mo AS (SELECT k, i, list(a ORDER BY j) AS r, max(q) AS q FROM (SELECT k, i, j, sum(x[i] * x[j]) AS a, sum(x[i] * y) AS q FROM {name}rg, {at} AS i), {at} AS j) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  {name}gj AS (SELECT k, CAST(1 AS BIGINT) AS s, list(list_append(list_concat(r, list_transform(range(1, {size + 1}), lambda c: CASE WHEN c = i THEN CAST(1 AS DOUBLE) ELSE 0 END)), q) ORDER BY i) AS m FROM {name}mo GROUP BY k
+    UNION ALL SELECT k, s + 1, list_transform(m, lambda r, i: CASE WHEN i = s THEN list_transform(r, lambda v: v / m[s][s]) ELSE list_transform(r, lambda v, j: v - r[s] * m[s][j] / m[s][s]) END) FROM {name}gj WHERE s <= {size}),
+  {name}ft AS (SELECT k, list_transform(m, lambda r: r[{size + 1}:{2 * size}]) AS inv, list_transform(m, lambda r: r[{2 * size + 1}]) AS b FROM {name}gj WHERE s > {size})"""
+
+
 @query("STA10", f"WITH {_ITS} SELECT language, b_n + c_n AS n_obs, b_icpt AS const, b_slope AS pre_trend, c_icpt - b_icpt AS level, c_slope - b_slope AS slope FROM its", "panel", "const pre_trend level slope", 6)
 def its_points(spark, d):
     return closed.its_points(_panel_t(spark, d), ["language"])
 
 
-def _rounded(df):
-    return df.withColumns({c: F.round(c, 6) for c, k in df.dtypes if k == "double"})
-
-
 _PLAIN = "SELECT language AS k, rel_week AS t, y, CAST(1 AS DOUBLE) AS w FROM panel WHERE y IS NOT NULL"
 
 
@@ -480,9 +495,12 @@ def per_language_study(spark, d):
     return _study(spark, d).select("language", "bin", "coef", "se", "p")
 
 
-@query("STA21_hac")
+_BINNED = "SELECT language AS k, rel_week AS t, CAST(floor(rel_week / 4.0) AS INTEGER) AS bin, y, CAST(n_func AS DOUBLE) AS w FROM panel WHERE y IS NOT NULL AND floor(rel_week / 4.0) BETWEEN -28 AND 39"
+
+
+@query("STA21_hac", f"WITH {_bins_hac(_BINNED, 3, '-1')} SELECT k AS language, bin, coef, se, coef / se AS z, {_z_p('(coef / se)')} AS p FROM te", "panel", "coef se z p", 6)
 def per_language_study_hac(spark, d):
-    return _rounded(solve.bin_study_hac(_binned(spark, d), "language", "bin", "t", 3, weights="n_func"))
+    return solve.bin_study_hac(_binned(spark, d), "language", "bin", "t", 3, weights="n_func")
 
 
 @query("STA22", _two_way(f"{_BINS}, cells AS (SELECT 1 AS k, language, bin, y, 1 AS w FROM bins)"), "pm", "coef se z p", 6)
@@ -497,10 +515,13 @@ def coarse_study(spark, d):
     return c.join(F.broadcast(first)).select("bin", (F.col("y") - F.col("base")).alias("coef"))
 
 
-@query("STA23_hac")
+_COARSE = "SELECT 'all' AS k, t, CAST(floor(t / 12.0) AS INTEGER) AS bin, y, CAST(1 AS DOUBLE) AS w FROM weekly WHERE floor(t / 12.0) <> -1"
+
+
+@query("STA23_hac", f"WITH {_bins_hac(_COARSE, 8, 'min(bin)')} SELECT bin, coef, se, coef / se AS z, {_z_p('(coef / se)')} AS p FROM te", "weekly", "coef se z p", 6)
 def coarse_study_hac(spark, d):
     rows = weekly(spark, d).withColumn("bin", F.floor(F.col("t") / 12).cast("int")).where("bin != -1").withColumn("series", F.lit("all"))
-    return _rounded(solve.bin_study_hac(rows, "series", "bin", "t", 8, ref=None).drop("series"))
+    return solve.bin_study_hac(rows, "series", "bin", "t", 8, ref=None).drop("series")
 
 
 _PRE = "s AS (SELECT language, regr_slope(coef, bin) AS trend, avg(coef) / (stddev_samp(coef) / sqrt(count(*))) AS t, count(*) AS n FROM e WHERE bin < 0 GROUP BY 1)"
@@ -603,9 +624,17 @@ def durbin_watson(spark, d):
     return closed.durbin_watson(closed.its_residuals(_panel_t(spark, d), ["language"]), ["language"], "t", "resid")
 
 
-@query("STA36_tests")
+_ITS_X = "CAST(1 AS DOUBLE), CAST(t AS DOUBLE), CASE WHEN t >= 0 THEN CAST(1 AS DOUBLE) ELSE 0 END, CAST(greatest(t, 0) AS DOUBLE)"
+_TESTS = f"""er AS (SELECT k, t, e, {", ".join(f"coalesce(lag(e, {i}) OVER (PARTITION BY k ORDER BY t), 0) AS l{i}" for i in range(1, 5))} FROM ro),
+  {_regression(f"SELECT k, t, [{_ITS_X}, l1, l2, l3, l4] AS x, e AS y FROM er", 8, "g")}, {_regression(f"SELECT k, t, [{_ITS_X}] AS x, e * e AS y FROM er", 4, "p")},
+  gb AS (SELECT r.k, count(*) - sum((y - list_dot_product(x, b)) ** 2) / var_pop(y) AS bg FROM grg r JOIN gft f ON r.k = f.k GROUP BY 1),
+  pb AS (SELECT r.k, count(*) - sum((y - list_dot_product(x, b)) ** 2) / var_pop(y) AS bp FROM prg r JOIN pft f ON r.k = f.k GROUP BY 1),
+  dw AS (SELECT k, sum(CASE WHEN t > first THEN (e - l1) ** 2 ELSE 0 END) / sum(e * e) AS dw FROM (SELECT *, min(t) OVER (PARTITION BY k) AS first FROM er) GROUP BY 1)"""
+
+
+@query("STA36_tests", f"WITH RECURSIVE {_series_errors(_PLAIN)}, {_TESTS} SELECT dw.k AS language, dw, bg, exp(-1 * bg / 2) * (1 + bg / 2) AS bg_p, bp, {_z_p('sqrt(bp)')} + sqrt(2 * bp / pi()) * exp(-1 * bp / 2) AS bp_p FROM dw JOIN gb ON dw.k = gb.k JOIN pb ON dw.k = pb.k", "panel", "dw bg bg_p bp bp_p", 6)
 def diagnostics(spark, d):
-    return _rounded(solve.diagnostics(_panel_t(spark, d), "language"))
+    return solve.diagnostics(_panel_t(spark, d), "language")
 
 
 _RHO = "r AS (SELECT language, y, n_func, rank() OVER (PARTITION BY language ORDER BY y) + (count(*) OVER (PARTITION BY language, y) - 1) / 2 AS ry, rank() OVER (PARTITION BY language ORDER BY n_func) + (count(*) OVER (PARTITION BY language, n_func) - 1) / 2 AS rn FROM panel WHERE y IS NOT NULL), c AS (SELECT language, count(*) AS n, corr(y, n_func) AS pearson, corr(ry, rn) AS spearman FROM r GROUP BY 1)"
@@ -664,9 +693,15 @@ def smoothed(spark, d):
     return smooth.lowess(_panel_t(spark, d), "language", "t", "y")
 
 
-@query("STA43")
+_KNOTS = "SELECT language AS k, rel_week AS t, [CAST(1 AS DOUBLE), CAST(rel_week AS DOUBLE), CAST(greatest(rel_week, 0) AS DOUBLE), CAST(greatest(rel_week - 52, 0) AS DOUBLE), CAST(greatest(rel_week - 104, 0) AS DOUBLE)] AS x, y FROM panel WHERE y IS NOT NULL"
+_SPLINE = f"""{_regression(_KNOTS, 5)}, fl AS (SELECT r.k, row_number() OVER (PARTITION BY r.k ORDER BY t) AS i, list_transform(inv, lambda v: list_dot_product(v, x) * (y - list_dot_product(x, b))) AS p FROM rg r JOIN ft f ON r.k = f.k),
+  vh AS (SELECT a.k, c, sum(a.p[c] * b.p[c] * (1 - abs(a.i - b.i) / 5.0)) AS v FROM fl a JOIN fl b ON a.k = b.k AND abs(a.i - b.i) <= 4, (SELECT CAST(unnest(range(1, 6)) AS BIGINT) AS c) GROUP BY 1, 2),
+  te AS (SELECT ft.k, c, b[c] AS coef, sqrt(v) AS se FROM ft JOIN vh ON ft.k = vh.k)"""
+
+
+@query("STA43", f"WITH RECURSIVE {_SPLINE} SELECT k AS language, ['const', 't', 'after_0', 'after_52', 'after_104'][c] AS term, coef, se, coef / se AS z, {_z_p('(coef / se)')} AS p FROM te", "panel", "coef se z p", 6)
 def spline(spark, d):
-    return _rounded(solve.spline(_panel_t(spark, d), "language"))
+    return solve.spline(_panel_t(spark, d), "language")
 
 
 @query("STA44", f"WITH {_ITS}, s AS (SELECT language, c_slope - b_slope AS effect, 1 / ((b_rss + c_rss) / (b_n + c_n - 4) * (1 / b_sxx + 1 / c_sxx)) AS w FROM its), i AS (SELECT language, ln(1 + count(*)) AS v FROM dated WHERE days < 0 GROUP BY 1), j AS (SELECT w, v, effect FROM s JOIN i ON s.language = i.language), a AS (SELECT sum(w) AS w, sum(w * v) AS wx, sum(w * effect) AS wy, sum(w * v * v) AS wxx, sum(w * v * effect) AS wxy, count(*) AS n FROM j) SELECT n, (wxy - wx * wy / w) / (wxx - wx * wx / w) AS slope FROM a", "panel dated", "slope", 4)
