@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import Z95
@@ -198,9 +198,9 @@ def ci95(beta: str, se: str) -> list[Column]:
     return [(F.col(beta) - Z95 * F.col(se)).alias("ci_low"), (F.col(beta) + Z95 * F.col(se)).alias("ci_high")]
 
 
-def synthetic_series(spark: SparkSession, names: list[str], weeks: tuple[int, int], base: float, trend: float, level: float, slope: float, noise: float, seed: int = 0) -> DataFrame:
-    """(entity, t, y): interrupted series with known coefficients and normal noise, the same for the same seed on any machine."""
-    rows = spark.createDataFrame([(n,) for n in names], "entity string").select("entity", F.explode(F.sequence(F.lit(weeks[0]), F.lit(weeks[1]))).alias("t"))
+def synthetic_series(cells: DataFrame, entity: str, t: str, base: float, trend: float, level: float, slope: float, noise: float, seed: int = 0) -> DataFrame:
+    """(entity, t, y): interrupted series with known coefficients and normal noise in the cells of a panel, the same for the same seed on any machine."""
+    rows = cells.select(F.col(entity).alias("entity"), F.col(t).alias("t")).distinct()
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), "entity", F.col("t")))
     uniform = lambda start: (F.conv(F.substring(h, start, 8), 16, 10).cast("double") + 1) / 4294967297.0
     normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(9))

@@ -184,11 +184,13 @@ def _event_stream(spark, d):
     return daily.source(spark, f, EVENTS)
 
 
-@query("SRC19", "SELECT * FROM (VALUES ('event', '1998-06-03'), ('languages', '[\"java\",\"python\"]'), ('lags', '12')) AS t (option, value)")
+@query("SRC19", "SELECT * FROM (SELECT 'event' AS option, '1998-06-03' AS value UNION ALL SELECT 'first', strftime(min(o_orderdate), '%Y-%m-%d') FROM orders UNION ALL SELECT 'last', strftime(max(o_orderdate), '%Y-%m-%d') FROM orders UNION ALL SELECT 'posts', CAST(count(*) AS VARCHAR) FROM orders UNION ALL SELECT 'languages', '[\"' || string_agg(DISTINCT o_orderpriority, '\",\"' ORDER BY o_orderpriority) || '\"]' FROM orders)")
 def run_manifest(spark, d):
-    """A run's options, written as JSON and read back as rows."""
+    """A run's options and what its posts cover, written as JSON and read back as rows."""
     f = f"{_folder(spark)}/manifest.json"
-    manifest.write(f, {"lags": 12, "event": EVENT, "languages": ["java", "python"]})
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    seen = table(spark, d, "orders").agg(day(F.min("o_orderdate")).alias("first"), day(F.max("o_orderdate")).alias("last"), F.count("*").alias("posts"), F.array_sort(F.collect_set("o_orderpriority")).alias("languages")).first()
+    manifest.write(f, {"event": EVENT, **seen.asDict()})
     return manifest.table(spark, f)
 
 

@@ -57,29 +57,47 @@ def window_partitions(spark, d):
     return calendar.windows(posts(spark, d), "creationdate", EVENT).groupBy("language", "win28").agg(F.count("*").alias("n"))
 
 
-@query("SRC14", "SELECT CAST(x AS DATE) AS day FROM (SELECT unnest(generate_series(TIMESTAMP '1998-06-03' - INTERVAL 104 WEEK, TIMESTAMP '1998-06-03' + INTERVAL 104 WEEK, INTERVAL 28 DAY)) AS x)")
+def _span(spark, d):
+    return calendar.span(posts(spark, d), "creationdate")
+
+
+_SPAN = "sp AS (SELECT min(CAST(creationdate AS DATE)) AS first, max(CAST(creationdate AS DATE)) AS last FROM posts)"
+
+
+def _window_start(days: int):
+    return F.date_add(F.lit(EVENT).cast("date"), dates.rel_bin(F.col("creationdate"), EVENT, days) * days)
+
+
+@query("SRC14", f"WITH {_SPAN}, g AS (SELECT CAST(x AS DATE) AS day FROM (SELECT unnest(generate_series(TIMESTAMP '{EVENT}' - INTERVAL 104 WEEK, TIMESTAMP '{EVENT}' + INTERVAL 104 WEEK, INTERVAL 28 DAY)) AS x)), c AS (SELECT DATE '{EVENT}' + CAST(floor(days / 28.0) AS INTEGER) * 28 AS day, count(*) AS n FROM dated GROUP BY 1) SELECT g.day, coalesce(n, 0) AS n FROM g JOIN sp ON g.day + 28 > first AND g.day <= last LEFT JOIN c ON c.day = g.day", "dated")
 def four_weeks(spark, d):
-    return calendar.every_28_days(spark, EVENT, 104, 104)
+    """The windows of four weeks that the posts meet, with their posts."""
+    return calendar.with_counts(calendar.every_28_days(_span(spark, d), EVENT, 104, 104), posts(spark, d), _window_start(28))
 
 
-@query("SRC15", "SELECT CAST(x AS DATE) AS day FROM (SELECT unnest(generate_series(TIMESTAMP '1998-06-03' - INTERVAL 280 DAY, TIMESTAMP '1998-06-03' + INTERVAL 308 DAY, INTERVAL 28 DAY)) AS x)")
+@query("SRC15", f"WITH {_SPAN}, g AS (SELECT CAST(unnest(generate_series(DATE '{EVENT}' - CAST(floor((DATE '{EVENT}' - first) / 28.0) AS INTEGER) * 28, DATE '{EVENT}' + (CAST(floor((last - DATE '{EVENT}') / 28.0) AS INTEGER) + 1) * 28, INTERVAL 28 DAY)) AS DATE) AS day FROM sp), c AS (SELECT DATE '{EVENT}' + CAST(floor(days / 28.0) AS INTEGER) * 28 AS day, count(*) AS n FROM dated GROUP BY 1) SELECT g.day, coalesce(n, 0) AS n FROM g LEFT JOIN c ON c.day = g.day", "dated")
 def around_event(spark, d):
-    return calendar.around(spark, EVENT, "1997-08-20", "1999-04-01", 28)
+    return calendar.with_counts(calendar.around(_span(spark, d), EVENT, 28), posts(spark, d), _window_start(28))
 
 
-@query("SRC16", "SELECT CAST(x AS DATE) AS day FROM (SELECT unnest(generate_series(TIMESTAMP '1997-01-01', TIMESTAMP '1999-12-01', INTERVAL 1 MONTH)) AS x)")
+@query("SRC16", f"WITH {_SPAN}, g AS (SELECT CAST(unnest(generate_series(date_trunc('month', first), date_trunc('month', last), INTERVAL 1 MONTH)) AS DATE) AS day FROM sp), c AS (SELECT CAST(date_trunc('month', creationdate) AS DATE) AS day, count(*) AS n FROM posts GROUP BY 1) SELECT g.day, coalesce(n, 0) AS n FROM g LEFT JOIN c ON c.day = g.day", "posts")
 def months(spark, d):
-    return calendar.monthly(spark, "1997-01-01", "1999-12-01")
+    return calendar.with_counts(calendar.monthly(_span(spark, d)), posts(spark, d), F.trunc(F.to_date("creationdate"), "month"))
 
 
-@query("SRC17", "SELECT CAST(x AS DATE) AS day_from, CAST(x AS DATE) + 30 AS day_to FROM (SELECT unnest(generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '1998-12-01', INTERVAL 1 MONTH)) AS x)")
+@query("SRC17", f"WITH {_SPAN}, g AS (SELECT CAST(unnest(generate_series(date_trunc('month', first), date_trunc('month', last), INTERVAL 1 MONTH)) AS DATE) AS day_from FROM sp) SELECT day_from, day_from + 30 AS day_to, count(id) AS n FROM g LEFT JOIN posts ON CAST(creationdate AS DATE) BETWEEN day_from AND day_from + 30 GROUP BY 1, 2", "posts")
 def month_days(spark, d):
-    return calendar.month_windows(spark, "1998-01-01", "1998-12-01", 30)
+    """Windows of 31 days from each month's first day, with their posts: a day lies in its month's window and may lie in that of the month before."""
+    per_day = posts(spark, d).groupBy(F.to_date("creationdate").alias("day")).agg(F.count("*").alias("k"))
+    month = F.trunc("day", "month")
+    near = per_day.select("day", "k", F.explode(F.array(month, F.add_months(month, -1))).alias("m")).where(F.datediff("day", "m") <= 30)
+    counts = near.groupBy(F.col("m").alias("day_from")).agg(F.sum("k").alias("n"))
+    return calendar.month_windows(_span(spark, d), 30).join(counts, "day_from", "left").fillna(0, ["n"])
 
 
-@query("SRC18", "SELECT CAST(x AS DATE) AS day, CAST(year(x) AS INTEGER) AS year FROM (SELECT unnest(generate_series(TIMESTAMP '2008-01-01', TIMESTAMP '2023-12-31', INTERVAL 1 DAY)) AS x)")
+@query("SRC18", f"WITH {_SPAN}, g AS (SELECT CAST(unnest(generate_series(first, last, INTERVAL 1 DAY)) AS DATE) AS day FROM sp), c AS (SELECT CAST(creationdate AS DATE) AS day, count(*) AS n FROM posts GROUP BY 1) SELECT g.day, CAST(year(g.day) AS INTEGER) AS year, coalesce(n, 0) AS n FROM g LEFT JOIN c ON c.day = g.day", "posts")
 def days(spark, d):
-    return calendar.calendar(spark, "2008-01-01", "2023-12-31")
+    """Every day that the posts span, without gaps, with its posts."""
+    return calendar.with_counts(calendar.calendar(_span(spark, d)), posts(spark, d), F.to_date("creationdate"))
 
 
 # ---- filters and projections

@@ -662,9 +662,10 @@ def mean_band(spark, d):
     return g.select("x", (fit - half).alias("low"), fit.alias("fit"), (fit + half).alias("high"))
 
 
-@query("STA40", "WITH g AS (SELECT entity, t, md5(concat_ws('|', '5', entity, CAST(t AS VARCHAR))) AS h FROM (SELECT unnest(['a', 'b', 'c']) AS entity), (SELECT CAST(unnest(range(-104, 105)) AS INTEGER) AS t)), n AS (SELECT *, sqrt(-2 * ln((CAST(('0x' || substr(h, 1, 8)) AS BIGINT) + 1) / 4294967297.0)) * cos(2 * pi() * (CAST(('0x' || substr(h, 9, 8)) AS BIGINT) + 1) / 4294967297.0) AS e FROM g) SELECT entity, t, 0.9 + 0.001 * t + CASE WHEN t >= 0 THEN 0.05 + 0.002 * t ELSE 0 END + 0.02 * e AS y FROM n", "", "y", 8)
+@query("STA40", "WITH g AS (SELECT entity, t, md5(concat_ws('|', '5', entity, CAST(t AS VARCHAR))) AS h FROM (SELECT language AS entity, rel_week AS t FROM panel)), n AS (SELECT *, sqrt(-2 * ln((CAST(('0x' || substr(h, 1, 8)) AS BIGINT) + 1) / 4294967297.0)) * cos(2 * pi() * (CAST(('0x' || substr(h, 9, 8)) AS BIGINT) + 1) / 4294967297.0) AS e FROM g) SELECT entity, t, 0.9 + 0.001 * t + CASE WHEN t >= 0 THEN 0.05 + 0.002 * t ELSE 0 END + 0.02 * e AS y FROM n", "panel", "y", 8)
 def synthetic(spark, d):
-    return closed.synthetic_series(spark, ["a", "b", "c"], (-104, 104), 0.9, 0.001, 0.05, 0.002, 0.02, 5)
+    """Series of known coefficients in the cells that the panel has: what the estimators must find again."""
+    return closed.synthetic_series(panel(spark, d), "language", "rel_week", 0.9, 0.001, 0.05, 0.002, 0.02, 5)
 
 
 @query("STA41", "WITH k AS (SELECT unnest([-104, -52, 0, 52]) AS s) SELECT s AS start, regr_slope(y, t) AS slope, count(*) AS n FROM weekly, k WHERE t >= s AND t < s + 78 GROUP BY 1", "weekly", "slope", 6)
