@@ -7,6 +7,8 @@ import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,54 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def perhaps(keys: DataFrame, column: str, bits: int = 27) -> Callable[[Column], Column]:
+    """f(whole number): whether it may be in keys' column of whole numbers; never false for one that is. A Bloom filter
+    of 1 << bits bits and two places a key, broadcast: 16 MB by default, whatever the number of keys. Some ten million keys
+    let about 2 % of others through; with far more it says yes to more, and so only saves less."""
+    mask, tile = (1 << bits) - 1, 1 << min(18, bits)
+
+    def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = h.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h >> np.uint64(32)) & np.uint64(mask)).astype(np.int64), ((h ^ h >> np.uint64(29)) & np.uint64(mask)).astype(np.int64)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, bool)
+        for b in batches:
+            for p in places(b.column(0).to_numpy(zero_copy_only=False)):
+                seen[p] = True
+        for i, part in enumerate(np.packbits(seen, bitorder="little").reshape(-1, tile // 8)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pa.compress(part, codec="zstd", asbytes=True)], pa.binary())], names=["tile", "data"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits_ = None, np.zeros(tile // 8, np.uint8)
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits_.tobytes()], pa.binary())], names=["tile", "data"])
+        for b in batches:
+            for i, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if i != now:
+                    if now is not None:
+                        yield row()
+                    now, bits_ = i, np.zeros(tile // 8, np.uint8)
+                bits_ |= np.frombuffer(pa.decompress(data, tile // 8, codec="zstd"), np.uint8)
+        if now is not None:
+            yield row()
+
+    schema = "tile int, data binary"
+    parts = keys.select(F.col(column).cast("long")).mapInArrow(tidy(fill), schema).repartition("tile").sortWithinPartitions("tile").mapInArrow(tidy(join), schema).collect()
+    whole = bytearray((1 << bits) // 8)
+    for r in parts:
+        whole[r.tile * tile // 8 : (r.tile + 1) * tile // 8] = r.data
+    sent = keys.sparkSession.sparkContext.broadcast(bytes(whole))
+
+    @F.pandas_udf("boolean")
+    def found(h: pd.Series) -> pd.Series:
+        data = np.frombuffer(sent.value, np.uint8)
+        a, b = ((data[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool) for p in places(h.to_numpy()))
+        return pd.Series(a & b)
+
+    return lambda c: found(F.coalesce(c.cast("long"), F.lit(0).cast("long")))  # with a null, pandas would make floats of the numbers
+
+
 def id_column(docs: DataFrame, id_col: str, name: str = "doc_id") -> tuple[Column, str]:
     """(the id under a name, its type for map_rows): whole numbers are long (int stays int), all else is text."""
     kind = docs.schema[id_col].dataType.simpleString()

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, pieces, small, tidy
+from .common import cut, map_rows, perhaps, pieces, small, tidy
 from .components import connected_components, forest, tree_links
 
 FAN = 16
@@ -451,8 +451,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         return f
 
-    wanted = small(cut(wanted), IDS_SENT)
-    sets = map_rows(texts.join(wanted.select("doc_id"), "doc_id", "left_semi"), "doc_id long, h long, g long, hashes binary", make_sets)
+    wanted = cut(wanted)
+    sent = wanted.count() <= IDS_SENT
+    wanted = F.broadcast(wanted) if sent else wanted
+    # Beyond what is broadcast, only texts that pass a filter of the ids are shuffled.
+    near = texts if sent else texts.where(perhaps(wanted, "doc_id")(F.col("doc_id")))
+    sets = map_rows(near.join(wanted.select("doc_id"), "doc_id", "left_semi"), "doc_id long, h long, g long, hashes binary", make_sets)
     sets = cut(sets.join(wanted, ["doc_id", "h", "g"], "left_semi").dropDuplicates(["doc_id", "h", "g"]).select(F.col("doc_id").alias("id"), "hashes"))
     close = cut(_similar(_close(nodes.where("n > 0").select("id", "fp")), sets, similarity))
     roots = _similar_roots(members, sets, similarity, cap, close)
@@ -466,4 +470,9 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows that repeat the kept id stay as they came; rows with a null id stay.
     """
     gone = similar_documents(docs, id_col, text_col, size, similarity).where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(small(cut(gone), IDS_SENT), id_col, "left_anti").select(*docs.columns)
+    gone = cut(gone)
+    if gone.count() <= IDS_SENT:
+        return docs.join(F.broadcast(gone), id_col, "left_anti").select(*docs.columns)
+    # Documents that pass no filter of the ids stay where they are; only the others are shuffled.
+    maybe = F.coalesce(perhaps(gone, id_col)(docs[id_col].cast("long")) & docs[id_col].isNotNull(), F.lit(False))
+    return docs.where(~maybe).unionByName(docs.where(maybe).join(gone, id_col, "left_anti").select(*docs.columns))

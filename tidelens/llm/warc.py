@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, shared_dir
+from .common import cut, map_rows, perhaps, shared_dir
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ class WarcParams:
 
 
 NO_ID = -(1 << 63)
-#: Payloads with copies (a digest and an id each) that are broadcast; of more, each is dealt to SALTS keys.
+#: Payloads with copies (a digest and an id each) that are broadcast; of more a filter is, and each is dealt to SALTS keys.
 GROUPS_SENT, SALTS = 200_000, 16
 
 
@@ -106,9 +106,14 @@ def write_archives(pages: DataFrame, folder: str, params: WarcParams = WarcParam
     groups = cut(rows.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha", "last"))
     if groups.count() <= GROUPS_SENT:
         joined = rows.join(F.broadcast(groups), "sha", "left")
-    else:  # a payload that very many pages have must not meet its group in one task
+    else:
+        # Only pages whose payload may be one of the repeated ones are shuffled, the others go straight to the archive; a
+        # payload that very many pages have must not meet its group in one task.
+        maybe = perhaps(groups.select(F.xxhash64("sha").alias("h")), "h")
+        flagged = rows.withColumn("maybe", maybe(F.xxhash64("sha")))
         salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"], "left")
+        some = flagged.where("maybe").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"], "left")
+        joined = flagged.where("NOT maybe").withColumn("last", F.lit(None).cast("long")).select(*rows.columns, "last").unionByName(some.select(*rows.columns, "last"))
     typed = joined.select("page_id", "url", "html", F.when(F.coalesce(F.col("page_id") != F.col("last"), F.col("last").isNotNull()), F.col("last")).alias("to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
