@@ -50,8 +50,12 @@ def test_kinds_of_ids(spark, kind):
     rows = frame(spark, ROWS)
     df = rows.withColumn("doc_id", rows.doc_id.cast(kind))
     for name, f in OPERATORS.items():
-        if kind != "string" or name != "simhash":  # components need an order of numbers
-            assert sorted(str(r.doc_id) for r in f(df).collect()) == sorted(str(r[0]) for r in ROWS), name
+        assert sorted(str(r.doc_id) for r in f(df).collect()) == sorted(str(r[0]) for r in ROWS), name
+    if kind == "string":
+        texts = spark.createDataFrame([("b", "same words here and there"), ("a10", "same words here and there"), ("a9", "other")], "doc_id string, text string")
+        assert {r.doc_id: r.component_id for r in simhash.near_duplicates(texts).collect()} == {"b": "a10", "a10": "a10", "a9": "a9"}
+        with pytest.raises(ValueError, match="whole numbers"):
+            simhash.first_of_each(df)
 
 
 @pytest.mark.parametrize("name", OPERATORS)

@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     one on a single machine, and an error on a cluster. What is written there stays until somebody deletes it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         found = spark.sparkContext.getCheckpointDir()

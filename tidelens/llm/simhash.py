@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, perhaps, pieces, small, tidy
+from .common import cut, id_column, map_rows, perhaps, pieces, small, tidy
 from .components import connected_components, forest, tree_links
 
 FAN = 16
@@ -102,7 +102,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return f
 
-    return map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col)), "doc_id long, fp long", make)
+    key, kind = id_column(docs, id_col)
+    kind = "string" if kind == "string" else "long"
+    return map_rows(docs.select(key.cast(kind), F.col(text_col)), f"doc_id {kind}, fp long", make)
 
 
 def gray_rank(v: np.ndarray) -> np.ndarray:
@@ -384,7 +386,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and blank texts have fingerprint zero and are linked like any other;
     texts count whole whatever their length; equal fingerprints are one component;
     repeated rows stay, each with the same result; a null id is never the smallest
-    (a component of null ids only has a null component_id); an empty table gives an
+    (a component of null ids only has a null component_id); ids that are no whole numbers
+    are text and in the order of text; an empty table gives an
     empty result; other columns of docs, whatever their names, are not read.
     """
     fps = cut(fingerprints(docs, id_col, text_col, size))
@@ -407,8 +410,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     without a word. component_id is the smallest id of the group. Keys of up to `cap` sets have
     all their pairs compared at once.
     Texts count whole; rows with a null id take no part; repeated rows give a row each; an
-    empty table gives an empty result; other columns of docs are not read.
+    empty table gives an empty result; other columns of docs are not read. Ids are whole numbers: others are a ValueError.
     """
+    if id_column(docs, id_col)[1] == "string":
+        raise ValueError(f"{id_col} must be whole numbers: number the documents first")
 
     def hashes(text: str | None) -> np.ndarray:
         words = words_of(text)
