@@ -88,12 +88,12 @@ def weighted_mean(x: str, w: str) -> Column:
 
 
 def weighted_sem(df: DataFrame, by: list[str], x: str, w: str) -> DataFrame:
-    """(by, mean, sem): sqrt(weighted variance / n), null for a single row. One pass: Σw, Σwx, Σw(x−c)² around the window's mean."""
-    win = Window.partitionBy(*by)
-    mean = F.sum(F.col(x) * F.col(w)).over(win) / F.sum(w).over(win)
-    rows = df.withColumn("_m", mean).withColumn("_d", F.col(w) * (F.col(x) - F.col("_m")) ** 2)
-    sem = F.when(F.count("*") > 1, F.sqrt(F.sum("_d") / F.sum(w) / F.count("*")))
-    return rows.groupBy(*by).agg(F.first("_m").alias("mean"), sem.alias("sem"))
+    """(by, mean, sem): sqrt(weighted variance / n), null for a single row. Weighted moments in one aggregation, so a large group is many partial sums."""
+    xc, wc = F.col(x).cast("double"), F.col(w).cast("double")
+    m = df.groupBy(*by).agg(F.count("*").alias("_n"), F.sum(wc).alias("_w"), F.sum(wc * xc).alias("_wx"), F.sum(wc * xc * xc).alias("_wxx"))
+    mean = F.col("_wx") / F.col("_w")
+    variance = F.greatest(F.lit(0.0), F.col("_wxx") / F.col("_w") - mean * mean)
+    return m.select(*by, mean.alias("mean"), F.when(F.col("_n") > 1, F.sqrt(variance / F.col("_n"))).alias("sem"))
 
 
 def pivot_counts(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
