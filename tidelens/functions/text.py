@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections.abc import Callable
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,10 +25,45 @@ def remove_tags(s: Column) -> Column:
     return F.regexp_replace(s, "<[^>\\n]*>", "")
 
 
-@F.pandas_udf(StringType())
-def unescape(s: pd.Series) -> pd.Series:
+#: A reference by number or name, with or without its semicolon.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\x0C <&#;]{1,32};?)"
+#: Names that also count without a semicolon, even with more after them.
+LEGACY = {k: v for k, v in html5.items() if not k.endswith(";")}
+#: Numbers that stand for other characters: null, and those that Windows' code page has where Unicode has controls.
+REPLACED = {0: "\ufffd", 13: "\r"} | {c: bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0)}
+
+
+def _map(entries: dict[str, str]) -> Column:
+    """A map that the optimizer folds into one literal."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
+def _by_number(body: Column) -> Column:
+    """The character of #123; or #x1f;: controls and places without a character go, what is no code point becomes U+FFFD."""
+    is_hex = body.rlike("^#[xX]")
+    digits = F.regexp_replace(F.regexp_replace(body, "^#[xX]?|;$", ""), "^0+(?=.)", "")
+    code = F.when(F.length(digits) > F.when(is_hex, 8).otherwise(9), F.lit(0x110000)).when(is_hex, F.conv(digits, 16, 10).cast("long")).otherwise(digits.try_cast("long"))
+
+    def character(c: Column) -> Column:
+        gone = c.between(1, 8) | (c == 0xB) | c.between(0xE, 0x1F) | (c == 0x7F) | c.between(0xFDD0, 0xFDEF) | (c.bitwiseAND(0xFFFE) == 0xFFFE)
+        other = F.element_at(_map({str(k): v for k, v in REPLACED.items()}), c.cast("string"))
+        return F.when(other.isNotNull(), other).when(c.between(0xD800, 0xDFFF) | (c > 0x10FFFF), "\ufffd").when(gone, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"))
+
+    return F.element_at(F.transform(F.array(code), character), 1)
+
+
+def _by_name(reference: Column, body: Column) -> Column:
+    """The character of amp; or amp, else the longest older name that the body begins with, else the reference as it is."""
+    legacy = _map(LEGACY)
+    begins = [F.when(F.length(body) > n, F.concat(F.element_at(legacy, F.substring(body, 1, n)), F.substr(body, F.lit(n + 1)))) for n in range(max(map(len, LEGACY)), 1, -1)]
+    return F.coalesce(F.element_at(_map(html5), body), *begins, reference)
+
+
+def unescape(s: Column) -> Column:
     """All HTML entities, once, as in HTML 5."""
-    return s.map(html.unescape, na_action="ignore")
+    found = F.transform(F.regexp_extract_all(s, F.lit(REFERENCE), F.lit(0)), lambda m: F.transform(F.array(F.substr(m, F.lit(2))), lambda b: F.when(b.startswith("#"), _by_number(b)).otherwise(_by_name(m, b)))[0])
+    parts = F.zip_with(F.split(s, REFERENCE, -1), found, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit(""))))
+    return F.when(s.contains("&"), F.array_join(parts, "")).otherwise(s)
 
 
 def unescape_basic(s: Column) -> Column:

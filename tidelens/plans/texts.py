@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from ..complexity import metrics
@@ -46,7 +48,24 @@ def remove_tags(spark, d):
     return _html(spark, d).select("page_id", F.md5(text.remove_tags(F.col("html"))).alias("h"))
 
 
-@query("STR2")
+def _entities_sql(column: str) -> str:
+    """en (page_id, u): a column of pages with its HTML entities replaced, in SQL; values are code points, for white space does not survive here."""
+    replaced, keys, values = text.REPLACED, ", ".join(f"'{k}'" for k in html5), [[ord(c) for c in v] for v in html5.values()]
+    size = max(map(len, text.LEGACY))
+    begins = ", ".join(f"CASE WHEN length(b) > {n} THEN array_to_string(list_transform(v[list_position(k, substr(b, 1, {n}))], lambda c: chr(c)), '') || substr(b, {n + 1}) END" for n in range(size, 1, -1))
+    return f"""nm AS (SELECT [{keys}] AS k, {values} AS v, {list(replaced)} AS rk, {[ord(v) for v in replaced.values()]} AS rv),
+  sr AS (SELECT page_id, {column} AS s FROM pages),
+  ms AS (SELECT page_id, i, m, substr(m, 2) AS b FROM (SELECT page_id, unnest(regexp_extract_all(s, '{text.REFERENCE}')) AS m, generate_subscripts(regexp_extract_all(s, '{text.REFERENCE}'), 1) AS i FROM sr)),
+  dg AS (SELECT *, ltrim(regexp_replace(b, '^#[xX]?|;$', '', 'g'), '0') AS d FROM ms),
+  cd AS (SELECT *, CASE WHEN b NOT LIKE '#%' THEN NULL WHEN d = '' THEN 0 WHEN length(d) > 8 THEN 1114112 WHEN b ILIKE '#x%' THEN CAST('0x' || d AS BIGINT) ELSE CAST(d AS BIGINT) END AS c FROM dg),
+  ch AS (SELECT page_id, i, CASE WHEN c IS NULL THEN coalesce(array_to_string(list_transform(v[list_position(k, b)], lambda c: chr(c)), ''), {begins}, m)
+    WHEN list_contains(rk, c) THEN chr(rv[list_position(rk, c)]) WHEN c BETWEEN 55296 AND 57343 OR c > 1114111 THEN chr(65533)
+    WHEN c BETWEEN 1 AND 8 OR c = 11 OR c BETWEEN 14 AND 31 OR c = 127 OR c BETWEEN 64976 AND 65007 OR c & 65534 = 65534 THEN '' ELSE chr(CAST(c AS INTEGER)) END AS x FROM cd, nm),
+  al AS (SELECT page_id, list(x ORDER BY i) AS x FROM ch GROUP BY 1),
+  en AS (SELECT sr.page_id, array_to_string(list_transform(string_split_regex(s, '{text.REFERENCE}'), lambda g, i: g || coalesce(al.x[i], '')), '') AS u FROM sr LEFT JOIN al ON al.page_id = sr.page_id)"""
+
+
+@query("STR2", f"WITH {_entities_sql('html')} SELECT page_id, md5(u) AS h FROM en")
 def unescape(spark, d):
     return _html(spark, d).select("page_id", F.md5(text.unescape(F.col("html"))).alias("h"))
 
@@ -56,7 +75,10 @@ def unescape_basic(spark, d):
     return _html(spark, d).select("page_id", F.md5(text.unescape_basic(F.col("html"))).alias("h"))
 
 
-@query("STR3")
+_NO_TAGS = "regexp_replace(html, '<[^>\\n]*>', '', 'g')"
+
+
+@query("STR3", f"WITH {_entities_sql(_NO_TAGS)} SELECT page_id, md5(u) AS h FROM en")
 def clean(spark, d):
     return _html(spark, d).select("page_id", F.md5(text.clean_html(F.col("html"))).alias("h"))
 
@@ -93,7 +115,7 @@ def has_code(spark, d):
 
 @query("STR9", f"WITH {_PLAIN} SELECT page_id, regexp_replace(body, '(?s)(<pre><code>|{_PY})(.*?)(</code></pre>)', '\\1' || repeat(chr(10), 3) || '\\3', 'g') AS prose FROM u")
 def prose(spark, d):
-    whole = _sections(spark, d).withColumn("u", text.unescape("body"))
+    whole = _sections(spark, d).withColumn("u", text.unescape(F.col("body")))
     return whole.select("page_id", text.prose_text(F.col("u"), F.col("s")).alias("prose"))
 
 
