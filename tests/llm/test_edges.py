@@ -105,6 +105,14 @@ def test_fitted_models(spark, fitted, name):
     assert SCORE[name](frame(spark, []), fitted[name]).collect() == []
 
 
+def test_pipeline_on_an_empty_table(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns[:3] == ["doc_id", "start", "length"] and out.collect() == []
+
+
 def test_pipeline_edges(spark, sf, tmp_path):
     """The stages on a table of such rows with clashing names, and on one without a row."""
     import corpus_pipeline
