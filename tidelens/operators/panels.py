@@ -14,12 +14,13 @@ Everything is a DataFrame expression; the systems are solved inside one row by e
 
 from __future__ import annotations
 
-import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
+from ..sources.adapters import scratch
 
 TERMS = ("const", "time", "post", "post_time")
 #: Entities whose sums are broadcast, a few numbers each.
@@ -54,6 +55,13 @@ def inverse(a: Column) -> Column:
     return F.transform(F.aggregate(F.sequence(F.lit(0), n - 1), start, step), lambda r: F.slice(r, n + 1, n))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: a panel is small, what it comes from is not, and it is read several times."""
+    path = f"{scratch(df.sparkSession)}/panel-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _sent(df: DataFrame, rows: int = SENT) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
@@ -63,7 +71,7 @@ def _design(panel: DataFrame, entity: str, y: str, t: str, weights: str | None)
     tv = F.col(t).cast("double")
     x = F.array(tv, (tv >= 0).cast("double"), F.greatest(tv, F.lit(0.0)))
     w = F.col(weights).cast("double") if weights else F.lit(1.0)
-    return panel.select(F.col(entity).alias("e"), tv.alias("t"), F.col(y).cast("double").alias("y"), w.alias("w"), x.alias("x")).dropna(subset=["e", "t", "y", "w"])
+    return _kept(panel.select(F.col(entity).alias("e"), tv.alias("t"), F.col(y).cast("double").alias("y"), w.alias("w"), x.alias("x")).dropna(subset=["e", "t", "y", "w"]))
 
 
 def _fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -197,7 +205,7 @@ def studies(cells: DataFrame, models: list[str], entity: str, bin_: str, y: str
     w = F.col(weights).cast("double") if weights else F.lit(1.0)
     named, models = models, [f"_{m}" for m in models]  # no column here has such a name
     rows = cells.select(*(F.col(m).alias(k) for m, k in zip(named, models, strict=True)), F.col(entity).alias("e"), F.col(bin_).cast("int").alias("b"), F.col(y).cast("double").alias("y"), w.alias("w")).dropna(subset=["e", "b", "y", "w"])
-    one = rows.groupBy(*models, "e", "b").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"), F.count("*").alias("n"))
+    one = _kept(rows.groupBy(*models, "e", "b").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"), F.count("*").alias("n")))
     # Per entity the sums of its bins, as an array: as long as there are bins.
     own = one.groupBy(*models, "e").agg(F.sort_array(F.collect_list(F.struct("b", "w", "wy"))).alias("cells"), F.sum("n").alias("n"), F.sum("w").alias("sw"), F.sum("wy").alias("sy"))
     bins = one.groupBy(*models).agg(F.array_sort(F.collect_set("b")).alias("bins"))
