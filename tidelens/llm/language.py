@@ -147,7 +147,7 @@ class LanguageModel:
         for i in known:
             mean = total[i] / len(texts[i])
             b = int(mean.argmax())
-            names[i], scores[i] = self.languages[b], float(np.clip(mean[b], 0, 1))
+            names[i], scores[i] = self.languages[b], round(float(np.clip(mean[b], 0, 1)), 5)  # beyond, single-precision sums depend on the batch
         return names, scores
 
 
