@@ -48,3 +48,15 @@ def test_resumable_work(spark, tmp_path):
     assert worked[-1] == [1, 2, 3, 4, 5, 6, 6, 7]
     out = spark.read.parquet(f"{f}/out")
     assert {(r.id, r.v) for r in out.collect()} == {(i, 20 * i) for i in range(1, 8)}
+
+
+def test_keys_are_looked_up_without_python(spark, tmp_path):
+    """A call per key took too long; a null key counts once too, for a new checkpoint as well."""
+    source, f = tmp_path / "in", str(tmp_path)
+    put(spark, source, "a", [(None, 1), (None, 1), (1, 1)])
+    for state in ("first", "second"):
+        q = daily.run_available(daily.source(spark, f"{source}/*", SCHEMA), lambda b: b.select("id"), f"{f}/done", f"{f}/out", f"{f}/{state}")
+        q.awaitTermination()
+        plan = q._jsq.explainInternal(False)
+        assert "StreamingDeduplicate" in plan and "Pandas" not in plan and "PySpark" not in plan
+        assert sorted((r.id for r in spark.read.parquet(f"{f}/out").select("id").collect()), key=str) == [1, None]
