@@ -6,7 +6,6 @@ of structs from an Arrow UDF and are exploded, so no file is written on the way.
 
 from __future__ import annotations
 
-import ast
 import re
 import uuid
 from collections.abc import Iterator
@@ -20,7 +19,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, S
 from ..sources.adapters import scratch
 from .languages import CYCLOMATIC, LANGUAGES
 from .lexer import NEWLINE, balanced, tokens
-from .walkers import cognitive
+from .walkers import cognitive, parsed
 
 #: Languages whose snippets skip the syntax gate.
 EXEMPT = ("f#", "vb.net", "groovy", "assembly")
@@ -48,7 +47,7 @@ def valid(source: str, language: str) -> bool:
         return True
     if language == "python":
         try:
-            ast.parse(source)
+            parsed(source)
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             return False
         return True
