@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidelens.sources import arrays, readers
+from tidelens.plans.queries import QUERIES
+from tidelens.sources import arrays, readers, writers
 
 SCHEMA = "id INT, t STRING, x STRUCT<y: ARRAY<STRING>>"
 
@@ -58,3 +59,11 @@ def test_text_after_an_array_is_an_error(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"id":1}] [{"id":2}]')
     with pytest.raises(Exception, match="after the end of the array"):
         readers.json_file(spark, f"{tmp_path}/a.json", SCHEMA).collect()
+
+
+def test_a_folder_of_arrays_has_a_file_for_each_split_of_the_posts(spark, sf, small_splits, monkeypatch):
+    seen = []
+    monkeypatch.setattr(writers, "json_arrays", lambda df, folder: seen.append(df.rdd.getNumPartitions()))
+    monkeypatch.setattr(readers, "json_folder", lambda *_: spark.range(0))
+    QUERIES["SRC3"](spark, sf)
+    assert seen[0] > 3

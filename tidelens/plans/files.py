@@ -26,9 +26,9 @@ _POSTS = "SELECT CAST(id AS INTEGER) AS id, strftime(creationdate, '%Y-%m-%dT%H:
 
 @query("SRC3", _POSTS, "posts")
 def json_folder(spark, d):
-    """A folder of files that are arrays of objects."""
-    f = _folder(spark)
-    writers.json_arrays(_post_rows(spark, d).repartition(3, "id"), f)
+    """A folder of files that are arrays of objects, three or as many as the posts have splits."""
+    f, rows = _folder(spark), _post_rows(spark, d)
+    writers.json_arrays(rows.repartition(max(3, rows.rdd.getNumPartitions()), "id"), f)
     return readers.json_folder(spark, f, readers.schemas.QUESTIONS)
 
 
