@@ -1,5 +1,10 @@
 """Plans of queries whose tasks held or repeated too much on large tables."""
 
+import tracemalloc
+
+import pyarrow as pa
+
+from tidelens.functions import text
 from tidelens.operators import network
 from tidelens.plans.queries import QUERIES
 
@@ -23,3 +28,16 @@ def test_edges_of_a_modularity_are_made_once(spark, sf, monkeypatch):
     monkeypatch.setattr(network, "communities", lambda e: seen.append(_plan(e)) or e.selectExpr("a as node", "0 as community"))
     QUERIES["NET7_modularity"](spark, sf)
     assert "Join" not in seen[0] and "Aggregate" not in seen[0]
+
+
+def test_bodies_become_python_strings_a_few_at_a_time():
+    bodies = pa.array([f"<p>{i}</p><pre><code>a &lt; {i} {'x' * 20_000}</code></pre>" for i in range(2000)] + [None, "", "<pre><code>"])
+    tracemalloc.start()
+    try:
+        found, there = text.code_sections.func(bodies), text.has_sections.func(bodies)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 10_000_000  # all of them take 40 MB
+    assert [[tuple(s.values()) for s in x] for x in found.to_pylist()] == [text.sections_of(b) for b in bodies.to_pylist()]
+    assert there.to_pylist() == [True] * 2000 + [False] * 3
