@@ -86,11 +86,13 @@ def _cut(with_whole: bool):
                     raise ValueError(f"{file}: text after the end of the array")
                 data = data[: at[out[0]]] if len(out) else data
                 ends = (at[(levels == 1) & (steps < 0)] + 1).tolist()
+                alone = level == 1 and not inside  # an element begins with the chunk
                 if with_whole:
-                    texts = [data[x:y] for x, y in zip(ends, ends[1:], strict=False)]
+                    bounds = [0, *ends] if alone else ends
+                    texts = [data[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
                     owners: list[int | None] = [None] * len(texts)
                 elif ends:
-                    texts, owners = [data[: ends[0]], data[ends[-1] :]], [owner, n]
+                    texts, owners = [b"" if alone else data[: ends[0]], data[ends[-1] :]], [owner, n]
                 else:
                     texts, owners = [b"" if n == 1 and last and data.strip() == b"," else data], [owner]
                 yield pa.RecordBatch.from_arrays([pa.array([file] * len(texts), pa.string()), pa.array(owners, pa.int64()), pa.array([n] * len(texts), pa.int64()), pa.array(texts, pa.binary())], names=["file", "owner", "n", "data"])
