@@ -54,3 +54,35 @@ def test_prompts_of_repeated_and_empty_sets(spark):
     assert len(said) == 3 and all(sorted(x[:2]) == ["a", "b"] and x[2] == "" for x in said) and {x[3] for x in said} == {"q", "longer q", ""}
     none = annotation.prompts(golden.where("id > 5"), targets, "s", 1000, 2, 1).collect()
     assert len(none) == 3 and all(len(r.messages) == 2 and r.fits for r in none)
+
+
+def test_draws_by_place(spark):
+    golden = [(i, None if i % 7 == 0 else i % 3) for i in range(60)] + [(None, 1), (500, 9), (501, 9)]
+    targets = list(range(0, 4000, 5)) + [None]
+    g, t = spark.createDataFrame(golden, "id long, answer int"), spark.createDataFrame([(x,) for x in targets], "id long")
+    got = annotation.few_shots_by_place(g, t, 4, 3).collect()
+    by = {}
+    for r in got:
+        assert (r.shot_id, r.label) in golden
+        by.setdefault((r.eval_id, r.draw), []).append(r)
+    assert set(by) == {(e, d) for e in targets for d in (1, 2, 3)}
+    for rows in by.values():
+        rows.sort(key=lambda r: r.pos)
+        assert [r.pos for r in rows] == list(range(1, 19)) and [r.label for r in rows] == [None] * 4 + [0] * 4 + [1] * 4 + [2] * 4 + [9] * 2
+        assert len({(r.shot_id, r.label) for r in rows}) == 18
+    assert len({tuple(r.shot_id for r in by[e, 1]) for e in targets}) == len(targets) and by[0, 1] != by[0, 2]
+    own = [x for x in golden if x[1] == 2]
+    for pos in range(13, 17):  # every example is as likely at every place
+        seen = [sum(r.shot_id == i and r.pos == pos for r in got) for i, _ in own]
+        even = 3 * len(targets) / len(own)
+        assert sum((n - even) ** 2 / even for n in seen) < 45, seen
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, annotation.few_shots_by_place(g.repartition(3), t, 4, 3).collect()), key=repr)
+    assert annotation.few_shots_by_place(g.where("id > 600"), t, 4, 3).isEmpty()
+
+
+def test_counted_draws_do_not_compare_every_target_with_the_whole_set(spark, sf):
+    """SMP5 used to hash every pair of a target's draw and an example, in Python."""
+    from tidelens.plans.queries import QUERIES
+
+    plan = QUERIES["SMP5"](spark, sf)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroups" not in plan and "_n" in plan
