@@ -86,3 +86,13 @@ def test_counted_draws_do_not_compare_every_target_with_the_whole_set(spark, sf)
 
     plan = QUERIES["SMP5"](spark, sf)._jdf.queryExecution().toString()
     assert "FlatMapCoGroups" not in plan and "_n" in plan
+
+
+def test_short_texts_of_all_lengths_are_hashed_together():
+    """Each length used to be hashed apart, so few texts of a length took nearly as long as many."""
+    texts = [b"|%d" % i for i in range(0, 30_000, 3)] + [b"|" + b"x" * 40, b""]
+    ends = Endings(texts)
+    assert [len(at) for at, _ in ends.parts] == [10_001, 1]
+    for before in ([b"0|7|1"], [b"0|123456789|1", b"0|987654321|2"], [b"z" * 50]):
+        for b, row in zip(before, ends.firsts(before), strict=True):
+            assert row.tolist() == [int.from_bytes(hashlib.md5(b + t).digest()[:4]) for t in texts]
